@@ -30,8 +30,8 @@ def with_row_position(
         .agg(F.max("_key").alias("_split"))
         .agg(F.array_sort(F.collect_list("_split")).alias("_splits"))
     )
-    # One row: safe to broadcast.
-    placed = keyed.join(F.broadcast(picked)).withColumn(
+    # A scalar subquery: the split points are one value, computed once.
+    placed = keyed.withColumn("_splits", picked.scalar()).withColumn(
         "_range", F.size(F.filter("_splits", lambda s: s < F.col("_key")))
     )
     placed = placed.drop("_splits")

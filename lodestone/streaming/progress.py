@@ -11,15 +11,16 @@ the version before it and writes the same one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.functions import fixed
 
-EVENT = T.StructType.fromDDL(
+EVENT = (
     "request_id string, ts timestamp, seq bigint, step int, progress int, message string, "
     "details map<string,string>, status string, error string"
 )
+COLUMNS = tuple(field.split()[0] for field in EVENT.split(", "))
 TERMINAL = ("completed", "error")
 
 
@@ -51,7 +52,7 @@ def _order() -> Column:
 
 
 def _record() -> Column:
-    return F.struct(*[c for c in EVENT.names if c != "request_id"])
+    return F.struct(*[c for c in COLUMNS if c != "request_id"])
 
 
 def reduce_events(events: DataFrame) -> DataFrame:
@@ -154,7 +155,7 @@ class ProgressStream:
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """Merge one micro-batch; running it again gives the same version."""
-        batch = batch.select(*EVENT.names)
+        batch = batch.select(*COLUMNS)
         earlier = [v for v in self._versions() if v < batch_id]
         old = self._read(earlier[-1]) if earlier else None
         if self.feed_dir:

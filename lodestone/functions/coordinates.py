@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lodestone.functions import fixed
+from lodestone.functions.binding import bind
 from lodestone.functions.text import strip
 
 NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
@@ -17,20 +18,25 @@ LIST_LITERAL = rf"\A\[\s*{_ITEM}(?:\s*,\s*{_ITEM})*\s*,?\s*\]\z"
 
 def cell_item(cell: Column, last: bool) -> Column:
     """First or last item of a cell as trimmed text; a cell that is no list is its own item."""
-    cell = strip(cell)
-    literal = cell.rlike(LIST_LITERAL)
-    body = F.btrim(cell, F.lit("[]"))
-    # Only a well-formed literal may end in a comma or quote its items.
-    body = F.when(literal, F.regexp_replace(body, r",\s*\z", "")).otherwise(body)
-    item = strip(F.element_at(F.split(body, ","), -1 if last else 1))
-    item = F.when(literal, F.regexp_replace(item, r"""\A['"]|['"]\z""", "")).otherwise(item)
-    return F.when(F.startswith(cell, F.lit("[")), strip(item)).otherwise(cell)
+
+    def pick(body: Column) -> Column:
+        return strip(F.element_at(F.split(body, ","), -1 if last else 1))
+
+    def of_literal(cell: Column) -> Column:
+        # Only a well-formed literal may end in a comma or quote its items.
+        body = F.regexp_replace(F.btrim(cell, F.lit("[]")), r",\s*\z", "")
+        return strip(F.regexp_replace(pick(body), r"""\A['"]|['"]\z""", ""))
+
+    def of_list(cell: Column) -> Column:
+        loose = pick(F.btrim(cell, F.lit("[]")))
+        return F.when(cell.rlike(LIST_LITERAL), of_literal(cell)).otherwise(loose)
+
+    return bind(strip(cell), lambda c: F.when(F.startswith(c, F.lit("[")), of_list(c)).otherwise(c))
 
 
 def cell_number(cell: Column, last: bool) -> Column:
     """Number in a cell, or null. Words such as `nan` and `inf` are no numbers."""
-    item = cell_item(cell, last)
-    return F.when(item.rlike(rf"\A{NUMBER}\z"), item.try_cast("double"))
+    return bind(cell_item(cell, last), lambda item: F.when(item.rlike(rf"\A{NUMBER}\z"), item.try_cast("double")))
 
 
 def coordinate(df: DataFrame, name: str, last: bool) -> Column:
@@ -52,7 +58,7 @@ def coordinate_text(df: DataFrame, name: str, last: bool) -> Column:
         item = F.try_element_at(cell, F.lit(-1 if last else 1)).cast("string")
     else:
         item = cell_item(cell.cast("string"), last)
-    return F.when((item != "") & ~item.isin("nan", "NaN", "None"), item)
+    return bind(item, lambda i: F.when((i != "") & ~i.isin("nan", "NaN", "None"), i))
 
 
 def in_range(lon: Column, lat: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from lodestone.functions import fixed
+from lodestone.functions.binding import bind
 
 FENCE = "```"
 # Decimal digits of any script, and raised or lowered ones.
@@ -31,18 +32,23 @@ def contains_any(text: Column, words: Sequence[str]) -> Column:
 
 def has_data(answer: Column | str, phrases: Sequence[str] = fixed.NO_DATA_PHRASES) -> Column:
     """False when the lower-cased answer holds one of the no-data phrases."""
-    return ~contains_any(F.lower(_col(answer)), phrases)
+    return bind(F.lower(_col(answer)), lambda lowered: ~contains_any(lowered, phrases))
 
 
 def drop_coordinate_lines(text: Column | str, words: Sequence[str] = fixed.COORDINATE_WORDS) -> Column:
     """Drop lines that name coordinates, and short lines with a comma and a digit."""
 
-    def keep(line: Column) -> Column:
-        named = contains_any(F.lower(line), words)
+    def kept(line: Column, lowered: Column) -> Column:
+        named = contains_any(lowered, words)
         bare = line.contains(",") & line.rlike(DIGIT) & (F.length(strip(line)) < fixed.SHORT_LINE)
-        return ~named & ~bare
+        return F.when(~named & ~bare, line)
 
-    return strip(F.array_join(F.filter(F.split(_col(text), "\n"), keep), "\n"))
+    def lines_left(text: Column) -> Column:
+        # Lower case is found for the whole text at once; a joined array leaves its nulls out.
+        lines = F.zip_with(F.split(text, "\n"), F.split(F.lower(text), "\n"), kept)
+        return strip(F.array_join(lines, "\n"))
+
+    return bind(_col(text), lines_left)
 
 
 def cut_at_sentence(
@@ -52,13 +58,22 @@ def cut_at_sentence(
     suffix: str = fixed.CUT_SUFFIX,
 ) -> Column:
     """Cut text beyond `limit` at its last sentence end, if that lies past `share` of the limit."""
+
+    def cut(text: Column) -> Column:
+        return bind(F.substring(text, 1, limit), lambda head: bind(_sentences(head), lambda ended: joined(head, ended)))
+
+    def joined(head: Column, ended: Column) -> Column:
+        # The position of the last sentence end, counted from 0, must lie past the share.
+        late = F.length(ended) - 1 > F.lit(limit * share)
+        return F.concat(F.when(late, ended).otherwise(head), F.lit(suffix))
+
     text = _col(text)
-    head = F.substring(text, 1, limit)
-    sentences = F.regexp_extract(head, r"(?s)^(.*[.!?])[ \n]", 1)
-    # The position of the full stop, counted from 0, must lie past the share.
-    late = F.length(sentences) - 1 > F.lit(limit * share)
-    cut = F.concat(F.when(late, sentences).otherwise(head), F.lit(suffix))
-    return F.when(F.length(text) > limit, cut).otherwise(text)
+    return F.when(F.length(text) > limit, cut(text)).otherwise(text)
+
+
+def _sentences(text: Column) -> Column:
+    """The text up to its last sentence end that is followed by a blank or a new line."""
+    return F.regexp_extract(text, r"(?s)^(.*[.!?])[ \n]", 1)
 
 
 def ensure_mention(
@@ -70,7 +85,7 @@ def ensure_mention(
     """Append `addition` where it is wanted and none of `words` occurs."""
     text = _col(text)
     addition = F.lit(addition) if isinstance(addition, str) else addition
-    missing = wanted & ~contains_any(F.lower(text), words)
+    missing = wanted & bind(F.lower(text), lambda lowered: ~contains_any(lowered, words))
     return F.when(missing, F.concat(text, addition)).otherwise(text)
 
 
@@ -90,9 +105,12 @@ def strip_code_fence(text: Column | str) -> Column:
 
 def drop_fence_lines(text: Column | str) -> Column:
     """For text that starts with a fence, drop every line that starts with one."""
-    text = strip(text)
-    lines = F.filter(F.split(text, "\n"), lambda line: ~F.startswith(strip(line), F.lit(FENCE)))
-    return F.when(F.startswith(text, F.lit(FENCE)), strip(F.array_join(lines, "\n"))).otherwise(text)
+
+    def clean(text: Column) -> Column:
+        lines = F.filter(F.split(text, "\n"), lambda line: ~F.startswith(strip(line), F.lit(FENCE)))
+        return F.when(F.startswith(text, F.lit(FENCE)), strip(F.array_join(lines, "\n"))).otherwise(text)
+
+    return bind(strip(text), clean)
 
 
 def is_yes(answer: Column | str, words: Sequence[str] = fixed.YES_WORDS, exact: bool = False) -> Column:
@@ -101,7 +119,7 @@ def is_yes(answer: Column | str, words: Sequence[str] = fixed.YES_WORDS, exact:
     if exact:
         bare = F.regexp_replace(answer, r"[\p{Punct}]+\z", "")
         return F.coalesce(bare.isin(*words), F.lit(False))
-    return F.coalesce(contains_any(answer, words), F.lit(False))
+    return F.coalesce(bind(answer, lambda a: contains_any(a, words)), F.lit(False))
 
 
 def feature_name(

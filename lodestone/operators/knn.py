@@ -21,10 +21,13 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from lodestone.functions.vectors import METRICS
+from lodestone.session import shared_dir
 
 # Executors get this module with the task, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Queries that may be broadcast, by number and by size.
+MAX_QUERIES = 8192
 MAX_BROADCAST_BYTES = 64 << 20
 # Scores of one matrix product, at most: 8 bytes each.
 MAX_SCORES = 4 << 20
@@ -137,14 +140,13 @@ def _top(scored: DataFrame, k: int, metric: str, query_id: str, corpus_id: str)
 
 
 def bounded_rows(df: DataFrame, vec_col: str, max_bytes: int) -> pa.Table | None:
-    """The rows as one Arrow table if they fit `max_bytes`, else None. Never fetches more than that."""
-    head = df.limit(1).toArrow()
-    if head.num_rows == 0:
-        return head
-    width = 8 * len(head.column(vec_col)[0])
-    limit = max(1, max_bytes // max(1, width))
-    rows = df.limit(limit + 1).toArrow()
-    return rows if rows.num_rows <= limit else None
+    """The rows as one Arrow table if they are few and small enough, else None.
+
+    Never fetches more than the allowed number of rows.
+    """
+    rows = df.limit(MAX_QUERIES + 1).toArrow()
+    values = len(rows.column(vec_col).combine_chunks().flatten()) if rows.num_rows else 0
+    return rows if rows.num_rows <= MAX_QUERIES and 8 * values <= max_bytes else None
 
 
 def knn_topk(
@@ -210,7 +212,7 @@ def train_centroids(vectors: DataFrame, n_cells: int, total: int, seed: int = 7)
     share = min(1.0, 256.0 * n_cells / max(1, total))
     sample = vectors.sample(share, seed) if share < 1.0 else vectors
     points = sample.select(array_to_vector("_vec").alias("features"))
-    model = KMeans(k=n_cells, seed=seed, maxIter=8, initSteps=2).fit(points)
+    model = KMeans(k=n_cells, seed=seed, maxIter=8, initMode="random").fit(points)
     return np.array(model.clusterCenters())
 
 
@@ -243,7 +245,10 @@ def build_cells(
     n_cells: int | None = None,
     path: str | None = None,
 ) -> Cells:
-    """Assign every corpus vector to its nearest centroid; `path` keeps the result for later searches."""
+    """Assign every corpus vector to its nearest centroid.
+
+    The result is stored below the shared folder, or at `path` for later searches, so that it is found once.
+    """
     _metric(metric)
     c = _side(corpus, corpus_id, corpus_vec, "_cid")
     total = c.count()
@@ -284,10 +289,9 @@ def build_cells(
             T.StructField("_dist", T.DoubleType()),
         ]
     )
-    rows = c.mapInArrow(assign, types)
-    if path:
-        rows.write.mode("overwrite").parquet(path)
-        rows = corpus.sparkSession.read.parquet(path)
+    path = path or shared_dir(corpus.sparkSession, "cells")
+    c.mapInArrow(assign, types).write.mode("overwrite").parquet(path)
+    rows = corpus.sparkSession.read.parquet(path)
     sizes, radii = np.zeros(n_cells, np.int64), np.zeros(n_cells)
     # One row per cell comes back: at most 4096.
     for row in rows.groupBy("_cell").agg(F.count("*").alias("n"), F.max("_dist").alias("r")).collect():
@@ -350,12 +354,12 @@ def _search(routed: DataFrame, cells: Cells, k: int, block_rows: int) -> DataFra
     """
     metric = cells.metric
     spark = routed.sparkSession
-    corpus_parts = spark.createDataFrame(
-        [(i, int(-(-n // block_rows))) for i, n in enumerate(cells.sizes) if n], "_cell int, _c_parts long"
-    )
-    query_parts = routed.groupBy("_cell").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("_q_parts"))
-    # One row per cell, at most 4096: safe to broadcast.
-    parts = F.broadcast(corpus_parts.join(query_parts, "_cell"))
+    # One row per cell, at most 4096: small enough to fetch, and to broadcast.
+    load = {row["_cell"]: row["count"] for row in routed.groupBy("_cell").count().collect()}
+    counts = [
+        (i, int(-(-n // block_rows)), int(-(-load[i] // block_rows))) for i, n in enumerate(cells.sizes) if n and i in load
+    ]
+    parts = F.broadcast(spark.createDataFrame(counts, "_cell int, _c_parts long, _q_parts long"))
     q = (
         routed.join(parts, "_cell")
         .withColumn("_q", F.pmod(F.xxhash64("_qid"), F.col("_q_parts")))

@@ -32,27 +32,28 @@ def extract_points(
     label = C.label(rows, columns)
     if position is not None:
         label = F.when(label == "", F.concat(F.lit("Запись "), F.col(position).cast("string"))).otherwise(label)
-    points = rows.select(
-        *keep,
+    point = F.struct(
         C.coordinate(rows, "lon", last=False).alias("lon"),
         C.coordinate(rows, "lat", last=True).alias("lat"),
         label.alias("info"),
     )
-    return points.where(C.in_range(F.col("lon"), F.col("lat")))
+    # As a generator the cells are parsed once, not for the filter and again for the result.
+    valid = F.filter(F.array(point), lambda p: C.in_range(p["lon"], p["lat"]))
+    return rows.select(*keep, F.inline(valid))
 
 
 def point_lines(rows: DataFrame, position: str, keep: Sequence[str] = ()) -> DataFrame:
     """Summary lines `Запись n: Долгота: x, Широта: y`; cells stay text and no range is checked."""
     if "lon" not in rows.columns or "lat" not in rows.columns:
         return rows.sparkSession.createDataFrame([], "position bigint, line string")
-    found = rows.select(
-        *keep,
+    point = F.struct(
         F.col(position).cast("long").alias("position"),
-        C.coordinate_text(rows, "lon", last=False).alias("_lon"),
-        C.coordinate_text(rows, "lat", last=True).alias("_lat"),
-    ).where(F.col("_lon").isNotNull() & F.col("_lat").isNotNull())
-    line = F.format_string("Запись %d: Долгота: %s, Широта: %s", "position", "_lon", "_lat")
-    return found.select(*keep, "position", line.alias("line"))
+        C.coordinate_text(rows, "lon", last=False).alias("lon"),
+        C.coordinate_text(rows, "lat", last=True).alias("lat"),
+    )
+    whole = F.filter(F.array(point), lambda p: p["lon"].isNotNull() & p["lat"].isNotNull())
+    line = F.format_string("Запись %d: Долгота: %s, Широта: %s", "position", "lon", "lat")
+    return rows.select(*keep, F.inline(whole)).select(*keep, "position", line.alias("line"))
 
 
 def marker_text(points: DataFrame, position: str) -> DataFrame:

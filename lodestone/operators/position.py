@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 
 def with_row_position(
@@ -12,24 +12,28 @@ def with_row_position(
 ) -> DataFrame:
     """Add the 1-based position of each row in the order of `order_by`, which must be unique per row.
 
-    Split points from a small sample cut the order into ranges. Rows are numbered within their range and
-    shifted by the sizes of the ranges before it; the sample only decides how even the ranges are.
+    Split points, from a small sample or an approximate percentile, cut the order into ranges. Rows are
+    numbered within their range and shifted by the sizes of the ranges before it, so the points only decide
+    how even the ranges are.
     """
-    spark = df.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.struct(*[F.col(f"`{c}`") for c in order_by])
-    keyed = df.withColumn("_key", key)
-    wanted = 50 * ranges
-    total = df.count()
-    share = min(1.0, wanted / max(1, total))
-    # At most about 50 keys per range reach the driver, and one less than `ranges` stay.
-    sample = keyed.select("_key").sample(share, 11) if share < 1.0 else keyed.select("_key")
-    picked = (
-        sample.withColumn("_tile", F.ntile(ranges).over(Window.orderBy("_key")))
-        .groupBy("_tile")
-        .agg(F.max("_key").alias("_split"))
-        .agg(F.array_sort(F.collect_list("_split")).alias("_splits"))
-    )
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumn("_key", F.struct(*[F.col(f"`{c}`") for c in order_by]))
+    only = df.schema[order_by[0]].dataType if len(order_by) == 1 else None
+    if isinstance(only, T.NumericType):
+        # One aggregation finds the split points of a single number.
+        shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+        points = F.percentile_approx(F.col(f"`{order_by[0]}`"), shares, 10 * ranges)
+        picked = df.agg(F.transform(points, lambda p: F.struct(p.alias(order_by[0]))).alias("_splits"))
+    else:
+        # At most about 50 keys per range are sorted in one task, and one less than `ranges` stay.
+        share = min(1.0, 50 * ranges / max(1, df.count()))
+        sample = keyed.select("_key").sample(share, 11) if share < 1.0 else keyed.select("_key")
+        picked = (
+            sample.withColumn("_tile", F.ntile(ranges).over(Window.orderBy("_key")))
+            .groupBy("_tile")
+            .agg(F.max("_key").alias("_split"))
+            .agg(F.array_sort(F.collect_list("_split")).alias("_splits"))
+        )
     # A scalar subquery: the split points are one value, computed once.
     placed = keyed.withColumn("_splits", picked.scalar()).withColumn(
         "_range", F.size(F.filter("_splits", lambda s: s < F.col("_key")))

@@ -1,8 +1,9 @@
 """From a table of questions to results, points and answers.
 
-Models stay outside: question vectors, verdicts, SQL texts and summaries come in as tables keyed by question
-and feature. Everything else is one plan over all questions. Each distinct SQL text is planned once, however
-many questions share it, and its rows are joined to them.
+Models stay outside: `find_hits` gives the pairs of question and feature that they are asked about, and their
+verdicts, SQL texts and summaries come back as tables keyed by question and feature. Everything else is one
+plan over all questions. Each distinct SQL text is planned once, however many questions share it, and its rows
+are joined to them.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from lodestone.operators.combine import tagged_union
 from lodestone.operators.knn import knn_topk
 from lodestone.operators.points import extract_points, point_lines
 from lodestone.plans.guarded_sql import GuardedSql
-from lodestone.session import shared_dir
+from lodestone.session import kept
 
 PAIR = ["question_id", "feature_id"]
 # Statements planned as one union; more than these are run in batches into tables.
@@ -32,7 +33,6 @@ STATEMENTS_PER_PLAN = 32
 class Answers:
     """Tables of an answered set of questions."""
 
-    hits: DataFrame
     features: DataFrame
     results: DataFrame | None
     points: DataFrame | None
@@ -54,7 +54,10 @@ def question_text(questions: DataFrame, responses: DataFrame | None = None) -> D
 def find_hits(
     questions: DataFrame, catalog: DataFrame, k: int = fixed.TOP_K, metric: str = "cosine", strip_prefix: bool = False
 ) -> DataFrame:
-    """The k nearest catalog entries of each question, with name and description."""
+    """The k nearest catalog entries of each question, with name and description, stored once.
+
+    questions: question_id, embedding. catalog: _id, text, embedding and optional name fields.
+    """
     found = knn_topk(questions, catalog, k, metric, "question_id", "embedding", "_id", "embedding")
     extra = {c: F.col(c) for c in ("feature_name", "name", "description") if c in catalog.columns}
     named = catalog.select(
@@ -62,7 +65,7 @@ def find_hits(
         feature_name("text", extra.get("feature_name"), extra.get("name"), strip_prefix).alias("feature_name"),
         feature_description("text", extra.get("description")).alias("description"),
     )
-    return found.join(named, "_id").withColumnRenamed("_id", "feature_id")
+    return kept(found.join(named, "_id").withColumnRenamed("_id", "feature_id"), "hits")
 
 
 def accept_features(hits: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -89,13 +92,8 @@ def _run_statements(guard: GuardedSql, texts: DataFrame) -> tuple[DataFrame | No
         if branches:
             parts.append(tagged_union(branches, "sql"))
     if len(parts) > 1:
-        stored = []
-        for part in parts:
-            path = shared_dir(spark, "statements")
-            part.write.parquet(path)
-            stored.append(spark.read.parquet(path))
         # Column types are settled again, as batches may differ; the tag column passes through.
-        parts = [_union_tagged(stored)]
+        parts = [_union_tagged([kept(part, "statements") for part in parts])]
     known = spark.createDataFrame([(sql,) for sql in valid], "sql string")
     return (parts[0] if parts else None), known
 
@@ -108,26 +106,24 @@ def _union_tagged(parts: list[DataFrame]) -> DataFrame:
 def answer_questions(
     spark: SparkSession,
     questions: DataFrame,
-    catalog: DataFrame,
+    hits: DataFrame,
     verdicts: DataFrame,
     statements: DataFrame,
     records: Callable[[SparkSession], DataFrame],
     summaries: DataFrame | None = None,
-    k: int = fixed.TOP_K,
-    metric: str = "cosine",
 ) -> Answers:
     """Answer every question.
 
-    questions: question_id, question, embedding. catalog: _id, text, embedding and optional name fields.
-    verdicts: question_id, feature_id, attempt, text, error. statements: question_id, feature_id, attempt,
-    sql. summaries: question_id, text. `records` gives the table that the SQL reads as `df`.
+    questions: question_id, question. hits: as `find_hits` gives them. verdicts: question_id, feature_id,
+    attempt, text, error. statements: question_id, feature_id, attempt, sql. summaries: question_id, text.
+    `records` gives the table that the SQL reads as `df`.
     """
-    hits = find_hits(questions, catalog, k, metric)
     features = accept_features(hits, verdicts)
-    tried = (
+    tried = kept(
         statements.where(F.col("attempt") <= fixed.MAX_ATTEMPTS)
         .join(features.select(*PAIR, "feature_name", "rank"), PAIR)
-        .withColumn("sql", strip_code_fence("sql"))
+        .withColumn("sql", strip_code_fence("sql")),
+        "tries",
     )
     rows, valid = _run_statements(GuardedSql(spark, records), tried.select("sql").distinct())
     # The first attempt with a valid text counts.
@@ -144,10 +140,11 @@ def answer_questions(
     results = points = None
     if rows is not None:
         data = [c for c in rows.columns if c != "sql"]
-        results = (
+        results = kept(
             rows.join(chosen, "sql")
             .withColumnRenamed("feature_name", "matched_feature")
-            .select("question_id", *data, "matched_feature", F.col("rank").alias("feature_rank"))
+            .select("question_id", *data, "matched_feature", F.col("rank").alias("feature_rank")),
+            "results",
         )
         order = [F.col("feature_rank").asc(), F.to_json(F.struct(*[F.col(f"`{c}`") for c in data])).asc()]
         block = data_block(results, ["question_id"], [*data, "matched_feature"], order)
@@ -196,4 +193,4 @@ def answer_questions(
         (F.coalesce("points", zero) > 0).alias("has_coordinates"),
         answer.alias("answer"),
     )
-    return Answers(hits, features, results, points, answers)
+    return Answers(features, results, points, answers)

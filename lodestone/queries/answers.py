@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lodestone.plans.answer import Answers, answer_questions as run_questions
+from lodestone.plans.answer import Answers, answer_questions as run_questions, find_hits
 from lodestone.plans.catalog import build_catalog, catalog_prompts
 from lodestone.queries.points import records
 from lodestone.queries.registry import Tables, query
@@ -29,17 +29,14 @@ def _answers(t: Tables) -> Answers:
     catalog = t.embeddings.join(documents, F.col("vec_id") == F.col("doc_id")).select(
         F.col("vec_id").alias("_id"), "text", "lang", "embedding"
     )
-    ids = questions.select("question_id")
-    # Verdicts of every pair of question and labelled document would be a table of responses; here a
-    # document's quality stands for all of them, after one time-out for the toxic ones.
+    hits = find_hits(questions, catalog)
+    # The responses to the prompts about the hits: the quality of a document is its verdict, after one
+    # time-out for the toxic ones, and its language picks the SQL.
     labels = t.labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    every = F.array(*[F.lit(row[0]) for row in ids.toLocalIterator()])
-    verdicts = labels.select(
-        F.explode(every).alias("question_id"), F.col("doc_id").alias("feature_id"), "quality", "toxic"
-    )
+    asked = hits.select("question_id", "feature_id").join(labels, F.col("feature_id") == F.col("doc_id"))
     yes = F.when(F.col("quality") == 1, "да.").otherwise("нет")
     tries = F.when(F.col("toxic") == 1, F.array(F.lit(None).cast("string"), yes)).otherwise(F.array(yes))
-    verdicts = verdicts.select("question_id", "feature_id", F.posexplode(tries).alias("at", "text")).select(
+    verdicts = asked.select("question_id", "feature_id", F.posexplode(tries).alias("at", "text")).select(
         "question_id",
         "feature_id",
         (F.col("at") + 1).alias("attempt"),
@@ -49,12 +46,11 @@ def _answers(t: Tables) -> Answers:
     texts = F.create_map(
         *[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for pair in STATEMENTS.items() for x in pair]
     )
-    statements = catalog.select(
-        F.explode(every).alias("question_id"), F.col("_id").alias("feature_id"), texts[F.col("lang")].alias("sqls")
-    ).select("question_id", "feature_id", F.posexplode("sqls").alias("at", "sql"))
+    spoken = hits.select("question_id", "feature_id").join(documents, F.col("feature_id") == F.col("doc_id"))
+    statements = spoken.select("question_id", "feature_id", F.posexplode(texts[F.col("lang")]).alias("at", "sql"))
     statements = statements.withColumn("attempt", F.col("at") + 1).drop("at")
     return run_questions(
-        t.spark, questions, catalog, verdicts, statements,
+        t.spark, questions, hits, verdicts, statements,
         lambda session: records(read_table(session, t.directory, "customer")),
     )
 

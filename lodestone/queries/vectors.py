@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.functions import fixed
@@ -35,11 +37,8 @@ def _rounded(found: DataFrame) -> DataFrame:
 
 def centroids(vectors: DataFrame) -> DataFrame:
     """Mean vector per label: one query per label, however many vectors there are."""
-    positions = vectors.select("label", F.posexplode("embedding").alias("at", "x"))
-    means = positions.groupBy("label", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    # One entry per dimension and label is left.
-    ordered = F.array_sort(F.collect_list(F.struct("at", "x")))["x"]
-    return means.groupBy("label").agg(ordered.alias("embedding"))
+    mean = Summarizer.mean(array_to_vector("embedding"))
+    return vectors.groupBy("label").agg(vector_to_array(mean).alias("embedding"))
 
 
 CENTROID_SQL = f"""

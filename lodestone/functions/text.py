@@ -40,7 +40,8 @@ def drop_coordinate_lines(text: Column | str, words: Sequence[str] = fixed.COORD
 
     def kept(line: Column, lowered: Column) -> Column:
         named = contains_any(lowered, words)
-        bare = line.contains(",") & line.rlike(DIGIT) & (F.length(strip(line)) < fixed.SHORT_LINE)
+        # The cheap conditions go first.
+        bare = (F.length(strip(line)) < fixed.SHORT_LINE) & line.contains(",") & line.rlike(DIGIT)
         return F.when(~named & ~bare, line)
 
     def lines_left(text: Column) -> Column:

@@ -21,7 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from lodestone.functions.vectors import METRICS
-from lodestone.session import shared_dir
+from lodestone.session import kept, shared_dir
 
 # Executors get this module with the task, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -68,25 +68,38 @@ def _best(queries: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np
     return order[np.arange(len(order)) - first < k]
 
 
-def _block_topk(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, metric: str):
-    """k best corpus rows of each query row: (query row, id, score), higher scores better."""
+def _exact(q: np.ndarray, c: np.ndarray, rows: np.ndarray, cols: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of single pairs, in slices: many copies of a vector can give many near pairs."""
+    out = np.empty(len(rows))
+    step = max(1, MAX_SCORES // max(1, q.shape[1]))
+    for start in range(0, len(rows), step):
+        a, b = q[rows[start : start + step]], c[cols[start : start + step]]
+        if metric == "l2":
+            out[start : start + step] = -np.sqrt(np.square(a - b).sum(axis=1))
+        else:
+            out[start : start + step] = np.einsum("ij,ij->i", a, b)
+    return out
+
+
+def _block_topk(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, metric: str, floor: np.ndarray | None = None):
+    """k best corpus rows of each query row: (query row, id, score), higher scores better.
+
+    `floor` is the k-th best score of each query so far; rows below it are left out.
+    """
     if q.shape[1] != c.shape[1] and len(q) and len(c):
         raise ValueError(f"query vectors have {q.shape[1]} dimensions, corpus vectors {c.shape[1]}")
     score = q @ c.T
     if metric == "l2":
         score = -(np.square(q).sum(axis=1)[:, None] + np.square(c).sum(axis=1)[None, :] - 2 * score)
     score = np.where(np.isnan(score), -np.inf, score)
-    if score.shape[1] > k:
-        kth = np.partition(score, -k, axis=1)[:, -k][:, None]
-        # Everything near the k-th score stays until exact scores decide.
-        near = (score >= kth - 1e-7) & (score > -np.inf)
-    else:
-        near = score > -np.inf
-    rows, cols = np.nonzero(near)
-    if metric == "l2":
-        exact = -np.sqrt(np.square(q[rows] - c[cols]).sum(axis=1))
-    else:
-        exact = np.einsum("ij,ij->i", q[rows], c[cols])
+    limit = np.full(len(q), -np.inf)
+    if floor is not None:
+        limit = np.where(np.isneginf(floor), floor, -np.square(floor)) if metric == "l2" else floor
+    if score.shape[1] > k and np.isneginf(limit).any():
+        limit = np.maximum(limit, np.partition(score, -k, axis=1)[:, -k])
+    # Everything near the limit stays until exact scores decide.
+    rows, cols = np.nonzero((score >= limit[:, None] - 1e-7) & (score > -np.inf))
+    exact = _exact(q, c, rows, cols, metric)
     keep = _best(rows, ids[cols], exact, k)
     return rows[keep], ids[cols][keep], exact[keep]
 
@@ -100,18 +113,29 @@ def _steps(rows: int, other: int) -> Iterator[slice]:
 def _scan(queries: np.ndarray, k: int, metric: str, batches):
     """k best rows per query of one corpus partition."""
     q = _prepared(queries, metric)
-    best = None
+    floor = np.full(len(q), -np.inf)
+    held, waiting = [], 0
+
+    def merge():
+        rows, ids, score = (np.concatenate(column) for column in zip(*held))
+        keep = _best(rows, ids, score, k)
+        rows, ids, score = rows[keep], ids[keep], score[keep]
+        worst = np.full(len(q), np.inf)
+        np.minimum.at(worst, rows, score)
+        full = np.bincount(rows, minlength=len(q)) >= k
+        floor[full] = worst[full]
+        return [(rows, ids, score)]
+
     for batch in batches:
         c = _prepared(_matrix(batch.column("_vec")), metric)
         ids = _ids(batch.column("_cid"))
         for part in _steps(len(c), len(q)):
-            found = _block_topk(q, c[part], ids[part], k, metric)
-            if best is not None:
-                found = tuple(np.concatenate(pair) for pair in zip(best, found))
-                keep = _best(*found, k)
-                found = tuple(column[keep] for column in found)
-            best = found
-    return best
+            found = _block_topk(q, c[part], ids[part], k, metric, floor)
+            held.append(found)
+            waiting += len(found[0])
+            if waiting >= len(q) * k:
+                held, waiting = merge(), 0
+    return merge()[0] if held else None
 
 
 def _metric(metric: str) -> str:
@@ -432,8 +456,8 @@ def knn_by_cells(
     )
     # On unit vectors the distance follows from the cosine.
     reach = F.col("_high") if metric == "l2" else F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("_low")))
-    bounded = q.join(worst, "_qid", "left").select(
-        "_qid", "_vec", F.when(F.col("_n") >= k, reach).otherwise(F.lit(float("inf"))).alias("_kth")
-    )
+    kth = F.when(F.col("_n") >= k, reach).otherwise(F.lit(float("inf"))).alias("_kth")
+    # Stored, since the second search both counts and scores its queries.
+    bounded = kept(q.join(worst, "_qid", "left").select("_qid", "_vec", kth), "bounded")
     scored = _search(_route(bounded, cells, k, None, kth=True), cells, k, block_rows)
     return _top(scored, k, metric, query_id, out_corpus_id)

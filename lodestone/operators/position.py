@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
+
+from lodestone.session import kept
+
+# `monotonically_increasing_id` holds the partition above this bit and the row within it below.
+_ROW_BITS = 33
 
 
 def with_row_position(
@@ -12,44 +17,23 @@ def with_row_position(
 ) -> DataFrame:
     """Add the 1-based position of each row in the order of `order_by`, which must be unique per row.
 
-    Split points, from a small sample or an approximate percentile, cut the order into ranges. Rows are
-    numbered within their range and shifted by the sizes of the ranges before it, so the points only decide
-    how even the ranges are.
+    The rows are sorted into ranges and stored with their number within the range, so that both stay the
+    same from then on; the sizes of the ranges before it shift a row to its position.
     """
     ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.withColumn("_key", F.struct(*[F.col(f"`{c}`") for c in order_by]))
-    only = df.schema[order_by[0]].dataType if len(order_by) == 1 else None
-    if isinstance(only, T.NumericType):
-        # One aggregation finds the split points of a single number.
-        shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-        points = F.percentile_approx(F.col(f"`{order_by[0]}`"), shares, 10 * ranges)
-        picked = df.agg(F.transform(points, lambda p: F.struct(p.alias(order_by[0]))).alias("_splits"))
-    else:
-        # At most about 50 keys per range are sorted in one task, and one less than `ranges` stay.
-        share = min(1.0, 50 * ranges / max(1, df.count()))
-        sample = keyed.select("_key").sample(share, 11) if share < 1.0 else keyed.select("_key")
-        picked = (
-            sample.withColumn("_tile", F.ntile(ranges).over(Window.orderBy("_key")))
-            .groupBy("_tile")
-            .agg(F.max("_key").alias("_split"))
-            .agg(F.array_sort(F.collect_list("_split")).alias("_splits"))
-        )
-    # A scalar subquery: the split points are one value, computed once.
-    placed = keyed.withColumn("_splits", picked.scalar()).withColumn(
-        "_range", F.size(F.filter("_splits", lambda s: s < F.col("_key")))
+    keys = [F.col(f"`{c}`").asc_nulls_last() for c in order_by]
+    ordered = df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    placed = kept(ordered.withColumn("_at", F.monotonically_increasing_id()), "positions").withColumns(
+        {
+            "_range": F.shiftright("_at", _ROW_BITS),
+            "_row": F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)),
+        }
     )
-    placed = placed.drop("_splits")
-    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     # One row per range: a window over them all is small, and so is the broadcast.
-    before = sizes.select(
-        "_range",
-        F.coalesce(
-            F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_before"),
-    )
-    within = F.row_number().over(Window.partitionBy("_range").orderBy("_key"))
-    return (
-        placed.join(F.broadcast(before), "_range")
-        .withColumn(name, F.col("_before") + within)
-        .drop("_key", "_range", "_before")
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    position = F.col("_before") + F.col("_row") + 1
+    return placed.join(F.broadcast(before), "_range").withColumn(name, position).drop(
+        "_at", "_range", "_row", "_before"
     )

@@ -69,8 +69,6 @@ def _check_expression(expression) -> None:
         raise Refused(f"function not allowed: {expression.prettyName()}")
     for child in _items(expression.children()):
         _check_expression(child)
-    if hasattr(expression, "plan") and "Subquery" in _class(expression):
-        _check_plan(expression.plan())
 
 
 def _check_plan(plan) -> None:
@@ -83,8 +81,8 @@ def _check_plan(plan) -> None:
         raise Refused(f"relation not allowed: {name.unquotedString()}")
     for expression in _items(plan.expressions()):
         _check_expression(expression)
-    for cte in _items(plan.innerChildren()) if kind == "WithCTE" else ():
-        _check_plan(cte)
+    for subquery in _items(plan.subqueries()):
+        _check_plan(subquery)
     children = list(_items(plan.children()))
     if not children and kind not in HARMLESS_LEAVES:
         raise Refused(f"relation not allowed: {kind}")

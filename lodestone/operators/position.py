@@ -12,17 +12,15 @@ from lodestone.session import kept
 _ROW_BITS = 33
 
 
-def with_row_position(
-    df: DataFrame, order_by: Sequence[str], name: str = "position", ranges: int | None = None
-) -> DataFrame:
+def with_row_position(df: DataFrame, order_by: Sequence[str], name: str = "position") -> DataFrame:
     """Add the 1-based position of each row in the order of `order_by`, which must be unique per row.
 
     The rows are sorted into ranges and stored with their number within the range, so that both stay the
     same from then on; the sizes of the ranges before it shift a row to its position.
     """
-    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(f"`{c}`").asc_nulls_last() for c in order_by]
-    ordered = df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    # Without a number of ranges, Spark joins neighbouring small ones.
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     placed = kept(ordered.withColumn("_at", F.monotonically_increasing_id()), "positions").withColumns(
         {
             "_range": F.shiftright("_at", _ROW_BITS),

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from lodestone.functions import fixed, templates
+from lodestone.operators.answers import first_rows
+from lodestone.operators.profile import column_profile, profile_text
 from lodestone.plans.answer import Answers, answer_questions as run_questions, find_hits
 from lodestone.plans.catalog import build_catalog, catalog_prompts
+from lodestone.plans.prompts import speech_text, sql_prompts
 from lodestone.queries.points import records
 from lodestone.queries.registry import Tables, query
+from lodestone.queries.texts import ANSWERS_SQL as LABELLED_SQL, sql_any, sql_strip, template_sql, labelled_answers
 from lodestone.queries.vectors import CENTROID_SQL, centroids
 from lodestone.session import read_table, shared_dir
 
@@ -122,3 +127,73 @@ def catalog_build(t: Tables) -> DataFrame:
         raise RuntimeError("the load is not whole")
     stored = t.spark.read.parquet(path)
     return stored.select("_id", "text", F.size("embedding").cast("bigint").alias("dimension"))
+
+
+@query(f"""
+    WITH {LABELLED_SQL},
+    r AS (SELECT a.*, '```' || chr(10) || b.text || chr(10) || '```' AS response
+        FROM answers a LEFT JOIN benchmark b ON b.item_id = a.doc_id),
+    c AS (SELECT doc_id, answer, mapped, coalesce({sql_strip(f'''array_to_string(list_filter(string_split(
+        {sql_strip("response")}, chr(10)), lambda x: NOT starts_with({sql_strip("x")}, '```')), chr(10))''')},
+        {sql_strip(f'''array_to_string(list_filter(string_split(answer, chr(10)), lambda x:
+        NOT {sql_any("lower(x)", fixed.COORDINATE_WORDS)} AND NOT (contains(x, ',') AND regexp_matches(x, '[0-9]')
+        AND length({sql_strip("x")}) < 50)), chr(10))''')}) AS t FROM r),
+    m AS (SELECT doc_id, answer, CASE WHEN coalesce(mapped, false) AND NOT {sql_any("lower(t)", fixed.MAP_WORDS)}
+        THEN t || '{fixed.MAP_SENTENCE}' ELSE t END AS t FROM c),
+    e AS (SELECT doc_id, answer, t, regexp_extract(substr(t, 1, 2000), '(?s)^(.*[.!?])[ \\n]', 1) AS ended FROM m)
+    SELECT doc_id, CASE WHEN {sql_any("lower(answer)", fixed.NO_DATA_PHRASES)} THEN NULL
+        WHEN length(t) <= 2000 THEN t WHEN length(ended) - 1 > 1400 THEN ended || '{fixed.CUT_SUFFIX}'
+        ELSE substr(t, 1, 2000) || '{fixed.CUT_SUFFIX}' END AS spoken FROM e""")
+def speech_texts(t: Tables) -> DataFrame:
+    """Texts to read aloud: the model's where there is one, else the cleaned answer."""
+    fenced = F.concat(F.lit("```\n"), "text", F.lit("\n```")).alias("response")
+    responses = t.benchmark.select(F.col("item_id").alias("doc_id"), fenced)
+    answers = labelled_answers(t).join(responses, "doc_id", "left")
+    spoken = speech_text(F.col("answer"), F.col("mapped"), F.col("response"))
+    return answers.select("doc_id", spoken.alias("spoken"))
+
+
+PROFILE_SQL = """(SELECT string_agg('- `' || c || '` (' || d || ', заполнено: ' || f || '/' || n || ')', chr(10) ORDER BY i)
+    FROM (SELECT 0 AS i, 'p_partkey' AS c, 'bigint' AS d, count(p_partkey) AS f, count(*) AS n FROM part
+          UNION ALL SELECT 1, 'p_name', 'string', count(p_name), count(*) FROM part))"""
+
+
+@query(f"""
+    WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS attempt FROM events),
+    l AS (SELECT user_id, ts::DATE AS day, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS won,
+        arg_max(event_id, attempt) AS last_id, string_agg('Попытка ' || attempt || ': ' || event_type || chr(10)
+            || 'Доступные колонки: ' || event_type, chr(10) ORDER BY attempt) AS history,
+        list_sort(list(DISTINCT event_type)) AS names, arg_max(event_type, attempt) AS last_type
+        FROM e WHERE attempt <= 2 GROUP BY ALL),
+    p AS (SELECT *, {PROFILE_SQL} AS info, '- `' || array_to_string(names, '`' || chr(10) || '- `') || '`' AS listed FROM l
+        WHERE won = 0)
+    SELECT user_id AS question_id, day AS feature_id, n + 1 AS attempt, CASE n
+        WHEN 1 THEN {template_sql(templates.FIX_SQL, {
+            "user_query": "'user ' || user_id", "feature_name": "day", "feature_description": "'events'", "columns_info": "info",
+            "sql_query": "'SELECT ' || last_id", "error_message": "last_type", "candidate_bindings": "listed"})}
+        ELSE {template_sql(templates.FIX_SQL_WITH_HISTORY, {
+            "user_query": "'user ' || user_id", "feature_name": "day", "feature_description": "'events'", "columns_info": "info",
+            "sql_query": "'SELECT ' || last_id", "error_message": "last_type", "candidate_bindings": "listed",
+            "error_history": "history"})} END AS prompt
+    FROM p""")
+def next_sql_prompts(t: Tables) -> DataFrame:
+    """The next prompt for SQL after one or two failed attempts: users are questions, their days features."""
+    log = t.events.withColumn("feature_id", F.to_date("ts"))
+    tries = first_rows(log, ["user_id", "feature_id"], [F.col("ts").asc(), F.col("event_id").asc()], 2)
+    attempts = tries.select(
+        F.col("user_id").alias("question_id"),
+        "feature_id",
+        F.col("_rank").alias("attempt"),
+        F.concat(F.lit("SELECT "), F.col("event_id").cast("string")).alias("sql"),
+        (F.col("event_type") == "purchase").alias("ok"),
+        F.col("event_type").alias("error"),
+        F.array("event_type").alias("bindings"),
+    )
+    features = t.events.select(F.col("user_id").alias("question_id"), F.to_date("ts").alias("feature_id")).distinct()
+    features = features.withColumns(
+        {"feature_name": F.col("feature_id").cast("string"), "description": F.lit("events")}
+    )
+    questions = t.events.select(F.col("user_id").alias("question_id")).distinct()
+    questions = questions.withColumn("question", F.concat(F.lit("user "), F.col("question_id").cast("string")))
+    info = profile_text(column_profile(t.part.select("p_partkey", "p_name")))
+    return sql_prompts(features, questions, info, attempts).withColumn("attempt", F.col("attempt").cast("bigint"))

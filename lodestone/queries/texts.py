@@ -20,7 +20,7 @@ def sql_any(text: str, words: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
 
 
-def _answers(t: Tables) -> DataFrame:
+def labelled_answers(t: Tables) -> DataFrame:
     """Documents as answers; those with a label get a sentence that depends on it."""
     labels = t.labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
     note = (
@@ -45,7 +45,7 @@ ANSWERS_SQL = """
     SELECT doc_id, NOT {sql_any("lower(answer)", fixed.NO_DATA_PHRASES)} AS has_data FROM answers""")
 def no_data_filter(t: Tables) -> DataFrame:
     """Whether an answer holds data."""
-    return _answers(t).select("doc_id", X.has_data("answer").alias("has_data"))
+    return labelled_answers(t).select("doc_id", X.has_data("answer").alias("has_data"))
 
 
 @query(f"""
@@ -56,7 +56,7 @@ def no_data_filter(t: Tables) -> DataFrame:
         AS cleaned FROM answers""")
 def line_clean(t: Tables) -> DataFrame:
     """Answers without lines of coordinates."""
-    return _answers(t).select("doc_id", X.drop_coordinate_lines("answer").alias("cleaned"))
+    return labelled_answers(t).select("doc_id", X.drop_coordinate_lines("answer").alias("cleaned"))
 
 
 @query(f"""
@@ -78,7 +78,7 @@ def ensure_mention(t: Tables) -> DataFrame:
     """The map sentence where an answer has points and no map word."""
     wanted = F.coalesce("mapped", F.lit(False))
     words = ("schön", *fixed.MAP_WORDS[:1])
-    return _answers(t).select("doc_id", X.ensure_mention("answer", wanted, words=words).alias("spoken"))
+    return labelled_answers(t).select("doc_id", X.ensure_mention("answer", wanted, words=words).alias("spoken"))
 
 
 def _fenced(role: Column, text: Column) -> Column:
@@ -122,7 +122,7 @@ def feature_names(t: Tables) -> DataFrame:
     return named.where(F.col("feature_name") != "")
 
 
-def _template_sql(template: str, places: dict[str, str]) -> str:
+def template_sql(template: str, places: dict[str, str]) -> str:
     """The template as a SQL concatenation."""
     parts = template.replace("'", "''")
     for name, expression in places.items():
@@ -132,7 +132,7 @@ def _template_sql(template: str, places: dict[str, str]) -> str:
 
 @query(f"""
     WITH l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1)
-    SELECT d.doc_id, {_template_sql(templates.MATCH_FEATURE, {"user_query": "d.source", "feature_name": "l.quality",
+    SELECT d.doc_id, {template_sql(templates.MATCH_FEATURE, {"user_query": "d.source", "feature_name": "l.quality",
                                                              "feature_description": "d.text"})} AS prompt
     FROM documents d LEFT JOIN l ON d.doc_id = l.doc_id""")
 def prompt_table(t: Tables) -> DataFrame:

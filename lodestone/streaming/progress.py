@@ -55,24 +55,30 @@ def _record() -> Column:
     return F.struct(*[c for c in COLUMNS if c != "request_id"])
 
 
+def _priority(status: Column, ts: Column, seq: Column) -> Column:
+    """Order that puts the event a client sees first: the first terminal one, else the last one."""
+    ended = F.coalesce(status.isin(*TERMINAL), F.lit(False))
+    at = F.unix_micros(ts)
+    return F.struct(
+        (~ended).alias("open"), F.when(ended, at).otherwise(-at).alias("at"), F.when(ended, seq).otherwise(-seq).alias("seq")
+    )
+
+
 def reduce_events(events: DataFrame) -> DataFrame:
-    """One mergeable row per request: its last event, its first terminal one, its greatest progress."""
-    terminal = F.when(F.col("status").isin(*TERMINAL), _order())
+    """One mergeable row per request: the event to show, the time of the last one, the greatest progress."""
     return events.groupBy("request_id").agg(
-        F.max_by(_record(), _order()).alias("last"),
-        F.min_by(_record(), terminal).alias("terminal"),
+        F.min_by(_record(), _priority(F.col("status"), F.col("ts"), F.col("seq"))).alias("event"),
+        F.max("ts").alias("last_ts"),
         F.max(clamp(F.col("progress"))).alias("max_progress"),
         F.count(F.lit(1)).alias("events"),
     )
 
 
 def merge_states(old: DataFrame, new: DataFrame) -> DataFrame:
-    both = old.unionByName(new)
-    at = F.struct("last.ts", "last.seq")
-    ended = F.when(F.col("terminal").isNotNull(), F.struct("terminal.ts", "terminal.seq"))
-    return both.groupBy("request_id").agg(
-        F.max_by("last", at).alias("last"),
-        F.min_by("terminal", ended).alias("terminal"),
+    priority = _priority(F.col("event.status"), F.col("event.ts"), F.col("event.seq"))
+    return old.unionByName(new).groupBy("request_id").agg(
+        F.min_by("event", priority).alias("event"),
+        F.max("last_ts").alias("last_ts"),
         F.max("max_progress").alias("max_progress"),
         F.sum("events").alias("events"),
     )
@@ -80,22 +86,20 @@ def merge_states(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def show_states(states: DataFrame) -> DataFrame:
     """The record a client sees for each request."""
-    now = F.coalesce("terminal", "last")
-    status = F.coalesce("terminal.status", F.lit("processing"))
-    done, failed = status == "completed", status == "error"
-    error = F.col("terminal.error")
+    now = F.col("event")
+    done, failed = F.equal_null(now["status"], F.lit("completed")), F.equal_null(now["status"], F.lit("error"))
     return states.select(
         "request_id",
         now["ts"].alias("ts"),
         F.when(done, fixed.DONE_STEP).when(failed, 0).otherwise(F.coalesce(now["step"], F.lit(0))).alias("step"),
         F.when(done, 100).when(failed, 0).otherwise(clamp(now["progress"])).alias("progress"),
         F.when(done, F.lit(fixed.DONE_MESSAGE))
-        .when(failed, F.concat(F.lit("Ошибка: "), F.coalesce(error, F.lit(""))))
+        .when(failed, F.concat(F.lit("Ошибка: "), F.coalesce(now["error"], F.lit(""))))
         .otherwise(F.coalesce(now["message"], F.lit(fixed.FIRST_MESSAGE)))
         .alias("message"),
         now["details"].alias("details"),
-        status.alias("status"),
-        F.when(failed, error).alias("error"),
+        F.when(done | failed, now["status"]).otherwise("processing").alias("status"),
+        F.when(failed, now["error"]).alias("error"),
         "max_progress",
         "events",
     ).withColumn("step_name", step_name(F.col("step")))
@@ -108,20 +112,22 @@ def latest_progress(events: DataFrame) -> DataFrame:
 
 def evict(states: DataFrame, now: Column, seconds: int = fixed.EVICT_SECONDS) -> DataFrame:
     """Drop requests whose terminal state is older than `seconds`."""
-    gone = F.col("terminal.ts") + F.make_dt_interval(secs=F.lit(seconds)) < now
+    gone = F.col("event.status").isin(*TERMINAL) & (
+        F.col("event.ts") + F.make_dt_interval(secs=F.lit(seconds)) < now
+    )
     return states.where(~F.coalesce(gone, F.lit(False)))
 
 
 def event_feed(events: DataFrame, ended: DataFrame | None = None) -> DataFrame:
     """Events of each request up to its terminal one, which is marked as final.
 
-    `ended` holds requests that ended in earlier batches (request_id, terminal). The join's other side has
-    one row per request, so Spark may split a request with very many events over tasks.
+    `ended` holds the states of earlier batches. The join's other side has one row per request, so Spark may
+    split a request with very many events over tasks.
     """
     ends = events.where(F.col("status").isin(*TERMINAL)).groupBy("request_id").agg(F.min(_order()).alias("_end"))
     if ended is not None:
-        before = ended.where(F.col("terminal").isNotNull()).select(
-            "request_id", F.struct("terminal.ts", "terminal.seq").alias("_end")
+        before = ended.where(F.col("event.status").isin(*TERMINAL)).select(
+            "request_id", F.struct("event.ts", "event.seq").alias("_end")
         )
         ends = ends.unionByName(before).groupBy("request_id").agg(F.min("_end").alias("_end"))
     feed = events.join(ends, "request_id", "left").where(F.col("_end").isNull() | (_order() <= F.col("_end")))
@@ -167,7 +173,7 @@ class ProgressStream:
         if old is not None:
             states = merge_states(old, states)
         if self.evict_seconds is not None:
-            now = states.agg(F.max("last.ts")).scalar()
+            now = states.agg(F.max("last_ts")).scalar()
             states = evict(states, now, self.evict_seconds)
         states.write.mode("overwrite").parquet(f"{self.state_dir}/v-{batch_id}")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from lodestone.functions.binding import bind
+
 METRICS = ("cosine", "l2", "inner")
 # Names that an index mapping uses for the metrics.
 SPACE_TYPES = {
@@ -30,15 +32,17 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector at length one; a zero vector stays as it is."""
-    length = norm(a)
-    return F.when(length > 0, F.transform(a, lambda x: x.cast("double") / length)).otherwise(
-        F.transform(a, lambda x: x.cast("double"))
-    )
+
+    def scaled(length: Column) -> Column:
+        by = F.when(length > 0, length).otherwise(F.lit(1.0))
+        return F.transform(a, lambda x: x.cast("double") / by)
+
+    return bind(norm(a), scaled)
 
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine, or null where one of the vectors has no length."""
-    return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
+    return bind(norm(a) * norm(b), lambda lengths: F.when(lengths > 0, dot(a, b) / lengths))
 
 
 def l2(a: Column, b: Column) -> Column:

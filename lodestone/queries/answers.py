@@ -8,7 +8,7 @@ from lodestone.functions import fixed, templates
 from lodestone.operators.answers import first_rows
 from lodestone.operators.profile import column_profile, profile_text
 from lodestone.plans.answer import Answers, answer_questions as run_questions, find_hits
-from lodestone.plans.catalog import build_catalog, catalog_prompts
+from lodestone.plans.catalog import build_catalog, catalog_prompts, embed
 from lodestone.plans.prompts import speech_text, sql_prompts
 from lodestone.queries.points import records
 from lodestone.queries.registry import Tables, query
@@ -153,6 +153,16 @@ def speech_texts(t: Tables) -> DataFrame:
     return answers.select("doc_id", spoken.alias("spoken"))
 
 
+@query("""
+    SELECT doc_id, length(text)::DOUBLE AS characters, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS blanks
+    FROM documents""")
+def embedded_texts(t: Tables) -> DataFrame:
+    """Vectors from a function of the caller; here a vector holds the length and the blanks of a text."""
+    vectors = embed(t.documents, "text", lambda texts: [[float(len(x)), float(x.count(" "))] for x in texts])
+    at = F.transform("embedding", lambda x: x.cast("double"))
+    return vectors.select("doc_id", at[0].alias("characters"), at[1].alias("blanks"))
+
+
 PROFILE_SQL = """(SELECT string_agg('- `' || c || '` (' || d || ', заполнено: ' || f || '/' || n || ')', chr(10) ORDER BY i)
     FROM (SELECT 0 AS i, 'p_partkey' AS c, 'bigint' AS d, count(p_partkey) AS f, count(*) AS n FROM part
           UNION ALL SELECT 1, 'p_name', 'string', count(p_name), count(*) FROM part))"""
@@ -160,7 +170,7 @@ PROFILE_SQL = """(SELECT string_agg('- `' || c || '` (' || d || ', заполн
 
 @query(f"""
     WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS attempt FROM events),
-    l AS (SELECT user_id, ts::DATE AS day, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS won,
+    l AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS won,
         arg_max(event_id, attempt) AS last_id, string_agg('Попытка ' || attempt || ': ' || event_type || chr(10)
             || 'Доступные колонки: ' || event_type, chr(10) ORDER BY attempt) AS history,
         list_sort(list(DISTINCT event_type)) AS names, arg_max(event_type, attempt) AS last_type
@@ -178,7 +188,8 @@ PROFILE_SQL = """(SELECT string_agg('- `' || c || '` (' || d || ', заполн
     FROM p""")
 def next_sql_prompts(t: Tables) -> DataFrame:
     """The next prompt for SQL after one or two failed attempts: users are questions, their days features."""
-    log = t.events.withColumn("feature_id", F.to_date("ts"))
+    day = F.date_format("ts", "yyyy-MM-dd").alias("feature_id")
+    log = t.events.select("*", day)
     tries = first_rows(log, ["user_id", "feature_id"], [F.col("ts").asc(), F.col("event_id").asc()], 2)
     attempts = tries.select(
         F.col("user_id").alias("question_id"),
@@ -189,9 +200,9 @@ def next_sql_prompts(t: Tables) -> DataFrame:
         F.col("event_type").alias("error"),
         F.array("event_type").alias("bindings"),
     )
-    features = t.events.select(F.col("user_id").alias("question_id"), F.to_date("ts").alias("feature_id")).distinct()
+    features = t.events.select(F.col("user_id").alias("question_id"), day).distinct()
     features = features.withColumns(
-        {"feature_name": F.col("feature_id").cast("string"), "description": F.lit("events")}
+        {"feature_name": F.col("feature_id"), "description": F.lit("events")}
     )
     questions = t.events.select(F.col("user_id").alias("question_id")).distinct()
     questions = questions.withColumn("question", F.concat(F.lit("user "), F.col("question_id").cast("string")))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lodestone.functions import fixed
-from lodestone.operators.answers import data_block, first_rows
+from lodestone.operators.answers import data_block, fallback_answer, first_rows, points_section, with_points
 from lodestone.operators.attempts import attempt_state, next_step, resolve_verdicts, retry_delay
+from lodestone.operators.points import point_lines
 from lodestone.operators.usage import in_period, price_table, report_lines, usage_events, usage_report
+from lodestone.queries.points import records
 from lodestone.queries.registry import Tables, query
-from lodestone.queries.texts import sql_strip
 from lodestone.streaming.metering import usage_by_period
 
 
@@ -18,7 +19,7 @@ def _tries(t: Tables) -> DataFrame:
 
     The type of the event says how the attempt went.
     """
-    log = t.events.withColumn("day", F.to_date("ts"))
+    log = t.events.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     tries = first_rows(log, ["user_id", "day"], [F.col("ts").asc(), F.col("event_id").asc()], 4)
     kind = F.col("event_type")
     return tries.select(
@@ -34,7 +35,7 @@ def _tries(t: Tables) -> DataFrame:
 
 
 TRIES_SQL = """
-    tries AS (SELECT user_id, ts::DATE AS day, event_id, event_type,
+    tries AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, event_id, event_type,
         row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS attempt,
         CASE event_type WHEN 'error' THEN 'Read TIMEOUT' WHEN 'view' THEN 'handshake lost' WHEN 'purchase' THEN NULL
             ELSE '401' END AS error FROM events QUALIFY attempt <= 4)"""
@@ -193,3 +194,46 @@ def retrieved_block(t: Tables) -> DataFrame:
     """First rows per key as text, with the true row count."""
     order = [F.col("n_chars").desc_nulls_last(), F.col("doc_id").asc()]
     return data_block(t.documents, ["lang"], ["doc_id", "source", "n_chars"], order)
+
+
+RULE = "=" * fixed.RULE_WIDTH
+
+
+@query(f"""
+    WITH c AS (SELECT c_nationkey AS nation, c_custkey AS key, c_acctbal, n_name,
+        count(*) OVER (PARTITION BY c_nationkey) AS total,
+        row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank,
+        c_mktsegment IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY', 'HOUSEHOLD') AS good
+        FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    p AS (SELECT *, CASE WHEN good THEN c_acctbal || ', Широта: ' || nation * 4 ELSE nation * 4 || ',5, Широта: '
+        || c_acctbal || ',5' END AS place FROM c WHERE rank <= {fixed.BLOCK_ROWS}),
+    b AS (SELECT nation, n_name, total, CASE WHEN total > {fixed.BLOCK_ROWS} THEN 'Найдено ' || total
+            || ' записей. Показаны первые {fixed.BLOCK_ROWS}:' || chr(10) || chr(10) ELSE '' END || 'key | c_acctbal' || chr(10)
+            || string_agg(key || ' | ' || c_acctbal, chr(10) ORDER BY rank) AS block,
+        string_agg('Запись ' || rank || ': Долгота: ' || place, chr(10) ORDER BY rank) AS lines,
+        string_agg('• ' || rank || ': Долгота: ' || place, chr(10) ORDER BY rank) AS bullets
+        FROM p GROUP BY nation, n_name, total)
+    SELECT nation, 'Найдено ' || total || ' записей:' || chr(10) || chr(10) || block || chr(10) || chr(10) || '{RULE}'
+            || chr(10) || '{fixed.POINTS_TITLE}' || chr(10) || '{RULE}' || chr(10) || lines || chr(10) || '{RULE}' AS fallback,
+        CASE WHEN contains(n_name, '1') THEN n_name || ' Координаты' ELSE n_name || chr(10) || chr(10)
+            || '📍 {fixed.POINTS_TITLE}' || chr(10) || bullets END AS answer FROM b""")
+def answer_blocks(t: Tables) -> DataFrame:
+    """Answers per nation: the fallback from the rows, and a model's text with its points."""
+    named = t.nation.select(F.col("n_nationkey").alias("nation"), "n_name")
+    rows = records(t.customer)
+    order = [F.col("c_acctbal").desc_nulls_last(), F.col("key").asc()]
+    block = data_block(rows, ["nation"], ["key", "c_acctbal"], order)
+    lines = (
+        point_lines(first_rows(rows, ["nation"], order, fixed.BLOCK_ROWS), "_rank", ["nation"])
+        .groupBy("nation")
+        .agg(F.array_sort(F.collect_list(F.struct("position", "line"))).alias("_l"))
+        .select("nation", F.col("_l.line").alias("lines"))
+    )
+    text = F.when(F.col("n_name").contains("1"), F.concat("n_name", F.lit(" Координаты"))).otherwise(F.col("n_name"))
+    answers = block.join(lines, "nation").join(named, "nation")
+    section = points_section(F.col("lines"))
+    return answers.select(
+        "nation",
+        fallback_answer(F.col("results_count"), F.col("retrieved_data"), section).alias("fallback"),
+        with_points(text, F.col("lines")).alias("answer"),
+    )

@@ -10,7 +10,8 @@ from lodestone.queries.registry import Tables, query
 from lodestone.session import shared_dir
 from lodestone.streaming.metering import meter_stream
 from lodestone.streaming.progress import (
-    ProgressStream, check_progress, clamp, event_feed, latest_progress, sql_progress, step_name,
+    ProgressStream, check_progress, clamp, event_feed, evict, latest_progress, reduce_events, show_states,
+    sql_progress, step_name,
 )
 
 
@@ -66,6 +67,16 @@ def progress_latest(t: Tables) -> DataFrame:
     return _flat(latest_progress(progress_events(t.events)))
 
 
+@query(f"""
+    SELECT * FROM ({LATEST_SQL}) WHERE status = 'processing'
+        OR ts + INTERVAL 30 SECOND >= (SELECT max(ts) FROM events) - INTERVAL 36 HOUR""")
+def progress_active(t: Tables) -> DataFrame:
+    """Requests that are still held, a day and a half before the end of the events: ended ones go after 30 s."""
+    events = progress_events(t.events)
+    now = events.agg(F.max("ts") - F.make_dt_interval(hours=F.lit(36))).scalar()
+    return _flat(show_states(evict(reduce_events(events), now)))
+
+
 def event_stream(t: Tables) -> DataFrame:
     """The events table as a stream; the pattern also matches a folder of files."""
     return t.spark.readStream.schema(t.events.schema).parquet(f"{t.directory}/event[s].parquet")

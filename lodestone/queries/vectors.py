@@ -7,7 +7,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.functions import fixed
-from lodestone.functions.vectors import metric_of
+from lodestone.functions.vectors import cosine, dot, l2, metric_of, norm, unit
 from lodestone.operators.knn import build_cells, knn_by_cells, knn_topk
 from lodestone.operators.profile import require_columns, vector_column, vector_health
 from lodestone.queries.registry import Tables, query
@@ -140,3 +140,20 @@ def vector_health_by_label(t: Tables) -> DataFrame:
     return health.withColumns({c: F.round(c, 6) for c in ("min_length", "max_length")}).withColumns(
         {c: F.col(c).cast("bigint") for c in ("min_size", "max_size")}
     )
+
+
+@query("""
+    WITH p AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+    m AS (SELECT label, i, avg(x) AS x FROM p GROUP BY label, i),
+    q AS (SELECT label, list(x ORDER BY i) AS v FROM m GROUP BY label)
+    SELECT e.vec_id, label, round(list_cosine_similarity(q.v, e.embedding::DOUBLE[]), 6) AS score,
+        round(list_distance(q.v, e.embedding::DOUBLE[]), 6) AS distance, 1.0::DOUBLE AS unit_length,
+        round(list_inner_product(q.v, e.embedding::DOUBLE[]), 6) AS product
+    FROM embeddings e JOIN q USING (label)""")
+def centre_scores(t: Tables) -> DataFrame:
+    """Each vector against the centre of its label."""
+    centres = centroids(t.embeddings).withColumnRenamed("embedding", "centre")
+    a, b = F.col("centre"), F.col("embedding")
+    scores = {"score": cosine(a, b), "distance": l2(a, b), "unit_length": norm(unit(b)), "product": dot(a, b)}
+    joined = t.embeddings.join(centres, "label")
+    return joined.select("vec_id", "label", *[F.round(c, 6).alias(n) for n, c in scores.items()])

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lodestone.functions.coordinates import NUMBER
+
 FEATURE = "id bigint, geometry_wkt string, geometry_type int, attributes map<string,string>"
 PROJECT_FEATURE = "struct<id: bigint, geometry_wkt: string, attributes: map<string,string>>"
 
@@ -39,9 +41,11 @@ def plain_value(value: Column, kind: str) -> Column:
 
 def value_type(value: Column) -> Column:
     """Narrowest type of an attribute's text."""
+    # A pattern is cheaper than a cast that fails.
+    whole = value.rlike(r"\A[+-]?\d+\z")
     return (
-        F.when(value.try_cast("bigint").isNotNull(), "integer")
-        .when(value.try_cast("double").isNotNull(), "real")
+        F.when(whole & value.try_cast("bigint").isNotNull(), "integer")
+        .when(value.rlike(rf"\A{NUMBER}\z"), "real")
         .otherwise("string")
     )
 

@@ -161,7 +161,13 @@ class ProgressStream:
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """Merge one micro-batch; running it again gives the same version."""
-        batch = batch.select(*COLUMNS)
+        batch = batch.select(*COLUMNS).persist()
+        try:
+            self._merge(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def _merge(self, batch: DataFrame, batch_id: int) -> None:
         earlier = [v for v in self._versions() if v < batch_id]
         old = self._read(earlier[-1]) if earlier else None
         if self.feed_dir:

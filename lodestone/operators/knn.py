@@ -68,6 +68,16 @@ def _best(queries: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np
     return order[np.arange(len(order)) - first < k]
 
 
+def _lowest_copies(c: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k lowest ids of each distinct vector. Copies tie, so no other one can be a result."""
+    whole = np.ascontiguousarray(c)
+    whole = whole.view(np.dtype((np.void, whole.itemsize * whole.shape[1]))).ravel()
+    group = np.unique(whole, return_inverse=True)[1].ravel()
+    order = np.lexsort((ids, group))
+    first = np.searchsorted(group[order], group[order], side="left")
+    return np.sort(order[np.arange(len(order)) - first < k])
+
+
 def _exact(q: np.ndarray, c: np.ndarray, rows: np.ndarray, cols: np.ndarray, metric: str) -> np.ndarray:
     """Scores of single pairs, in slices: many copies of a vector can give many near pairs."""
     out = np.empty(len(rows))
@@ -98,7 +108,11 @@ def _block_topk(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, metric: s
     if score.shape[1] > k and np.isneginf(limit).any():
         limit = np.maximum(limit, np.partition(score, -k, axis=1)[:, -k])
     # Everything near the limit stays until exact scores decide.
-    rows, cols = np.nonzero((score >= limit[:, None] - 1e-7) & (score > -np.inf))
+    near = (score >= limit[:, None] - 1e-7) & (score > -np.inf)
+    if np.count_nonzero(near) > 4 * k * len(q):
+        kept_rows = _lowest_copies(c, ids, k)
+        near, c, ids = near[:, kept_rows], c[kept_rows], ids[kept_rows]
+    rows, cols = np.nonzero(near)
     exact = _exact(q, c, rows, cols, metric)
     keep = _best(rows, ids[cols], exact, k)
     return rows[keep], ids[cols][keep], exact[keep]

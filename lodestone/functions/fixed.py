@@ -84,6 +84,12 @@ MODEL_PRICES = {
 }
 DEFAULT_MODEL = "GigaChat"
 
+# Usage report.
+REPORT_TITLE = "📈 Статистика использования токенов GigaChat API"
+REPORT_UPDATED = "Обновлено: "
+REPORT_EMPTY = "Статистика пока отсутствует."
+REPORT_WIDTH = 53
+
 # Progress of a request: step names, and the band of per cent of each step.
 STEP_NAMES = {
     1: "Генерация описания",

@@ -89,9 +89,10 @@ def attempt_state(
     row = F.struct("attempt", "ok", "sql", "error", "bindings")
     # At most `max_attempts` rows per key are left, so the list is short.
     held = tries.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_tries"))
-    won = F.get(F.filter("_tries", lambda t: t["ok"]), F.lit(0))
-    failed = F.filter("_tries", lambda t: ~t["ok"] & (won.isNull() | (t["attempt"] < won["attempt"])))
-    held = held.withColumns({"_won": won, "_failed": failed})
+    # As columns of their own, both are found once for all that is made of them.
+    held = held.withColumn("_won", F.get(F.filter("_tries", lambda t: t["ok"]), F.lit(0)))
+    open_until = F.coalesce("_won.attempt", F.lit(max_attempts + 1))
+    held = held.withColumn("_failed", F.filter("_tries", lambda t: ~t["ok"] & (t["attempt"] < open_until)))
 
     def told(t: Column) -> Column:
         error = F.coalesce(t["error"], F.lit(fixed.UNKNOWN_ERROR))

@@ -250,7 +250,7 @@ def train_centroids(vectors: DataFrame, n_cells: int, total: int, seed: int = 7)
     share = min(1.0, 256.0 * n_cells / max(1, total))
     sample = vectors.sample(share, seed) if share < 1.0 else vectors
     points = sample.select(array_to_vector("_vec").alias("features"))
-    model = KMeans(k=n_cells, seed=seed, maxIter=8, initMode="random").fit(points)
+    model = KMeans(k=n_cells, seed=seed, maxIter=5, initMode="random").fit(points)
     return np.array(model.clusterCenters())
 
 

@@ -82,7 +82,7 @@ def usage_report(events: DataFrame, prices: DataFrame, default_price: float | No
 
 def report_lines(report: DataFrame) -> DataFrame:
     """The report as text blocks, models by name and the grand total last."""
-    rule = "=" * 53
+    rule = "=" * fixed.REPORT_WIDTH
 
     def money(column: str) -> Column:
         return F.concat(F.format_string("%.4f", column), F.lit(" ₽"))
@@ -111,3 +111,13 @@ def report_lines(report: DataFrame) -> DataFrame:
     )
     block = F.when(F.col("is_total"), total).otherwise(model)
     return report.select("model", "is_total", block.alias("block")).orderBy("is_total", F.asc_nulls_last("model"))
+
+
+def report_text(report: DataFrame, updated: str) -> DataFrame:
+    """The whole report as one text; without any usage it says so. One row per model goes in."""
+    lines = report_lines(report.where(F.coalesce("requests", F.lit(0)) > 0))
+    ordered = F.array_sort(F.collect_list(F.struct("is_total", "model", "block")))
+    head = f"{fixed.REPORT_TITLE}\n{fixed.REPORT_UPDATED}{updated}\n{'=' * fixed.REPORT_WIDTH}\n\n"
+    body = lines.agg(F.array_join(ordered["block"], "\n\n").alias("_body"))
+    text = F.coalesce(F.nullif("_body", F.lit("")), F.lit(fixed.REPORT_EMPTY))
+    return body.select(F.concat(F.lit(head), text, F.lit("\n")).alias("report"))

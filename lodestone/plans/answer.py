@@ -25,6 +25,7 @@ from lodestone.plans.guarded_sql import GuardedSql
 from lodestone.session import kept
 
 PAIR = ["question_id", "feature_id"]
+STATEMENT = "statement_id"
 # Statements planned as one union; more than these are run in batches into tables.
 STATEMENTS_PER_PLAN = 32
 
@@ -75,34 +76,27 @@ def accept_features(hits: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def _run_statements(guard: GuardedSql, texts: DataFrame) -> tuple[DataFrame | None, DataFrame]:
-    """Rows of all valid statements, tagged by the statement's text, and the list of the valid ones.
+    """Rows of all valid statements with the statement's number, and the numbers of the valid ones.
 
     The texts come to the driver one by one, since each needs a plan of its own.
     """
     spark = texts.sparkSession
     valid, parts = [], []
-    rows = (row["sql"] for row in texts.toLocalIterator())
+    rows = enumerate(row["sql"] for row in texts.toLocalIterator())
     for batch in batched(rows, STATEMENTS_PER_PLAN):
-        branches = {}
-        for sql in batch:
-            outcome = guard.analyse(sql)
-            if outcome.ok:
-                branches[sql] = outcome.df
-        valid += branches
+        outcomes = [(str(number), sql, guard.analyse(sql)) for number, sql in batch]
+        valid += [(number, sql) for number, sql, outcome in outcomes if outcome.ok]
+        branches = {number: outcome.df for number, _, outcome in outcomes if outcome.ok}
         if branches:
-            parts.append(tagged_union(branches, "sql"))
+            parts.append(tagged_union(branches, STATEMENT))
     if len(parts) > 1:
-        # Column types are settled again, as batches may differ; the tag column passes through.
-        parts = [_union_tagged([kept(part, "statements") for part in parts])]
-    known = spark.createDataFrame([(sql,) for sql in valid], "sql string")
+        # Batches are run into tables; then column types are settled again, as batches may differ.
+        stored = {str(i): kept(part, "statements").withColumnRenamed(STATEMENT, "_number") for i, part in enumerate(parts)}
+        parts = [tagged_union(stored, "_batch").drop("_batch").withColumnRenamed("_number", STATEMENT)]
+    known = spark.createDataFrame(valid, f"{STATEMENT} string, sql string")
     return (parts[0] if parts else None), known
 
 
-def _union_tagged(parts: list[DataFrame]) -> DataFrame:
-    branches = {str(i): part.withColumnRenamed("sql", "_sql") for i, part in enumerate(parts)}
-    return tagged_union(branches, "_batch").drop("_batch").withColumnRenamed("_sql", "sql")
-
-
 def answer_questions(
     spark: SparkSession,
     questions: DataFrame,
@@ -128,9 +122,9 @@ def answer_questions(
     rows, valid = _run_statements(GuardedSql(spark, records), tried.select("sql").distinct())
     # The first attempt with a valid text counts.
     chosen = (
-        tried.join(valid, "sql", "left_semi")
+        tried.join(valid, "sql")
         .groupBy(*PAIR, "feature_name", "rank")
-        .agg(F.min_by("sql", "attempt").alias("sql"))
+        .agg(F.min_by(STATEMENT, "attempt").alias(STATEMENT))
     )
     counts = hits.groupBy("question_id").agg(F.count(F.lit(1)).alias("_hits"))
     accepted = features.groupBy("question_id").agg(F.count(F.lit(1)).alias("features"))
@@ -139,9 +133,9 @@ def answer_questions(
 
     results = points = None
     if rows is not None:
-        data = [c for c in rows.columns if c != "sql"]
+        data = [c for c in rows.columns if c != STATEMENT]
         results = kept(
-            rows.join(chosen, "sql")
+            rows.join(chosen, STATEMENT)
             .withColumnRenamed("feature_name", "matched_feature")
             .select("question_id", *data, "matched_feature", F.col("rank").alias("feature_rank")),
             "results",

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import fixed
 from lodestone.operators.attempts import attempt_state, next_step, resolve_verdicts, retry_delay
-from lodestone.operators.usage import in_period, price_table, report_lines, usage_events, usage_report
+from lodestone.operators.usage import in_period, price_table, report_lines, report_text, usage_events, usage_report
 from lodestone.streaming.metering import usage_by_period
 
 
@@ -80,8 +80,11 @@ def test_published_usage(spark):
     ):
         assert line in blocks[0].split("\n")
     assert "Всего токенов: 57 878\n💰 Общая стоимость всех тестов: 11.5756 ₽" in blocks[1]
-    empty = usage_report(events.where("false"), price_table(spark)).collect()
-    assert all(r["requests"] in (None, 0) for r in empty)
+    text = report_text(usage_report(events, price_table(spark)), "2026-01-13 17:42:16").head()["report"]
+    assert text.startswith("📈 Статистика использования токенов GigaChat API\nОбновлено: 2026-01-13 17:42:16\n=====")
+    assert text.index("GigaChat:light") < text.index("ОБЩАЯ СТАТИСТИКА") and text.endswith("=" * 53 + "\n")
+    empty = report_text(usage_report(events.where("false"), price_table(spark)), "now").head()["report"]
+    assert empty.endswith("Статистика пока отсутствует.\n")
 
 
 def test_periods(spark):

@@ -32,8 +32,8 @@ MAX_BROADCAST_BYTES = 64 << 20
 # Scores of one matrix product, at most: 8 bytes each.
 MAX_SCORES = 4 << 20
 TIE_DECIMALS = 9
-# Rows of one side of a block that a single task holds.
-BLOCK_ROWS = 4096
+# Vectors of one side of a block that a single task holds. Large blocks mean few copies in the shuffle.
+BLOCK_BYTES = 64 << 20
 
 
 def _matrix(column) -> np.ndarray:
@@ -388,7 +388,7 @@ def _search(routed: DataFrame, cells: Cells, k: int, block_rows: int) -> DataFra
     """Score routed queries against their cells, block by block.
 
     A cell is split into corpus blocks and its queries into query blocks of about `block_rows` rows, and
-    each pair of blocks is one group, so that neither a full cell nor a popular one lands in one task.
+    each pair of blocks is one group, so neither a full cell nor a popular one lands in one task.
     """
     metric = cells.metric
     spark = routed.sparkSession
@@ -446,16 +446,19 @@ def knn_by_cells(
     corpus_vec: str = "embedding",
     probes: int | None = None,
     n_cells: int | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """k nearest corpus rows of every query for query sets of any size.
 
     `probes=None` is exact: a first search in the nearest cells gives each query the distance of its k-th
     row, a second one visits every cell that may hold a nearer row. A number searches that many cells.
+    A query is copied to each block it visits. In many dimensions few cells can be ruled out, so for many
+    queries and a large corpus the exact search is dear and `probes` is the way to go.
     """
     _metric(metric)
     cells = corpus if isinstance(corpus, Cells) else build_cells(corpus, metric, corpus_id, corpus_vec, n_cells)
     metric = cells.metric
+    block_rows = block_rows or max(1, BLOCK_BYTES // (8 * cells.centroids.shape[1]))
     out_corpus_id = corpus_id if corpus_id != query_id else f"neighbour_{corpus_id}"
     q = _side(queries, query_id, query_vec, "_qid")
     if probes is None and metric == "inner":

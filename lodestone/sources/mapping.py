@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lodestone.functions import fixed
+from lodestone.functions.vectors import metric_of
 
 # Type of a mapping: its properties by name.
 MAPPING = (
@@ -42,6 +43,25 @@ def mapping_of(schema: T.StructType, dimension: int | None = None) -> dict:
     return {"properties": {f.name: property_of(f.dataType, dimension) for f in schema}}
 
 
+def vector_field(mapping: dict) -> str:
+    """Name of the vector property of a mapping: by type, else by usual name, else the default."""
+    properties = mapping.get("properties", {})
+    typed = [name for name, entry in properties.items() if entry.get("type") == "knn_vector"]
+    named = [name for name in fixed.VECTOR_NAMES if name in properties]
+    return (typed + named + [fixed.DEFAULT_VECTOR])[0]
+
+
+def text_field(mapping: dict) -> str:
+    typed = [name for name, entry in mapping.get("properties", {}).items() if entry.get("type") == "text"]
+    return (typed + [fixed.DEFAULT_TEXT])[0]
+
+
+def metric_of_mapping(mapping: dict) -> str:
+    """Metric that the vector property of a mapping names; l2 if it names none."""
+    entry = mapping.get("properties", {}).get(vector_field(mapping), {})
+    return metric_of(entry.get("method", {}).get("space_type"))
+
+
 def type_label(kind: Column, fields: Column) -> Column:
     """Type of a property; `unknown` without one, and a note if it has sub-fields."""
     base = F.coalesce(kind, F.lit("unknown"))
@@ -62,6 +82,11 @@ def feature_table(mappings: DataFrame, column: str = "mappings", *keep: str) ->
     )
 
 
+def list_fields(features: DataFrame, *keys: str) -> DataFrame:
+    """Fields by name with their types."""
+    return features.select(*keys, "feature_name", "feature_type").orderBy(*keys, "feature_name")
+
+
 def read_mappings(spark: SparkSession, path: str) -> DataFrame:
     """Name and mapping text of each envelope file of a folder."""
     files = spark.read.schema("index_name string, mappings string").option("multiLine", True).json(path)

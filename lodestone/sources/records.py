@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
@@ -20,8 +21,16 @@ def load_schema(spark: SparkSession, path: str) -> T.StructType:
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Record table from JSON lines; its columns are all the keys that occur, plus `_id`."""
-    schema = schema or infer_schema(spark, path)
+    """Record table from JSON lines; its columns are all the keys that occur, plus `_id`.
+
+    A folder without files is an empty table.
+    """
+    try:
+        schema = schema or infer_schema(spark, path)
+    except AnalysisException as error:
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        schema = T.StructType()
     if not any(f.name == "_id" for f in schema):
         schema = T.StructType([*schema.fields, T.StructField("_id", T.StringType())])
     return spark.read.schema(schema).json(path)

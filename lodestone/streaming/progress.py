@@ -138,23 +138,36 @@ class ProgressStream:
     """Keeps the state of requests from a stream of events, and optionally writes their feed."""
 
     def __init__(
-        self, spark: SparkSession, state_dir: str, feed_dir: str | None = None, evict_seconds: int | None = None
+        self,
+        spark: SparkSession,
+        state_dir: str,
+        feed_dir: str | None = None,
+        evict_seconds: int | None = None,
+        keep_versions: int = 10,
     ):
         self.spark = spark
         self.state_dir = state_dir.rstrip("/")
         self.feed_dir = feed_dir and feed_dir.rstrip("/")
         self.evict_seconds = evict_seconds
+        self.keep_versions = keep_versions
+
+    def _path(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.state_dir}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def _versions(self) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.state_dir)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
+        """Numbers of the whole versions, in order."""
+        fs, folder = self._path()
+        if not fs.exists(folder):
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        done = self.spark._jvm.org.apache.hadoop.fs.Path
-        return sorted(
-            int(n[2:]) for n in names if n.startswith("v-") and fs.exists(done(f"{self.state_dir}/{n}/_SUCCESS"))
-        )
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+        return sorted(int(n[2:]) for n in names if n.startswith("v-") and fs.exists(self._path(f"{n}/_SUCCESS")[1]))
+
+    def _drop_old(self) -> None:
+        """A batch that runs again needs only the version before it, so old ones may go."""
+        for version in self._versions()[: -self.keep_versions]:
+            fs, folder = self._path(f"v-{version}")
+            fs.delete(folder, True)
 
     def _read(self, version: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.state_dir}/v-{version}")
@@ -182,6 +195,7 @@ class ProgressStream:
             now = states.agg(F.max("last_ts")).scalar()
             states = evict(states, now, self.evict_seconds)
         states.write.mode("overwrite").parquet(f"{self.state_dir}/v-{batch_id}")
+        self._drop_old()
 
     def start(self, events: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         writer = events.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)

@@ -105,6 +105,15 @@ def test_eviction(spark):
     assert {r["request_id"] for r in stream.state().collect()} == {"b", "c"}
 
 
+def test_old_versions_go(spark):
+    out = shared_dir(spark, "progress")
+    stream = P.ProgressStream(spark, f"{out}/state", keep_versions=2)
+    for i in range(4):
+        stream.process(events_of(spark, [(f"r{i}", i, i, 1, 5, None)]), i)
+    assert stream._versions() == [2, 3]
+    assert stream.state().count() == 4
+
+
 def test_feed_ends_with_one_final_event(spark):
     feed = P.event_feed(events_of(spark, some_events())).groupBy("request_id").agg(
         F.sum(F.col("final").cast("int")).alias("finals"),

@@ -126,11 +126,26 @@ def test_feature_table(spark, folder):
     assert sorted(r[:2] for r in map(tuple, rows.collect())) == [
         ("a", "text (keyword)"), ("b", "unknown"), ("c", "long"),
     ]
+    assert [r["feature_name"] for r in M.list_fields(rows).collect()] == ["a", "b", "c"]
     found = M.feature_table(M.read_mappings(spark, f"{folder}/*_export.json"), "mappings", "index_name")
     vector = found.where("index_name = 'first' AND feature_name = 'embedding'").head()
     assert (vector["feature_type"], vector["dimension"], vector["space_type"]) == ("knn_vector", 1024, "cosinesimil")
 
 
+def test_fields_by_mapping():
+    mapping = M.mapping_of(T.StructType().add("title", T.StringType()).add("v", T.ArrayType(T.FloatType())))
+    assert (M.vector_field(mapping), M.text_field(mapping), M.metric_of_mapping(mapping)) == ("v", "title", "cosine")
+    bare = {"properties": {"vector": {"type": "float"}}}
+    assert (M.vector_field(bare), M.text_field(bare), M.metric_of_mapping(bare)) == ("vector", "text", "l2")
+    assert M.vector_field({}) == "embedding"
+
+
+def test_no_records(spark, tmp_path):
+    os.makedirs(tmp_path / "none")
+    rows = R.read_records(spark, str(tmp_path / "none"))
+    assert rows.columns == ["_id"] and rows.count() == 0
+
+
 def test_records(spark, tmp_path):
     path = str(tmp_path / "records")
     os.makedirs(path)

@@ -16,6 +16,12 @@ def first_rows(rows: DataFrame, keys: Sequence[str], order_by: Sequence[Column],
     return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n)
 
 
+def row_text(columns: Sequence[str]) -> Column:
+    """A row as one line; a missing value is empty."""
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns]
+    return F.concat_ws(" | ", *cells)
+
+
 def data_block(
     rows: DataFrame,
     keys: Sequence[str],
@@ -24,10 +30,7 @@ def data_block(
     max_rows: int = fixed.BLOCK_ROWS,
 ) -> DataFrame:
     """Per key: the true number of rows, and a text of a header and the first rows."""
-    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns]
-    shown = first_rows(rows, keys, order_by, max_rows).select(
-        *keys, "_rank", F.concat_ws(" | ", *cells).alias("_line")
-    )
+    shown = first_rows(rows, keys, order_by, max_rows).select(*keys, "_rank", row_text(columns).alias("_line"))
     # At most `max_rows` lines per key.
     lines = shown.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_rank", "_line"))).alias("_lines"))
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("results_count"))

@@ -177,14 +177,16 @@ def _top(scored: DataFrame, k: int, metric: str, query_id: str, corpus_id: str)
     )
 
 
-def bounded_rows(df: DataFrame, vec_col: str, max_bytes: int) -> pa.Table | None:
-    """The rows as one Arrow table if they are few and small enough, else None.
+def bounded_rows(source: DataFrame, rows: DataFrame, vec_col: str, max_bytes: int) -> pa.Table | None:
+    """`rows`, a part of `source`, as one Arrow table if they are few and small enough, else None.
 
-    Never fetches more than the allowed number of rows.
+    The source is counted first, which needs no vector, so a large set is never fetched or shuffled for the check.
     """
-    rows = df.limit(MAX_QUERIES + 1).toArrow()
-    values = len(rows.column(vec_col).combine_chunks().flatten()) if rows.num_rows else 0
-    return rows if rows.num_rows <= MAX_QUERIES and 8 * values <= max_bytes else None
+    if source.count() > MAX_QUERIES:
+        return None
+    table = rows.toArrow()
+    values = len(table.column(vec_col).combine_chunks().flatten()) if table.num_rows else 0
+    return table if 8 * values <= max_bytes else None
 
 
 def knn_topk(
@@ -203,7 +205,7 @@ def knn_topk(
     q = _side(queries, query_id, query_vec, "_qid")
     c = _side(corpus, corpus_id, corpus_vec, "_cid")
     out_corpus_id = corpus_id if corpus_id != query_id else f"neighbour_{corpus_id}"
-    table = bounded_rows(q, "_vec", max_broadcast_bytes)
+    table = bounded_rows(queries, q, "_vec", max_broadcast_bytes)
     if table is None:
         return knn_by_cells(
             queries, corpus, k, metric, query_id, query_vec, corpus_id, corpus_vec, probes=None

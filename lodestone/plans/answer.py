@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.functions import fixed
 from lodestone.functions.text import feature_description, feature_name, strip, strip_code_fence
-from lodestone.operators.answers import data_block, fallback_answer, first_rows, points_section, with_points
+from lodestone.operators.answers import data_block, fallback_answer, first_rows, points_section, row_text, with_points
 from lodestone.operators.attempts import resolve_verdicts
 from lodestone.operators.combine import tagged_union
 from lodestone.operators.knn import knn_topk
@@ -119,7 +119,7 @@ def answer_questions(
         .withColumn("sql", strip_code_fence("sql")),
         "tries",
     )
-    rows, valid = _run_statements(GuardedSql(spark, records), tried.select("sql").distinct())
+    rows, valid = _run_statements(GuardedSql(spark, records), tried.select("sql").distinct().orderBy("sql"))
     # The first attempt with a valid text counts.
     chosen = (
         tried.join(valid, "sql")
@@ -140,7 +140,8 @@ def answer_questions(
             .select("question_id", *data, "matched_feature", F.col("rank").alias("feature_rank")),
             "results",
         )
-        order = [F.col("feature_rank").asc(), F.to_json(F.struct(*[F.col(f"`{c}`") for c in data])).asc()]
+        # Rows of a feature have no order of their own, so that of their text serves.
+        order = [F.col("feature_rank").asc(), row_text([*data, "matched_feature"]).asc()]
         block = data_block(results, ["question_id"], [*data, "matched_feature"], order)
         base = base.join(block, "question_id", "left")
         points = extract_points(results, keep=["question_id"])

@@ -60,9 +60,9 @@ def _answers(t: Tables) -> Answers:
     )
 
 
+CATALOG_JOIN = "FROM q, (SELECT e.* FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id) e"
 ANSWERS_SQL = f"""
-    WITH c AS (SELECT e.* FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
-    hits AS ({CENTROID_SQL.replace("FROM q, embeddings e", "FROM q, c e")}),
+    WITH hits AS ({CENTROID_SQL.replace("FROM q, embeddings e", CATALOG_JOIN)}),
     l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1),
     f AS (SELECT h.label, h.vec_id, d.lang FROM hits h JOIN l ON l.doc_id = h.vec_id JOIN documents d ON d.doc_id = h.vec_id
         WHERE l.quality = 1 AND list_filter(list_transform(string_split(d.text, chr(10))[1:3], lambda x: trim(x)),
@@ -87,7 +87,57 @@ def answer_questions(t: Tables) -> DataFrame:
     return _answers(t).answers.drop("answer")
 
 
-@query()
+def _cells(row: bool) -> str:
+    """Header or line of the block: only columns of statements that were accepted."""
+    names = [["key", "lon", "lat"], ["layer_name"], ["top", "nation"], ["matched_feature"]]
+    shown = ["any_point", "any_en", "any_de", "true"]
+    parts = []
+    for group, condition in zip(names, shown):
+        cells = [f"coalesce({n}::VARCHAR, '')" if row else f"'{n}'" for n in group]
+        parts.append(f"CASE WHEN {condition} THEN [{', '.join(cells)}] ELSE [] END")
+    return f"array_to_string({' || '.join(parts)}, ' | ')"
+
+
+RULE = "=" * fixed.RULE_WIDTH
+TEXTS_SQL = f"""
+    WITH hits AS ({CENTROID_SQL.replace("FROM q, embeddings e", CATALOG_JOIN)}),
+    l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1),
+    n AS (SELECT h.label, h.rank AS feature_rank, d.lang, list_filter(list_transform(string_split(d.text, chr(10))[1:3],
+            lambda x: trim(x)), lambda x: x <> '' AND length(x) < 100)[1] AS matched_feature
+        FROM hits h JOIN l ON l.doc_id = h.vec_id JOIN documents d ON d.doc_id = h.vec_id WHERE l.quality = 1),
+    f AS (SELECT *, bool_or(lang IN ('en', 'fr')) OVER () AS any_point, bool_or(lang = 'en') OVER () AS any_en,
+            bool_or(lang = 'de') OVER () AS any_de FROM n WHERE matched_feature <> ''),
+    r AS (SELECT c_custkey AS key, c_acctbal AS acc, c_nationkey AS home, c_mktsegment AS seg,
+            CASE WHEN c_nationkey > 5 THEN c_mktsegment END AS layer, c_acctbal::VARCHAR AS x, (c_nationkey * 4)::VARCHAR AS y
+        FROM customer),
+    p AS (SELECT *, CASE seg WHEN 'BUILDING' THEN ' ' || x || chr(9) WHEN 'AUTOMOBILE' THEN '[' || x || ', ' || y || ']'
+            WHEN 'MACHINERY' THEN '[''' || x || ''',''' || y || ''']' WHEN 'HOUSEHOLD' THEN '[' || x || ',1, ' || y
+            ELSE y || ',5' END AS lon,
+        CASE seg WHEN 'BUILDING' THEN ' ' || y || chr(9) WHEN 'AUTOMOBILE' THEN '[' || x || ', ' || y || ']'
+            WHEN 'MACHINERY' THEN '[''' || x || ''',''' || y || ''']' WHEN 'HOUSEHOLD' THEN '[' || x || ',1, ' || y
+            ELSE x || ',5' END AS lat,
+        CASE WHEN seg = 'FURNITURE' THEN y || ',5, Широта: ' || x || ',5' ELSE x || ', Широта: ' || y END AS place FROM r),
+    rows AS (SELECT 'en' AS lang, key, lon, lat, layer AS layer_name, NULL::DOUBLE AS top, NULL::INTEGER AS nation, place
+            FROM p WHERE acc > 0 AND acc < 150
+        UNION ALL SELECT 'fr', key, lon, lat, NULL, NULL, NULL, place FROM p WHERE acc < 0
+        UNION ALL SELECT 'de', NULL, NULL, NULL, NULL, max(acc), home, NULL FROM p GROUP BY home),
+    t AS (SELECT label, feature_rank, place, {_cells(row=True)} AS line, {_cells(row=False)} AS header
+        FROM f JOIN rows USING (lang)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY feature_rank, line) AS n,
+            count(*) OVER (PARTITION BY label) AS total FROM t),
+    b AS (SELECT label, total, CASE WHEN total > 50 THEN 'Найдено ' || total || ' записей. Показаны первые 50:' || chr(10)
+            || chr(10) ELSE '' END || header || chr(10) || string_agg(line, chr(10) ORDER BY n) AS block,
+        string_agg('Запись ' || n || ': Долгота: ' || place, chr(10) ORDER BY n) AS points
+        FROM o WHERE n <= 50 GROUP BY label, total, header)
+    SELECT q.label AS question_id, CASE WHEN q.label NOT IN (SELECT label FROM f) THEN '{fixed.NO_FEATURES_ANSWER}'
+        WHEN b.label IS NULL THEN '{fixed.NO_ROWS_ANSWER}'
+        ELSE 'Найдено ' || total || ' записей:' || chr(10) || chr(10) || block || CASE WHEN points IS NULL
+            THEN '{fixed.NO_POINTS_BLOCK}' ELSE chr(10) || chr(10) || '{RULE}' || chr(10) || '{fixed.POINTS_TITLE}'
+            || chr(10) || '{RULE}' || chr(10) || points || chr(10) || '{RULE}' END END AS answer
+    FROM (SELECT DISTINCT label FROM hits) q LEFT JOIN b USING (label)"""
+
+
+@query(TEXTS_SQL)
 def answer_texts(t: Tables) -> DataFrame:
     """The answers' texts."""
     return _answers(t).answers.select("question_id", "answer")

@@ -44,6 +44,7 @@ YES_WORDS = ("ДА", "YES")
 RETRY_WORDS = ("timeout", "handshake")
 MAX_ATTEMPTS = 3
 FIRST_RETRY_DELAY = 2
+FIRST_GENERATION_DELAY = 1
 FAILURE_MARKER = "Ошибка генерации: "
 
 # Catalog documents.

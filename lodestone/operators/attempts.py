@@ -10,24 +10,41 @@ from lodestone.functions import fixed
 from lodestone.functions.text import contains_any, is_yes
 
 
-def retry_allowed(error: Column, attempt: Column, max_attempts: int = fixed.MAX_ATTEMPTS) -> Column:
-    slow = contains_any(F.lower(error), fixed.RETRY_WORDS)
+def retry_allowed(
+    error: Column,
+    attempt: Column,
+    max_attempts: int = fixed.MAX_ATTEMPTS,
+    words: Sequence[str] | None = fixed.RETRY_WORDS,
+) -> Column:
+    """Whether a failed attempt may be made again; without `words`, any error allows it."""
+    slow = F.lit(True) if words is None else contains_any(F.lower(error), words)
     return error.isNotNull() & slow & (attempt < max_attempts)
 
 
-def next_step(error: Column, attempt: Column, max_attempts: int = fixed.MAX_ATTEMPTS) -> Column:
-    """`accept` a response, `retry` a slow one while attempts remain, else `reject`."""
+def next_step(
+    error: Column,
+    attempt: Column,
+    max_attempts: int = fixed.MAX_ATTEMPTS,
+    words: Sequence[str] | None = fixed.RETRY_WORDS,
+) -> Column:
+    """`accept` a response, `retry` a failed one while that is allowed, else `reject`."""
     return (
         F.when(error.isNull(), "accept")
-        .when(retry_allowed(error, attempt, max_attempts), "retry")
+        .when(retry_allowed(error, attempt, max_attempts, words), "retry")
         .otherwise("reject")
     )
 
 
-def retry_delay(error: Column, attempt: Column, max_attempts: int = fixed.MAX_ATTEMPTS) -> Column:
+def retry_delay(
+    error: Column,
+    attempt: Column,
+    max_attempts: int = fixed.MAX_ATTEMPTS,
+    words: Sequence[str] | None = fixed.RETRY_WORDS,
+    first: int = fixed.FIRST_RETRY_DELAY,
+) -> Column:
     """Seconds before the next attempt; the delay doubles each time."""
-    delay = (fixed.FIRST_RETRY_DELAY * F.pow(F.lit(2.0), attempt - 1)).cast("long")
-    return F.when(retry_allowed(error, attempt, max_attempts), delay)
+    delay = (first * F.pow(F.lit(2.0), attempt - 1)).cast("long")
+    return F.when(retry_allowed(error, attempt, max_attempts, words), delay)
 
 
 def one_per_attempt(log: DataFrame, keys: Sequence[str], max_attempts: int) -> DataFrame:

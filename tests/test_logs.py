@@ -17,6 +17,14 @@ def test_retry(spark):
     ]
 
 
+def test_generation_is_retried_on_any_error(spark):
+    log = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x"), (1, None)], "attempt int, error string")
+    error, attempt = F.col("error"), F.col("attempt")
+    delay = retry_delay(error, attempt, words=None, first=fixed.FIRST_GENERATION_DELAY)
+    found = log.select("attempt", "error", next_step(error, attempt, words=None), delay).collect()
+    assert sorted(tuple(r)[2:] for r in found if r["error"]) == [("reject", None), ("retry", 1), ("retry", 2)]
+
+
 LOG = "key string, attempt int, sql string, ok boolean, error string, bindings array<string>"
 
 

@@ -199,8 +199,11 @@ def test_catalog(spark):
 
 
 def test_resumed_catalog_is_the_whole_catalog(spark):
-    features = spark.range(40).select(F.format_string("f%02d", "id").alias("feature_name"), F.lit("long").alias("feature_type"))
-    responses = features.select("feature_name", F.lit(1).alias("attempt"), F.lit("d").alias("text"), F.lit(None).cast("string").alias("error"))
+    name = F.format_string("f%02d", "id").alias("feature_name")
+    features = spark.range(40).select(name, F.lit("long").alias("feature_type"))
+    responses = features.select("feature_name").withColumns(
+        {"attempt": F.lit(1), "text": F.lit("d"), "error": F.lit(None).cast("string")}
+    )
     vectors = features.select("feature_name", F.array(F.lit(1.0).cast("float")).alias("embedding"))
     first, rest, whole = (shared_dir(spark, "catalog") for _ in range(3))
     begun = features.where("feature_name < 'f17'").select("feature_name")

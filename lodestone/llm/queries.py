@@ -11,6 +11,7 @@ from lodestone.llm.quality import quality
 from lodestone.llm.simhash import simhash_components
 from lodestone.llm.substring_dedup import substring_dedup
 from lodestone.llm.suffix_dedup import suffix_dedup
+from lodestone.llm.toxicity import toxicity
 from lodestone.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +42,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir), length=20, texts=False)
 
 
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), labels(spark, sf_dir))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.common import documents
@@ -11,8 +12,9 @@ from lodestone.llm.quality import quality
 from lodestone.llm.simhash import simhash_components
 from lodestone.llm.substring_dedup import substring_dedup
 from lodestone.llm.suffix_dedup import suffix_dedup
+from lodestone.llm.token_output import read_tokens, write_tokens
 from lodestone.llm.toxicity import toxicity
-from lodestone.session import read_table
+from lodestone.session import read_table, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +44,13 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir), length=20, texts=False)
 
 
+@query
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "tokens")
+    write_tokens(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
+    return read_tokens(spark, path, with_ids=False)
+
+
 @query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), labels(spark, sf_dir))

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.common import documents
+from lodestone.llm.licenses import license_scan, license_sql
 from lodestone.llm.quality import quality
 from lodestone.llm.simhash import simhash_components
 from lodestone.llm.substring_dedup import substring_dedup
@@ -59,3 +60,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+@query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir))
+
+
+ORACLES["op10_license_scan"] = license_sql()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.common import documents
 from lodestone.llm.licenses import license_scan, license_sql
+from lodestone.llm.mixing import mixing_counts, mixing_sql
 from lodestone.llm.quality import quality
 from lodestone.llm.simhash import simhash_components
 from lodestone.llm.substring_dedup import substring_dedup
@@ -68,3 +69,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_license_scan"] = license_sql()
+
+
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_counts(documents(spark, sf_dir), entropy=0.95, repeats=4.0)
+
+
+ORACLES["op8_mixing"] = mixing_sql(entropy=0.95, repeats=4.0)

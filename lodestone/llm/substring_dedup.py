@@ -22,7 +22,7 @@ from xxhash import xxh64_intdigest
 
 from lodestone.llm.common import keyed, public_id
 from lodestone.llm.shared_windows import removed_windows, second_values, stretches_by_document
-from lodestone.llm.windows import covered, stretches, window_hashes
+from lodestone.llm.windows import covered, stretches
 
 #: Words of a gram; a window's anchor is one of its grams.
 GRAM = 6
@@ -94,18 +94,18 @@ class Automaton:
 
 
 def _matcher(length: int):
-    def match(blocks: Iterator[tuple[bool, list]]) -> Iterator[tuple]:
-        for split, group in blocks:
+    def match(blocks: Iterator[tuple]) -> Iterator[tuple]:
+        for key, group in blocks:
             shard, flags, counts = Automaton(), [], []
             for row in group:
-                words = np.frombuffer(row[4], np.int64).tolist()
+                words = np.frombuffer(row[5], np.int64).tolist()
                 sizes = np.fromiter(shard.statistics(words), np.int64, len(words))
                 seen = sizes[length - 1 :] >= length
                 for a, b in zip(*(x.tolist() for x in stretches(~seen)), strict=True):
                     shard.add(words[a : b + length - 1])
                 flags.append(seen)
                 counts.append((~seen).astype(np.int64))
-            yield split, group, flags, counts
+            yield key, group, flags, counts
 
     return match
 
@@ -117,11 +117,11 @@ def earlier_windows(docs: DataFrame, length: int = 20, gram: int = GRAM) -> Data
         values = word_values(body.split())
         return lambda pos, n: values[pos : pos + n + length - 1].tobytes()
 
-    def window_keys(content: bytes):
+    def values(content: bytes):
         first = np.frombuffer(content, np.uint64)
-        return tuple(h.view(np.int64) for h in window_hashes(first, second_values(first), length))
+        return first, second_values(first)
 
-    return removed_windows(keyed(docs), _units, contents, _matcher(length), window_keys, min(gram, length), length, True)
+    return removed_windows(keyed(docs), _units, contents, _matcher(length), values, min(gram, length), length, True)
 
 
 _OUT = "did long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<s: long, e: long>>"

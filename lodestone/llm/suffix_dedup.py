@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from lodestone.llm.common import keyed, public_id
 from lodestone.llm.shared_windows import removed_windows, stretches_by_document
-from lodestone.llm.windows import covered, stretches, table, window_hashes
+from lodestone.llm.windows import covered, stretches, table
 
 #: Bytes of a gram; a window's anchor is one of its grams.
 GRAM = 64
@@ -35,6 +35,11 @@ def _units(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     return _Lookup(values, _ONE), _Lookup(values, _TWO)
 
 
+def _content_values(content: bytes) -> tuple[np.ndarray, np.ndarray]:
+    values = np.frombuffer(content, np.uint8)
+    return _ONE[values], _TWO[values]
+
+
 class _Lookup:
     """Hashed values of bytes, made when a stretch is asked for."""
 
@@ -115,7 +120,7 @@ def previous_factors(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def _matcher(length: int, keep_first: bool):
     def solve(blocks: list) -> Iterator[tuple]:
-        contents = [row[4] for _, group in blocks for row in group]
+        contents = [row[5] for _, group in blocks for row in group]
         sizes = np.array([len(c) for c in contents], np.int64)
         starts = np.cumsum(sizes) - sizes
         counts = np.array([row[3] for _, group in blocks for row in group], np.int64)
@@ -125,17 +130,17 @@ def _matcher(length: int, keep_first: bool):
         earlier, later, same = previous_factors(suffix_ranks(text, length, wanted))
         repeated = earlier if keep_first else earlier | later
         at = 0
-        for split, group in blocks:
+        for key, group in blocks:
             cuts = [(at := at + row[3]) - row[3] for row in group]
-            yield split, group, [repeated[c : c + r[3]] for c, r in zip(cuts, group, strict=True)], [
+            yield key, group, [repeated[c : c + r[3]] for c, r in zip(cuts, group, strict=True)], [
                 same[c : c + r[3]] for c, r in zip(cuts, group, strict=True)
             ]
 
-    def match(blocks: Iterator[tuple[bool, list]]) -> Iterator[tuple]:
+    def match(blocks: Iterator[tuple]) -> Iterator[tuple]:
         held, size = [], 0
         for block in blocks:
             held.append(block)
-            size += sum(len(row[4]) for row in block[1])
+            size += sum(len(row[5]) for row in block[1])
             if size >= ARRAY_BYTES:
                 yield from solve(held)
                 held, size = [], 0
@@ -151,13 +156,9 @@ def repeated_strings(docs: DataFrame, length: int = 400, keep: str = "none", gra
         raise ValueError("keep is 'none' or 'first'")
     gram = min(gram, length)
 
-    def window_keys(content: bytes):
-        values = np.frombuffer(content, np.uint8)
-        return tuple(h.view(np.int64) for h in window_hashes(_ONE[values], _TWO[values], length))
-
     return removed_windows(
         keyed(docs), _units, lambda body: lambda pos, n: body[pos : pos + n + length - 1],
-        _matcher(length, keep == "first"), window_keys, gram, length, keep == "first",
+        _matcher(length, keep == "first"), _content_values, gram, length, keep == "first",
     )
 
 

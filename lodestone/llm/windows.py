@@ -96,11 +96,6 @@ def parts(lengths: np.ndarray, length: int):
         yield group
 
 
-def window_hashes(first: np.ndarray, second: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of every window of one sequence."""
-    return tuple(Prefix(v, b, len(v)).grams(length) for v, b in zip((first, second), BASES, strict=True))
-
-
 def runs(unit_values, lengths: np.ndarray, gram: int, length: int):
     """Yields (sequence, start, windows, offset, anchor hash, content hash) as arrays.
 

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.common import documents
+from lodestone.llm.decontaminate import leaks
 from lodestone.llm.licenses import license_scan, license_sql
 from lodestone.llm.mixing import mixing_counts, mixing_sql
 from lodestone.llm.quality import quality
@@ -77,3 +78,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op8_mixing"] = mixing_sql(entropy=0.95, repeats=4.0)
+
+
+@query
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lodestone.llm.ann import nearest
 from lodestone.llm.common import documents
 from lodestone.llm.decontaminate import leaks
 from lodestone.llm.licenses import license_scan, license_sql
@@ -83,3 +85,8 @@ ORACLES["op8_mixing"] = mixing_sql(entropy=0.95, repeats=4.0)
 @query
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)

@@ -32,7 +32,7 @@ NEIGHBOURS = 10
 PARTITION_ROWS = 1024
 MOST_PARTITIONS = 256
 BLOCK = 2048
-RECALL = 0.97
+RECALL = 0.95
 HIDDEN = 128
 
 

@@ -44,7 +44,7 @@ def _keys(docs: DataFrame, seed: int) -> list[Column]:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_did"),
         F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("_rk"),
         source.alias("_source"), place.alias("_place"),
-        (place % BLOCKS).cast("int").alias("_block"), (F.floor(place / BLOCKS) % BLOCKS).cast("int").alias("_part"),
+        (place % BLOCKS).cast("int").alias("_block"), (F.call_function("div", place, F.lit(BLOCKS)) % BLOCKS).cast("int").alias("_part"),
     ]
 
 

@@ -208,7 +208,7 @@ def nearest(
     rows = usable.where(F.size("v") == d)
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()
     count = int(min(MOST_PARTITIONS, -(-total // PARTITION_ROWS), max(1, len(chosen) // 32)))
-    router = fit(_matrix(chosen["v"]).reshape(len(chosen), -1), count, recall)
+    router = fit(_matrix(chosen["v"]).reshape(len(chosen), d), count, recall)
     count = router.bias.size
     visits = min(count, probes or router.probes)
 

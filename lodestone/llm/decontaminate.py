@@ -69,7 +69,7 @@ def _fill(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """The best score of a local alignment, and the text's words up to its end."""
     slope = np.arange(1, len(text) + 1) * SPACE
     row, best, end = np.zeros(len(text) + 1, np.int64), 0, 0
-    for word in item:
+    for word in item if len(text) else ():
         now = np.maximum(row[:-1] + np.where(text == word, MATCH, MISMATCH), row[1:] + SPACE)
         now = np.maximum(now, 0)
         # A space in the item costs the same at each step along the row.

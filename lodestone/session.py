@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,3 +58,26 @@ def kept(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def share_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, so that functions which run there need no installation. Once per application."""
+    context = spark.sparkContext
+    name = f"lodestone-{context.applicationId}.zip"
+    if any(os.path.basename(path) == name for path in context._python_includes):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="lodestone-"), name)
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, files in os.walk(root):
+            for file in sorted(files):
+                if file.endswith(".py"):
+                    full = os.path.join(folder, file)
+                    archive.write(full, os.path.join("lodestone", os.path.relpath(full, root)))
+    context.addPyFile(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table in the shared folder that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

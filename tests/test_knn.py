@@ -23,7 +23,7 @@ def brute(queries, corpus, k, metric):
                 score = -np.linalg.norm(q_ - c_)
             else:
                 score = q_ @ c_
-            scored.append((-round(score, 9), cid))
+            scored.append((-round(score, 12), cid))
         found |= {(qid, cid, rank + 1) for rank, (_, cid) in enumerate(sorted(scored)[:k])}
     return found
 
@@ -61,14 +61,14 @@ def test_exact(vectors, metric):
 def test_exact_by_cells(vectors, metric):
     """Blocks of 16 rows split the full cell and its queries; nothing is lost."""
     queries, corpus, q, c = vectors
-    found = knn_by_cells(q, c, 5, metric, n_cells=7, block_rows=16)
+    found = knn_by_cells(q, c, 5, metric, probes=7, n_cells=7, block_rows=16)
     assert result(found) == brute(queries, corpus, 5, metric)
 
 
 def test_more_neighbours_than_rows(vectors):
     queries, corpus, q, c = vectors
     assert result(knn_topk(q, c, 500)) == brute(queries, corpus, 500, "cosine")
-    assert result(knn_by_cells(q, c, 500, n_cells=4)) == brute(queries, corpus, 500, "cosine")
+    assert result(knn_by_cells(q, c, 500, probes=4, n_cells=4)) == brute(queries, corpus, 500, "cosine")
 
 
 def test_many_small_batches(spark, vectors):
@@ -82,11 +82,52 @@ def test_many_small_batches(spark, vectors):
         spark.conf.set(key, before)
 
 
-def test_too_many_queries_go_by_cells(vectors, monkeypatch):
+@pytest.mark.parametrize("metric", V.METRICS)
+def test_rounds_find_the_same(vectors, metric):
     queries, corpus, q, c = vectors
-    monkeypatch.setattr(knn, "MAX_QUERIES", 10)
-    assert result(knn_topk(q, c, 5)) == brute(queries, corpus, 5, "cosine")
-    assert result(knn_topk(q, c, 5, max_broadcast_bytes=100)) == brute(queries, corpus, 5, "cosine")
+    whole = knn_topk(q, c, 5, metric).collect()
+    assert sorted(knn_topk(q, c, 5, metric, max_queries=10).collect()) == sorted(whole)
+    assert sorted(knn_topk(q, c, 5, metric, max_broadcast_bytes=100).collect()) == sorted(whole)
+
+
+@pytest.mark.parametrize("max_queries", [2, 8192])
+def test_empty_corpus_and_missing_ids(spark, vectors, max_queries):
+    _, corpus, q, c = vectors
+    assert knn_topk(q, c.limit(0), 5, max_queries=max_queries).collect() == []
+    assert knn_by_cells(q, c.limit(0), 5).collect() == []
+    named = c.select(F.when(F.col("vec_id") > 5, F.format_string("v%03d", "vec_id")).alias("vec_id"), "embedding")
+    assert all(r.vec_id for r in knn_topk(q, named, 400, max_queries=max_queries).collect())
+    with pytest.raises(ValueError, match="ids"):
+        knn_topk(q, c.withColumn("vec_id", F.col("vec_id").cast("double")), 3)
+
+
+@pytest.mark.parametrize("metric, scale, offset", [("inner", 1e-6, 0), ("l2", 1e-10, 0), ("l2", 1, 1e8), ("cosine", 1e-9, 0), ("inner", 1e6, 0)])
+def test_ranking_is_exact_at_every_scale(spark, metric, scale, offset):
+    rng = np.random.default_rng(8)
+    points = (rng.normal(size=(400, 5)) * scale + offset).tolist()
+    c = spark.createDataFrame([(i, p) for i, p in enumerate(points)], "vec_id int, embedding array<double>").repartition(3)
+    q = c.where("vec_id < 50").withColumnRenamed("vec_id", "query_id")
+    x = np.array(points)
+
+    def scores(a):
+        if metric == "l2":
+            return -np.sqrt(np.square(x - a).sum(axis=1))
+        unit = lambda v: v / np.sqrt((v * v).sum(axis=-1, keepdims=True))
+        return (unit(x) * unit(a)).sum(axis=1) if metric == "cosine" else (x * a).sum(axis=1)
+
+    wanted = {(i, int(j), n) for i in range(50) for n, j in enumerate(np.lexsort((np.arange(400), -scores(x[i])))[:10], 1)}
+    assert result(knn_topk(q, c, 10, metric)) == wanted
+    assert result(knn_by_cells(q, c, 10, metric, probes=99, n_cells=6, block_rows=50)) == wanted
+
+
+def test_memory_does_not_grow_with_the_query_set(spark):
+    """20,000 vectors of 64 as queries and corpus, in rounds."""
+    c = spark.range(20_000).select(
+        F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin(F.xxhash64("id", i).cast("double"))).alias("embedding")
+    )
+    q = c.withColumnRenamed("vec_id", "query_id")
+    found = knn_topk(q, c, 1).agg(F.count("*"), F.count_if(F.col("query_id") == F.col("vec_id"))).first()
+    assert tuple(found) == (20_000, 20_000)
 
 
 def test_scale_of_the_query_does_not_matter(vectors):

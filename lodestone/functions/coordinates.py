@@ -17,18 +17,17 @@ LIST_LITERAL = rf"\A\[\s*{_ITEM}(?:\s*,\s*{_ITEM})*\s*,?\s*\]\z"
 
 
 def cell_item(cell: Column, last: bool) -> Column:
-    """First or last item of a cell as trimmed text; a cell that is no list is its own item."""
+    """First or last item of a cell as trimmed text; a cell that is no list is its own item.
 
-    def pick(body: Column) -> Column:
-        return strip(F.element_at(F.split(body, ","), -1 if last else 1))
+    A quoted item of a well-formed list is taken whole, with any comma it holds.
+    """
 
     def of_literal(cell: Column) -> Column:
-        # Only a well-formed literal may end in a comma or quote its items.
-        body = F.regexp_replace(F.btrim(cell, F.lit("[]")), r",\s*\z", "")
-        return strip(F.regexp_replace(pick(body), r"""\A['"]|['"]\z""", ""))
+        item = F.regexp_extract(cell, rf"{_ITEM}(?=\s*,?\s*\]\z)" if last else rf"\A\[\s*({_ITEM})", 0 if last else 1)
+        return strip(F.regexp_replace(item, r"""\A['"]|['"]\z""", ""))
 
     def of_list(cell: Column) -> Column:
-        loose = pick(F.btrim(cell, F.lit("[]")))
+        loose = strip(F.element_at(F.split(F.btrim(cell, F.lit("[]")), ","), -1 if last else 1))
         return F.when(cell.rlike(LIST_LITERAL), of_literal(cell)).otherwise(loose)
 
     return bind(strip(cell), lambda c: F.when(F.startswith(c, F.lit("[")), of_list(c)).otherwise(c))

@@ -67,6 +67,7 @@ NO_ROWS_ANSWER = "К сожалению, по вашему запросу дан
 NO_ROWS_BLOCK = "Данные не найдены в базе."
 NO_POINTS_BLOCK = "\n\n⚠️ ВНИМАНИЕ: Координаты не найдены в данных."
 POINTS_TITLE = "КООРДИНАТЫ НАЙДЕННЫХ ЗАПИСЕЙ:"
+LINES_SHOWN = ("Показаны координаты ", " из ")
 BLOCK_ROWS = 50
 RULE_WIDTH = 60
 

@@ -43,21 +43,38 @@ def data_block(
     return counts.join(lines, list(keys)).select(*keys, "results_count", block.alias("retrieved_data"))
 
 
-def points_section(lines: Column) -> Column:
-    """Section of coordinate lines, or the note that there are none."""
+def lines_note(lines: Column, total: Column) -> Column:
+    """How many of all lines are shown, if not all are."""
+    first, second = fixed.LINES_SHOWN
+    note = F.concat(F.lit(f"\n{first}"), F.size(lines).cast("string"), F.lit(second), total.cast("string"))
+    return F.when(total > F.size(lines), note).otherwise(F.lit(""))
+
+
+def points_section(lines: Column, total: Column | None = None) -> Column:
+    """Section of coordinate lines, or the note that there are none. `total` is the number of all lines, if some are not shown."""
     rule = "=" * fixed.RULE_WIDTH
     head = F.lit(f"\n\n{rule}\n{fixed.POINTS_TITLE}\n{rule}\n")
-    full = F.concat(head, F.array_join(lines, "\n"), F.lit(f"\n{rule}"))
+    note = lines_note(lines, F.size(lines) if total is None else total)
+    full = F.concat(head, F.array_join(lines, "\n"), note, F.lit(f"\n{rule}"))
     return F.when(F.size(lines) > 0, full).otherwise(F.lit(fixed.NO_POINTS_BLOCK))
 
 
-def with_points(answer: Column, lines: Column) -> Column:
+def with_points(answer: Column, lines: Column, total: Column | None = None) -> Column:
     """Append the coordinate lines to an answer that mentions none."""
     bullets = F.transform(lines, lambda line: F.replace(line, F.lit("Запись "), F.lit("• ")))
-    text = F.concat(F.lit(f"\n\n📍 {fixed.POINTS_TITLE}\n"), F.array_join(bullets, "\n"))
+    note = lines_note(lines, F.size(lines) if total is None else total)
+    text = F.concat(F.lit(f"\n\n📍 {fixed.POINTS_TITLE}\n"), F.array_join(bullets, "\n"), note)
     return ensure_mention(answer, F.size(lines) > 0, text, fixed.COORDINATE_MENTIONS)
 
 
+def shown_lines(lines: DataFrame, keys: Sequence[str], max_lines: int = fixed.BLOCK_ROWS) -> DataFrame:
+    """Per key: the number of all lines, `lines_total`, and the first ones as `lines`."""
+    first = first_rows(lines, keys, [F.col("position").asc()], max_lines)
+    shown = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("position", "line"))).alias("_l"))
+    total = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("lines_total"))
+    return total.join(shown, list(keys)).select(*keys, "lines_total", F.col("_l.line").alias("lines"))
+
+
 def fallback_answer(results_count: Column, block: Column, section: Column) -> Column:
     """Answer without a model: the data itself, or that there is none."""
     found = F.concat(

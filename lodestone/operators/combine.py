@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 _WIDENING = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
 
@@ -31,31 +31,65 @@ def as_text(column, kind: T.DataType):
     return column.cast("string")
 
 
-def tagged_union(branches: Mapping[str, DataFrame], tag: str = "matched_feature") -> DataFrame:
-    """Bag union by column name. `tag` holds the branch; a missing column is null.
+def unique_names(names: Sequence[str], taken: Sequence[str] = ()) -> list[str]:
+    """Each name once, without regard to case: a name that is taken gets a number."""
+    seen, out = {t.lower() for t in taken}, []
+    for name in names:
+        free, number = name, 2
+        while free.lower() in seen:
+            free, number = f"{name}_{number}", number + 1
+        seen.add(free.lower())
+        out.append(free)
+    return out
 
-    Column types are settled from the schemas first, so the union cannot fail on a value at run time.
-    """
-    if not branches:
-        raise ValueError("nothing to combine")
-    kinds: dict[str, list[T.DataType]] = {}
-    for df in branches.values():
-        for field in df.schema:
-            if field.name != tag:
-                kinds.setdefault(field.name, []).append(field.dataType)
-    target = {name: common_type(found) for name, found in kinds.items()}
-
-    def aligned(name: str, df: DataFrame) -> DataFrame:
-        columns = []
-        for field in df.schema:
-            if field.name == tag:
+
+class Columns:
+    """Columns of several branches by name, by the session's rule for case; the first spelling of a name stays."""
+
+    def __init__(self, spark: SparkSession):
+        self.exact = spark.conf.get("spark.sql.caseSensitive", "false") == "true"
+        self.names: dict[str, str] = {}
+        self.kinds: dict[str, list[T.DataType]] = {}
+
+    def key(self, name: str) -> str:
+        return name if self.exact else name.lower()
+
+    def add(self, schema: T.StructType) -> None:
+        for field in schema:
+            key = self.key(field.name)
+            self.names.setdefault(key, field.name)
+            found = self.kinds.setdefault(key, [])
+            if field.dataType not in found:
+                found.append(field.dataType)
+
+    def aligned(self, df: DataFrame) -> list[Column]:
+        """All columns for a branch; those that it lacks are null."""
+        own = {self.key(f.name): f for f in df.schema}
+        out = []
+        for key, name in self.names.items():
+            wanted = common_type(self.kinds[key])
+            if key not in own:
+                out.append(F.lit(None).cast(wanted).alias(name))
                 continue
+            field = own[key]
             column = F.col(f"`{field.name}`")
-            wanted = target[field.name]
             if field.dataType != wanted:
                 column = as_text(column, field.dataType) if wanted == T.StringType() else column.cast(wanted)
-            columns.append(column.alias(field.name))
-        return df.select(*columns, F.lit(name).alias(tag))
+            out.append(column.alias(name))
+        return out
+
+
+def tagged_union(branches: Mapping[str, DataFrame], tag: str = "matched_feature") -> DataFrame:
+    """Bag union by column name. `tag` holds the branch; a missing column is null, and a name that a branch has twice is numbered.
 
-    parts = [aligned(name, df) for name, df in branches.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    Column types are settled from the schemas first, so the union cannot fail on a value at run time.
+    """
+    if not branches:
+        raise ValueError("nothing to combine")
+    columns = Columns(next(iter(branches.values())).sparkSession)
+    parts = {}
+    for name, df in branches.items():
+        own = df.drop(tag) if tag in df.columns else df
+        parts[name] = own.toDF(*unique_names(own.columns)) if not columns.exact else own
+        columns.add(parts[name].schema)
+    return reduce(DataFrame.unionAll, [df.select(*columns.aligned(df), F.lit(name).alias(tag)) for name, df in parts.items()])

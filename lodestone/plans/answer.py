@@ -2,32 +2,37 @@
 
 Models stay outside: `find_hits` gives the pairs of question and feature that they are asked about, and their
 verdicts, SQL texts and summaries come back as tables keyed by question and feature. Everything else is one
-plan over all questions. Each distinct SQL text is planned once, however many questions share it, and its rows
-are joined to them.
+plan over all questions. Each distinct SQL text that is needed runs once, into a table of its own, however many questions share
+it; a text that fails, in analysis or at run time, is an outcome of that attempt alone, and the next attempt is tried.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import batched
+from itertools import batched, count
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lodestone.functions import fixed
 from lodestone.functions.text import feature_description, feature_name, strip, strip_code_fence
-from lodestone.operators.answers import data_block, fallback_answer, first_rows, points_section, row_text, with_points
+from lodestone.operators.answers import data_block, fallback_answer, points_section, shown_lines, with_points
 from lodestone.operators.attempts import resolve_verdicts
-from lodestone.operators.combine import tagged_union
+from lodestone.operators.combine import Columns
 from lodestone.operators.knn import knn_topk
 from lodestone.operators.points import extract_points, point_lines
+from lodestone.operators.position import with_row_position
 from lodestone.plans.guarded_sql import GuardedSql
-from lodestone.session import kept
+from lodestone.session import discard, kept, shared_dir
 
 PAIR = ["question_id", "feature_id"]
 STATEMENT = "statement_id"
-# Statements planned as one union; more than these are run in batches into tables.
+ORDER = "row_order"
+# Names of the result's own columns; columns of statements that are called so are numbered.
+OWN = ["question_id", "matched_feature", "feature_rank", "position", STATEMENT, ORDER]
+# Statements whose rows are aligned in one plan. Types are settled over all of them before, so the number changes no result.
 STATEMENTS_PER_PLAN = 32
+OUTCOME = f"sql string, {STATEMENT} long, ok boolean, error_class string, message string"
 
 
 @dataclass
@@ -37,6 +42,8 @@ class Answers:
     features: DataFrame
     results: DataFrame | None
     points: DataFrame | None
+    lines: DataFrame | None  # question_id, position, line: all coordinate lines
+    outcomes: DataFrame  # every statement that was tried, and its error
     answers: DataFrame
 
 
@@ -75,26 +82,79 @@ def accept_features(hits: DataFrame, verdicts: DataFrame) -> DataFrame:
     return hits.where(F.coalesce("feature_name", F.lit("")) != "").join(resolved, PAIR, "left_semi")
 
 
-def _run_statements(guard: GuardedSql, texts: DataFrame) -> tuple[DataFrame | None, DataFrame]:
-    """Rows of all valid statements with the statement's number, and the numbers of the valid ones.
-
-    The texts come to the driver one by one, since each needs a plan of its own.
+class _Statements:
+    """Statements that were run into tables `root`/number."""
+
+    def __init__(self, spark: SparkSession, guard: GuardedSql):
+        self.spark, self.guard = spark, guard
+        self.root, self.outcomes = shared_dir(spark, "statements"), shared_dir(spark, "outcomes")
+        self.numbers = count()
+        spark.createDataFrame([], OUTCOME).write.parquet(self.outcomes)
+
+    def path(self, number: int) -> str:
+        return f"{self.root}/{number}"
+
+    def known(self) -> DataFrame:
+        return self.spark.read.schema(OUTCOME).parquet(self.outcomes)
+
+    def run(self, texts: Iterator[str]) -> None:
+        """The texts come to the driver one by one, since each needs a plan of its own; their outcomes go to a table."""
+        for some in batched(texts, 256):
+            rows = []
+            for sql in some:
+                number = next(self.numbers)
+                outcome = self.guard.materialise(sql, self.path(number), ORDER, OWN)
+                rows.append((sql, number, outcome.ok, outcome.error_class, outcome.message))
+            self.spark.createDataFrame(rows, OUTCOME).coalesce(1).write.mode("append").parquet(self.outcomes)
+
+    def rows(self, chosen: DataFrame) -> DataFrame | None:
+        """Rows of the chosen statements (their numbers, in the order of their texts) under one set of columns."""
+        numbers = [r[STATEMENT] for r in chosen.toLocalIterator()]
+        columns = Columns(self.spark)
+        for number in numbers:
+            columns.add(self.spark.read.parquet(self.path(number)).drop(ORDER).schema)
+        target = shared_dir(self.spark, "statement-rows")
+        for some in batched(numbers, STATEMENTS_PER_PLAN):
+            parts = []
+            for number in some:
+                df = self.spark.read.parquet(self.path(number))
+                parts.append(df.select(*columns.aligned(df), ORDER, F.lit(number).cast("long").alias(STATEMENT)))
+            union = parts[0]
+            for part in parts[1:]:
+                union = union.unionAll(part)
+            union.write.mode("append").parquet(target)
+        discard(self.spark, self.root)
+        return self.spark.read.parquet(target) if numbers else None
+
+
+def _run_attempts(guard: GuardedSql, tried: DataFrame) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+    """Rows of the statements that answer a pair, the pairs with their statement, and all outcomes.
+
+    One round per attempt: the texts of the pairs that have no result yet are run, each once, and the first that works counts.
     """
-    spark = texts.sparkSession
-    valid, parts = [], []
-    rows = enumerate(row["sql"] for row in texts.toLocalIterator())
-    for batch in batched(rows, STATEMENTS_PER_PLAN):
-        outcomes = [(str(number), sql, guard.analyse(sql)) for number, sql in batch]
-        valid += [(number, sql) for number, sql, outcome in outcomes if outcome.ok]
-        branches = {number: outcome.df for number, _, outcome in outcomes if outcome.ok}
-        if branches:
-            parts.append(tagged_union(branches, STATEMENT))
-    if len(parts) > 1:
-        # Batches are run into tables; then column types are settled again, as batches may differ.
-        stored = {str(i): kept(part, "statements").withColumnRenamed(STATEMENT, "_number") for i, part in enumerate(parts)}
-        parts = [tagged_union(stored, "_batch").drop("_batch").withColumnRenamed("_number", STATEMENT)]
-    known = spark.createDataFrame(valid, f"{STATEMENT} string, sql string")
-    return (parts[0] if parts else None), known
+    spark = tried.sparkSession
+    statements = _Statements(spark, guard)
+    in_turn = Window.partitionBy(*PAIR).orderBy("attempt", "sql")
+    tried = kept(tried.withColumn("_turn", F.row_number().over(in_turn)), "tries")
+    answered = kept(tried.select(*PAIR, "feature_name", "rank", F.lit(0).cast("long").alias(STATEMENT)).limit(0), "answered")
+    turns = tried.agg(F.max("_turn")).first()[0] or 0
+    for turn in range(1, min(turns, fixed.MAX_ATTEMPTS) + 1):
+        waiting = tried.where(F.col("_turn") == turn).join(answered, PAIR, "left_anti")
+        new = waiting.select("sql").distinct().join(statements.known().select("sql"), "sql", "left_anti").orderBy("sql")
+        statements.run(row["sql"] for row in new.toLocalIterator())
+        good = statements.known().where("ok").select("sql", STATEMENT)
+        found = waiting.join(good, "sql").select(*answered.columns)
+        answered = kept(answered.unionByName(found), "answered")
+    texts = statements.known().select(STATEMENT, "sql")
+    chosen = answered.select(STATEMENT).distinct().join(texts, STATEMENT).orderBy("sql").select(STATEMENT)
+    return statements.rows(chosen), answered, statements.known()
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """The rows with their position in the question: by the rank of the feature, then in the order of the statement's result."""
+    whole = kept(with_row_position(rows, ["question_id", "feature_rank", ORDER], "_place"), "results")
+    first = whole.groupBy("question_id").agg(F.min("_place").alias("_first"))
+    return whole.join(first, "question_id").withColumn("position", F.col("_place") - F.col("_first") + 1)
 
 
 def answer_questions(
@@ -113,51 +173,39 @@ def answer_questions(
     `records` gives the table that the SQL reads as `df`.
     """
     features = accept_features(hits, verdicts)
-    tried = kept(
+    tried = (
         statements.where(F.col("attempt") <= fixed.MAX_ATTEMPTS)
         .join(features.select(*PAIR, "feature_name", "rank"), PAIR)
-        .withColumn("sql", strip_code_fence("sql")),
-        "tries",
-    )
-    rows, valid = _run_statements(GuardedSql(spark, records), tried.select("sql").distinct().orderBy("sql"))
-    # The first attempt with a valid text counts.
-    chosen = (
-        tried.join(valid, "sql")
-        .groupBy(*PAIR, "feature_name", "rank")
-        .agg(F.min_by(STATEMENT, "attempt").alias(STATEMENT))
+        .withColumn("sql", strip_code_fence("sql"))
     )
+    rows, chosen, outcomes = _run_attempts(GuardedSql(spark, records), tried)
     counts = hits.groupBy("question_id").agg(F.count(F.lit(1)).alias("_hits"))
     accepted = features.groupBy("question_id").agg(F.count(F.lit(1)).alias("features"))
     base = questions.select("question_id", "question").join(counts, "question_id", "left")
     base = base.join(accepted, "question_id", "left")
 
-    results = points = None
+    results = points = all_lines = None
     if rows is not None:
-        data = [c for c in rows.columns if c != STATEMENT]
-        results = kept(
-            rows.join(chosen, STATEMENT)
-            .withColumnRenamed("feature_name", "matched_feature")
-            .select("question_id", *data, "matched_feature", F.col("rank").alias("feature_rank")),
-            "results",
+        data = [c for c in rows.columns if c not in (STATEMENT, ORDER)]
+        # Columns of statements may be called like those of the pairs, so they go through the join as one.
+        packed = rows.select(STATEMENT, ORDER, F.struct(*[F.col(f"`{c}`") for c in data]).alias("_data"))
+        joined = packed.join(chosen, STATEMENT).select(
+            "question_id", F.col("feature_name").alias("matched_feature"), F.col("rank").alias("feature_rank"), ORDER, "_data"
+        )
+        results = _placed(joined).select(
+            "question_id", *[F.col("_data").getField(c).alias(c) for c in data], "matched_feature", "feature_rank", "position"
         )
-        # Rows of a feature have no order of their own, so that of their text serves.
-        order = [F.col("feature_rank").asc(), row_text([*data, "matched_feature"]).asc()]
-        block = data_block(results, ["question_id"], [*data, "matched_feature"], order)
+        block = data_block(results, ["question_id"], [*data, "matched_feature"], [F.col("position").asc()])
         base = base.join(block, "question_id", "left")
         points = extract_points(results, keep=["question_id"])
         if "question_id" in points.columns:
-            # The text lists the points of the rows it shows; `points` holds all of them.
-            shown = first_rows(results, ["question_id"], order, fixed.BLOCK_ROWS)
-            lines = (
-                point_lines(shown, "_rank", ["question_id"])
-                .groupBy("question_id")
-                .agg(F.array_sort(F.collect_list(F.struct("position", "line"))).alias("_l"))
-                .select("question_id", F.col("_l.line").alias("_lines"))
-            )
+            # The text shows the first lines and how many there are; `lines` holds all of them, as `points` does.
+            all_lines = point_lines(results, "position", ["question_id"])
             found = points.groupBy("question_id").agg(F.count(F.lit(1)).alias("points"))
-            base = base.join(found, "question_id", "left").join(lines, "question_id", "left")
+            base = base.join(found, "question_id", "left").join(shown_lines(all_lines, ["question_id"]), "question_id", "left")
     for name, kind in (
-        ("results_count", "bigint"), ("retrieved_data", "string"), ("points", "bigint"), ("_lines", "array<string>")
+        ("results_count", "bigint"), ("retrieved_data", "string"), ("points", "bigint"), ("lines", "array<string>"),
+        ("lines_total", "bigint"),
     ):
         if name not in base.columns:
             base = base.withColumn(name, F.lit(None).cast(kind))
@@ -167,7 +215,7 @@ def answer_questions(
         base = base.join(summaries.select("question_id", strip("text").alias("_summary")), "question_id", "left")
 
     zero = F.lit(0).cast("long")
-    lines = F.coalesce("_lines", F.array().cast("array<string>"))
+    lines, total = F.coalesce("lines", F.array().cast("array<string>")), F.coalesce("lines_total", zero)
     block = F.coalesce("retrieved_data", F.lit(fixed.NO_ROWS_BLOCK))
     status = (
         F.when(F.col("_hits").isNull(), "no_hits").when(F.col("features").isNull(), "no_features").otherwise("answered")
@@ -175,8 +223,8 @@ def answer_questions(
     answer = (
         F.when(status == "no_hits", F.lit(fixed.NO_HITS_ANSWER))
         .when(status == "no_features", F.lit(fixed.NO_FEATURES_ANSWER))
-        .when(F.col("_summary").isNotNull(), with_points(F.col("_summary"), lines))
-        .otherwise(fallback_answer(F.col("results_count"), block, points_section(lines)))
+        .when(F.col("_summary").isNotNull(), with_points(F.col("_summary"), lines, total))
+        .otherwise(fallback_answer(F.col("results_count"), block, points_section(lines, total)))
     )
     answers = base.select(
         "question_id",
@@ -188,4 +236,4 @@ def answer_questions(
         (F.coalesce("points", zero) > 0).alias("has_coordinates"),
         answer.alias("answer"),
     )
-    return Answers(features, results, points, answers)
+    return Answers(features, results, points, all_lines, outcomes, answers)

@@ -7,12 +7,13 @@ for functions that call Java code. Analysis starts no job, so a statement runs o
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lodestone.operators.combine import unique_names
 from lodestone.session import shared_dir
 
 VIEW = "df"
@@ -36,6 +37,8 @@ FOREIGN_CALLS = {
     "CallMethodViaReflection", "Invoke", "StaticInvoke", "ScalaUDF", "PythonUDF", "HiveSimpleUDF", "HiveGenericUDF",
     "HiveGenericUDTF", "PythonUDTF", "UnresolvedPythonUDTF",
 }
+# They show where the table is stored.
+FOREIGN_CALLS |= {"InputFileName", "InputFileBlockStart", "InputFileBlockLength"}
 HARMLESS_LEAVES = {"OneRowRelation", "LocalRelation", "Range", "CTERelationRef", "UnionLoopRef"}
 
 
@@ -129,14 +132,22 @@ class GuardedSql:
         """The result as a lazy table, or None if the statement does not resolve."""
         return self.analyse(sql).df
 
-    def materialise(self, sql: str, path: str | None = None) -> Outcome:
-        """Run a statement into a table in the shared folder, so that errors in its data show too."""
+    def materialise(self, sql: str, path: str | None = None, order: str | None = None, taken: Sequence[str] = ()) -> Outcome:
+        """Run a statement into a table in the shared folder, so that errors in its data show too.
+
+        Columns of the same name, and of names in `taken`, are numbered. `order` names a column that rises in the order
+        of the result.
+        """
         outcome = self.analyse(sql)
         if not outcome.ok:
             return outcome
         path = path or shared_dir(self.session, "result")
+        rows = outcome.df.toDF(*unique_names(outcome.df.columns, [*taken, *([order] if order else [])]))
+        rows = rows.select(*[F.col(f"`{c}`").cast("string" if kind == "void" else kind).alias(c) for c, kind in rows.dtypes])
+        if order:
+            rows = rows.withColumn(order, F.monotonically_increasing_id())
         try:
-            outcome.df.write.mode("errorifexists").parquet(path)
+            rows.write.mode("errorifexists").parquet(path)
         except PySparkException as error:
             return failure(error)
         return Outcome(True, self.session.read.parquet(path))

@@ -16,12 +16,19 @@ from lodestone.queries.texts import ANSWERS_SQL as LABELLED_SQL, sql_any, sql_st
 from lodestone.queries.vectors import CENTROID_SQL, centroids
 from lodestone.session import read_table, shared_dir
 
-# SQL that the catalog entry's language stands for; the first French text has a wrong name.
+# SQL that the catalog entry's language stands for. The first French text has a wrong name; of the Spanish ones the first is
+# no query, the second fails when it runs, and the third has names that others use too, one of them twice.
 STATEMENTS = {
-    "en": ['```sql\nSELECT "key", "lon", "lat", "layer_name" FROM df WHERE "c_acctbal" > 0 AND "c_acctbal" < 150\n```'],
-    "fr": ['SELECT "acctbal" FROM df', 'SELECT "key", "lon", "lat" FROM df WHERE "c_acctbal" < 0'],
-    "de": ['SELECT MAX("c_acctbal") AS top, "nation" FROM df WHERE "c_acctbal" IS NOT NULL GROUP BY "nation"'],
-    "es": ["DROP TABLE df", "SELECT nothing FROM df", "SELECT 1 FROM other"],
+    "en": [
+        '```sql\nSELECT "key", "lon", "lat", "layer_name" FROM df WHERE "c_acctbal" > 0 AND "c_acctbal" < 150 ORDER BY "key"\n```'
+    ],
+    "fr": ['SELECT "acctbal" FROM df', 'SELECT "key", "lon", "lat" FROM df WHERE "c_acctbal" < 0 ORDER BY "key"'],
+    "de": ['SELECT MAX("c_acctbal") AS top, "nation" FROM df WHERE "c_acctbal" IS NOT NULL GROUP BY "nation" ORDER BY "nation"'],
+    "es": [
+        "DROP TABLE df",
+        'SELECT "layer_name" + 5 AS x FROM df WHERE "layer_name" IS NOT NULL',
+        'SELECT c_acctbal AS rank, "nation" AS feature_name, "key" AS feature_name FROM df ORDER BY c_acctbal DESC, "key" LIMIT 3',
+    ],
 }
 
 
@@ -71,7 +78,8 @@ ANSWERS_SQL = f"""
         SELECT 'en' AS lang, c_custkey AS key, c_acctbal AS x, c_nationkey * 4 AS y, c_mktsegment AS seg FROM customer
             WHERE c_acctbal > 0 AND c_acctbal < 150
         UNION ALL SELECT 'fr', c_custkey, c_acctbal, c_nationkey * 4, c_mktsegment FROM customer WHERE c_acctbal < 0
-        UNION ALL SELECT 'de', NULL, NULL, NULL, NULL FROM customer GROUP BY c_nationkey),
+        UNION ALL SELECT 'de', NULL, NULL, NULL, NULL FROM customer GROUP BY c_nationkey
+        UNION ALL SELECT 'es', NULL, NULL, NULL, NULL FROM (FROM customer LIMIT 3)),
     a AS (SELECT f.label, count(*) AS n, count(*) FILTER (x BETWEEN -180 AND 180 AND y BETWEEN -90 AND 90 AND
             seg IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY', 'HOUSEHOLD')) AS points FROM f JOIN rows USING (lang) GROUP BY 1)
     SELECT q.label AS question_id, 'label ' || q.label AS question,
@@ -89,8 +97,10 @@ def answer_questions(t: Tables) -> DataFrame:
 
 def _cells(row: bool) -> str:
     """Header or line of the block: only columns of statements that were accepted."""
-    names = [["key", "lon", "lat"], ["layer_name"], ["top", "nation"], ["matched_feature"]]
-    shown = ["any_point", "any_en", "any_de", "true"]
+    names = [
+        ["key", "lon", "lat"], ["layer_name"], ["top", "nation"], ["rank", "feature_name", "feature_name_2"], ["matched_feature"],
+    ]
+    shown = ["any_point", "any_en", "any_de", "any_es", "true"]
     parts = []
     for group, condition in zip(names, shown):
         cells = [f"coalesce({n}::VARCHAR, '')" if row else f"'{n}'" for n in group]
@@ -106,7 +116,7 @@ TEXTS_SQL = f"""
             lambda x: trim(x)), lambda x: x <> '' AND length(x) < 100)[1] AS matched_feature
         FROM hits h JOIN l ON l.doc_id = h.vec_id JOIN documents d ON d.doc_id = h.vec_id WHERE l.quality = 1),
     f AS (SELECT *, bool_or(lang IN ('en', 'fr')) OVER () AS any_point, bool_or(lang = 'en') OVER () AS any_en,
-            bool_or(lang = 'de') OVER () AS any_de FROM n WHERE matched_feature <> ''),
+            bool_or(lang = 'de') OVER () AS any_de, bool_or(lang = 'es') OVER () AS any_es FROM n WHERE matched_feature <> ''),
     r AS (SELECT c_custkey AS key, c_acctbal AS acc, c_nationkey AS home, c_mktsegment AS seg,
             CASE WHEN c_nationkey > 5 THEN c_mktsegment END AS layer, c_acctbal::VARCHAR AS x, (c_nationkey * 4)::VARCHAR AS y
         FROM customer),
@@ -117,18 +127,25 @@ TEXTS_SQL = f"""
             WHEN 'MACHINERY' THEN '[''' || x || ''',''' || y || ''']' WHEN 'HOUSEHOLD' THEN '[' || x || ',1, ' || y
             ELSE x || ',5' END AS lat,
         CASE WHEN seg = 'FURNITURE' THEN y || ',5, Широта: ' || x || ',5' ELSE x || ', Широта: ' || y END AS place FROM r),
-    rows AS (SELECT 'en' AS lang, key, lon, lat, layer AS layer_name, NULL::DOUBLE AS top, NULL::INTEGER AS nation, place
+    rows AS (SELECT 'en' AS lang, key, lon, lat, layer AS layer_name, NULL::DOUBLE AS top, NULL::INTEGER AS nation,
+                NULL::DOUBLE AS rank, NULL::INTEGER AS feature_name, NULL::BIGINT AS feature_name_2, place, key AS turn
             FROM p WHERE acc > 0 AND acc < 150
-        UNION ALL SELECT 'fr', key, lon, lat, NULL, NULL, NULL, place FROM p WHERE acc < 0
-        UNION ALL SELECT 'de', NULL, NULL, NULL, NULL, max(acc), home, NULL FROM p GROUP BY home),
-    t AS (SELECT label, feature_rank, place, {_cells(row=True)} AS line, {_cells(row=False)} AS header
+        UNION ALL SELECT 'fr', key, lon, lat, NULL, NULL, NULL, NULL, NULL, NULL, place, key FROM p WHERE acc < 0
+        UNION ALL SELECT 'de', NULL, NULL, NULL, NULL, max(acc), home, NULL, NULL, NULL, NULL, home FROM p GROUP BY home
+        UNION ALL SELECT 'es', NULL, NULL, NULL, NULL, NULL, NULL, acc, home, key, NULL, n FROM
+            (SELECT *, row_number() OVER (ORDER BY acc DESC, key) AS n FROM p) WHERE n <= 3),
+    t AS (SELECT label, feature_rank, place, turn, {_cells(row=True)} AS line, {_cells(row=False)} AS header
         FROM f JOIN rows USING (lang)),
-    o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY feature_rank, line) AS n,
-            count(*) OVER (PARTITION BY label) AS total FROM t),
+    o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY feature_rank, turn) AS n,
+            count(*) OVER (PARTITION BY label) AS total, count(place) OVER (PARTITION BY label) AS places FROM t),
+    pl AS (SELECT label, n, 'Запись ' || n || ': Долгота: ' || place AS line, places,
+            row_number() OVER (PARTITION BY label ORDER BY n) AS k FROM o WHERE place IS NOT NULL),
+    pt AS (SELECT label, string_agg(line, chr(10) ORDER BY n) || CASE WHEN places > 50
+            THEN chr(10) || '{fixed.LINES_SHOWN[0]}50{fixed.LINES_SHOWN[1]}' || places ELSE '' END AS points
+        FROM pl WHERE k <= 50 GROUP BY label, places),
     b AS (SELECT label, total, CASE WHEN total > 50 THEN 'Найдено ' || total || ' записей. Показаны первые 50:' || chr(10)
-            || chr(10) ELSE '' END || header || chr(10) || string_agg(line, chr(10) ORDER BY n) AS block,
-        string_agg('Запись ' || n || ': Долгота: ' || place, chr(10) ORDER BY n) AS points
-        FROM o WHERE n <= 50 GROUP BY label, total, header)
+            || chr(10) ELSE '' END || header || chr(10) || string_agg(line, chr(10) ORDER BY n) AS block, points
+        FROM o LEFT JOIN pt USING (label) WHERE n <= 50 GROUP BY label, total, header, points)
     SELECT q.label AS question_id, CASE WHEN q.label NOT IN (SELECT label FROM f) THEN '{fixed.NO_FEATURES_ANSWER}'
         WHEN b.label IS NULL THEN '{fixed.NO_ROWS_ANSWER}'
         ELSE 'Найдено ' || total || ' записей:' || chr(10) || chr(10) || block || CASE WHEN points IS NULL
@@ -143,6 +160,24 @@ def answer_texts(t: Tables) -> DataFrame:
     return _answers(t).answers.select("question_id", "answer")
 
 
+@query(TEXTS_SQL[: TEXTS_SQL.index("    pt AS (")].rstrip().rstrip(",") + " SELECT label AS question_id, n AS position, line FROM pl")
+def answer_lines(t: Tables) -> DataFrame:
+    """All coordinate lines of all answers, also of those whose text shows the first ones only."""
+    lines = _answers(t).lines
+    if lines is None:
+        lines = t.spark.createDataFrame([], "question_id int, position long, line string")
+    return lines.select("question_id", "position", "line")
+
+
+@query(TEXTS_SQL[: TEXTS_SQL.index("    r AS (SELECT c_custkey")].rstrip().rstrip(",") + f""",
+    e(lang, sql, error_class) AS (VALUES ('es', '{STATEMENTS["es"][0]}', 'PARSE_SYNTAX_ERROR'),
+        ('es', '{STATEMENTS["es"][1]}', 'CAST_INVALID_INPUT'), ('fr', '{STATEMENTS["fr"][0]}', 'UNRESOLVED_COLUMN.WITH_SUGGESTION'))
+    SELECT sql, error_class FROM e WHERE lang IN (SELECT lang FROM f)""")
+def failed_statements(t: Tables) -> DataFrame:
+    """The statements that failed, by analysis or when they ran, with the class of their error."""
+    return _answers(t).outcomes.where("not ok").select("sql", "error_class")
+
+
 @query("""
     WITH w AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1),
     n AS (SELECT b.item_id, b.text, e.embedding, quality, row_number() OVER (ORDER BY b.item_id) - 1 AS n

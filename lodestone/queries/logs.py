@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.functions import fixed
-from lodestone.operators.answers import data_block, fallback_answer, first_rows, points_section, with_points
+from lodestone.operators.answers import data_block, fallback_answer, first_rows, points_section, shown_lines, with_points
 from lodestone.operators.attempts import attempt_state, next_step, resolve_verdicts, retry_delay
 from lodestone.operators.points import point_lines
+from lodestone.operators.position import with_row_position
 from lodestone.operators.usage import in_period, price_table, report_lines, usage_events, usage_report
 from lodestone.queries.points import records
 from lodestone.queries.registry import Tables, query
@@ -207,12 +208,14 @@ RULE = "=" * fixed.RULE_WIDTH
         FROM customer JOIN nation ON c_nationkey = n_nationkey),
     p AS (SELECT *, CASE WHEN good THEN c_acctbal || ', Широта: ' || nation * 4 ELSE nation * 4 || ',5, Широта: '
         || c_acctbal || ',5' END AS place FROM c WHERE rank <= {fixed.BLOCK_ROWS}),
+    s AS (SELECT *, CASE WHEN total > {fixed.BLOCK_ROWS} THEN chr(10) || '{fixed.LINES_SHOWN[0]}{fixed.BLOCK_ROWS}{fixed.LINES_SHOWN[1]}'
+        || total ELSE '' END AS note FROM p),
     b AS (SELECT nation, n_name, total, CASE WHEN total > {fixed.BLOCK_ROWS} THEN 'Найдено ' || total
             || ' записей. Показаны первые {fixed.BLOCK_ROWS}:' || chr(10) || chr(10) ELSE '' END || 'key | c_acctbal' || chr(10)
             || string_agg(key || ' | ' || c_acctbal, chr(10) ORDER BY rank) AS block,
-        string_agg('Запись ' || rank || ': Долгота: ' || place, chr(10) ORDER BY rank) AS lines,
-        string_agg('• ' || rank || ': Долгота: ' || place, chr(10) ORDER BY rank) AS bullets
-        FROM p GROUP BY nation, n_name, total)
+        string_agg('Запись ' || rank || ': Долгота: ' || place, chr(10) ORDER BY rank) || note AS lines,
+        string_agg('• ' || rank || ': Долгота: ' || place, chr(10) ORDER BY rank) || note AS bullets
+        FROM s GROUP BY nation, n_name, total, note)
     SELECT nation, 'Найдено ' || total || ' записей:' || chr(10) || chr(10) || block || chr(10) || chr(10) || '{RULE}'
             || chr(10) || '{fixed.POINTS_TITLE}' || chr(10) || '{RULE}' || chr(10) || lines || chr(10) || '{RULE}' AS fallback,
         CASE WHEN contains(n_name, '1') THEN n_name || ' Координаты' ELSE n_name || chr(10) || chr(10)
@@ -223,17 +226,16 @@ def answer_blocks(t: Tables) -> DataFrame:
     rows = records(t.customer)
     order = [F.col("c_acctbal").desc_nulls_last(), F.col("key").asc()]
     block = data_block(rows, ["nation"], ["key", "c_acctbal"], order)
-    lines = (
-        point_lines(first_rows(rows, ["nation"], order, fixed.BLOCK_ROWS), "_rank", ["nation"])
-        .groupBy("nation")
-        .agg(F.array_sort(F.collect_list(F.struct("position", "line"))).alias("_l"))
-        .select("nation", F.col("_l.line").alias("lines"))
-    )
+    # Positions within a nation, over all of its rows.
+    ordered = with_row_position(rows.withColumn("_low", -F.col("c_acctbal")), ["nation", "_low", "key"], "_place")
+    first = ordered.groupBy("nation").agg(F.min("_place").alias("_first"))
+    placed = ordered.join(first, "nation").withColumn("_position", F.col("_place") - F.col("_first") + 1)
+    lines = shown_lines(point_lines(placed, "_position", ["nation"]), ["nation"])
     text = F.when(F.col("n_name").contains("1"), F.concat("n_name", F.lit(" Координаты"))).otherwise(F.col("n_name"))
     answers = block.join(lines, "nation").join(named, "nation")
-    section = points_section(F.col("lines"))
+    section = points_section(F.col("lines"), F.col("lines_total"))
     return answers.select(
         "nation",
         fallback_answer(F.col("results_count"), F.col("retrieved_data"), section).alias("fallback"),
-        with_points(text, F.col("lines")).alias("answer"),
+        with_points(text, F.col("lines"), F.col("lines_total")).alias("answer"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 import pandas as pd
@@ -46,14 +47,28 @@ def attach_vectors(items: DataFrame, vectors: DataFrame, key: str, vec_col: str
 
 
 def embed(items: DataFrame, text: str, function: Callable[[list[str]], list[list[float]]], out: str = "embedding"):
-    """Vectors from a function of the caller, in Arrow batches; a batch that fails gets empty vectors."""
+    """Vectors from a function of the caller, in Arrow batches.
+
+    A batch that fails is asked for text by text, so only a text that fails by itself gets an empty vector. What a caller's function
+    may raise is not known here, so any error counts, but for those that end the process.
+    """
 
     @F.pandas_udf("array<float>")
     def vectors(texts: pd.Series) -> pd.Series:
+        def one(t: str) -> list[float]:
+            try:
+                return list(function([t])[0])
+            except Exception as error:
+                warnings.warn(f"no vector for a text of {len(t)} characters: {type(error).__name__}: {error}", stacklevel=1)
+                return []
+
         try:
-            return pd.Series(list(function(texts.tolist())))
+            found = list(function(texts.tolist()))
         except Exception:
-            return pd.Series([[] for _ in range(len(texts))])
+            found = None
+        if found is None or len(found) != len(texts):
+            found = [one(t) for t in texts]
+        return pd.Series(found)
 
     return items.withColumn(out, vectors(F.coalesce(text, F.lit(""))))
 
@@ -76,8 +91,11 @@ def catalog_documents(described: DataFrame, vectors: DataFrame | None = None) ->
 def build_catalog(
     features: DataFrame, responses: DataFrame, vectors: DataFrame, path: str, finished: DataFrame | None = None
 ) -> Load:
-    """Describe and store the features that `finished` does not name; failed ones are left for another run."""
+    """Describe and store the features that `finished` does not name; failed ones are left for another run.
+
+    With `finished` the documents are added to what is stored at `path`; without, they replace it.
+    """
     documents = catalog_documents(with_descriptions(features, responses), vectors).where(~F.col("failed"))
     if finished is not None:
         documents = remaining(documents, finished, ["feature_name"])
-    return import_documents(documents.select("_id", "_source"), path, overwrite=True)
+    return import_documents(documents.select("_id", "_source"), path, "overwrite" if finished is None else "append")

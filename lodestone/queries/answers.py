@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestone.functions import fixed, templates
-from lodestone.operators.answers import first_rows
 from lodestone.operators.profile import column_profile, profile_text
 from lodestone.plans.answer import Answers, answer_questions as run_questions, find_hits
 from lodestone.plans.catalog import build_catalog, catalog_prompts, embed
@@ -14,7 +13,7 @@ from lodestone.queries.points import records
 from lodestone.queries.registry import Tables, query
 from lodestone.queries.texts import ANSWERS_SQL as LABELLED_SQL, sql_any, sql_strip, template_sql, labelled_answers
 from lodestone.queries.vectors import CENTROID_SQL, centroids
-from lodestone.session import read_table, shared_dir
+from lodestone.session import kept, read_table, shared_dir
 
 # SQL that the catalog entry's language stands for. The first French text has a wrong name; of the Spanish ones the first is
 # no query, the second fails when it runs, and the third has names that others use too, one of them twice.
@@ -190,6 +189,46 @@ def catalog_build(t: Tables) -> DataFrame:
 
     Items whose document has good quality are already done; the numbering counts them all the same.
     """
+    features, responses, vectors = _catalog_parts(t)
+    finished = t.labels.where("quality = 1").select(
+        F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("feature_name")
+    )
+    path = shared_dir(t.spark, "catalog")
+    load = build_catalog(features, responses, vectors, path, finished)
+    if not load.complete:
+        raise RuntimeError("the load is not whole")
+    return _stored_catalog(t, path)
+
+
+def _stored_catalog(t: Tables, path: str) -> DataFrame:
+    stored = t.spark.read.parquet(path)
+    return stored.select("_id", "text", F.size("embedding").cast("bigint").alias("dimension"))
+
+
+@query("""
+    WITH n AS (SELECT b.item_id, b.text, e.embedding, row_number() OVER (ORDER BY b.item_id) - 1 AS n
+        FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id)
+    SELECT n::VARCHAR AS _id, 'Признак: ' || lpad(item_id::VARCHAR, 12, '0') || chr(10) || 'Описание: '
+        || trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS text, len(embedding)::BIGINT AS dimension
+    FROM n""")
+def catalog_resume(t: Tables) -> DataFrame:
+    """A build that was broken off and taken up again at the same path is the whole catalog.
+
+    In the first run every other item has no response; the second takes what the first has stored as finished.
+    """
+    features, responses, vectors = _catalog_parts(t)
+    path = shared_dir(t.spark, "catalog")
+    half = responses.where(F.col("feature_name").cast("bigint") % 2 == 0)
+    build_catalog(features, half, vectors, path)
+    stored = t.spark.read.parquet(path).select(F.regexp_extract("text", r"Признак: (\d+)", 1).alias("feature_name"))
+    load = build_catalog(features, responses, vectors, path, kept(stored, "finished"))
+    if not load.complete:
+        raise RuntimeError("the load is not whole")
+    return _stored_catalog(t, path)
+
+
+def _catalog_parts(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Features, responses and vectors of the benchmark items."""
     name = F.lpad(F.col("item_id").cast("string"), 12, "0").alias("feature_name")
     features = catalog_prompts(t.benchmark.select(name, F.lit("text (keyword)").alias("feature_type"), "item_id"))
     responses = t.benchmark.select(
@@ -203,15 +242,7 @@ def catalog_build(t: Tables) -> DataFrame:
     vectors = t.embeddings.select(
         F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("feature_name"), "embedding"
     )
-    finished = t.labels.where("quality = 1").select(
-        F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("feature_name")
-    )
-    path = shared_dir(t.spark, "catalog")
-    load = build_catalog(features, responses, vectors, path, finished)
-    if not load.complete:
-        raise RuntimeError("the load is not whole")
-    stored = t.spark.read.parquet(path)
-    return stored.select("_id", "text", F.size("embedding").cast("bigint").alias("dimension"))
+    return features, responses, vectors
 
 
 @query(f"""
@@ -248,9 +279,14 @@ def embedded_texts(t: Tables) -> DataFrame:
     return vectors.select("doc_id", at[0].alias("characters"), at[1].alias("blanks"))
 
 
-PROFILE_SQL = """(SELECT string_agg('- `' || c || '` (' || d || ', заполнено: ' || f || '/' || n || ')', chr(10) ORDER BY i)
-    FROM (SELECT 0 AS i, 'p_partkey' AS c, 'bigint' AS d, count(p_partkey) AS f, count(*) AS n FROM part
-          UNION ALL SELECT 1, 'p_name', 'string', count(p_name), count(*) FROM part))"""
+PART_COLUMNS = (
+    ("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"), ("p_size", "int"), ("p_retailprice", "double"),
+)
+PART_FILLS = " UNION ALL ".join(
+    f"SELECT {i} AS i, '{c}' AS c, '{d}' AS d, count({c}) AS f, count(*) AS n FROM part" for i, (c, d) in enumerate(PART_COLUMNS)
+)
+PROFILE_SQL = f"""(SELECT string_agg('- `' || c || '` (' || d || ', заполнено: ' || f || '/' || n || ')', chr(10) ORDER BY i)
+    FROM ({PART_FILLS}))"""
 
 
 @query(f"""
@@ -259,9 +295,9 @@ PROFILE_SQL = """(SELECT string_agg('- `' || c || '` (' || d || ', заполн
         arg_max(event_id, attempt) AS last_id, string_agg('Попытка ' || attempt || ': ' || event_type || chr(10)
             || 'Доступные колонки: ' || event_type, chr(10) ORDER BY attempt) AS history,
         list_sort(list(DISTINCT event_type)) AS names, arg_max(event_type, attempt) AS last_type
-        FROM e WHERE attempt <= 2 GROUP BY ALL),
+        FROM e WHERE attempt <= 3 GROUP BY ALL),
     p AS (SELECT *, {PROFILE_SQL} AS info, '- `' || array_to_string(names, '`' || chr(10) || '- `') || '`' AS listed FROM l
-        WHERE won = 0)
+        WHERE won = 0 AND n < 3)
     SELECT user_id AS question_id, day AS feature_id, n + 1 AS attempt, CASE n
         WHEN 1 THEN {template_sql(templates.FIX_SQL, {
             "user_query": "'user ' || user_id", "feature_name": "day", "feature_description": "'events'", "columns_info": "info",
@@ -275,7 +311,8 @@ def next_sql_prompts(t: Tables) -> DataFrame:
     """The next prompt for SQL after one or two failed attempts: users are questions, their days features."""
     day = F.date_format("ts", "yyyy-MM-dd").alias("feature_id")
     log = t.events.select("*", day)
-    tries = first_rows(log, ["user_id", "feature_id"], [F.col("ts").asc(), F.col("event_id").asc()], 2)
+    in_turn = Window.partitionBy("user_id", "feature_id").orderBy("ts", "event_id")
+    tries = log.withColumn("_rank", F.row_number().over(in_turn))
     attempts = tries.select(
         F.col("user_id").alias("question_id"),
         "feature_id",
@@ -291,5 +328,5 @@ def next_sql_prompts(t: Tables) -> DataFrame:
     )
     questions = t.events.select(F.col("user_id").alias("question_id")).distinct()
     questions = questions.withColumn("question", F.concat(F.lit("user "), F.col("question_id").cast("string")))
-    info = profile_text(column_profile(t.part.select("p_partkey", "p_name")))
+    info = profile_text(column_profile(t.part))
     return sql_prompts(features, questions, info, attempts).withColumn("attempt", F.col("attempt").cast("bigint"))

@@ -177,12 +177,13 @@ def tagged_union_parts(t: Tables) -> DataFrame:
 
 
 @query("""
-    SELECT to_json(struct_pack(p_partkey := p_partkey, p_name := p_name, p_brand := p_brand)) AS document,
+    SELECT to_json(struct_pack(p_partkey := p_partkey, p_name := p_name, p_brand := p_brand, p_type := p_type, p_size := p_size,
+               p_retailprice := p_retailprice)) AS document,
            (SELECT count(*) FROM part) AS total
     FROM part ORDER BY p_partkey LIMIT 5""")
 def preview_parts(t: Tables) -> DataFrame:
     """First rows as JSON, with the true row count."""
-    return preview(t.part.select("p_partkey", "p_name", "p_brand"), 5, F.col("p_partkey").asc_nulls_last())
+    return preview(t.part, 5, F.col("p_partkey").asc_nulls_last())
 
 
 @query("""
@@ -193,7 +194,7 @@ def table_list(t: Tables) -> DataFrame:
     session = t.spark.newSession()
     for name in ("orders", "customer", "lineitem"):
         read_table(session, t.directory, name).createOrReplaceTempView(name)
-    return list_tables(session)
+    return list_tables(session).select("name", "rows")
 
 
 @query("""

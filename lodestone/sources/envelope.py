@@ -12,11 +12,10 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from lodestone.functions import fixed
 from lodestone.operators.profile import vector_column
-from lodestone.operators.reconcile import load_summary
 from lodestone.sources.mapping import mapping_of
 
 SUFFIX = "_export"
@@ -66,24 +65,29 @@ def read_export(spark: SparkSession, name: str, directory: str) -> DataFrame:
     return spark.read.schema(document).json(f"{directory.rstrip('/')}/{name}{SUFFIX}/documents")
 
 
-def read_envelopes(spark: SparkSession, path: str, source: T.StructType | None = None) -> DataFrame:
+def read_envelopes(spark: SparkSession, path: str, source: T.StructType | None = None, keep_empty: bool = False) -> DataFrame:
     """Documents of one-object envelope files: (table, `_id`, `_source`).
 
     The table is the file name without its ending. Missing keys read as empty. `source` is the schema of
-    `_source`; without it, `_source` stays JSON text.
+    `_source`; without it, `_source` stays JSON text. With `keep_empty` an envelope without documents is a row without id and source.
     """
     kind = source or T.StringType()
     document = T.StructType([T.StructField("_id", T.StringType()), T.StructField("_source", kind)])
     schema = T.StructType([T.StructField("documents", T.ArrayType(document))])
     files = spark.read.schema(schema).option("multiLine", True).json(path)
     name = F.regexp_extract(F.input_file_name(), rf"([^/]+){SUFFIX}\.json$", 1)
-    return files.select(name.alias("table"), F.explode("documents").alias("_d")).select("table", "_d.*")
+    held = F.explode_outer("documents") if keep_empty else F.explode("documents")
+    return files.select(name.alias("table"), held.alias("_d")).select("table", "_d.*")
+
+
+def is_valid() -> Column:
+    """Whether a document can be stored."""
+    return F.col("_id").isNotNull() & (F.col("_id") != "") & F.col("_source").isNotNull()
 
 
 def split_valid(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents that can be stored, and those that lack an id or a source."""
-    valid = F.col("_id").isNotNull() & (F.col("_id") != "") & F.col("_source").isNotNull()
-    return documents.where(valid), documents.where(~valid)
+    return documents.where(is_valid()), documents.where(~is_valid())
 
 
 @dataclass
@@ -97,47 +101,69 @@ class Load:
     critical: bool = False
 
 
-def import_documents(documents: DataFrame, path: str, overwrite: bool = False) -> Load:
-    """Store documents as Parquet, refused if the target exists and may not be overwritten.
+def _ids(rows: DataFrame):
+    """Count and sum of hashes of the ids: equal for the same ids in any order."""
+    row = rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("_id").cast("decimal(38,0)"))).first()
+    return row[0], row[1] or 0
+
 
-    The stored rows are compared with the valid ones by id afterwards.
+def import_documents(documents: DataFrame, path: str, mode: str = "new") -> Load:
+    """Store documents as Parquet.
+
+    `mode` is `new`, which refuses a target that exists, `overwrite`, or `append`, which adds to what is stored. The source is
+    read once: documents are counted while they are written, and the ids that the table has gained are compared with them.
     """
+    if mode not in ("new", "overwrite", "append"):
+        raise ValueError(f"mode: {mode}")
     spark = documents.sparkSession
-    if path_exists(spark, path) and not overwrite:
+    stored = path_exists(spark, path)
+    if stored and mode == "new":
         return Load(done=False)
-    good, bad = split_valid(documents)
+    before = _ids(spark.read.parquet(path)) if stored and mode == "append" else (0, 0)
     source = documents.schema["_source"].dataType
     columns = ["_id", "_source.*"] if isinstance(source, T.StructType) else ["_id", "_source"]
-    good.select(*columns).write.mode("overwrite").parquet(path)
-    row = load_summary(good.select("_id"), spark.read.parquet(path).select("_id")).head()
-    return Load(True, row["stored_rows"], bad.count(), row["complete"], row["critical"])
+    # Valid documents are seen as they are written, the others as they are left out.
+    seen = Observation()
+    counted = documents.withColumn("_valid", is_valid()).observe(
+        seen,
+        F.count_if("_valid").alias("good"),
+        F.count_if(~F.col("_valid")).alias("bad"),
+        F.sum(F.when(F.col("_valid"), F.xxhash64("_id").cast("decimal(38,0)"))).alias("ids"),
+    )
+    counted.where("_valid").select(*columns).write.mode("append" if mode == "append" else "overwrite").parquet(path)
+    rows, ids = _ids(spark.read.parquet(path))
+    good, bad, wanted = seen.get["good"], seen.get["bad"], seen.get["ids"] or 0
+    gained = rows - before[0]
+    return Load(True, gained, bad, gained == good and ids - before[1] == wanted, gained == 0 and good + bad > 0)
 
 
-def import_table(spark: SparkSession, name: str, directory: str, target: str, overwrite: bool = False) -> Load:
+def import_table(spark: SparkSession, name: str, directory: str, target: str, mode: str = "new") -> Load:
     """Load an export folder; a missing export is skipped."""
     try:
         documents = read_export(spark, name, directory)
     except AnalysisException:
         return Load(done=False)
-    return import_documents(documents, target, overwrite)
+    return import_documents(documents, target, mode)
 
 
 def import_directory(spark: SparkSession, directory: str, target: str, overwrite: bool = False) -> DataFrame:
     """Load every one-object envelope of a folder, one table per file; a summary row per table.
 
-    The files are read and stored once, split by table; the summary comes from what was stored.
+    The files are read and stored once, split by table; with `overwrite` the tables that the folder holds are replaced and all
+    others stay. The summary counts the documents of each table; zero stored documents are critical.
     """
-    documents = read_envelopes(spark, f"{directory.rstrip('/')}/*{SUFFIX}.json")
+    documents = read_envelopes(spark, f"{directory.rstrip('/')}/*{SUFFIX}.json", keep_empty=True)
     if path_exists(spark, target) and not overwrite:
         raise FileExistsError(target)
-    flagged = documents.withColumn(
-        "valid", F.col("_id").isNotNull() & (F.col("_id") != "") & F.col("_source").isNotNull()
-    )
-    flagged.write.mode("overwrite").partitionBy("table").parquet(target)
+    empty = F.col("_id").isNull() & F.col("_source").isNull()
+    flagged = documents.withColumn("valid", F.when(~empty, is_valid()))
+    flagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("table").parquet(target)
+    names = documents.select("table").distinct()
+    stored = spark.read.schema(flagged.schema).parquet(target).join(names, "table", "left_semi")
     return (
-        spark.read.schema(flagged.schema).parquet(target)
-        .groupBy("table")
+        stored.groupBy("table")
         .agg(F.count_if("valid").alias("imported"), F.count_if(~F.col("valid")).alias("failed"))
+        .withColumn("critical", F.col("imported") == 0)
     )
 
 
@@ -147,7 +173,7 @@ def rebuild_catalog(documents: DataFrame, path: str) -> Load:
     field = vector_column(source)
     if field not in source.names or not isinstance(source[field].dataType, T.ArrayType):
         raise ValueError("the documents hold no vector field")
-    return import_documents(documents, path, overwrite=True)
+    return import_documents(documents, path, "overwrite")
 
 
 def write_catalog_csv(features: DataFrame, path: str) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -37,17 +38,19 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType | None = N
 
 
 def list_tables(spark: SparkSession) -> DataFrame:
-    """Tables and views by name with their row counts; a table that cannot be read has none.
+    """Tables and views by name with their row counts; a table that cannot be resolved has none, and an error class instead.
 
-    One job per table, started from the table list of the catalog.
+    All tables are counted by one plan, a branch for each.
     """
-    counts = []
+    parts = [spark.createDataFrame([], "name string, rows bigint, error string")]
     for table in sorted(spark.catalog.listTables(), key=lambda t: t.name):
         try:
-            counts.append((table.name, spark.table(table.name).count()))
-        except Exception:
-            counts.append((table.name, None))
-    return spark.createDataFrame(counts, "name string, rows bigint")
+            rows = spark.table(f"`{table.name}`").agg(F.count(F.lit(1)).alias("rows"))
+            parts.append(rows.select(F.lit(table.name).alias("name"), "rows", F.lit(None).cast("string").alias("error")))
+        except AnalysisException as error:
+            missing = [(table.name, None, error.getCondition())]
+            parts.append(spark.createDataFrame(missing, "name string, rows bigint, error string"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def preview(df: DataFrame, n: int, *order_by: Column) -> DataFrame:

@@ -89,9 +89,17 @@ def test_one_object_envelopes(spark, folder):
         ("first", ""), ("first", "0"), ("first", "1"), ("second", "0"),
     ]
     summary = E.import_directory(spark, folder, f"{folder}/stored")
-    assert sorted(map(tuple, summary.collect())) == [("first", 2, 1), ("second", 1, 0)]
+    wanted = [("empty", 0, 0, True), ("first", 2, 1, False), ("second", 1, 0, False)]
+    assert sorted(map(tuple, summary.collect())) == wanted
     with pytest.raises(FileExistsError):
         E.import_directory(spark, folder, f"{folder}/stored")
+    # Loading one table again leaves the others.
+    os.makedirs(f"{folder}/again")
+    os.rename(f"{folder}/second_export.json", f"{folder}/again/second_export.json")
+    again = E.import_directory(spark, f"{folder}/again", f"{folder}/stored", overwrite=True)
+    assert list(map(tuple, again.collect())) == [("second", 1, 0, False)]
+    stored = spark.read.parquet(f"{folder}/stored").where("valid").groupBy("table").count()
+    assert sorted(map(tuple, stored.collect())) == [("first", 2), ("second", 1)]
 
 
 def test_import_refuses_and_overwrites(spark, folder):
@@ -100,7 +108,7 @@ def test_import_refuses_and_overwrites(spark, folder):
     load = E.import_documents(documents, target)
     assert (load.done, load.imported, load.failed, load.complete, load.critical) == (True, 2, 1, True, False)
     assert not E.import_documents(documents, target).done
-    assert E.import_documents(documents, target, overwrite=True).done
+    assert E.import_documents(documents, target, "overwrite").done
     assert E.rebuild_catalog(documents, target).imported == 2
     with pytest.raises(ValueError, match="vector"):
         E.rebuild_catalog(documents.select("_id", F.struct("_source.text").alias("_source")), target)
@@ -196,6 +204,7 @@ def test_catalog(spark):
     assert build_catalog(features, responses, vectors, path).imported == 1
     done = spark.createDataFrame([("a",)], "feature_name string")
     assert build_catalog(features, responses, vectors, path, done).imported == 0
+    assert spark.read.parquet(path).count() == 1
 
 
 def test_resumed_catalog_is_the_whole_catalog(spark):
@@ -205,14 +214,14 @@ def test_resumed_catalog_is_the_whole_catalog(spark):
         {"attempt": F.lit(1), "text": F.lit("d"), "error": F.lit(None).cast("string")}
     )
     vectors = features.select("feature_name", F.array(F.lit(1.0).cast("float")).alias("embedding"))
-    first, rest, whole = (shared_dir(spark, "catalog") for _ in range(3))
+    path, whole = (shared_dir(spark, "catalog") for _ in range(2))
     begun = features.where("feature_name < 'f17'").select("feature_name")
     build_catalog(features, responses, vectors, whole)
-    build_catalog(features, responses, vectors, rest, begun)
-    done = features.where("feature_name >= 'f17'").select("feature_name")
-    build_catalog(features, responses, vectors, first, done)
-    resumed = spark.read.parquet(first).unionByName(spark.read.parquet(rest))
-    assert sorted(map(str, resumed.collect())) == sorted(map(str, spark.read.parquet(whole).collect()))
+    late = responses.where("feature_name < 'f17'")
+    assert build_catalog(features, late, vectors, path).imported == 17
+    load = build_catalog(features, responses, vectors, path, begun)
+    assert (load.imported, load.complete) == (23, True)
+    assert sorted(map(str, spark.read.parquet(path).collect())) == sorted(map(str, spark.read.parquet(whole).collect()))
 
 
 def test_embed_hook(spark):
@@ -225,6 +234,14 @@ def test_embed_hook(spark):
 
     assert [r["embedding"] for r in embed(rows, "t", broken).collect()] == [[], []]
 
+    def picky(texts):
+        if "" in texts:
+            raise ValueError("nothing to embed")
+        return [[float(len(x))] for x in texts]
+
+    more = rows.unionByName(spark.createDataFrame([("x" * i,) for i in range(1, 6)], "t string")).coalesce(1)
+    assert sorted(r["embedding"] for r in embed(more, "t", picky).collect()) == [[], [1.0], [2.0], [2.0], [3.0], [4.0], [5.0]]
+
 
 def test_csv(spark, tmp_path):
     rows = spark.createDataFrame([("n", "t", "d")], "feature_name string, feature_type string, description string")

@@ -29,6 +29,7 @@ def progress_events(events: DataFrame) -> DataFrame:
         F.from_json("props", "map<string,string>").alias("details"),
         F.when(kind == "purchase", "completed").when(kind == "error", "error").alias("status"),
         F.when(kind == "error", F.concat(F.lit("event "), F.col("event_id").cast("string"))).alias("error"),
+        F.when(kind == "purchase", F.concat(F.lit('{"results_count": '), F.col("event_id").cast("string"), F.lit("}"))).alias("result"),
     )
 
 
@@ -37,7 +38,8 @@ EVENTS_SQL = """
         CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 ELSE 5 END AS step,
         least(100, greatest(0, floor(value)))::INTEGER AS progress, event_type AS message,
         CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'error' END AS status,
-        CASE event_type WHEN 'error' THEN 'event ' || event_id END AS error, json_extract_string(props, '$.k') AS k
+        CASE event_type WHEN 'error' THEN 'event ' || event_id END AS error,
+        CASE event_type WHEN 'purchase' THEN '{"results_count": ' || event_id || '}' END AS result, json_extract_string(props, '$.k') AS k
         FROM events)"""
 
 LATEST_SQL = f"""
@@ -50,7 +52,7 @@ LATEST_SQL = f"""
             AS progress,
         CASE status WHEN 'completed' THEN '{fixed.DONE_MESSAGE}' WHEN 'error' THEN 'Ошибка: ' || error ELSE message END
             AS message,
-        k, coalesce(status, 'processing') AS status, error, top AS max_progress, events,
+        k, coalesce(status, 'processing') AS status, error, result, top AS max_progress, events,
         CASE shown WHEN 1 THEN 'Генерация описания' WHEN 2 THEN 'Поиск в OpenSearch' WHEN 3 THEN 'Проверка признаков'
             WHEN 5 THEN 'Формирование ответа' WHEN 6 THEN 'Завершено' ELSE 'Обработка...' END AS step_name
     FROM s"""
@@ -84,24 +86,33 @@ def event_stream(t: Tables) -> DataFrame:
 
 @query(LATEST_SQL)
 def progress_stream(t: Tables) -> DataFrame:
-    """The same states from a stream."""
-    folder = shared_dir(t.spark, "progress")
-    stream = ProgressStream(t.spark, f"{folder}/state")
-    stream.start(progress_events(event_stream(t)), f"{folder}/checkpoint").awaitTermination()
+    """The same states from a stream, in Spark's state store."""
+    stream = ProgressStream(t.spark, shared_dir(t.spark, "progress"), evict_seconds=None)
+    stream.start(progress_events(event_stream(t))).awaitTermination()
+    return _flat(stream.state())
+
+
+@query(f"""
+    SELECT * FROM ({LATEST_SQL}) WHERE status = 'processing'
+        OR epoch_ms(ts) + 30000 >= (SELECT epoch_ms(max(ts)) FROM events) - 10000""")
+def progress_stream_evicted(t: Tables) -> DataFrame:
+    """The states that a stream still holds at the end: those that ended have left, half a minute behind the watermark."""
+    stream = ProgressStream(t.spark, shared_dir(t.spark, "progress"))
+    stream.start(progress_events(event_stream(t))).awaitTermination()
     return _flat(stream.state())
 
 
 FEED_SQL = f"""
     WITH {EVENTS_SQL},
     f AS (SELECT *, min(CASE WHEN status IS NOT NULL THEN ts END) OVER (PARTITION BY request_id) AS ended FROM p)
-    SELECT request_id, ts, seq, step, progress, message, status, error, coalesce(ts = ended, false) AS final
+    SELECT request_id, ts, seq, step, progress, message, status, error, result, coalesce(ts = ended, false) AS final
     FROM f WHERE ended IS NULL OR ts <= ended"""
 
 
 def _feed(feed: DataFrame) -> DataFrame:
     return feed.select(
         "request_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "seq", "step",
-        clamp(F.col("progress")).alias("progress"), "message", "status", "error", "final",
+        clamp(F.col("progress")).alias("progress"), "message", "status", "error", "result", "final",
     )
 
 
@@ -113,9 +124,9 @@ def progress_feed(t: Tables) -> DataFrame:
 
 @query(FEED_SQL)
 def progress_feed_stream(t: Tables) -> DataFrame:
-    folder = shared_dir(t.spark, "feed")
-    stream = ProgressStream(t.spark, f"{folder}/state", f"{folder}/feed")
-    stream.start(progress_events(event_stream(t)), f"{folder}/checkpoint").awaitTermination()
+    """The same feed from a stream."""
+    stream = ProgressStream(t.spark, shared_dir(t.spark, "feed"))
+    stream.start_feed(progress_events(event_stream(t))).awaitTermination()
     return _feed(stream.feed())
 
 

@@ -1,26 +1,33 @@
 """Progress of requests: latest state, lifecycle, and the ordered feed, in batch and as a stream.
 
-Events have the columns request_id, ts, seq, step, progress, message, details, status and error. Last write
-wins by (ts, seq); the first event whose status is `completed` or `error` ends a request.
+Events have the columns request_id, ts, seq, step, progress, message, details, status, error and result (the JSON of what a
+finished request gives). Last write wins by (ts, seq); the first event whose status is `completed` or `error` ends a request.
 
-The state of a stream is one mergeable row per request. Each micro-batch is reduced by a built-in aggregation,
-with its partial step before the shuffle, so a request with very many events is no burden for one task.
-State versions are tables in the shared folder, one per batch: a batch that runs again after a failure reads
-the version before it and writes the same one.
+The state of a stream is one row per request in Spark's state store. A micro-batch is reduced to one row per request and Arrow
+batch before the shuffle, so a request with very many events is no burden for one task. A request that has ended leaves the store when
+the watermark has passed its end by `evict_seconds`: from then on Spark drops what comes late for it, and until then its end stays
+known, so nothing revives it. The feed is an append-only table of Spark's file sink, cut at the end of each request when read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.functions import fixed
 
 EVENT = (
     "request_id string, ts timestamp, seq bigint, step int, progress int, message string, "
-    "details map<string,string>, status string, error string"
+    "details map<string,string>, status string, error string, result string"
 )
 COLUMNS = tuple(field.split()[0] for field in EVENT.split(", "))
+RECORD = ", ".join(field for field in EVENT.split(", ") if field.split()[0] not in ("request_id", "ts", "seq"))
+_PARTIAL = "request_id string, record string, ended boolean, at bigint, seq bigint, last_at bigint, max_progress int, events bigint"
+_STATE = _PARTIAL.removeprefix("request_id string, ")
 TERMINAL = ("completed", "error")
 
 
@@ -74,16 +81,6 @@ def reduce_events(events: DataFrame) -> DataFrame:
     )
 
 
-def merge_states(old: DataFrame, new: DataFrame) -> DataFrame:
-    priority = _priority(F.col("event.status"), F.col("event.ts"), F.col("event.seq"))
-    return old.unionByName(new).groupBy("request_id").agg(
-        F.min_by("event", priority).alias("event"),
-        F.max("last_ts").alias("last_ts"),
-        F.max("max_progress").alias("max_progress"),
-        F.sum("events").alias("events"),
-    )
-
-
 def show_states(states: DataFrame) -> DataFrame:
     """The record a client sees for each request."""
     now = F.col("event")
@@ -100,6 +97,7 @@ def show_states(states: DataFrame) -> DataFrame:
         now["details"].alias("details"),
         F.when(done | failed, now["status"]).otherwise("processing").alias("status"),
         F.when(failed, now["error"]).alias("error"),
+        F.when(done, now["result"]).alias("result"),
         "max_progress",
         "events",
     ).withColumn("step_name", step_name(F.col("step")))
@@ -118,95 +116,91 @@ def evict(states: DataFrame, now: Column, seconds: int = fixed.EVICT_SECONDS) ->
     return states.where(~F.coalesce(gone, F.lit(False)))
 
 
-def event_feed(events: DataFrame, ended: DataFrame | None = None) -> DataFrame:
+def event_feed(events: DataFrame) -> DataFrame:
     """Events of each request up to its terminal one, which is marked as final.
 
-    `ended` holds the states of earlier batches. The join's other side has one row per request, so Spark may
-    split a request with very many events over tasks.
+    The join's other side has one row per request, so Spark may split a request with very many events over tasks.
     """
     ends = events.where(F.col("status").isin(*TERMINAL)).groupBy("request_id").agg(F.min(_order()).alias("_end"))
-    if ended is not None:
-        before = ended.where(F.col("event.status").isin(*TERMINAL)).select(
-            "request_id", F.struct("event.ts", "event.seq").alias("_end")
-        )
-        ends = ends.unionByName(before).groupBy("request_id").agg(F.min("_end").alias("_end"))
     feed = events.join(ends, "request_id", "left").where(F.col("_end").isNull() | (_order() <= F.col("_end")))
     return feed.withColumn("final", F.coalesce(_order() == F.col("_end"), F.lit(False))).drop("_end")
 
 
+def _reduced(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row per request: the event to show by the rule of `_priority`, and the sums."""
+    sign = rows["ended"].map({True: 1, False: -1})
+    order = pd.DataFrame({"open": ~rows["ended"], "at": rows["at"] * sign, "seq": rows["seq"] * sign})
+    first = rows.loc[order.sort_values(["open", "at", "seq"], kind="stable").index].drop_duplicates("request_id")
+    sums = rows.groupby("request_id").agg(last_at=("last_at", "max"), max_progress=("max_progress", "max"), events=("events", "sum"))
+    return first[["request_id", "record", "ended", "at", "seq"]].merge(sums, left_on="request_id", right_index=True)
+
+
+def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        if len(rows):
+            yield _reduced(rows)
+
+
+def _updater(evict_seconds: int | None):
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = pd.DataFrame([(*key, *state.get)], columns=[c.split()[0] for c in _PARTIAL.split(", ")]) if state.exists else None
+        for rows in batches:
+            held = _reduced(rows if held is None else pd.concat([held, rows], ignore_index=True))
+        row = held.iloc[0]
+        state.update((row.record, bool(row.ended), int(row["at"]), int(row.seq), int(row.last_at), int(row.max_progress), int(row.events)))
+        if evict_seconds is not None and row.ended:
+            state.setTimeoutTimestamp(max(int(row["at"]) // 1000 + 1000 * evict_seconds, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"request_id": [key[0]]})
+
+    return update
+
+
 class ProgressStream:
-    """Keeps the state of requests from a stream of events, and optionally writes their feed."""
+    """Keeps the state of requests from a stream of events below `folder`, and optionally their feed.
+
+    `evict_seconds=None` keeps ended requests for ever. Events may come `lateness` late.
+    """
 
     def __init__(
-        self,
-        spark: SparkSession,
-        state_dir: str,
-        feed_dir: str | None = None,
-        evict_seconds: int | None = None,
-        keep_versions: int = 10,
-    ):
-        self.spark = spark
-        self.state_dir = state_dir.rstrip("/")
-        self.feed_dir = feed_dir and feed_dir.rstrip("/")
-        self.evict_seconds = evict_seconds
-        self.keep_versions = keep_versions
-
-    def _path(self, name: str = ""):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.state_dir}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def _versions(self) -> list[int]:
-        """Numbers of the whole versions, in order."""
-        fs, folder = self._path()
-        if not fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        return sorted(int(n[2:]) for n in names if n.startswith("v-") and fs.exists(self._path(f"{n}/_SUCCESS")[1]))
-
-    def _drop_old(self) -> None:
-        """A batch that runs again needs only the version before it, so old ones may go."""
-        for version in self._versions()[: -self.keep_versions]:
-            fs, folder = self._path(f"v-{version}")
-            fs.delete(folder, True)
-
-    def _read(self, version: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.state_dir}/v-{version}")
-
-    def process(self, batch: DataFrame, batch_id: int) -> None:
-        """Merge one micro-batch; running it again gives the same version."""
-        batch = batch.select(*COLUMNS).persist()
-        try:
-            self._merge(batch, batch_id)
-        finally:
-            batch.unpersist()
-
-    def _merge(self, batch: DataFrame, batch_id: int) -> None:
-        earlier = [v for v in self._versions() if v < batch_id]
-        old = self._read(earlier[-1]) if earlier else None
-        if self.feed_dir:
-            feed = event_feed(batch, old)
-            feed.sortWithinPartitions("request_id", "ts", "seq").write.mode("overwrite").parquet(
-                f"{self.feed_dir}/batch={batch_id}"
-            )
-        states = reduce_events(batch)
-        if old is not None:
-            states = merge_states(old, states)
+        self, spark: SparkSession, folder: str, evict_seconds: int | None = fixed.EVICT_SECONDS, lateness: str = "10 seconds"
+    ):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.evict_seconds, self.lateness = evict_seconds, lateness
+
+    def start(self, events: DataFrame, **trigger) -> StreamingQuery:
+        """The query that keeps the states."""
+        ended = F.coalesce(F.col("status").isin(*TERMINAL), F.lit(False))
+        rows = events.select(
+            "request_id", F.to_json(F.struct(*[field.split()[0] for field in RECORD.split(", ")])).alias("record"),
+            ended.alias("ended"), F.unix_micros("ts").alias("at"), "seq", F.unix_micros("ts").alias("last_at"),
+            clamp(F.col("progress")).alias("max_progress"), F.lit(1).cast("bigint").alias("events"),
+        ).mapInPandas(_partial, _PARTIAL)
+        timeout = GroupStateTimeout.NoTimeout
         if self.evict_seconds is not None:
-            now = states.agg(F.max("last_ts")).scalar()
-            states = evict(states, now, self.evict_seconds)
-        states.write.mode("overwrite").parquet(f"{self.state_dir}/v-{batch_id}")
-        self._drop_old()
+            rows = rows.withColumn("_ts", F.timestamp_micros("last_at")).withWatermark("_ts", self.lateness)
+            timeout = GroupStateTimeout.EventTimeTimeout
+        states = rows.groupBy("request_id").applyInPandasWithState(
+            _updater(self.evict_seconds), "request_id string", _STATE, "update", timeout
+        )
+        writer = states.writeStream.outputMode("update").format("noop").option("checkpointLocation", f"{self.folder}/states")
+        return writer.trigger(**(trigger or {"availableNow": True})).start()
 
-    def start(self, events: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-        writer = events.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
+    def start_feed(self, events: DataFrame, **trigger) -> StreamingQuery:
+        """The query that appends all events to the feed's table."""
+        writer = events.select(*COLUMNS).writeStream.outputMode("append").format("parquet")
+        writer = writer.option("path", f"{self.folder}/feed").option("checkpointLocation", f"{self.folder}/feed-progress")
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
     def state(self) -> DataFrame:
-        """Latest state of every request that has not been evicted."""
-        versions = self._versions()
-        if not versions:
-            return latest_progress(self.spark.createDataFrame([], EVENT))
-        return show_states(self._read(versions[-1]))
+        """Latest state of every request that has not been evicted, read from the state store."""
+        stored = self.spark.read.format("statestore").load(f"{self.folder}/states").select("key.request_id", "value.groupState.*")
+        held = F.from_json("record", RECORD)
+        event = F.struct(F.timestamp_micros("at").alias("ts"), "seq", *[held[f.split()[0]].alias(f.split()[0]) for f in RECORD.split(", ")])
+        return show_states(stored.select("request_id", event.alias("event"), "max_progress", "events"))
 
     def feed(self) -> DataFrame:
-        return self.spark.read.parquet(self.feed_dir)
+        """Events of each request up to its end."""
+        return event_feed(self.spark.read.schema(EVENT).parquet(f"{self.folder}/feed"))

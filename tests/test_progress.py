@@ -19,6 +19,7 @@ def events_of(spark, rows):
         F.create_map(F.lit("k"), F.col("seq").cast("string")).alias("details"),
         "status",
         F.when(F.col("status") == "error", "broken").alias("error"),
+        F.when(F.col("status") == "completed", F.concat(F.lit("r"), "seq")).alias("result"),
     )
 
 
@@ -46,6 +47,7 @@ def test_lifecycle(spark):
     found = {r["request_id"]: r for r in P.latest_progress(events_of(spark, rows)).collect()}
     assert (found["a"]["step"], found["a"]["progress"], found["a"]["status"]) == (3, 50, "processing")
     assert (found["b"]["step"], found["b"]["progress"], found["b"]["status"]) == (6, 100, "completed")
+    assert (found["b"]["result"], found["c"]["result"], found["a"]["result"]) == ("r2", None, None)
     assert found["b"]["step_name"] == "Завершено" and found["b"]["message"] == "Запрос выполнен успешно"
     assert (found["c"]["step"], found["c"]["message"], found["c"]["error"]) == (0, "Ошибка: broken", "broken")
     assert found["d"]["progress"] == 100
@@ -67,51 +69,52 @@ def write_batches(spark, rows, parts):
     return folder
 
 
+def source(spark, folder):
+    schema = events_of(spark, [("a", 0, 0, 0, 0, None)]).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
 def test_stream_equals_batch(spark):
     rows = some_events()
     folder = write_batches(spark, rows, 4)
-    schema = events_of(spark, rows).schema
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
-    out = shared_dir(spark, "progress")
-    stream = P.ProgressStream(spark, f"{out}/state", f"{out}/feed")
-    stream.start(source, f"{out}/checkpoint").awaitTermination()
-    assert len(stream._versions()) == 4
+    stream = P.ProgressStream(spark, shared_dir(spark, "progress"), evict_seconds=None)
+    stream.start(source(spark, folder)).awaitTermination()
+    stream.start_feed(source(spark, folder)).awaitTermination()
     events = events_of(spark, rows)
     assert plain(stream.state()) == plain(P.latest_progress(events))
-    fed = stream.feed().drop("batch")
-    assert plain(fed.select(*P.COLUMNS, "final")) == plain(P.event_feed(events).select(*P.COLUMNS, "final"))
+    assert plain(stream.feed().select(*P.COLUMNS, "final")) == plain(P.event_feed(events).select(*P.COLUMNS, "final"))
 
 
-def test_batch_that_runs_again(spark):
-    rows = some_events()
-    out = shared_dir(spark, "progress")
-    stream = P.ProgressStream(spark, f"{out}/state", f"{out}/feed")
-    stream.process(events_of(spark, rows[:300]), 0)
-    stream.process(events_of(spark, rows[300:]), 1)
-    once = plain(stream.state()), plain(stream.feed())
-    stream.process(events_of(spark, rows[300:]), 1)
-    assert (plain(stream.state()), plain(stream.feed())) == once
-
-
-def test_eviction(spark):
-    out = shared_dir(spark, "progress")
-    stream = P.ProgressStream(spark, f"{out}/state", evict_seconds=30)
-    assert stream.state().count() == 0
-    stream.process(events_of(spark, [("a", 0, 1, 1, 5, "completed"), ("b", 0, 2, 1, 5, None)]), 0)
-    assert {r["request_id"] for r in stream.state().collect()} == {"a", "b"}
-    stream.process(events_of(spark, [("c", 30, 3, 1, 5, None)]), 1)
-    assert {r["request_id"] for r in stream.state().collect()} == {"a", "b", "c"}
-    stream.process(events_of(spark, [("c", 31, 4, 1, 6, None)]), 2)
-    assert {r["request_id"] for r in stream.state().collect()} == {"b", "c"}
-
-
-def test_old_versions_go(spark):
-    out = shared_dir(spark, "progress")
-    stream = P.ProgressStream(spark, f"{out}/state", keep_versions=2)
-    for i in range(4):
-        stream.process(events_of(spark, [(f"r{i}", i, i, 1, 5, None)]), i)
-    assert stream._versions() == [2, 3]
-    assert stream.state().count() == 4
+def add(spark, folder, name, rows):
+    events_of(spark, rows).coalesce(1).write.parquet(f"{folder}/{name}")
+
+
+def test_a_stream_goes_on_where_it_stopped(spark):
+    folder = shared_dir(spark, "events")
+    stream = P.ProgressStream(spark, shared_dir(spark, "progress"))
+    add(spark, folder, "p0", [("a", 0, 1, 1, 5, None), ("b", 0, 2, 1, 5, None)])
+    stream.start(source(spark, folder)).awaitTermination()
+    add(spark, folder, "p1", [("a", 3, 3, 2, 30, None), ("c", 3, 4, 1, 5, None)])
+    stream.start(source(spark, folder)).awaitTermination()
+    assert sorted((r.request_id, r.progress, r.events) for r in stream.state().collect()) == [("a", 30, 2), ("b", 5, 1), ("c", 5, 1)]
+
+
+def test_eviction_and_late_events(spark):
+    """An ended request is held for 30 s of event time and leaves then; what comes late for it changes nothing."""
+    folder = shared_dir(spark, "events")
+    stream = P.ProgressStream(spark, shared_dir(spark, "progress"), lateness="0 seconds")
+
+    def after(name, rows):
+        add(spark, folder, name, rows)
+        stream.start(source(spark, folder)).awaitTermination()
+        return {r.request_id: r.status for r in stream.state().collect()}
+
+    assert after("p0", [("a", 0, 1, 1, 5, "completed"), ("b", 0, 2, 1, 5, None)]) == {"a": "completed", "b": "processing"}
+    assert after("p1", [("c", 20, 3, 1, 5, None)])["a"] == "completed"
+    # Still held, so an event behind the end does not revive it.
+    assert after("p2", [("a", 25, 4, 1, 6, None)])["a"] == "completed"
+    assert after("p3", [("c", 60, 5, 1, 6, None)]) == {"b": "processing", "c": "processing"}
+    assert after("p4", [("a", 26, 6, 2, 7, None)]) == {"b": "processing", "c": "processing"}
 
 
 def test_feed_ends_with_one_final_event(spark):

@@ -80,6 +80,11 @@ def usage_report(events: DataFrame, prices: DataFrame, default_price: float | No
     )
 
 
+def report_since(responses: DataFrame, prices: DataFrame, reset: str, ts: str = "ts") -> DataFrame:
+    """The report after a reset at the given time. Nothing is deleted; what was used before is left out."""
+    return usage_report(usage_events(in_period(responses, reset, None, ts)), prices)
+
+
 def report_lines(report: DataFrame) -> DataFrame:
     """The report as text blocks, models by name and the grand total last."""
     rule = "=" * fixed.REPORT_WIDTH

@@ -31,11 +31,21 @@ STATEMENTS = {
 }
 
 
-def _answers(t: Tables) -> Answers:
-    """A question per label; the catalog is the documents that have a vector."""
+def _answers(t: Tables, summarised: bool = False) -> Answers:
+    """A question per label; the catalog is the documents that have a vector.
+
+    With `summarised` every question has a model's text, and there is one more, without a vector, that finds nothing.
+    """
     questions = centroids(t.embeddings).select(
         F.col("label").alias("question_id"), F.concat(F.lit("label "), "label").alias("question"), "embedding"
     )
+    summaries = None
+    if summarised:
+        none = questions.agg((F.max("question_id") + 1).alias("question_id")).select(
+            "question_id", F.concat(F.lit("label "), "question_id").alias("question"), F.array().cast("array<double>").alias("embedding")
+        )
+        questions = questions.unionByName(none)
+        summaries = questions.select("question_id", F.concat(F.lit(" Итог "), F.col("question_id").cast("string"), F.lit(". ")).alias("text"))
     documents = t.documents.select("doc_id", "lang", "text")
     catalog = t.embeddings.join(documents, F.col("vec_id") == F.col("doc_id")).select(
         F.col("vec_id").alias("_id"), "text", "lang", "embedding"
@@ -62,7 +72,7 @@ def _answers(t: Tables) -> Answers:
     statements = statements.withColumn("attempt", F.col("at") + 1).drop("at")
     return run_questions(
         t.spark, questions, hits, verdicts, statements,
-        lambda session: records(read_table(session, t.directory, "customer")),
+        lambda session: records(read_table(session, t.directory, "customer")), summaries,
     )
 
 
@@ -168,6 +178,17 @@ def answer_lines(t: Tables) -> DataFrame:
     return lines.select("question_id", "position", "line")
 
 
+@query(TEXTS_SQL[: TEXTS_SQL.index("    b AS (SELECT label, total")].rstrip().rstrip(",") + f"""
+    SELECT q.label AS question_id, CASE WHEN f.label IS NULL THEN 'no_features' ELSE 'answered' END AS status,
+        CASE WHEN f.label IS NULL THEN '{fixed.NO_FEATURES_ANSWER}' ELSE 'Итог ' || q.label || '.' || CASE WHEN points IS NULL THEN ''
+            ELSE chr(10) || chr(10) || '📍 {fixed.POINTS_TITLE}' || chr(10) || replace(points, 'Запись ', '• ') END END AS answer
+    FROM (SELECT DISTINCT label FROM hits) q LEFT JOIN (SELECT DISTINCT label FROM f) f USING (label) LEFT JOIN pt USING (label)
+    UNION ALL SELECT max(label) + 1, 'no_hits', '{fixed.NO_HITS_ANSWER}' FROM embeddings""")
+def answer_summaries(t: Tables) -> DataFrame:
+    """Answers with a model's text, to which the points are added; and a question without hits."""
+    return _answers(t, summarised=True).answers.select("question_id", "status", "answer")
+
+
 @query(TEXTS_SQL[: TEXTS_SQL.index("    r AS (SELECT c_custkey")].rstrip().rstrip(",") + f""",
     e(lang, sql, error_class) AS (VALUES ('es', '{STATEMENTS["es"][0]}', 'PARSE_SYNTAX_ERROR'),
         ('es', '{STATEMENTS["es"][1]}', 'CAST_INVALID_INPUT'), ('fr', '{STATEMENTS["fr"][0]}', 'UNRESOLVED_COLUMN.WITH_SUGGESTION'))

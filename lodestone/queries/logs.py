@@ -98,7 +98,7 @@ def verdict_resolution(t: Tables) -> DataFrame:
     return resolve_verdicts(responses, ["user_id", "day"], words=("7",))
 
 
-def _usage(t: Tables) -> DataFrame:
+def usage(t: Tables) -> DataFrame:
     """Conversations as responses: the role picks the model, text lengths are tokens.
 
     A user turn has no total, as in a response that gives only its parts.
@@ -130,7 +130,7 @@ USAGE_SQL = """
         round(c / requests, 6) AS avg_completion, round(cost / requests, 6) AS avg_cost, is_total FROM r""")
 def usage_rollup(t: Tables) -> DataFrame:
     """Tokens and cost per model, and in total."""
-    report = usage_report(usage_events(_usage(t)), price_table(t.spark))
+    report = usage_report(usage_events(usage(t)), price_table(t.spark))
     rounded = ("cost", "avg_tokens", "avg_prompt", "avg_completion", "avg_cost")
     return report.withColumns({c: F.round(c, 6) for c in rounded})
 
@@ -151,7 +151,7 @@ def usage_rollup(t: Tables) -> DataFrame:
             || printf('   💰 Средняя стоимость запроса: %.4f ₽', cost / requests) END AS block FROM b""")
 def usage_text(t: Tables) -> DataFrame:
     """The usage report as text."""
-    return report_lines(usage_report(usage_events(_usage(t)), price_table(t.spark)))
+    return report_lines(usage_report(usage_events(usage(t)), price_table(t.spark)))
 
 
 def metered(events: DataFrame) -> DataFrame:

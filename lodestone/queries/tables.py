@@ -50,7 +50,7 @@ def column_profile_text(t: Tables) -> DataFrame:
     return profile_text(column_profile(t.orders))
 
 
-def _guarded(t: Tables, table: str, sql: str) -> DataFrame:
+def guarded(t: Tables, table: str, sql: str) -> DataFrame:
     """Run SQL over one table as `df`."""
     guard = GuardedSql(t.spark, lambda session: read_table(session, t.directory, table))
     outcome = guard.analyse(sql)
@@ -63,7 +63,7 @@ def sql_query(name: str, table: str, sql: str) -> None:
     """Register a statement over `df`; the same text is its own check."""
 
     def run(t: Tables) -> DataFrame:
-        return _guarded(t, table, sql)
+        return guarded(t, table, sql)
 
     run.__name__ = name
     query(f"WITH df AS (SELECT * FROM {table}) SELECT * FROM ({sql})")(run)
@@ -257,7 +257,7 @@ def load_totals(t: Tables) -> DataFrame:
     )
 
 
-def _features(t: Tables) -> DataFrame:
+def features_of_events(t: Tables) -> DataFrame:
     """Events as vector-layer records: the type is the layer, the JSON properties are attributes."""
     point = F.concat(F.lit("POINT ("), "user_id", F.lit(" "), F.col("value").cast("int"), F.lit(")"))
     has_geometry = F.col("event_type") != "error"
@@ -278,7 +278,7 @@ def _features(t: Tables) -> DataFrame:
     UNION ALL SELECT event_type, event_id, 'kind', NULL FROM events""")
 def attributes_by_feature(t: Tables) -> DataFrame:
     """Attributes in long form, whole numbers as numbers."""
-    rows = attributes_long(_features(t), "layer", "id")
+    rows = attributes_long(features_of_events(t), "layer", "id")
     whole = F.when(F.col("attribute") == "k", plain_value(F.col("value"), "bigint"))
     return rows.select("layer", "id", "attribute", whole.alias("number"))
 
@@ -287,14 +287,14 @@ def attributes_by_feature(t: Tables) -> DataFrame:
     SELECT event_type AS layer, CASE WHEN event_type <> 'error' THEN 0 END AS geometry_type, count(*) AS features,
            count(*) FILTER (event_type <> 'error') AS with_geometry FROM events GROUP BY 1, 2""")
 def layer_profile_events(t: Tables) -> DataFrame:
-    return layer_profile(_features(t), "layer")
+    return layer_profile(features_of_events(t), "layer")
 
 
 @query("""
     SELECT event_type AS layer, a.attribute, count(*) AS filled, a.value_type FROM events,
     (VALUES ('k', 'integer'), ('amount', 'real'), ('kind', 'string')) a(attribute, value_type) GROUP BY 1, 2, 4""")
 def attribute_profile_events(t: Tables) -> DataFrame:
-    return attribute_profile(_features(t), "layer")
+    return attribute_profile(features_of_events(t), "layer")
 
 
 @query("""

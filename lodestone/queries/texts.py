@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.functions import fixed, templates, text as X
 from lodestone.operators.attempts import bindings_text
+from lodestone.plans.answer import question_text
 from lodestone.queries.registry import Tables, query
 
 WS = f"'{fixed.WHITESPACE}'"
@@ -150,10 +151,11 @@ def prompt_table(t: Tables) -> DataFrame:
 def described_questions(t: Tables) -> DataFrame:
     """Each user turn with the response to it, else the turn itself."""
     turns = t.conversations
-    responses = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("_r"))
-    questions = turns.where("role = 'user'").join(responses, ["conv_id", "turn"], "left")
-    described = F.coalesce(F.nullif(X.strip("_r"), F.lit("")), F.col("text"))
-    return questions.select("conv_id", "turn", described.alias("search_text"))
+    question = F.struct("conv_id", "turn").alias("question_id")
+    questions = turns.where("role = 'user'").select(question, F.col("text").alias("question"))
+    answered = F.struct("conv_id", (F.col("turn") - 1).alias("turn")).alias("question_id")
+    responses = turns.where("role = 'assistant'").select(answered, "text")
+    return question_text(questions, responses).select("question_id.*", "search_text")
 
 
 @query(f"""

@@ -85,6 +85,23 @@ def is_valid() -> Column:
     return F.col("_id").isNotNull() & (F.col("_id") != "") & F.col("_source").isNotNull()
 
 
+def write_envelope(documents: DataFrame, name: str, directory: str) -> None:
+    """Documents (`_id`, `_source`) as a one-object envelope file `name`_export.json, for readers that need that form.
+
+    The form holds all documents in one object, so one task writes it; `export_table` has no such limit.
+    """
+    spark = documents.sparkSession
+    body = documents.agg(F.collect_list(F.struct("_id", "_source")).alias("documents"), F.count(F.lit(1)).alias("total_documents"))
+    target = f"{directory.rstrip('/')}/{name}{SUFFIX}"
+    body.select(F.to_json(F.struct(F.lit(name).alias("index_name"), "*")).alias("value")).coalesce(1).write.text(target)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(target)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(s.getPath() for s in files.listStatus(folder) if s.getPath().getName().startswith("part-"))
+    files.rename(part, hadoop.Path(f"{target}.json"))
+    files.delete(folder, True)
+
+
 def split_valid(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents that can be stored, and those that lack an id or a source."""
     return documents.where(is_valid()), documents.where(~is_valid())

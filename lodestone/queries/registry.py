@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.session import read_table
+from lodestone.session import read_table, share_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,4 +39,5 @@ def query(sql: str | None = None) -> Callable:
 
 
 def _run(function: Callable[[Tables], DataFrame], spark: SparkSession, directory: str) -> DataFrame:
+    share_package(spark)
     return function(Tables(spark, directory))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -19,15 +20,22 @@ from lodestone.llm.substring_dedup import substring_dedup
 from lodestone.llm.suffix_dedup import suffix_dedup
 from lodestone.llm.token_output import read_tokens, write_tokens
 from lodestone.llm.toxicity import toxicity
-from lodestone.session import read_table, shared_dir
+from lodestone.session import read_table, share_package, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
-    return f
+    """Registers a query under its name; executors get the package with it."""
+
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        share_package(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,17 +27,20 @@ _COUNTS = np.array([1, *(c for c, _ in LAYOUTS)], np.int64)
 def _selectors(ids: np.ndarray) -> np.ndarray:
     """For every place the selector of the most ids from there that fit in one word of their block."""
     n = len(ids)
-    place = np.arange(n)
-    left = np.minimum(BLOCK_IDS - place % BLOCK_IDS, n - place)
+    left = np.minimum(BLOCK_IDS - np.arange(n) % BLOCK_IDS, np.arange(n, 0, -1))
     out = np.zeros(n, np.uint8)
     largest = int(ids.max()) if n else 0
+    narrow = ids.astype(np.uint32) if largest < 1 << 32 else ids
     for selector, (count, width) in reversed(list(enumerate(LAYOUTS, 1))):
-        if largest >> width:
-            wide = np.where(ids >> np.uint64(width) != 0, place, n + count)
-            run = np.minimum.accumulate(wide[::-1])[::-1] - place
-            out[(run >= count) & (left >= count)] = selector
-        else:
+        if not largest >> width:
             out[left >= count] = selector
+            continue
+        fitting = np.flatnonzero(narrow < 1 << width) if width < 32 or narrow.dtype == np.uint64 else np.arange(n)
+        if len(fitting) >= count:
+            # A run of places in a row is as long as their difference says.
+            starts = fitting[: len(fitting) - count + 1]
+            starts = starts[fitting[count - 1 :] - starts == count - 1]
+            out[starts[left[starts] >= count]] = selector
     return out
 
 

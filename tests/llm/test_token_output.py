@@ -11,12 +11,16 @@ from tokenizers import Tokenizer
 from lodestone.llm import simple8b
 from lodestone.llm.queries import QUERIES
 from lodestone.llm.simple8b import BLOCK_IDS, END, LAYOUTS, Shard, ShardWriter, decode, encode
-from lodestone.llm.token_output import Encoder, read_tokens, write_tokens
+from lodestone.llm.token_output import Encoder, encoder, read_tokens, write_tokens
 from rows import clashing, frame, prose
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+def same(one, other, bodies):
+    return [x.tolist() for x in one.encode(bodies)] == [x.tolist() for x in other.encode(bodies)]
+
+
 def direct(texts):
     """(start, n, crc) of texts that are encoded whole."""
     tokenizer, start, out = Tokenizer.from_file(PATH), 0, []
@@ -63,9 +67,10 @@ def test_shard_and_blocks(monkeypatch):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(st.sampled_from("aB é́ßŞİΣς'sS \n\t\x0b\x1c  　<|endoftext|>9½#_漢"), max_size=40))
+@given(st.text(st.sampled_from("aB é́ßŞİΣς.,!'sS§K \n\t\x0b\x1c  　<|endoftext|>9½#_漢"), max_size=40))
 def test_words_are_encoded_as_in_whole_texts(text):
-    assert Encoder(PATH, True)(text.encode()) == Encoder(PATH, False)(text.encode())
+    bodies = [text.encode(), b"A, b."]
+    assert same(encoder(PATH), encoder(PATH, False), bodies)
 
 
 def test_files(spark, tmp_path):
@@ -97,12 +102,30 @@ def test_empty_table(spark, tmp_path):
 
 
 def test_remembered_words_are_bounded(monkeypatch):
-    monkeypatch.setattr("lodestone.llm.token_output.REMEMBERED", 5)
-    encoder, fresh = Encoder(PATH, True), Encoder(PATH, False)
-    for i in range(20):
-        body = prose(20, i).encode()
-        assert encoder(body) == fresh(body)
-        assert len(encoder.known) <= 5 + 20
+    monkeypatch.setattr("lodestone.llm.token_output.REMEMBERED", 30)
+    words, whole = Encoder(PATH, True), Encoder(PATH, False)
+    for i in range(40):
+        bodies = [prose(20, i, 60).encode(), b"", b"w1. <|endoftext|> W2,"]
+        assert same(words, whole, bodies)
+        assert len(words.known) <= 30 and len(words.first) == len(words.size) == len(words.used) == len(words.known)
+
+
+def test_rules_of_the_tokenizer_are_known():
+    encoder = Encoder(PATH, True)
+    assert encoder.plain
+    encoder.plain = False
+    assert same(encoder, Encoder(PATH, True), [b"One, two-three 4.5 \xc3\xa9"])
+
+
+def test_every_low_character():
+    words = [f"a{chr(i)}b {chr(i)}".encode() for i in range(0x260)]
+    assert same(Encoder(PATH, True), Encoder(PATH, False), words)
+
+
+def test_long_texts_are_cut_at_white_space(monkeypatch):
+    monkeypatch.setattr("lodestone.llm.token_output.AT_ONCE_BYTES", 64)
+    bodies = [prose(100, 1).encode(), b"x" * 500, b"\n" + b"y" * 100 + b" z" * 60]
+    assert same(Encoder(PATH, True), Encoder(PATH, False), bodies)
 
 
 def test_query(spark, data):

@@ -131,10 +131,10 @@ TEXTS_SQL = f"""
         FROM customer),
     p AS (SELECT *, CASE seg WHEN 'BUILDING' THEN ' ' || x || chr(9) WHEN 'AUTOMOBILE' THEN '[' || x || ', ' || y || ']'
             WHEN 'MACHINERY' THEN '[''' || x || ''',''' || y || ''']' WHEN 'HOUSEHOLD' THEN '[' || x || ',1, ' || y
-            ELSE y || ',5' END AS lon,
+            ELSE '[''' || y || ',5'', ''' || x || ',5'']' END AS lon,
         CASE seg WHEN 'BUILDING' THEN ' ' || y || chr(9) WHEN 'AUTOMOBILE' THEN '[' || x || ', ' || y || ']'
             WHEN 'MACHINERY' THEN '[''' || x || ''',''' || y || ''']' WHEN 'HOUSEHOLD' THEN '[' || x || ',1, ' || y
-            ELSE x || ',5' END AS lat,
+            ELSE '[''' || y || ',5'', ''' || x || ',5'']' END AS lat,
         CASE WHEN seg = 'FURNITURE' THEN y || ',5, Широта: ' || x || ',5' ELSE x || ', Широта: ' || y END AS place FROM r),
     rows AS (SELECT 'en' AS lang, key, lon, lat, layer AS layer_name, NULL::DOUBLE AS top, NULL::INTEGER AS nation,
                 NULL::DOUBLE AS rank, NULL::INTEGER AS feature_name, NULL::BIGINT AS feature_name_2, place, key AS turn

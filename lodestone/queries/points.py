@@ -12,21 +12,22 @@ def records(customers: DataFrame) -> DataFrame:
     """Records with text cells; the form of the cells goes by market segment."""
     x, y = F.col("c_acctbal").cast("string"), (F.col("c_nationkey") * 4).cast("string")
 
-    def cell(a, b):
+    def cell(a):
         return (
             F.when(F.col("c_mktsegment") == "BUILDING", F.concat(F.lit(" "), a, F.lit("\t")))
             .when(F.col("c_mktsegment") == "AUTOMOBILE", F.concat(F.lit("["), x, F.lit(", "), y, F.lit("]")))
             .when(F.col("c_mktsegment") == "MACHINERY", F.concat(F.lit("['"), x, F.lit("','"), y, F.lit("']")))
             .when(F.col("c_mktsegment") == "HOUSEHOLD", F.concat(F.lit("["), x, F.lit(",1, "), y))
-            .otherwise(F.concat(b, F.lit(",5")))
+            # Quoted items with a comma of their own are no numbers.
+            .otherwise(F.concat(F.lit("['"), y, F.lit(",5', '"), x, F.lit(",5']")))
         )
 
     return customers.select(
         F.col("c_custkey").alias("key"),
         F.col("c_nationkey").alias("nation"),
         "c_acctbal",
-        cell(x, y).alias("lon"),
-        cell(y, x).alias("lat"),
+        cell(x).alias("lon"),
+        cell(y).alias("lat"),
         F.when(F.col("c_nationkey") > 5, F.col("c_mktsegment")).alias("layer_name"),
         F.when(F.col("c_nationkey") > 15, F.col("c_name")).alias("Регион"),
     )

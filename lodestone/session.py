@@ -57,9 +57,16 @@ def kept(df: DataFrame, purpose: str) -> DataFrame:
     """The rows as a table in the shared folder: computed once, with a short lineage that outlives executors."""
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
+    expire(df.sparkSession, path)
     return df.sparkSession.read.parquet(path)
 
 
+def expire(spark: SparkSession, path: str) -> None:
+    """Has an intermediate table deleted when the application ends."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def share_package(spark: SparkSession) -> None:
     """Sends this package to the executors, so that functions which run there need no installation. Once per application."""
     context = spark.sparkContext

@@ -141,18 +141,34 @@ def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield _reduced(rows)
 
 
+_FIELDS = [field.split()[0] for field in _STATE.split(", ")]
+
+
+def _first(row: tuple) -> tuple:
+    """The order of `_priority` over a partial row."""
+    _, ended, at, seq, *_ = row
+    return (not ended, at, seq) if ended else (not ended, -at, -seq)
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    shown = min(a, b, key=_first)
+    return (*shown[:4], max(a[4], b[4]), max(a[5], b[5]), a[6] + b[6])
+
+
 def _updater(evict_seconds: int | None):
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        held = pd.DataFrame([(*key, *state.get)], columns=[c.split()[0] for c in _PARTIAL.split(", ")]) if state.exists else None
+        held = tuple(state.get) if state.exists else None
         for rows in batches:
-            held = _reduced(rows if held is None else pd.concat([held, rows], ignore_index=True))
-        row = held.iloc[0]
-        state.update((row.record, bool(row.ended), int(row["at"]), int(row.seq), int(row.last_at), int(row.max_progress), int(row.events)))
-        if evict_seconds is not None and row.ended:
-            state.setTimeoutTimestamp(max(int(row["at"]) // 1000 + 1000 * evict_seconds, state.getCurrentWatermarkMs() + 1))
+            # A few rows: one for each Arrow batch that held the request.
+            for row in zip(*(rows[c].tolist() for c in _FIELDS), strict=True):
+                held = row if held is None else _merged(held, row)
+        state.update(held)
+        _, ended, at, *_ = held
+        if evict_seconds is not None and ended:
+            state.setTimeoutTimestamp(max(at // 1000 + 1000 * evict_seconds, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"request_id": [key[0]]})
 
     return update

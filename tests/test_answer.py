@@ -61,6 +61,58 @@ def test_many_statements(spark, monkeypatch, limit):
     assert (row["features"], row["results_count"], row["points"]) == (5, 15, 5)
 
 
+def answer_one(spark, statements, rows):
+    """One question with one feature and its statements in turn, over a table of numbers and texts."""
+    questions = spark.createDataFrame([(1, "q"), (2, "other")], "question_id int, question string")
+    hits = spark.createDataFrame([(1, "f", "p", "d", 1), (2, "g", "o", "d", 1)], "question_id int, feature_id string, feature_name string, description string, rank int")
+    verdicts = hits.select("question_id", "feature_id", F.lit(1).alias("attempt"), F.lit("да").alias("text"), F.lit(None).cast("string").alias("error"))
+    tries = [(1, "f", i, sql) for i, sql in enumerate(statements, 1)] + [(2, "g", 1, "SELECT n AS only FROM df WHERE n = 0")]
+    tried = spark.createDataFrame(tries, "question_id int, feature_id string, attempt int, sql string")
+    return A.answer_questions(spark, questions, hits, verdicts, tried, lambda s: s.createDataFrame(rows, "n int, s string, lon string, lat string"))
+
+
+def test_a_statement_that_fails_ends_neither_its_question_nor_the_others(spark):
+    rows = [(i, "text", "1", "2") for i in range(3)]
+    out = answer_one(spark, ['SELECT * FROM df WHERE "s" > 5', "SELECT 1/0 AS x FROM df", 'SELECT "n" FROM df'], rows)
+    found = {r["question_id"]: r["results_count"] for r in out.answers.collect()}
+    assert found == {1: 3, 2: 1}
+    errors = {r["sql"]: r["error_class"] for r in out.outcomes.where("not ok").collect()}
+    assert sorted(errors.values()) == ["CAST_INVALID_INPUT", "DIVIDE_BY_ZERO"]
+
+
+def test_names_and_order_of_a_statement(spark):
+    rows = [(i, f"t{i}", "1", "2") for i in (9, 100, 10)]
+    sql = 'SELECT "n" AS rank, "s" AS feature_name, "s" AS "Feature_name", "n" AS position, "n" AS question_id FROM df ORDER BY "n" DESC'
+    out = answer_one(spark, [sql], rows)
+    text = out.answers.where("question_id = 1").head()["answer"]
+    assert "rank | feature_name | Feature_name_2 | position_2 | question_id_2" in text
+    assert [line.split(" | ")[0] for line in text.split("\n") if " | t" in line] == ["100", "10", "9"]
+    placed = out.results.where("question_id = 1").orderBy("position").select("position", "rank").collect()
+    assert list(map(tuple, placed)) == [(1, 100), (2, 10), (3, 9)]
+
+
+@pytest.mark.parametrize("limit", [1, 32])
+def test_types_are_settled_over_all_statements(spark, monkeypatch, limit):
+    monkeypatch.setattr(A, "STATEMENTS_PER_PLAN", limit)
+    _, out = answered(spark, n_statements=3)
+    guard = A.GuardedSql(spark, records)
+    statements = A._Statements(spark, guard)
+    statements.run(iter(["SELECT 1 AS v", "SELECT 1.0D AS v", "SELECT 'x' AS V"]))
+    chosen = statements.known().orderBy("sql").select(A.STATEMENT)
+    assert sorted(r["v"] for r in statements.rows(chosen).collect()) == ["1", "1.0", "x"]
+
+
+def test_all_coordinate_lines_are_kept(spark):
+    rows = [(i, "t", str(i % 90), str(i % 80)) for i in range(120)]
+    out = answer_one(spark, ['SELECT * FROM df ORDER BY "n"'], rows)
+    lines = out.lines.where("question_id = 1").orderBy("position").collect()
+    assert [r["position"] for r in lines] == list(range(1, 121))
+    assert lines[99]["line"] == "Запись 100: Долгота: 9, Широта: 19"
+    text = out.answers.where("question_id = 1").head()["answer"]
+    assert text.count("Долгота") == 50 and "Показаны координаты 50 из 120" in text
+    assert out.points.where("question_id = 1").count() == 120
+
+
 def test_no_valid_statement(spark):
     questions, catalog = frames(spark)
     hits = A.find_hits(questions, catalog)

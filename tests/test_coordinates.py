@@ -14,6 +14,9 @@ CELLS = {
     "[50.1, 40.2": (50.1, 40.2),
     "['50.1','40.2']": (50.1, 40.2),
     '["50.1", "40.2"]': (50.1, 40.2),
+    "['50,1', '40,2']": (None, None),
+    "['50,1', 40.2]": (None, 40.2),
+    '["1" , "2", ]': (1.0, 2.0),
     "[5,]": (5.0, 5.0),
     "[5,": (5.0, None),
     "[,5]": (None, 5.0),

@@ -43,6 +43,7 @@ REFUSED = [
     "WITH x AS (SELECT * FROM parquet.`{path}`) SELECT * FROM x",
     "SELECT * FROM df WHERE EXISTS (SELECT 1 FROM parquet.`{path}`)",
     "SELECT reflect('java.lang.System', 'getenv', 'HOME')",
+    "SELECT input_file_name() AS f FROM df",
     "SELECT java_method('java.lang.System', 'getenv', 'HOME') FROM df",
     "SELECT (SELECT try_reflect('java.lang.System', 'getenv', 'HOME')) AS v FROM df",
     "SELECT * FROM other",

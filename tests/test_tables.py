@@ -41,6 +41,15 @@ def test_requirements(spark):
         require_rows(rows.where("false"))
 
 
+def test_tagged_union_by_the_case_rule(spark):
+    a = spark.createDataFrame([(1,)], "X int")
+    b = spark.createDataFrame([("t",)], "x string")
+    twice = spark.createDataFrame([(2, 3)], "x int, y int").toDF("x", "X")
+    rows = tagged_union({"a": a, "b": b, "c": twice})
+    assert rows.columns == ["X", "X_2", "matched_feature"]
+    assert sorted(map(tuple, rows.collect()), key=str) == [("1", None, "a"), ("2", 3, "c"), ("t", None, "b")]
+
+
 def test_tagged_union(spark):
     a = spark.createDataFrame([(1, [1.5])], "x int, y array<double>")
     b = spark.createDataFrame([("word", 2.5)], "x string, z double")

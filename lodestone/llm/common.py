@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.session import read_table, shared_dir
+from lodestone.session import discard, expire, read_table, shared_dir
 
 #: What stands for a null `doc_id` in keys; it orders before every other.
 NO_ID = -(1 << 63)
@@ -27,21 +27,20 @@ def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
 
 
 class Stored:
-    """A table in the shared folder that outlives executors; `drop()` it when nothing reads it any more."""
+    """A table in the shared folder that outlives executors; `drop()` it when nothing reads it, else it goes with the application."""
 
     def __init__(self, df: DataFrame, purpose: str):
         self.spark, self.path = df.sparkSession, shared_dir(df.sparkSession, purpose)
         with shuffles_cleaned(self.spark):
             df.write.option("compression", "zstd").parquet(self.path)
+        expire(self.spark, self.path)
 
     @property
     def df(self) -> DataFrame:
         return self.spark.read.parquet(self.path)
 
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        discard(self.spark, self.path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

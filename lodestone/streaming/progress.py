@@ -3,10 +3,10 @@
 Events have the columns request_id, ts, seq, step, progress, message, details, status, error and result (the JSON of what a
 finished request gives). Last write wins by (ts, seq); the first event whose status is `completed` or `error` ends a request.
 
-The state of a stream is one row per request in Spark's state store. A micro-batch is reduced to one row per request and Arrow
-batch before the shuffle, so a request with very many events is no burden for one task. A request that has ended leaves the store when
+The state of a stream is one row per request in Spark's state store. A micro-batch is reduced to one row per request and task, or Arrow
+batch, before the shuffle, so a request with very many events is no burden for one task. A request that has ended leaves the store when
 the watermark has passed its end by `evict_seconds`: from then on Spark drops what comes late for it, and until then its end stays
-known, so nothing revives it. The feed is an append-only table of Spark's file sink, cut at the end of each request when read.
+known, so nothing revives it. Without eviction all requests stay, and the state is that of a plain aggregation. The feed is an append-only table of Spark's file sink, cut at the end of each request when read.
 """
 
 from __future__ import annotations
@@ -169,7 +169,8 @@ def _updater(evict_seconds: int | None):
         _, ended, at, *_ = held
         if evict_seconds is not None and ended:
             state.setTimeoutTimestamp(max(at // 1000 + 1000 * evict_seconds, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"request_id": [key[0]]})
+        # The state is all there is to it: no rows go on.
+        yield from ()
 
     return update
 
@@ -187,20 +188,25 @@ class ProgressStream:
         self.evict_seconds, self.lateness = evict_seconds, lateness
 
     def start(self, events: DataFrame, **trigger) -> StreamingQuery:
-        """The query that keeps the states."""
+        """The query that keeps the states.
+
+        Without eviction that is the aggregation of `reduce_events`, as in batch; leaving the store takes timers.
+        """
+        if self.evict_seconds is None:
+            return self._write(reduce_events(events), trigger)
         ended = F.coalesce(F.col("status").isin(*TERMINAL), F.lit(False))
         rows = events.select(
             "request_id", F.to_json(F.struct(*[field.split()[0] for field in RECORD.split(", ")])).alias("record"),
             ended.alias("ended"), F.unix_micros("ts").alias("at"), "seq", F.unix_micros("ts").alias("last_at"),
             clamp(F.col("progress")).alias("max_progress"), F.lit(1).cast("bigint").alias("events"),
         ).mapInPandas(_partial, _PARTIAL)
-        timeout = GroupStateTimeout.NoTimeout
-        if self.evict_seconds is not None:
-            rows = rows.withColumn("_ts", F.timestamp_micros("last_at")).withWatermark("_ts", self.lateness)
-            timeout = GroupStateTimeout.EventTimeTimeout
+        rows = rows.withColumn("_ts", F.timestamp_micros("last_at")).withWatermark("_ts", self.lateness)
         states = rows.groupBy("request_id").applyInPandasWithState(
-            _updater(self.evict_seconds), "request_id string", _STATE, "update", timeout
+            _updater(self.evict_seconds), "request_id string", _STATE, "update", GroupStateTimeout.EventTimeTimeout
         )
+        return self._write(states, trigger)
+
+    def _write(self, states: DataFrame, trigger: dict) -> StreamingQuery:
         writer = states.writeStream.outputMode("update").format("noop").option("checkpointLocation", f"{self.folder}/states")
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
@@ -212,10 +218,16 @@ class ProgressStream:
 
     def state(self) -> DataFrame:
         """Latest state of every request that has not been evicted, read from the state store."""
-        stored = self.spark.read.format("statestore").load(f"{self.folder}/states").select("key.request_id", "value.groupState.*")
+        stored = self.spark.read.format("statestore").load(f"{self.folder}/states")
+        if self.evict_seconds is None:
+            # The buffers of the aggregation, in the order of its columns.
+            fields = ", ".join(f"{f.split()[0]}: {f.split()[1]}" for f in EVENT.split(", ") if not f.startswith("request_id"))
+            kind = f"struct<event: struct<{fields}>, at: struct<open: boolean, at: bigint, seq: bigint>, last_ts: timestamp, max_progress: int, events: bigint>"
+            return show_states(stored.select("key.request_id", F.col("value").cast(kind).alias("s")).select("request_id", "s.*"))
         held = F.from_json("record", RECORD)
         event = F.struct(F.timestamp_micros("at").alias("ts"), "seq", *[held[f.split()[0]].alias(f.split()[0]) for f in RECORD.split(", ")])
-        return show_states(stored.select("request_id", event.alias("event"), "max_progress", "events"))
+        states = stored.select("key.request_id", "value.groupState.*")
+        return show_states(states.select("request_id", event.alias("event"), "max_progress", "events"))
 
     def feed(self) -> DataFrame:
         """Events of each request up to its end."""

@@ -99,7 +99,7 @@ def test_types_are_settled_over_all_statements(spark, monkeypatch, limit):
     statements = A._Statements(spark, guard)
     statements.run(iter(["SELECT 1 AS v", "SELECT 1.0D AS v", "SELECT 'x' AS V"]))
     chosen = statements.known().orderBy("sql").select(A.STATEMENT)
-    assert sorted(r["v"] for r in statements.rows(chosen).collect()) == ["1", "1.0", "x"]
+    assert sorted(r[0] for r in statements.rows(chosen).collect()) == ["1", "1.0", "x"]
 
 
 def test_all_coordinate_lines_are_kept(spark):

@@ -91,6 +91,21 @@ REPORT_TITLE = "📈 Статистика использования токен
 REPORT_UPDATED = "Обновлено: "
 REPORT_EMPTY = "Статистика пока отсутствует."
 REPORT_WIDTH = 53
+REPORT_MODEL = "🤖 Модель: "
+REPORT_PRICE = "   Цена за 1K токенов: %.2f ₽"
+REPORT_REQUESTS = "   Количество запросов: %d"
+REPORT_TOKENS = "   Всего токенов: "
+REPORT_PROMPT = "     - Входных (prompt): "
+REPORT_COMPLETION = "     - Выходных (completion): "
+REPORT_MEAN = "   Среднее токенов на запрос: %.1f"
+REPORT_MEAN_PROMPT = "     - Входных: %.1f"
+REPORT_MEAN_COMPLETION = "     - Выходных: %.1f"
+REPORT_COST = "   💰 Общая стоимость: "
+REPORT_MEAN_COST = "   💰 Средняя стоимость запроса: "
+REPORT_ALL = "📊 ОБЩАЯ СТАТИСТИКА"
+REPORT_ALL_REQUESTS = "Всего запросов: %d"
+REPORT_ALL_TOKENS = "Всего токенов: "
+REPORT_ALL_COST = "💰 Общая стоимость всех тестов: "
 
 # Progress of a request: step names, and the band of per cent of each step.
 STEP_NAMES = {
@@ -117,6 +132,8 @@ DEFAULT_TEXT = "text"
 VECTOR_DIMENSION = 1024
 EMBEDDING_METRIC = "cosinesimil"
 KEYWORD_LENGTH = 256
+TEXT_TYPE, KEYWORD_TYPE, VECTOR_TYPE = "text", "keyword", "knn_vector"
+INDEX_METHOD, INDEX_ENGINE = "hnsw", "nmslib"
 
 # Sizes of top-k.
 TOP_K = 10

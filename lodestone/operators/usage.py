@@ -94,24 +94,24 @@ def report_lines(report: DataFrame) -> DataFrame:
 
     model = F.concat_ws(
         "\n",
-        F.concat(F.lit("🤖 Модель: "), "model"),
-        F.format_string("   Цена за 1K токенов: %.2f ₽", "price_per_1k"),
-        F.format_string("   Количество запросов: %d", "requests"),
-        F.concat(F.lit("   Всего токенов: "), spaced_number("total_tokens")),
-        F.concat(F.lit("     - Входных (prompt): "), spaced_number("prompt_tokens")),
-        F.concat(F.lit("     - Выходных (completion): "), spaced_number("completion_tokens")),
-        F.format_string("   Среднее токенов на запрос: %.1f", "avg_tokens"),
-        F.format_string("     - Входных: %.1f", "avg_prompt"),
-        F.format_string("     - Выходных: %.1f", "avg_completion"),
-        F.concat(F.lit("   💰 Общая стоимость: "), money("cost")),
-        F.concat(F.lit("   💰 Средняя стоимость запроса: "), money("avg_cost")),
+        F.concat(F.lit(fixed.REPORT_MODEL), "model"),
+        F.format_string(fixed.REPORT_PRICE, "price_per_1k"),
+        F.format_string(fixed.REPORT_REQUESTS, "requests"),
+        F.concat(F.lit(fixed.REPORT_TOKENS), spaced_number("total_tokens")),
+        F.concat(F.lit(fixed.REPORT_PROMPT), spaced_number("prompt_tokens")),
+        F.concat(F.lit(fixed.REPORT_COMPLETION), spaced_number("completion_tokens")),
+        F.format_string(fixed.REPORT_MEAN, "avg_tokens"),
+        F.format_string(fixed.REPORT_MEAN_PROMPT, "avg_prompt"),
+        F.format_string(fixed.REPORT_MEAN_COMPLETION, "avg_completion"),
+        F.concat(F.lit(fixed.REPORT_COST), money("cost")),
+        F.concat(F.lit(fixed.REPORT_MEAN_COST), money("avg_cost")),
     )
     total = F.concat_ws(
         "\n",
-        F.lit(f"{rule}\n📊 ОБЩАЯ СТАТИСТИКА\n{rule}"),
-        F.format_string("Всего запросов: %d", "requests"),
-        F.concat(F.lit("Всего токенов: "), spaced_number("total_tokens")),
-        F.concat(F.lit("💰 Общая стоимость всех тестов: "), money("cost")),
+        F.lit(f"{rule}\n{fixed.REPORT_ALL}\n{rule}"),
+        F.format_string(fixed.REPORT_ALL_REQUESTS, "requests"),
+        F.concat(F.lit(fixed.REPORT_ALL_TOKENS), spaced_number("total_tokens")),
+        F.concat(F.lit(fixed.REPORT_ALL_COST), money("cost")),
         F.lit(rule),
     )
     block = F.when(F.col("is_total"), total).otherwise(model)

@@ -87,7 +87,8 @@ sql_query(
 sql_query(
     "sql_any_value",
     "part",
-    """SELECT "p_type", ANY_VALUE("p_type") AS some_type, COUNT(*) AS n FROM df GROUP BY "p_type\"""",
+    """SELECT "p_partkey", ANY_VALUE("p_name") AS some_name, ANY_VALUE("p_type") AS some_type, COUNT(*) AS n FROM df
+    GROUP BY "p_partkey\"""",
 )
 sql_query(
     "sql_like",

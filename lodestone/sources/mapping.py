@@ -22,12 +22,13 @@ _NUMBERS = {"tinyint": "byte", "smallint": "short", "int": "integer", "bigint":
 def property_of(kind: T.DataType, dimension: int | None = None) -> dict:
     """Mapping entry of a column type."""
     if isinstance(kind, T.StringType):
-        return {"type": "text", "fields": {"keyword": {"type": "keyword", "ignore_above": fixed.KEYWORD_LENGTH}}}
+        keyword = {"type": fixed.KEYWORD_TYPE, "ignore_above": fixed.KEYWORD_LENGTH}
+        return {"type": fixed.TEXT_TYPE, "fields": {fixed.KEYWORD_TYPE: keyword}}
     if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.FloatType, T.DoubleType)):
         return {
-            "type": "knn_vector",
+            "type": fixed.VECTOR_TYPE,
             "dimension": dimension or fixed.VECTOR_DIMENSION,
-            "method": {"name": "hnsw", "space_type": fixed.EMBEDDING_METRIC, "engine": "nmslib"},
+            "method": {"name": fixed.INDEX_METHOD, "space_type": fixed.EMBEDDING_METRIC, "engine": fixed.INDEX_ENGINE},
         }
     if isinstance(kind, T.ArrayType):
         return property_of(kind.elementType)

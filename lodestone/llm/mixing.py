@@ -28,6 +28,8 @@ ENTROPY = 0.95
 REPEATS = 4.0
 BLOCKS = 4096
 STEPS = 1 << 20
+#: Added to a budget before its fraction is cut off, so that what is whole but for the order of a sum stays whole.
+WHOLE = 1e-6
 _WAYS = 32
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -98,7 +100,7 @@ def mixing_plan(
     z = shares.agg(F.sum(F.pow("share", F.lit(power)))).first()[0] or 1.0
     plan = (
         shares.withColumn("weight", F.pow("share", F.lit(power)) / z)
-        .withColumn("budget", F.floor(F.col("weight") * budget).cast("long"))
+        .withColumn("budget", F.floor(F.col("weight") * budget + WHOLE).cast("long"))
         .withColumn("epochs", F.floor(F.col("budget") / F.col("words")).cast("int"))
         .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("words"))
     )
@@ -188,7 +190,7 @@ a AS (
   SELECT CASE WHEN (SELECT count(*) FROM p) < 2 THEN 1.0::DOUBLE
     ELSE greatest(0, (SELECT max(low) FROM h), least({STEPS}, (SELECT max(low) FROM r) + 1)) / {STEPS}.0::DOUBLE END AS power),
 w AS (SELECT source, words, pow(share, power) / (SELECT sum(pow(share, power)) FROM p, a) AS weight FROM p, a),
-b AS (SELECT *, floor(weight * (SELECT sum(words) FROM s)::BIGINT)::BIGINT AS budget FROM w),
+b AS (SELECT *, floor(weight * (SELECT sum(words) FROM s)::BIGINT + {WHOLE}::DOUBLE)::BIGINT AS budget FROM w),
 e AS (SELECT *, (budget // words)::INTEGER AS epochs, budget % words AS rest FROM b),
 k AS (SELECT source, block, epochs, rest, sum(n)::BIGINT AS size FROM m JOIN e USING (source) GROUP BY ALL),
 kr AS (

@@ -1,21 +1,21 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
+"""Benchmark decontamination: rare words of items as seeds, then local alignment.
 
-Texts are sequences of plain words (`plainwords`). Of every `WINDOW` consecutive n-grams of a test item the one that the fewest documents
-hold is a seed; so each stretch of an item has one, however common a leaked item has become. A passage that holds a seed is aligned
-with the item by Smith-Waterman over words, on the stretch that the seed's place in the item spans, and is a leak if the score
-reaches `THRESHOLD` of the item's score against itself. Edited and paraphrased copies score less by what was changed.
+Texts are sequences of plain words (`plainwords`). A leak is a passage whose Smith-Waterman alignment with an item, over words, reaches
+`THRESHOLD` of the item's score against itself, and that holds `GRAM` of its words at least. Edited and paraphrased copies score
+less by what was changed. No leak is missed: such an alignment matches a certain number of the item's words on a stretch of a certain
+length at most, so it holds a known number of any words that make up more than what may be missing. Those that occur least in the
+documents are the item's seeds; stretches with as many of them as a leak must hold are aligned, however the edits lie.
 
 Items are taken in blocks of about `BLOCK_WORDS` words, the bound of what a task is handed; documents are read twice a block (to count
-the n-grams, to align), whole, and nothing of them is shuffled but counts. A benchmark of any size takes as many blocks as it needs.
+the words, to align), whole, and nothing of them is shuffled but counts. A benchmark of any size takes as many blocks as it needs.
 
-Null and empty texts and items match nothing, nor do items of fewer words than a seed. Of equal items, each is reported; of rows
+Null and empty texts and items match nothing, nor do items of fewer than `GRAM` words. Of equal items, each is reported; of rows
 of equal id, each for itself. A document that holds an item several times gives a row for each. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,25 +28,17 @@ from pyspark.sql.functions import pandas_udf
 
 from lodestone.llm.common import text_bytes
 from lodestone.llm.plainwords import hashes
-from lodestone.llm.windows import mix
 
 GRAM = 3
-WINDOW = 4
 THRESHOLD = 0.5
 BLOCK_WORDS = 1_000_000
 MATCH, MISMATCH, SPACE = 2, -1, -1
+SHARE = 0.5
+#: Pairs of a seed in a text and an item that are held at a time, besides those of one leak's length.
+HITS = 1_000_000
 _FILTER_BITS = 22
 
 
-def grams(words: np.ndarray) -> np.ndarray:
-    """Hashes of all n-grams."""
-    n = max(0, len(words) - GRAM + 1)
-    out = np.zeros(n, np.uint64)
-    for i in range(GRAM):
-        out = mix(out + words[i : i + n])
-    return out
-
-
 class Lookup:
     """Which of many hashes are in a sorted set, and where; a bitmap turns most away."""
 
@@ -81,57 +73,90 @@ def _fill(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
-    """Score as a share of the item's own, and the aligned stretch of the text (start, end)."""
+def align(item: np.ndarray, text: np.ndarray, least: int = 0) -> tuple[float, int, int]:
+    """Score as a share of the item's own, and the aligned stretch of the text (start, end; none if the score is below `least`)."""
     best, end = _fill(item, text)
-    _, size = _fill(item[::-1], text[:end][::-1])
+    size = _fill(item[::-1], text[:end][::-1])[1] if best >= least else 0
     return best / (MATCH * len(item)), end - size, end
 
 
+def least_score(size: int, threshold: float) -> int:
+    """The least score of a leak of an item of `size` words; one of fewer than `GRAM` matches is none."""
+    return max(math.ceil(MATCH * size * threshold - 1e-9), MATCH * (GRAM - 1) + 1)
+
+
 @dataclass
 class Items:
-    """A block of items, with the places of their seeds."""
+    """A block of items, with their seeds."""
 
     ids: list[int]
     words: list[np.ndarray]
+    scores: np.ndarray  # the least score of a leak of each item
+    least: np.ndarray  # the least sum of `MATCH` for each of its seeds and `SPACE` for each other word between them
+    span: np.ndarray  # over how many words of a text, at most
     seeds: Lookup
-    places: dict[int, list[tuple[int, int]]]  # number of the seed: (item, place in it)
+    first: np.ndarray  # the items of seed n are held[first[n] : first[n + 1]]
+    held: np.ndarray
 
-    def leaks(self, body: bytes, threshold: float) -> Iterator[tuple[int, int, int, float]]:
+    def leaks(self, body: bytes) -> Iterator[tuple[int, int, int, float]]:
         """(item, first word, last word, score) of each leak in a text."""
         text = hashes(body)
-        stretches: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for at, seed in zip(*(x.tolist() for x in self.seeds(grams(text))), strict=True):
-            for item, place in self.places[seed]:
-                size = len(self.words[item])
-                slack = size // 2 + GRAM
-                stretches[item].append((max(0, at - place - slack), min(len(text), at - place + size + slack)))
-        for item, found in sorted(stretches.items()):
-            own = self.words[item]
-            for start, end in self._merged(found):
-                yield from self._best(item, own, text, start, end, threshold)
-
-    @staticmethod
-    def _merged(found: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-        start, end = -1, -1
-        for a, b in sorted(found):
-            if a > end:
-                if end >= 0:
-                    yield start, end
-                start, end = a, b
-            end = max(end, b)
-        yield start, end
-
-    def _best(self, item: int, own: np.ndarray, text: np.ndarray, start: int, end: int, threshold: float) -> Iterator[tuple]:
+        for item, start, end in self._stretches(text):
+            yield from self._best(item, np.unique(self.words[item]), text, start, end)
+
+    def _stretches(self, text: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, start, end) of all stretches that may hold a leak, by item; they do not overlap."""
+        at, seed = self.seeds(text)
+        if not len(at):
+            return
+        pairs = np.concatenate(([0], np.cumsum(self.first[seed + 1] - self.first[seed])))
+        found, begin = [], 0
+        while begin < len(at):
+            end = max(begin + 1, int(np.searchsorted(pairs, pairs[begin] + HITS, "right")) - 1)
+            more = int(np.searchsorted(at, at[end - 1] + self.span.max()))
+            found.append(self._windows(at[begin:more], seed[begin:more]))
+            begin = end
+        item, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not len(item):
+            return
+        order = np.lexsort((start, item))
+        item, start, end = item[order], start[order], end[order]
+        edge = np.flatnonzero((item[1:] != item[:-1]) | (start[1:] > end[:-1])) + 1
+        for a, b in zip(np.concatenate(([0], edge)).tolist(), np.concatenate((edge, [len(item)])).tolist(), strict=True):
+            yield int(item[a]), max(0, int(start[a])), min(len(text), int(end[b - 1]))
+
+    def _windows(self, at: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, start and end of what may be a leak that holds the seeds given, around each seed that may be a leak's last."""
+        many = self.first[seed + 1] - self.first[seed]
+        number = np.arange(many.sum()) + np.repeat(self.first[seed] - (np.cumsum(many) - many), many)
+        item, place = self.held[number], np.repeat(at, many)
+        order = np.argsort(item, kind="stable")
+        item, place = item[order], place[order].astype(np.int64)
+        # Sums of the seeds' worth less the words they stand among; a later item's sums are below those of all earlier ones.
+        before = (MATCH + 1) * np.arange(len(item)) - place - item * np.int64((MATCH + 1) * len(item) + int(at[-1]) + 1)
+        best = before + MATCH - np.minimum.accumulate(before)
+        last = np.flatnonzero(best >= self.least[item])
+        item, place = item[last], place[last]
+        return item, place - self.span[item] + 1, place + self.span[item]
+
+    def _best(self, item: int, own: np.ndarray, text: np.ndarray, start: int, end: int) -> Iterator[tuple]:
         """The best alignment of a stretch, then those of what lies before and behind it."""
-        todo = [(start, end)]
+        todo, least = [(start, end)], int(self.scores[item])
         while todo:
             a, b = todo.pop()
-            # No alignment scores more than its matching words.
-            if np.isin(text[a:b], own).sum() < threshold * len(own):
+            if a == b:
+                continue
+            # No alignment scores more than if every word of the item matched wherever it stands.
+            near = np.minimum(np.searchsorted(own, text[a:b]), len(own) - 1)
+            sums = np.concatenate(([0], np.cumsum(np.where(own[near] == text[a:b], MATCH, SPACE))))
+            ends = np.flatnonzero(sums - np.minimum.accumulate(sums) >= least)
+            if not len(ends):
                 continue
-            score, low, high = align(own, text[a:b])
-            if score >= threshold:
+            starts = np.flatnonzero(np.maximum.accumulate(sums[::-1])[::-1] - sums >= least)
+            near, far = a + int(starts[0]), a + int(ends[-1])
+            score, low, high = align(self.words[item], text[near:far], least)
+            if round(score * MATCH * len(self.words[item])) >= least:
+                low, high = near - a + low, near - a + high
                 yield item, a + low, a + high - 1, score
                 todo += [(a, a + low), (a + high, b)]
 
@@ -146,14 +171,14 @@ def _blocks(benchmark: DataFrame) -> Iterator[pd.DataFrame]:
         yield part.toPandas().sort_values(["item_id", "body"], kind="stable", na_position="first")
 
 
-def _held_by(docs: DataFrame, wanted: Lookup) -> np.ndarray:
-    """How many documents hold each of the wanted n-grams; a task sends one row for each at most."""
+def _occurrences(docs: DataFrame, wanted: Lookup) -> np.ndarray:
+    """How often each of the wanted words stands in the documents; a task sends one row for each at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(wanted.values), np.int64)
         for batch in batches:
-            for body in batch.column(0):
-                total[np.unique(wanted(grams(hashes(body.as_py())))[1])] += 1
+            found = [wanted(hashes(body.as_py()))[1] for body in batch.column(0)]
+            total += np.bincount(np.concatenate([np.zeros(0, np.int64), *found]), minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["number", "n"])
 
@@ -163,25 +188,37 @@ def _held_by(docs: DataFrame, wanted: Lookup) -> np.ndarray:
     return out
 
 
-def seeded(docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
+def _seeds(ids: list, words: list[np.ndarray], every: Lookup, often: np.ndarray, threshold: float) -> Items:
+    """Items with the words that make up what a leak may miss and `SHARE` of what it must match, the rarest first."""
+    scores = np.array([least_score(len(w), threshold) for w in words], np.int64)
+    least, chosen = np.zeros(len(words), np.int64), []
+    for item, own in enumerate(words):
+        # A score of n takes n / `MATCH` matches; the other words of the item may be missing.
+        matches = -(-int(scores[item]) // MATCH)
+        missing = len(own) - matches
+        if missing < 0:
+            continue
+        numbers, copies = np.unique(np.searchsorted(every.values, own), return_counts=True)
+        order = np.argsort(often[numbers], kind="stable")
+        places = np.cumsum(copies[order])
+        size = int(np.searchsorted(places, missing + max(1, math.ceil(matches * SHARE)))) + 1
+        # Each match of another word raises the score by `MATCH`, and is one of those that stand between the seeds.
+        least[item] = scores[item] - (MATCH - SPACE) * (len(own) - places[size - 1])
+        chosen.append(np.stack((numbers[order[:size]], np.full(size, item))))
+    seed, held = np.concatenate([np.zeros((2, 0), np.int64), *chosen], axis=1)
+    first = np.concatenate(([0], np.cumsum(np.unique(seed, return_counts=True)[1])))
+    # Each match takes one word of the text and pays for `MATCH` others that do not.
+    span = np.array([(MATCH + 1) * len(w) for w in words], np.int64) - scores
+    return Items(ids, words, scores, least, span, Lookup(every.values[seed]), first, held[np.argsort(seed, kind="stable")])
+
+
+def seeded(docs: DataFrame, benchmark: DataFrame, threshold: float) -> Iterator[Items]:
     """Blocks of items with their seeds."""
     for block in _blocks(benchmark):
         words = [hashes(b) for b in block["body"]]
-        own = [grams(w) for w in words]
-        every = Lookup(np.concatenate([np.zeros(0, np.uint64), *own]))
-        held = _held_by(docs, every)
-        chosen: set[tuple[int, int]] = set()
-        for item, values in enumerate(own):
-            rarity = held[np.searchsorted(every.values, values)]
-            for start in range(max(1, len(values) - WINDOW + 1) if len(values) else 0):
-                part = rarity[start : start + WINDOW]
-                chosen.add((item, start + int(part.argmin())))
-        seeds = Lookup(np.array([own[i][p] for i, p in chosen], np.uint64))
-        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for item, place in sorted(chosen):
-            places[int(np.searchsorted(seeds.values, own[item][place]))].append((item, place))
+        every = Lookup(np.concatenate([np.zeros(0, np.uint64), *words]))
         ids = [None if pd.isna(i) else int(i) for i in block["item_id"]]
-        yield Items(ids, words, seeds, dict(places))
+        yield _seeds(ids, words, every, _occurrences(docs, every), threshold)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -190,14 +227,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     schema = "doc_id long, item_id long, first_word long, last_word long, score double"
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
     out = docs.sparkSession.createDataFrame([], schema)
-    for items in seeded(docs, benchmark):
+    for items in seeded(docs, benchmark, threshold):
 
         def search(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = [
                     (doc.as_py(), items.ids[item], first, last, score)
                     for doc, body in zip(batch.column(0), batch.column(1), strict=True)
-                    for item, first, last, score in items.leaks(body.as_py(), threshold)
+                    for item, first, last, score in items.leaks(body.as_py())
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
@@ -205,17 +242,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     return out
 
 
-def _leaked(items: Items, threshold: float, text: Column) -> Column:
+def _leaked(items: Items, text: Column) -> Column:
     @pandas_udf("boolean")
     def leaked(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in bodies:
-            yield pd.Series([next(items.leaks(b, threshold), None) is not None for b in part], dtype=bool)
+            yield pd.Series([next(items.leaks(b), None) is not None for b in part], dtype=bool)
 
     return leaked(text_bytes(text))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with their own columns, that hold no leak."""
-    for items in seeded(docs, benchmark):
-        docs = docs.where(~_leaked(items, threshold, docs["text"]))
+    for items in seeded(docs, benchmark, threshold):
+        docs = docs.where(~_leaked(items, docs["text"]))
     return docs

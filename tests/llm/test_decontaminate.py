@@ -85,3 +85,45 @@ def test_query_against_all_alignments(spark, data):
             if np.isin(item, words).sum() >= 0.5 * len(item) and align(item, words)[0] >= 0.5:
                 wanted.add((r.doc_id, item_id))
     assert {(r.doc_id, r.item_id) for r in QUERIES["op1_decontaminate"](spark, data).collect()} == wanted
+
+
+def changed(text, every, how):
+    """Every so many words replaced, dropped or preceded by another."""
+    at = [(w, i % every == every - 1) for i, w in enumerate(text.split())]
+    return " ".join({"replaced": f"other{i}", "dropped": "", "preceded": f"other{i} {w}"}[how] if cut else w for i, (w, cut) in enumerate(at))
+
+
+@pytest.mark.parametrize("beside", [0, 3])
+def test_copies_with_evenly_spread_edits(spark, beside):
+    """No three words of some stand together; exact copies elsewhere make the intact words the more frequent ones."""
+    items = [prose(40, 900 + i) for i in range(4)]
+    ways = [(every, how) for every in (3, 4, 5, 6) for how in ("replaced", "dropped", "preceded")]
+    texts = [f"{prose(60, 30 + i)} {changed(items[i % 4], *way)} {prose(60, 60 + i)}" for i, way in enumerate(ways)]
+    found = leaks(frame(spark, texts + items * beside), benchmark(spark, items)).where(f"doc_id < {len(ways)}")
+    assert tuples(found, "doc_id", "item_id") == sorted([(i, i % 4) for i in range(len(ways))], key=repr)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.data())
+def test_stretches_miss_no_alignment(data):
+    """What the seeds lead to is what the whole text gives, with few words, in parts and whole."""
+    from lodestone.llm.decontaminate import HITS, Items, Lookup, least_score
+    from lodestone.llm.plainwords import hashes
+
+    draw = lambda size: " ".join(f"w{n}" for n in data.draw(st.lists(st.integers(0, 9), min_size=1, max_size=size)))
+    items, text = [draw(14) for _ in range(3)], draw(60)
+    words = [hashes(i.encode()) for i in items]
+    often = {w: text.split().count(w) for i in items for w in i.split()}
+    try:
+        module.HITS = data.draw(st.sampled_from([1, 7, HITS]))
+        block = module._seeds(list(range(3)), words, Lookup(np.concatenate(words)), np.array(
+            [n for _, n in sorted((int(hashes(w.encode())[0]), n) for w, n in often.items())]), 0.5)
+        found = list(block.leaks(text.encode()))
+    finally:
+        module.HITS = HITS
+    assert isinstance(block, Items)
+    body = hashes(text.encode())
+    whole = [x for i, w in enumerate(words) if len(w) >= 3 for x in block._best(i, np.unique(w), body, 0, len(body))]
+    assert sorted(found) == sorted(whole)
+    for i, w in enumerate(words):
+        assert any(f[0] == i for f in found) == (brute_score(w.tolist(), body.tolist()) >= least_score(len(w), 0.5))

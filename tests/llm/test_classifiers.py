@@ -97,3 +97,22 @@ def test_terms_over_several_parts(monkeypatch):
     assert np.sort(toxicity.terms(body)).tolist() == whole.tolist()
     assert len(plainwords.hashes(b"One, two-three")) == 3
     assert plainwords.hashes(b"ONE!")[0] == plainwords.hashes(b"one")[0]
+
+
+def test_toxic_by_two_words_of_which_neither_says_anything_alone(spark):
+    """A group's name and a mild word, each as frequent in toxic texts as in others; toxic is who has both or neither."""
+    rng = np.random.default_rng(4)
+    has = rng.integers(0, 2, (1600, 2))
+    toxic = (has[:, 0] == has[:, 1]).astype(int)
+    texts = [" ".join([prose(25, i, 400), *(["folk"] if a else []), *(["pests"] if b else [])]) for i, (a, b) in enumerate(has.tolist())]
+    found = toxicity.toxicity(frame(spark, texts), labels(spark, [(i, 1, t) for i, t in enumerate(toxic.tolist())]))
+    apart = [(toxic[r.doc_id], r.predicted) for r in found.collect() if r.held_out]
+    assert np.mean([a == b for a, b in apart]) > 0.97
+
+
+def test_as_many_toxic_words_as_there_are(spark):
+    """600 words, each in eight of 600 toxic texts and in no other."""
+    ids = [i for i in range(9000) if not held_out(i)][:6000]
+    texts = [" ".join([prose(12, i, 300), *(f"vile{(8 * n + j) % 600}" for j in range(8) if n < 600)]) for n, i in enumerate(ids)]
+    model = toxicity.train(frame(spark, texts, ids=ids), labels(spark, [(i, 1, int(n < 600)) for n, i in enumerate(ids)]))
+    assert np.isin([toxicity.terms(f"vile{w}".encode())[0] for w in range(600)], model.slots).all()

@@ -6,7 +6,9 @@ neighbours. Every row of the table is then indexed in its most probable partitio
 many, is the least number that finds `recall` of the neighbours within the sample. What is found is ranked by its exact scores.
 
 Equal vectors are asked once, and of equal vectors the `k + 1` smallest ids only can be among a query's first `k`, so no more of them
-are scored. Partitions are cut into blocks of about `BLOCK` rows, so a partition of any size is many groups.
+are scored. Of a partition, both its rows and the queries that visit it are cut into blocks of about `BLOCK` (fewer if vectors are long), and a
+group is one block of either, so no group grows with the table. Queries are asked in rounds, each stored before the next: a round
+shuffles about `ROUND_COPIES` times the table's rows, or `ROUND_ROWS` if that is more, however many queries there are.
 
 Vectors that are null, zero or hold a null or a number that is not finite take no part, nor do rows without an id, nor vectors of another
 length than most have (the longer, if two are as frequent). Equal rows are one candidate. Fewer candidates than `k` are all
@@ -15,6 +17,7 @@ returned; an empty table returns none. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +34,8 @@ NEIGHBOURS = 10
 #: Rows of a partition, on average, and the most partitions that the sample can be cut into.
 PARTITION_ROWS = 1024
 MOST_PARTITIONS = 256
-BLOCK = 2048
+BLOCK, BLOCK_BYTES = 16_384, 8 << 20
+ROUND_ROWS, ROUND_COPIES = 4_000_000, 2
 RECALL = 0.95
 HIDDEN = 128
 
@@ -176,8 +180,9 @@ def _search(k: int):
         if len(candidates) and len(queries):
             ids, rows = candidates["vec_id"].to_numpy(np.int64), _matrix(candidates["v"])
             scaled = unit(rows)
-            for at in range(0, len(queries), 512):
-                part = queries.iloc[at : at + 512]
+            step = max(1, (1 << 21) // len(rows))
+            for at in range(0, len(queries), step):
+                part = queries.iloc[at : at + step]
                 asked = _matrix(part["v"])
                 rough = unit(asked) @ scaled.T
                 # The rough scores differ from the exact ones in the last places only.
@@ -192,6 +197,12 @@ def _search(k: int):
     return search
 
 
+def _each(rows: DataFrame, name: str, blocks: Column) -> DataFrame:
+    """A copy of each row for each block of its partition."""
+    n = F.get(blocks, F.col("part"))
+    return rows.where(n > 0).withColumn(name, F.explode(F.sequence(F.lit(0), n - 1)))
+
+
 def nearest(
     embeddings: DataFrame, asked: Column, k: int = 5, sample: int = SAMPLE, recall: float = RECALL, probes: int | None = None
 ) -> DataFrame:
@@ -225,18 +236,27 @@ def nearest(
     candidates = indexed.select("v", "vec_id", F.get("parts", F.lit(0)).alias("part")).distinct().withColumn("copy", F.row_number().over(first)).where(F.col("copy") <= k + 1)
     candidates = Stored(candidates.select("v", "vec_id", "part"), "ann-candidates").df
     members = {r.part: r["count"] for r in candidates.groupBy("part").count().collect()}
-    # At most `MOST_PARTITIONS` numbers.
-    blocks = F.array(*[F.lit(-(-members.get(p, 0) // BLOCK)) for p in range(count)])
     queries = Stored(indexed.where("asked").groupBy("v").agg(F.min("vec_id").alias("query"), F.first("parts").alias("parts")), "ann-queries").df
-    routed = (
-        queries.select("query", "v", F.explode("parts").alias("part"))
-        .where(F.get(blocks, F.col("part")) > 0)
-        .select("query", "v", "part", F.explode(F.sequence(F.lit(0), F.get(blocks, F.col("part")) - 1)).alias("block"))
-    )
-    dealt = candidates.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.get(blocks, F.col("part"))).cast("int"))
-    found = dealt.groupBy("part", "block").cogroup(routed.groupBy("part", "block")).applyInPandas(_search(k + 1), "query long, vec_id long, score double")
+    visitors = {r.part: r["count"] for r in queries.select(F.explode("parts").alias("part")).groupBy("part").count().collect()}
+    size = max(1, min(BLOCK, BLOCK_BYTES // (8 * max(1, d))))
+    # Copies of queries, one for each block of rows, and of rows, one for each block of queries.
+    copies = sum(n * -(-members.get(p, 0) // size) + members.get(p, 0) * n / size for p, n in visitors.items())
+    rounds = max(1, math.ceil(copies / max(ROUND_ROWS, ROUND_COPIES * total)))
+    # At most `MOST_PARTITIONS` numbers each.
+    blocks = F.array(*[F.lit(-(-members.get(p, 0) // size)) for p in range(count)])
+    query_blocks = F.array(*[F.lit(math.ceil(visitors.get(p, 0) / rounds / size)) for p in range(count)])
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    top = Stored(found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).select("query", "vec_id", "score"), "ann-found").df
+    tops = []
+    for number in range(rounds):
+        asking = queries.where(F.pmod(F.xxhash64("query"), F.lit(rounds)) == number)
+        routed = _each(asking.select("query", "v", F.explode("parts").alias("part")), "block", blocks)
+        routed = routed.withColumn("query_block", F.pmod(F.hash("query", "v"), F.get(query_blocks, F.col("part"))))
+        dealt = candidates.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.get(blocks, F.col("part"))).cast("int"))
+        groups = _each(dealt, "query_block", query_blocks).groupBy("part", "block", "query_block")
+        found = groups.cogroup(routed.groupBy("part", "block", "query_block")).applyInPandas(_search(k + 1), "query long, vec_id long, score double")
+        ranked = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
+        tops.append(Stored(ranked.select("query", "vec_id", "score"), "ann-found"))
+    top = embeddings.sparkSession.read.parquet(*[t.path for t in tops])
     # Back to every query: those of equal vectors share what was found, each without itself.
     asking = indexed.where("asked").select(F.col("vec_id").alias("query_id"), "v").distinct().join(queries.select("v", "query"), "v").select("query_id", "query")
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

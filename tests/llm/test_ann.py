@@ -74,3 +74,26 @@ def test_query(spark, data):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()]
     wanted, got = brute(rows), rows_of(QUERIES["op5_learned_partitions"](spark, data))
     assert len(got) == len(wanted) and len({r[::2] for r in got} & {r[::2] for r in wanted}) / len(wanted) >= 0.9
+
+
+def test_groups_are_bounded_on_both_sides(spark, monkeypatch):
+    """Every partition is visited by every query, over several rounds; a third of the rows are near to each other."""
+    monkeypatch.setattr(ann, "PARTITION_ROWS", 500)
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    monkeypatch.setattr(ann, "ROUND_ROWS", 1, raising=False)
+    search = ann._search
+
+    def bounded(k):
+        inner = search(k)
+
+        def checked(key, candidates, queries):
+            assert len(candidates) <= 160 and len(queries) <= 160
+            return inner(key, candidates, queries)
+
+        return checked
+
+    monkeypatch.setattr(ann, "_search", bounded)
+    x = vectors(3000, 16, 6)
+    x[::3] = x[0] + 0.01 * np.random.default_rng(7).normal(size=(1000, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    assert rows_of(nearest(table(spark, rows), F.col("vec_id") % 10 == 0, sample=1500, probes=99)) == brute(rows, every=10)

@@ -33,6 +33,7 @@ GRAM = 3
 THRESHOLD = 0.5
 BLOCK_WORDS = 1_000_000
 MATCH, MISMATCH, SPACE = 2, -1, -1
+#: Of the matches that a leak must have, the share that its seeds are sure to hold.
 SHARE = 0.5
 #: Pairs of a seed in a text and an item that are held at a time, besides those of one leak's length.
 HITS = 1_000_000

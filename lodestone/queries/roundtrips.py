@@ -24,6 +24,10 @@ from lodestone.sources.mapping import list_fields
 from lodestone.sources.records import read_records
 
 
+#: Features of a project file, which is one object and so one row of one task.
+FILE_FEATURES = 10_000
+
+
 @query("SELECT p_partkey::VARCHAR AS _id, p_name, p_brand, p_type, p_size::BIGINT AS p_size, p_retailprice FROM part")
 def records_roundtrip(t: Tables) -> DataFrame:
     """JSON lines as a record table, its columns found from all rows."""
@@ -91,10 +95,13 @@ def catalog_csv(t: Tables) -> DataFrame:
         THEN 'POINT (' || user_id || ' ' || trunc(value)::BIGINT || ')' END AS geometry_wkt,
         json_extract_string(props, '$.k') AS k FROM events""")
 def project_layers(t: Tables) -> DataFrame:
-    """Project files, each one object of lists of features by layer; ten files of the events."""
+    """Project files, each one object of lists of features by layer; as many files of the events as keep each at about `FILE_FEATURES`."""
     path = shared_dir(t.spark, "project")
     feature = F.struct("id", "geometry_wkt", "attributes")
-    layers = features_of_events(t).groupBy((F.col("id") % 10).alias("file"), "layer").agg(F.collect_list(feature).alias("features"))
+    features = features_of_events(t)
+    count = max(10, -(-features.count() // FILE_FEATURES))
+    file = F.pmod(F.xxhash64("id"), F.lit(count)).alias("file")
+    layers = features.groupBy(file, "layer").agg(F.collect_list(feature).alias("features"))
     files = layers.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("layer", "features"))).alias("layers"))
     files.select(F.to_json("layers").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return read_project(t.spark, path).select("layer", "id", "geometry_wkt", F.col("attributes")["k"].alias("k"))

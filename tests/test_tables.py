@@ -257,3 +257,21 @@ def test_csv(spark, tmp_path):
     E.write_catalog_csv(rows, str(tmp_path / "csv"))
     back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
     assert back.columns == ["Название признака", "Тип данных", "Описание"] and tuple(back.head()) == ("n", "t", "d")
+
+
+def test_project_files_stay_bounded(spark, data, monkeypatch):
+    """A file, which is one row, does not grow with the events."""
+    from lodestone.queries import QUERIES, roundtrips
+
+    monkeypatch.setattr(roundtrips, "FILE_FEATURES", 20, raising=False)
+    sizes = []
+    read = roundtrips.read_project
+    count = F.length("value") - F.length(F.replace("value", F.lit('"id":'), F.lit('"id"')))
+
+    def measured(session, path):
+        sizes.extend(r[0] for r in session.read.text(path, wholetext=True).select(count).collect())
+        return read(session, path)
+
+    monkeypatch.setattr(roundtrips, "read_project", measured)
+    rows = QUERIES["project_layers"](spark, data).count()
+    assert rows == sum(sizes) == spark.read.parquet(f"{data}/events.parquet").count() and max(sizes) <= 50

@@ -14,7 +14,10 @@ from lodestone.llm.common import documents
 from lodestone.llm.decontaminate import leaks
 from lodestone.llm.licenses import license_scan, license_sql
 from lodestone.llm.mixing import mixing_counts, mixing_sql
+from lodestone.llm.pieces import piece_digests
+from lodestone.llm.prefix_trie import prefix_trie
 from lodestone.llm.quality import quality
+from lodestone.llm.repair import repair_damaged
 from lodestone.llm.simhash import simhash_components
 from lodestone.llm.substring_dedup import substring_dedup
 from lodestone.llm.suffix_dedup import suffix_dedup
@@ -98,3 +101,18 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(read_table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read_table(spark, sf_dir, "conversations"))

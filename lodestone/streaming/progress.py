@@ -3,22 +3,31 @@
 Events have the columns request_id, ts, seq, step, progress, message, details, status, error and result (the JSON of what a
 finished request gives). Last write wins by (ts, seq); the first event whose status is `completed` or `error` ends a request.
 
-The state of a stream is one row per request in Spark's state store. A micro-batch is reduced to one row per request and task, or Arrow
-batch, before the shuffle, so a request with very many events is no burden for one task. A request that has ended leaves the store when
-the watermark has passed its end by `evict_seconds`: from then on Spark drops what comes late for it, and until then its end stays
-known, so nothing revives it. Without eviction all requests stay, and the state is that of a plain aggregation. The feed is an append-only table of Spark's file sink, cut at the end of each request when read.
+The states of a stream are a table of changes, a folder for each micro-batch (`sinks.BatchTable`); the last row of a request counts. A
+micro-batch is reduced to one row per request and task, or Arrow batch, before the shuffle, so a request with very many events
+is no burden for one task. There are three ways of forgetting:
+
+- `start` without `evict_seconds` keeps every request, as a plain aggregation;
+- `start` with it drops a request when the watermark has passed its end by that time; until then its end stays known;
+- `start_read` drops a request that time after it was first read in its final state, as a client sees it; unread ones stay.
+
+`start_feed` gives the events of each request in order up to its end. This and `start_read` hold what comes until the watermark has
+passed it and take it in the order of event time, so what comes late, but not later than `lateness`, is in its place; what Spark
+finds later than that is dropped. The end of a request is remembered for `remember_seconds`, so nothing revives it before. A row whose
+request is null is a heartbeat: its time moves the watermark on, and nothing else.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.functions import fixed
+from lodestone.streaming.sinks import BatchTable, keyed_state
 
 EVENT = (
     "request_id string, ts timestamp, seq bigint, step int, progress int, message string, "
@@ -26,6 +35,7 @@ EVENT = (
 )
 COLUMNS = tuple(field.split()[0] for field in EVENT.split(", "))
 RECORD = ", ".join(field for field in EVENT.split(", ") if field.split()[0] not in ("request_id", "ts", "seq"))
+_RECORD = tuple(field.split()[0] for field in RECORD.split(", "))
 _PARTIAL = "request_id string, record string, ended boolean, at bigint, seq bigint, last_at bigint, max_progress int, events bigint"
 _STATE = _PARTIAL.removeprefix("request_id string, ")
 TERMINAL = ("completed", "error")
@@ -126,6 +136,19 @@ def event_feed(events: DataFrame) -> DataFrame:
     return feed.withColumn("final", F.coalesce(_order() == F.col("_end"), F.lit(False))).drop("_end")
 
 
+def _json(column: Callable[[str], Column] = F.col) -> Column:
+    return F.to_json(F.struct(*[column(c).alias(c) for c in _RECORD]))
+
+
+def _plain(events: DataFrame) -> DataFrame:
+    """Events as keys, numbers and a record."""
+    ended = F.coalesce(F.col("status").isin(*TERMINAL), F.lit(False))
+    return events.select(
+        "request_id", F.lit(EVENT_KIND).alias("kind"), F.unix_micros("ts").alias("at"), "seq", clamp(F.col("progress")).alias("progress"),
+        ended.alias("ended"), _json().alias("record"),
+    )
+
+
 def _reduced(rows: pd.DataFrame) -> pd.DataFrame:
     """One row per request: the event to show by the rule of `_priority`, and the sums."""
     sign = rows["ended"].map({True: 1, False: -1})
@@ -155,10 +178,15 @@ def _merged(a: tuple, b: tuple) -> tuple:
     return (*shown[:4], max(a[4], b[4]), max(a[5], b[5]), a[6] + b[6])
 
 
+_CHANGE = f"request_id string, gone boolean, {_STATE}"
+_GONE = [None] * len(_FIELDS)
+
+
 def _updater(evict_seconds: int | None):
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
+            yield _changes([(key[0], True, *_GONE)])
             return
         held = tuple(state.get) if state.exists else None
         for rows in batches:
@@ -169,12 +197,125 @@ def _updater(evict_seconds: int | None):
         _, ended, at, *_ = held
         if evict_seconds is not None and ended:
             state.setTimeoutTimestamp(max(at // 1000 + 1000 * evict_seconds, state.getCurrentWatermarkMs() + 1))
-        # The state is all there is to it: no rows go on.
-        yield from ()
+        yield _changes([(key[0], False, *held)])
 
     return update
 
 
+def _changes(rows: list[tuple], names: str = _CHANGE) -> pd.DataFrame:
+    # Whole numbers that may be null stay whole.
+    return pd.DataFrame(rows, columns=[f.split()[0] for f in names.split(", ")], dtype=object)
+
+
+_HELD = "kind int, at bigint, seq bigint, progress int, ended boolean, record string"
+_HELD_NAMES = [f.split()[0] for f in _HELD.split(", ")]
+_FEED = "request_id string, at bigint, seq bigint, final boolean, record string"
+EVENT_KIND, READ_KIND = 0, 1
+
+
+class _InOrder(StatefulProcessor):
+    """Holds the rows of a request until the watermark has passed them, then gives them to `take` in the order of event time."""
+
+    def __init__(self, remember_seconds: int):
+        self.remember = 1000 * remember_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", _HELD)
+        #: When the end of a request is forgotten, in milliseconds; it is set once the request has ended for good.
+        self.closed = handle.getValueState("closed", "until bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        ignored, last = key[0] is None or self.closed.exists(), None
+        for some in rows:
+            if ignored:
+                continue
+            # A batch of rows is added at a time, so a request of very many rows is no burden.
+            self.held.appendList(list(zip(*(some[c].tolist() for c in _HELD_NAMES), strict=True)))
+            last = max(last or 0, int(some["at"].max()))
+        if last is not None:
+            # Behind the last of them, and so behind each of them.
+            self.handle.registerTimer(max(last // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        if self.closed.exists():
+            if now >= self.closed.get()[0]:
+                self.closed.clear()
+            return
+        rows = sorted((tuple(r) for r in self.held.get()), key=lambda r: (r[1], r[0], r[2])) if self.held.exists() else []
+        due = [r for r in rows if r[1] < 1000 * now]
+        rest = rows[len(due) :]
+        if rest:
+            self.held.put(rest)
+        else:
+            self.held.clear()
+        out = self.take(key[0], due, now)
+        if out is not None:
+            yield out
+
+    def take(self, request: str, due: list[tuple], now: int) -> pd.DataFrame | None:
+        raise NotImplementedError
+
+    def close_request(self, at: int, now: int) -> None:
+        """Forgets all of a request but that it ended at `at` (milliseconds)."""
+        until = max(at + self.remember, now + 1)
+        self.closed.update((until,))
+        self.held.clear()
+        self.handle.registerTimer(until)
+
+    def close(self) -> None:
+        pass
+
+
+class _Feed(_InOrder):
+    def take(self, request, due, now):
+        end = next((i for i, row in enumerate(due) if row[4]), None)
+        given = due if end is None else due[: end + 1]
+        if end is not None:
+            self.close_request(due[end][1] // 1000, now)
+        rows = [(request, at, seq, i == end, record) for i, (_, at, seq, _, _, record) in enumerate(given)]
+        return _changes(rows, _FEED) if rows else None
+
+
+class _UntilRead(_InOrder):
+    """The state of a request, until `seconds` after the first read that finds it ended."""
+
+    def __init__(self, seconds: int, remember_seconds: int):
+        super().__init__(remember_seconds)
+        self.seconds = 1000 * seconds
+
+    def init(self, handle):
+        super().init(handle)
+        self.shown = handle.getValueState("shown", _STATE)
+        self.leaves = handle.getValueState("leaves", "at bigint")
+
+    def take(self, request, due, now):
+        shown = tuple(self.shown.get()) if self.shown.exists() else None
+        leaves = self.leaves.get()[0] if self.leaves.exists() else None
+        changed = False
+        for kind, at, seq, progress, ended, record in due:
+            if leaves is not None and at > 1000 * leaves:
+                break
+            if kind == EVENT_KIND:
+                row = (record, ended, at, seq, at, progress, 1)
+                shown, changed = (row if shown is None else _merged(shown, row)), True
+            elif shown is not None and shown[1] and leaves is None:
+                leaves = at // 1000 + self.seconds
+                self.leaves.update((leaves,))
+                self.handle.registerTimer(max(leaves, now + 1))
+        if leaves is not None and now > leaves:
+            self.shown.clear()
+            self.leaves.clear()
+            self.close_request(leaves, now)
+            return _changes([(request, True, *_GONE)])
+        if not changed:
+            return None
+        self.shown.update(shown)
+        return _changes([(request, False, *shown)])
+
+
 class ProgressStream:
     """Keeps the state of requests from a stream of events below `folder`, and optionally their feed.
 
@@ -182,10 +323,12 @@ class ProgressStream:
     """
 
     def __init__(
-        self, spark: SparkSession, folder: str, evict_seconds: int | None = fixed.EVICT_SECONDS, lateness: str = "10 seconds"
+        self, spark: SparkSession, folder: str, evict_seconds: int | None = fixed.EVICT_SECONDS, lateness: str = "10 seconds",
+        remember_seconds: int = 86_400,
     ):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self.evict_seconds, self.lateness = evict_seconds, lateness
+        self.evict_seconds, self.lateness, self.remember_seconds = evict_seconds, lateness, remember_seconds
+        self.states, self.events = BatchTable(spark, f"{self.folder}/state"), BatchTable(spark, f"{self.folder}/feed")
 
     def start(self, events: DataFrame, **trigger) -> StreamingQuery:
         """The query that keeps the states.
@@ -193,42 +336,61 @@ class ProgressStream:
         Without eviction that is the aggregation of `reduce_events`, as in batch; leaving the store takes timers.
         """
         if self.evict_seconds is None:
-            return self._write(reduce_events(events), trigger)
-        ended = F.coalesce(F.col("status").isin(*TERMINAL), F.lit(False))
-        rows = events.select(
-            "request_id", F.to_json(F.struct(*[field.split()[0] for field in RECORD.split(", ")])).alias("record"),
-            ended.alias("ended"), F.unix_micros("ts").alias("at"), "seq", F.unix_micros("ts").alias("last_at"),
-            clamp(F.col("progress")).alias("max_progress"), F.lit(1).cast("bigint").alias("events"),
+            reduced = reduce_events(events)
+            at = F.unix_micros("event.ts")
+            ended = F.coalesce(F.col("event.status").isin(*TERMINAL), F.lit(False))
+            states = reduced.select(
+                "request_id", F.lit(False).alias("gone"), _json(lambda c: F.col(f"event.{c}")).alias("record"), ended.alias("ended"),
+                at.alias("at"), F.col("event.seq").alias("seq"), F.unix_micros("last_ts").alias("last_at"), "max_progress", "events",
+            )
+            return self._write(states, "update", self.states.write, "states", trigger)
+        rows = _plain(events).select(
+            "request_id", "record", "ended", "at", "seq", F.col("at").alias("last_at"), F.col("progress").alias("max_progress"),
+            F.lit(1).cast("bigint").alias("events"),
         ).mapInPandas(_partial, _PARTIAL)
         rows = rows.withColumn("_ts", F.timestamp_micros("last_at")).withWatermark("_ts", self.lateness)
         states = rows.groupBy("request_id").applyInPandasWithState(
-            _updater(self.evict_seconds), "request_id string", _STATE, "update", GroupStateTimeout.EventTimeTimeout
+            _updater(self.evict_seconds), _CHANGE, _STATE, "update", GroupStateTimeout.EventTimeTimeout
         )
-        return self._write(states, trigger)
-
-    def _write(self, states: DataFrame, trigger: dict) -> StreamingQuery:
-        writer = states.writeStream.outputMode("update").format("noop").option("checkpointLocation", f"{self.folder}/states")
-        return writer.trigger(**(trigger or {"availableNow": True})).start()
+        return self._write(states, "update", self.states.write, "states", trigger)
+
+    def start_read(self, events: DataFrame, reads: DataFrame, **trigger) -> StreamingQuery:
+        """The query that keeps the states until `evict_seconds` after a client first read them (`reads`: request_id, ts) in the end."""
+        polls = reads.select(
+            "request_id", F.lit(READ_KIND).alias("kind"), F.unix_micros("ts").alias("at"), F.lit(0).cast("bigint").alias("seq"),
+            F.lit(0).alias("progress"), F.lit(False).alias("ended"), F.lit("").alias("record"),
+        )
+        both = self._in_time(_plain(events).unionByName(polls))
+        processor = _UntilRead(self.evict_seconds, self.remember_seconds)
+        with keyed_state(self.spark):
+            states = both.groupBy("request_id").transformWithStateInPandas(processor, _CHANGE, "Update", "EventTime")
+            return self._write(states, "update", self.states.write, "reads", trigger)
 
     def start_feed(self, events: DataFrame, **trigger) -> StreamingQuery:
-        """The query that appends all events to the feed's table."""
-        writer = events.select(*COLUMNS).writeStream.outputMode("append").format("parquet")
-        writer = writer.option("path", f"{self.folder}/feed").option("checkpointLocation", f"{self.folder}/feed-progress")
+        """The query that appends each request's events, in order, to the feed's table."""
+        rows = self._in_time(_plain(events))
+        with keyed_state(self.spark):
+            fed = rows.groupBy("request_id").transformWithStateInPandas(_Feed(self.remember_seconds), _FEED, "Append", "EventTime")
+            return self._write(fed, "append", self.events.write, "feed", trigger)
+
+    def _in_time(self, rows: DataFrame) -> DataFrame:
+        # Heartbeats have to get as far as the operator: a filter would be pushed below the watermark.
+        return rows.withColumn("_ts", F.timestamp_micros("at")).withWatermark("_ts", self.lateness)
+
+    def _write(self, rows: DataFrame, mode: str, sink: Callable[[DataFrame, int], None], name: str, trigger: dict) -> StreamingQuery:
+        writer = rows.writeStream.outputMode(mode).foreachBatch(sink)
+        writer = writer.option("checkpointLocation", f"{self.folder}/{name}-progress")
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
     def state(self) -> DataFrame:
-        """Latest state of every request that has not been evicted, read from the state store."""
-        stored = self.spark.read.format("statestore").load(f"{self.folder}/states")
-        if self.evict_seconds is None:
-            # The buffers of the aggregation, in the order of its columns.
-            fields = ", ".join(f"{f.split()[0]}: {f.split()[1]}" for f in EVENT.split(", ") if not f.startswith("request_id"))
-            kind = f"struct<event: struct<{fields}>, at: struct<open: boolean, at: bigint, seq: bigint>, last_ts: timestamp, max_progress: int, events: bigint>"
-            return show_states(stored.select("key.request_id", F.col("value").cast(kind).alias("s")).select("request_id", "s.*"))
-        held = F.from_json("record", RECORD)
-        event = F.struct(F.timestamp_micros("at").alias("ts"), "seq", *[held[f.split()[0]].alias(f.split()[0]) for f in RECORD.split(", ")])
-        states = stored.select("key.request_id", "value.groupState.*")
-        return show_states(states.select("request_id", event.alias("event"), "max_progress", "events"))
+        """Latest state of every request that has not been evicted."""
+        held = self.states.latest(_CHANGE, "request_id", "events").where("not gone")
+        event = F.from_json("record", RECORD)
+        event = F.struct(F.timestamp_micros("at").alias("ts"), "seq", *[event[c].alias(c) for c in _RECORD])
+        return show_states(held.select("request_id", event.alias("event"), "max_progress", "events"))
 
     def feed(self) -> DataFrame:
         """Events of each request up to its end."""
-        return event_feed(self.spark.read.schema(EVENT).parquet(f"{self.folder}/feed"))
+        rows = self.events.read(_FEED)
+        event = F.from_json("record", RECORD)
+        return rows.select("request_id", F.timestamp_micros("at").alias("ts"), "seq", *[event[c].alias(c) for c in _RECORD], "final")

@@ -24,7 +24,7 @@ from lodestone.sources.mapping import list_fields
 from lodestone.sources.records import read_records
 
 
-#: Features of a project file, which is one object and so one row of one task.
+#: Features of a project file as it is written here, which is one object made in one row.
 FILE_FEATURES = 10_000
 
 
@@ -60,6 +60,21 @@ def envelope_documents(t: Tables) -> DataFrame:
     return read_envelopes(t.spark, f"{_envelopes(t)}/*_export.json", source).select("table", "_id", "_source.*")
 
 
+@query("SELECT c_custkey::VARCHAR AS _id, c_name, c_nationkey FROM customer")
+def envelope_splits(t: Tables) -> DataFrame:
+    """One envelope with all customers, read by a task for each 64 KB of it."""
+    folder = shared_dir(t.spark, "envelope")
+    write_envelope(t.customer.select(F.col("c_custkey").cast("string").alias("_id"), F.struct("c_name", "c_nationkey").alias("_source")), "all", folder)
+    before = t.spark.conf.get("spark.sql.files.maxPartitionBytes")
+    t.spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 << 10))
+    try:
+        # The ranges are read, and their pieces stored, in here.
+        found = read_envelopes(t.spark, f"{folder}/all_export.json", t.customer.select("c_name", "c_nationkey").schema)
+    finally:
+        t.spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return found.select("_id", "_source.*")
+
+
 @query("""
     SELECT c_mktsegment AS "table", count(*) FILTER (c_acctbal >= 0) AS imported, count(*) FILTER (c_acctbal < 0) AS failed,
         count(*) FILTER (c_acctbal >= 0) = 0 AS critical FROM customer GROUP BY 1

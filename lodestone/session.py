@@ -43,8 +43,10 @@ def _local_root() -> str:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new path below the cluster's shared folder (`spark.checkpoint.dir`).
 
-    A machine-local folder is used only on a local master, where driver and executors are one process.
+    A machine-local folder is used only on a local master, where driver and executors are one process. Operators that store
+    something run functions of this package too, so the executors get it here.
     """
+    share_package(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):

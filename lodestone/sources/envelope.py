@@ -2,7 +2,7 @@
 
 An export is a folder: `documents` holds JSON lines `{_id, _source}` in as many files as there are tasks,
 and `manifest` one line with the name, mapping, settings and row count. Envelopes that hold all documents in
-one object are read too; such a file cannot be split, so it is read once and kept as Parquet.
+one object are read too, each by as many tasks as it has ranges (`objects`).
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from lodestone.functions import fixed
 from lodestone.operators.profile import vector_column
 from lodestone.sources.mapping import mapping_of
+from lodestone.sources.objects import read_items
 
 SUFFIX = "_export"
 DOCUMENT = "_id string, _source string"
@@ -73,11 +74,13 @@ def read_envelopes(spark: SparkSession, path: str, source: T.StructType | None =
     """
     kind = source or T.StringType()
     document = T.StructType([T.StructField("_id", T.StringType()), T.StructField("_source", kind)])
-    schema = T.StructType([T.StructField("documents", T.ArrayType(document))])
-    files = spark.read.schema(schema).option("multiLine", True).json(path)
-    name = F.regexp_extract(F.input_file_name(), rf"([^/]+){SUFFIX}\.json$", 1)
-    held = F.explode_outer("documents") if keep_empty else F.explode("documents")
-    return files.select(name.alias("table"), held.alias("_d")).select("table", "_d.*")
+    name = F.regexp_extract("file", rf"([^/]+){SUFFIX}\.json$", 1).alias("table")
+    items = read_items(spark, path).where(F.col("key") == "documents")
+    held = items.select("file", F.from_json("item", document).alias("_d"))
+    if keep_empty:
+        files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
+        held = files.join(held, "file", "left")
+    return held.select(name, "_d.*")
 
 
 def is_valid() -> Column:
@@ -88,12 +91,17 @@ def is_valid() -> Column:
 def write_envelope(documents: DataFrame, name: str, directory: str) -> None:
     """Documents (`_id`, `_source`) as a one-object envelope file `name`_export.json, for readers that need that form.
 
-    The form holds all documents in one object, so one task writes it; `export_table` has no such limit.
+    One file is written by one task, which takes the documents line by line; `export_table` has no such limit.
     """
     spark = documents.sparkSession
-    body = documents.agg(F.collect_list(F.struct("_id", "_source")).alias("documents"), F.count(F.lit(1)).alias("total_documents"))
     target = f"{directory.rstrip('/')}/{name}{SUFFIX}"
-    body.select(F.to_json(F.struct(F.lit(name).alias("index_name"), "*")).alias("value")).coalesce(1).write.text(target)
+    rows = documents.select(F.lit(1).alias("part"), F.to_json(F.struct("_id", "_source")).alias("value"))
+    head = spark.range(1).select(F.lit(0), F.concat(F.lit('{"index_name":'), F.lit(json.dumps(name, ensure_ascii=False)), F.lit(',"documents":[')))
+    total = documents.agg(F.count(F.lit(1)).cast("string").alias("n")).select(F.lit(2), F.concat(F.lit('],"total_documents":'), "n", F.lit("}")))
+    in_order = rows.union(head).union(total).repartition(1).sortWithinPartitions("part").withColumn("line", F.monotonically_increasing_id())
+    # The head is line 0 of the one partition, so the first document is line 1, which needs no comma before it.
+    comma = F.when((F.col("part") == 1) & (F.col("line") > 1), ",").otherwise("")
+    in_order.select(F.concat(comma, "value").alias("value")).write.text(target)
     hadoop = spark._jvm.org.apache.hadoop.fs
     folder = hadoop.Path(target)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lodestone.functions.coordinates import NUMBER
+from lodestone.sources.objects import read_items
 
 FEATURE = "id bigint, geometry_wkt string, geometry_type int, attributes map<string,string>"
 PROJECT_FEATURE = "struct<id: bigint, geometry_wkt: string, attributes: map<string,string>>"
@@ -19,14 +20,9 @@ def read_features(spark: SparkSession, path: str, lines: bool = True) -> DataFra
 
 
 def read_project(spark: SparkSession, path: str) -> DataFrame:
-    """Features of all layers of a project, `{layer: [feature]}` per file; no geometry type is given."""
-    files = spark.read.text(path, wholetext=True)
-    layers = F.from_json("value", f"map<string, array<{PROJECT_FEATURE}>>")
-    return (
-        files.select(F.explode(layers).alias("layer", "_features"))
-        .select("layer", F.explode("_features").alias("_f"))
-        .select("layer", "_f.id", "_f.geometry_wkt", "_f.attributes")
-    )
+    """Features of all layers of a project, `{layer: [feature]}` per file, read by ranges of it; no geometry type is given."""
+    features = read_items(spark, path).select(F.col("key").alias("layer"), F.from_json("item", PROJECT_FEATURE).alias("_f"))
+    return features.select("layer", "_f.id", "_f.geometry_wkt", "_f.attributes")
 
 
 def attributes_long(features: DataFrame, *keep: str) -> DataFrame:

@@ -139,3 +139,8 @@ INDEX_METHOD, INDEX_ENGINE = "hnsw", "nmslib"
 TOP_K = 10
 WEB_TOP_K = 20
 PREVIEW_ROWS = 5
+
+# Seconds after which a statement is stopped: the time-out of the usual server settings.
+STATEMENT_SECONDS = 120
+# Statements that run at a time.
+PARALLEL_STATEMENTS = 8

@@ -1,9 +1,9 @@
 """Nearest neighbours of query vectors in a corpus: exact, and approximate by cells.
 
-`knn_topk` is exact, with one algorithm for query sets of every size. Queries are broadcast in rounds whose number and bytes are
-bounded, and each round scans the corpus once: a task scores its Arrow batches by one matrix product and keeps k rows per
-query, so no pair of vectors ever becomes a row. `knn_by_cells` searches the cells of the nearest centroids only; both sides are
-cut into bounded blocks by cell.
+`knn_topk` is exact. Queries that are few, by number and bytes, are broadcast, and the corpus is scanned once; more of them are cut into
+blocks, as the corpus is, and every pair of blocks is a group of one task, so the plan is the same for any number of queries and the
+driver sees none of them. Either way a task scores by matrix products and keeps k rows per query, so no pair of vectors ever becomes a
+row. `knn_by_cells` searches the cells of the nearest centroids only; both sides are cut into bounded blocks by cell.
 
 Rows are ranked by their exact scores, the same arithmetic for each pair wherever it stands; the lower id goes first among equal
 scores only. Rows without an id or a vector, and by cosine vectors without length, take no part.
@@ -26,13 +26,11 @@ from lodestone.session import kept, shared_dir
 # Executors get this module with the task, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Queries of one round, by number and by size.
+# Queries that are broadcast at most, by number and by size.
 MAX_QUERIES = 8192
 MAX_BROADCAST_BYTES = 64 << 20
 # Scores of one matrix product, at most: 8 bytes each.
 MAX_SCORES = 4 << 20
-# Groups in which the rows of a query are merged before its last rank.
-MERGE_GROUPS = 64
 # Vectors from which a centroid is found, and the most cells there are.
 SAMPLE_PER_CELL = 256
 MAX_CELLS = 4096
@@ -183,17 +181,11 @@ def _side(df: DataFrame, id_col: str, vec_col: str, out_id: str) -> DataFrame:
 
 
 def _top(scored: DataFrame, k: int, metric: str, query_id: str, corpus_id: str) -> DataFrame:
-    """Final rank per query. The filter on row_number makes Spark cut each map task to k rows per query.
-
-    What the tasks found for a query is merged in groups first, so the last rank sees k rows of each group, not of each task.
-    """
+    """Final rank per query, over k rows of each task that scored it; Spark cuts those of a map task to k again."""
     best = [F.col("_score").desc(), F.col("_cid").asc()]
-    grouped = scored.withColumn("_group", F.spark_partition_id() % MERGE_GROUPS)
-    first = Window.partitionBy("_qid", "_group").orderBy(*best)
-    merged = grouped.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= k)
     score = -F.col("_score") if metric == "l2" else F.col("_score")
     return (
-        merged.withColumn("rank", F.row_number().over(Window.partitionBy("_qid").orderBy(*best)))
+        scored.withColumn("rank", F.row_number().over(Window.partitionBy("_qid").orderBy(*best)))
         .where(F.col("rank") <= k)
         .select(F.col("_qid").alias(query_id), F.col("_cid").alias(corpus_id), score.alias("score"), "rank")
     )
@@ -213,30 +205,29 @@ def knn_topk(
 ) -> DataFrame:
     """Exact k nearest corpus rows of every query: (query id, corpus id, score, rank).
 
-    The queries are stored, so that they are computed once, and counted before any is fetched. Each round takes a part of
-    them by a hash of the id, about `max_queries` and `max_broadcast_bytes` at most, and is one scan of the corpus.
+    The queries are counted first. Up to `max_queries` of them, and `max_broadcast_bytes`, go to every task of one scan of the corpus; more
+    are dealt by a hash of the id over blocks of about that size, and meet every block of the corpus in a task of their own.
     """
     _metric(metric)
-    q = kept(_side(queries, query_id, query_vec, "_qid"), "queries")
+    q = _side(queries, query_id, query_vec, "_qid")
     c = _side(corpus, corpus_id, corpus_vec, "_cid")
     out_corpus_id = corpus_id if corpus_id != query_id else f"neighbour_{corpus_id}"
-    types = T.StructType(
-        [
-            T.StructField("_qid", q.schema["_qid"].dataType),
-            T.StructField("_cid", c.schema["_cid"].dataType),
-            T.StructField("_score", T.DoubleType()),
-        ]
-    )
     size = q.agg(F.count("*").alias("n"), F.sum(F.size("_vec")).alias("values")).first()
-    rounds = max(-(-size["n"] // max_queries), -(-8 * (size["values"] or 0) // max_broadcast_bytes))
-    found = queries.sparkSession.createDataFrame([], types)
-    for number in range(rounds):
-        part = q.where(F.pmod(F.xxhash64("_qid"), F.lit(rounds)) == number) if rounds > 1 else q
-        found = found.unionByName(_round(part.toArrow(), c, k, metric, types))
+    if size["n"] <= max_queries and 8 * (size["values"] or 0) <= max_broadcast_bytes:
+        found = _broadcast(q.toArrow(), c, k, metric, _scored(q, c))
+    else:
+        width = max(1, size["values"] // size["n"])
+        rows = max(1, min(max_queries, max_broadcast_bytes // (8 * width)))
+        found = _by_blocks(q, c, k, metric, -(-size["n"] // rows), max(1, BLOCK_BYTES // (8 * width)))
     return _top(found, k, metric, query_id, out_corpus_id)
 
 
-def _round(table: pa.Table, corpus: DataFrame, k: int, metric: str, types: T.StructType) -> DataFrame:
+def _scored(q: DataFrame, c: DataFrame) -> T.StructType:
+    kinds = [("_qid", q.schema["_qid"].dataType), ("_cid", c.schema["_cid"].dataType), ("_score", T.DoubleType())]
+    return T.StructType([T.StructField(*kind) for kind in kinds])
+
+
+def _broadcast(table: pa.Table, corpus: DataFrame, k: int, metric: str, types: T.StructType) -> DataFrame:
     """k best corpus rows of each of some queries, in every task of one scan."""
     if table.num_rows == 0:
         return corpus.sparkSession.createDataFrame([], types)
@@ -255,6 +246,45 @@ def _round(table: pa.Table, corpus: DataFrame, k: int, metric: str, types: T.Str
     return corpus.mapInArrow(scan, types)
 
 
+def _ready(side: DataFrame, id_col: str, metric: str) -> DataFrame:
+    """Vectors ready for scores, as doubles, without those that can never score."""
+
+    def prepare(batches):
+        for batch, vectors in _unit_rows(batches, metric):
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), _lists(vectors)], [id_col, "_vec"])
+
+    fields = [T.StructField(id_col, side.schema[id_col].dataType), T.StructField("_vec", T.ArrayType(T.DoubleType()))]
+    return side.mapInArrow(prepare, T.StructType(fields))
+
+
+def _by_blocks(q: DataFrame, c: DataFrame, k: int, metric: str, q_parts: int, c_rows: int) -> DataFrame:
+    """k best corpus rows of each query, from each block of the corpus: a group is one block of either side."""
+    ready_q, ready_c = kept(_ready(q, "_qid", metric), "queries"), kept(_ready(c, "_cid", metric), "corpus")
+    c_parts = max(1, -(-ready_c.count() // c_rows))
+    places = {"_q": F.sequence(F.lit(0), F.lit(q_parts - 1)), "_c": F.sequence(F.lit(0), F.lit(c_parts - 1))}
+    left = ready_q.withColumn("_q", F.pmod(F.xxhash64("_qid"), F.lit(q_parts)).cast("int")).withColumn("_c", F.explode(places["_c"]))
+    right = ready_c.withColumn("_c", F.pmod(F.xxhash64("_cid"), F.lit(c_parts)).cast("int")).withColumn("_q", F.explode(places["_q"]))
+    groups = left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c"))
+    return groups.applyInArrow(_block_scorer(k, metric), _scored(q, c))
+
+
+def _block_scorer(k: int, metric: str):
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        empty = pa.table({"_qid": left["_qid"].slice(0, 0), "_cid": right["_cid"].slice(0, 0),
+                          "_score": pa.array([], pa.float64())})
+        if not left.num_rows or not right.num_rows:
+            return empty
+        queries, corpus, ids = _matrix(left["_vec"]), _matrix(right["_vec"]), _ids(right["_cid"])
+        tables = [empty]
+        for part in _steps(len(queries), len(corpus)):
+            rows, found, value = _block_topk(queries[part], corpus, ids, k, metric)
+            qids = left["_qid"].take(pa.array(np.arange(len(queries))[part][rows]))
+            tables.append(pa.table({"_qid": qids, "_cid": pa.array(found), "_score": value}))
+        return pa.concat_tables(tables)
+
+    return score
+
+
 @dataclass
 class Cells:
     """A corpus split by nearest centroid."""
@@ -425,28 +455,9 @@ def _search(routed: DataFrame, cells: Cells, k: int, block_rows: int) -> DataFra
         .select("_cell", "_q", "_c", "_cid", "_vec")
     )
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"_qid": left["_qid"].slice(0, 0), "_cid": right["_cid"].slice(0, 0),
-                          "_score": pa.array([], pa.float64())})
-        if not left.num_rows or not right.num_rows:
-            return empty
-        queries, corpus, ids = _matrix(left["_vec"]), _matrix(right["_vec"]), _ids(right["_cid"])
-        tables = [empty]
-        for part in _steps(len(queries), len(corpus)):
-            rows, found, value = _block_topk(queries[part], corpus, ids, k, metric)
-            qids = left["_qid"].take(pa.array(np.arange(len(queries))[part][rows]))
-            tables.append(pa.table({"_qid": qids, "_cid": pa.array(found), "_score": value}))
-        return pa.concat_tables(tables)
-
-    types = T.StructType(
-        [
-            T.StructField("_qid", routed.schema["_qid"].dataType),
-            T.StructField("_cid", cells.rows.schema["_cid"].dataType),
-            T.StructField("_score", T.DoubleType()),
-        ]
-    )
     keys = ["_cell", "_q", "_c"]
-    return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(score, types)
+    groups = q.groupBy(*keys).cogroup(c.groupBy(*keys))
+    return groups.applyInArrow(_block_scorer(k, metric), _scored(routed, cells.rows))
 
 
 def knn_by_cells(

@@ -3,16 +3,21 @@
 Models stay outside: `find_hits` gives the pairs of question and feature that they are asked about, and their
 verdicts, SQL texts and summaries come back as tables keyed by question and feature. Everything else is one
 plan over all questions. Each distinct SQL text that is needed runs once, into a table of its own, however many questions share
-it; a text that fails, in analysis or at run time, is an outcome of that attempt alone, and the next attempt is tried.
+it, and several run at a time, each with a time limit; a text that fails, in analysis, at run time or by its limit, is an outcome of
+that attempt alone, and the next attempt is tried.
 """
 
 from __future__ import annotations
 
+import hashlib
+import threading
 from collections.abc import Callable, Iterator
+from concurrent.futures import Future
 from dataclasses import dataclass
 from itertools import batched, count
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestone.functions import fixed
 from lodestone.functions.text import feature_description, feature_name, strip, strip_code_fence
@@ -22,8 +27,9 @@ from lodestone.operators.combine import Columns
 from lodestone.operators.knn import knn_topk
 from lodestone.operators.points import extract_points, point_lines
 from lodestone.operators.position import with_row_position
-from lodestone.plans.guarded_sql import GuardedSql
-from lodestone.session import discard, kept, shared_dir
+from lodestone.plans.concurrent import TimedOut, run_all, within
+from lodestone.plans.guarded_sql import GuardedSql, Outcome
+from lodestone.session import discard, expire, kept, shared_dir
 
 PAIR = ["question_id", "feature_id"]
 STATEMENT = "statement_id"
@@ -32,6 +38,7 @@ ORDER = "row_order"
 OWN = ["question_id", "matched_feature", "feature_rank", "position", STATEMENT, ORDER]
 # Statements whose rows are aligned in one plan. Types are settled over all of them before, so the number changes no result.
 STATEMENTS_PER_PLAN = 32
+CHOICE = f"ladder array<string>, {STATEMENT} long"
 OUTCOME = f"sql string, {STATEMENT} long, ok boolean, error_class string, message string"
 
 
@@ -83,71 +90,119 @@ def accept_features(hits: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 class _Statements:
-    """Statements that were run into tables `root`/number."""
-
-    def __init__(self, spark: SparkSession, guard: GuardedSql):
-        self.spark, self.guard = spark, guard
-        self.root, self.outcomes = shared_dir(spark, "statements"), shared_dir(spark, "outcomes")
-        self.numbers = count()
-        spark.createDataFrame([], OUTCOME).write.parquet(self.outcomes)
+    """Statements that were run into tables `root`/number, `parallel` at a time and each for `seconds` at most."""
+
+    def __init__(self, spark: SparkSession, guard: GuardedSql, parallel: int = fixed.PARALLEL_STATEMENTS, seconds: float | None = None):
+        self.spark, self.guard, self.parallel, self.seconds = spark, guard, parallel, seconds
+        self.root, self.outcomes, self.choices = (shared_dir(spark, name) for name in ("statements", "outcomes", "choices"))
+        self.numbers, self.lock = count(), threading.Lock()
+        # What became of a text, by its digest: a statement that several ladders need is run by the first and awaited by the others.
+        self.known: dict[bytes, Future] = {}
+        self.tried: list[tuple] = []
+        self.schemas: dict[int, StructType] = {}
+        # The last rows of both tables, at most as many as are run between two writes.
+        self.rest: tuple[list[tuple], list[tuple]] = [], []
+        self.written = False
 
     def path(self, number: int) -> str:
         return f"{self.root}/{number}"
 
-    def known(self) -> DataFrame:
-        return self.spark.read.schema(OUTCOME).parquet(self.outcomes)
-
-    def run(self, texts: Iterator[str]) -> None:
-        """The texts come to the driver one by one, since each needs a plan of its own; their outcomes go to a table."""
-        for some in batched(texts, 256):
-            rows = []
-            for sql in some:
-                number = next(self.numbers)
-                outcome = self.guard.materialise(sql, self.path(number), ORDER, OWN)
-                rows.append((sql, number, outcome.ok, outcome.error_class, outcome.message))
-            self.spark.createDataFrame(rows, OUTCOME).coalesce(1).write.mode("append").parquet(self.outcomes)
+    def _once(self, sql: str) -> int | None:
+        """Number of the table of a text, or None if it failed."""
+        digest = hashlib.sha256(sql.encode()).digest()
+        with self.lock:
+            known = self.known.get(digest)
+            if known is None:
+                mine = self.known[digest] = Future()
+        if known is not None:
+            return known.result()
+        number = next(self.numbers)
+        try:
+            outcome = within(self.spark, self.seconds, lambda: self.guard.materialise(sql, self.path(number), ORDER, OWN))
+        except TimedOut as error:
+            outcome = Outcome(False, error_class="TIMED_OUT", message=str(error))
+        except BaseException as error:
+            mine.set_exception(error)
+            raise
+        if outcome.ok:
+            self.schemas[number] = outcome.df.drop(ORDER).schema
+        with self.lock:
+            self.tried.append((sql, number, outcome.ok, outcome.error_class, outcome.message))
+        mine.set_result(number if outcome.ok else None)
+        return mine.result()
+
+    def _climb(self, ladder: list[str]) -> tuple[list[str], int | None]:
+        """The first text of a ladder that works."""
+        return ladder, next((n for n in map(self._once, ladder) if n is not None), None)
+
+    def run(self, ladders: Iterator[list[str]]) -> None:
+        """The texts come to the driver ladder by ladder, since each needs a plan of its own; what became of them goes to tables."""
+        for some in batched(run_all(self.spark, self._climb, ladders, self.parallel), 256):
+            if self.rest[0] or self.rest[1]:
+                for rows, kind, path in self._tables():
+                    self.spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(path)
+                self.written = True
+            with self.lock:
+                tried, self.tried = self.tried, []
+            self.rest = tried, [row for row in some if row[1] is not None]
+
+    def _tables(self) -> list[tuple[list[tuple], str, str]]:
+        return [(self.rest[0], OUTCOME, self.outcomes), (self.rest[1], CHOICE, self.choices)]
+
+    def found(self) -> list[DataFrame]:
+        """All outcomes, and the statement that each ladder came to."""
+        tables = []
+        for rows, kind, path in self._tables():
+            table = self.spark.createDataFrame(rows, kind)
+            tables.append(table.unionByName(self.spark.read.schema(kind).parquet(path)) if self.written else table)
+        return tables
 
     def rows(self, chosen: DataFrame) -> DataFrame | None:
         """Rows of the chosen statements (their numbers, in the order of their texts) under one set of columns."""
         numbers = [r[STATEMENT] for r in chosen.toLocalIterator()]
         columns = Columns(self.spark)
         for number in numbers:
-            columns.add(self.spark.read.parquet(self.path(number)).drop(ORDER).schema)
-        target = shared_dir(self.spark, "statement-rows")
+            columns.add(self.schemas[number])
+        unions = []
         for some in batched(numbers, STATEMENTS_PER_PLAN):
             parts = []
             for number in some:
-                df = self.spark.read.parquet(self.path(number))
+                stored = StructType([*self.schemas[number], StructField(ORDER, LongType())])
+                df = self.spark.read.schema(stored).parquet(self.path(number))
                 parts.append(df.select(*columns.aligned(df), ORDER, F.lit(number).cast("long").alias(STATEMENT)))
             union = parts[0]
             for part in parts[1:]:
                 union = union.unionAll(part)
+            unions.append(union)
+        expire(self.spark, self.root)
+        if len(unions) < 2:
+            return unions[0] if unions else None
+        target = shared_dir(self.spark, "statement-rows")
+        for union in unions:
             union.write.mode("append").parquet(target)
         discard(self.spark, self.root)
-        return self.spark.read.parquet(target) if numbers else None
+        return self.spark.read.parquet(target)
 
 
-def _run_attempts(guard: GuardedSql, tried: DataFrame) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+def _run_attempts(
+    guard: GuardedSql, tried: DataFrame, parallel: int, seconds: float | None
+) -> tuple[DataFrame | None, DataFrame, DataFrame]:
     """Rows of the statements that answer a pair, the pairs with their statement, and all outcomes.
 
-    One round per attempt: the texts of the pairs that have no result yet are run, each once, and the first that works counts.
+    The texts of a pair, in order, are its ladder. Each different ladder is climbed until a text works; each text runs once.
     """
     spark = tried.sparkSession
-    statements = _Statements(spark, guard)
+    statements = _Statements(spark, guard, parallel, seconds)
     in_turn = Window.partitionBy(*PAIR).orderBy("attempt", "sql")
-    tried = kept(tried.withColumn("_turn", F.row_number().over(in_turn)), "tries")
-    answered = kept(tried.select(*PAIR, "feature_name", "rank", F.lit(0).cast("long").alias(STATEMENT)).limit(0), "answered")
-    turns = tried.agg(F.max("_turn")).first()[0] or 0
-    for turn in range(1, min(turns, fixed.MAX_ATTEMPTS) + 1):
-        waiting = tried.where(F.col("_turn") == turn).join(answered, PAIR, "left_anti")
-        new = waiting.select("sql").distinct().join(statements.known().select("sql"), "sql", "left_anti").orderBy("sql")
-        statements.run(row["sql"] for row in new.toLocalIterator())
-        good = statements.known().where("ok").select("sql", STATEMENT)
-        found = waiting.join(good, "sql").select(*answered.columns)
-        answered = kept(answered.unionByName(found), "answered")
-    texts = statements.known().select(STATEMENT, "sql")
-    chosen = answered.select(STATEMENT).distinct().join(texts, STATEMENT).orderBy("sql").select(STATEMENT)
-    return statements.rows(chosen), answered, statements.known()
+    turns = tried.withColumn("_turn", F.row_number().over(in_turn)).where(F.col("_turn") <= fixed.MAX_ATTEMPTS)
+    pairs = turns.groupBy(*PAIR).agg(
+        F.min("feature_name").alias("feature_name"), F.min("rank").alias("rank"), F.array_sort(F.collect_list(F.struct("_turn", "sql"))).alias("_l")
+    )
+    pairs = kept(pairs.select(*PAIR, "feature_name", "rank", F.transform("_l", lambda x: x["sql"]).alias("ladder")), "tries")
+    statements.run(row["ladder"] for row in pairs.select("ladder").distinct().toLocalIterator())
+    outcomes, choices = statements.found()
+    chosen = choices.select(STATEMENT).distinct().join(outcomes, STATEMENT).orderBy("sql").select(STATEMENT)
+    return statements.rows(chosen), pairs.join(choices, "ladder").drop("ladder"), outcomes
 
 
 def _placed(rows: DataFrame) -> DataFrame:
@@ -165,12 +220,15 @@ def answer_questions(
     statements: DataFrame,
     records: Callable[[SparkSession], DataFrame],
     summaries: DataFrame | None = None,
+    parallel: int = fixed.PARALLEL_STATEMENTS,
+    statement_seconds: float | None = fixed.STATEMENT_SECONDS,
 ) -> Answers:
     """Answer every question.
 
     questions: question_id, question. hits: as `find_hits` gives them. verdicts: question_id, feature_id,
     attempt, text, error. statements: question_id, feature_id, attempt, sql. summaries: question_id, text.
-    `records` gives the table that the SQL reads as `df`.
+    `records` gives the table that the SQL reads as `df`. `parallel` statements run at a time; one that takes longer than
+    `statement_seconds` is cancelled (`TIMED_OUT`).
     """
     features = accept_features(hits, verdicts)
     tried = (
@@ -178,7 +236,7 @@ def answer_questions(
         .join(features.select(*PAIR, "feature_name", "rank"), PAIR)
         .withColumn("sql", strip_code_fence("sql"))
     )
-    rows, chosen, outcomes = _run_attempts(GuardedSql(spark, records), tried)
+    rows, chosen, outcomes = _run_attempts(GuardedSql(spark, records), tried, parallel, statement_seconds)
     counts = hits.groupBy("question_id").agg(F.count(F.lit(1)).alias("_hits"))
     accepted = features.groupBy("question_id").agg(F.count(F.lit(1)).alias("features"))
     base = questions.select("question_id", "question").join(counts, "question_id", "left")

@@ -31,10 +31,15 @@ STATEMENTS = {
 }
 
 
-def _answers(t: Tables, summarised: bool = False) -> Answers:
+# Pairs of numbers that no cluster ends counting.
+ENDLESS = "SELECT count(*) AS n FROM range(100000000) a JOIN range(100000000) b ON a.id % 7 <> b.id % 5"
+
+
+def _answers(t: Tables, summarised: bool = False, first: dict[str, str] | None = None, seconds: float | None = None) -> Answers:
     """A question per label; the catalog is the documents that have a vector.
 
-    With `summarised` every question has a model's text, and there is one more, without a vector, that finds nothing.
+    With `summarised` every question has a model's text, and there is one more, without a vector, that finds nothing. `first`: texts by
+    language that are tried before the others. `seconds`: time limit of a statement.
     """
     questions = centroids(t.embeddings).select(
         F.col("label").alias("question_id"), F.concat(F.lit("label "), "label").alias("question"), "embedding"
@@ -64,15 +69,15 @@ def _answers(t: Tables, summarised: bool = False) -> Answers:
         "text",
         F.when(F.col("text").isNull(), "read timeout").alias("error"),
     )
-    texts = F.create_map(
-        *[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for pair in STATEMENTS.items() for x in pair]
-    )
+    ladders = {lang: [*([first[lang]] if first and lang in first else []), *some] for lang, some in STATEMENTS.items()}
+    texts = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for pair in ladders.items() for x in pair])
     spoken = hits.select("question_id", "feature_id").join(documents, F.col("feature_id") == F.col("doc_id"))
     statements = spoken.select("question_id", "feature_id", F.posexplode(texts[F.col("lang")]).alias("at", "sql"))
     statements = statements.withColumn("attempt", F.col("at") + 1).drop("at")
     return run_questions(
         t.spark, questions, hits, verdicts, statements,
         lambda session: records(read_table(session, t.directory, "customer")), summaries,
+        **({} if seconds is None else {"statement_seconds": seconds}),
     )
 
 
@@ -104,6 +109,12 @@ def answer_questions(t: Tables) -> DataFrame:
     return _answers(t).answers.drop("answer")
 
 
+@query(ANSWERS_SQL)
+def answer_time_limit(t: Tables) -> DataFrame:
+    """The same answers when the first statement about every German entry never ends: it is stopped, and the next one is tried."""
+    return _answers(t, first={"de": ENDLESS}, seconds=12).answers.drop("answer")
+
+
 def _cells(row: bool) -> str:
     """Header or line of the block: only columns of statements that were accepted."""
     names = [

@@ -97,8 +97,8 @@ def test_types_are_settled_over_all_statements(spark, monkeypatch, limit):
     _, out = answered(spark, n_statements=3)
     guard = A.GuardedSql(spark, records)
     statements = A._Statements(spark, guard)
-    statements.run(iter(["SELECT 1 AS v", "SELECT 1.0D AS v", "SELECT 'x' AS V"]))
-    chosen = statements.known().orderBy("sql").select(A.STATEMENT)
+    statements.run(iter([["SELECT 1 AS v"], ["SELECT 1.0D AS v"], ["SELECT 'x' AS V"]]))
+    chosen = statements.found()[0].orderBy("sql").select(A.STATEMENT)
     assert sorted(r[0] for r in statements.rows(chosen).collect()) == ["1", "1.0", "x"]
 
 
@@ -131,3 +131,22 @@ def test_question_text(spark):
     found = {r["question_id"]: r["search_text"] for r in A.question_text(questions, responses).collect()}
     assert found == {1: "описание", 2: "что?", 3: "кто?"}
     assert A.question_text(questions).head()["search_text"] == "где?"
+
+
+def test_a_statement_over_its_time_is_stopped_and_the_others_run_on(spark):
+    """The limit cancels the statement's jobs alone; what waits for a text that another pair runs gets its outcome."""
+    endless = "SELECT count(*) AS n FROM range(100000000) a JOIN range(100000000) b ON a.id % 7 <> b.id % 5"
+    tried = spark.createDataFrame(
+        [
+            (1, "a", "A", 1, 1, endless), (1, "a", "A", 1, 2, "SELECT 'slow' AS x FROM df"), (1, "b", "B", 2, 1, "SELECT 'quick' AS x FROM df"),
+            (2, "a", "A", 1, 1, endless), (2, "b", "B", 2, 1, "SELECT 'quick' AS x FROM df"),
+        ],
+        "question_id int, feature_id string, feature_name string, rank int, attempt int, sql string",
+    )
+    rows, pairs, outcomes = A._run_attempts(A.GuardedSql(spark, records), tried, 4, 8)
+    found = {r.sql: (r.ok, r.error_class) for r in outcomes.collect()}
+    assert found[endless] == (False, "TIMED_OUT") and len(found) == 3 == outcomes.count()
+    assert {(r.question_id, r.feature_id) for r in pairs.collect()} == {(1, "a"), (1, "b"), (2, "b")}
+    assert sorted(r.x for r in rows.collect()) == ["quick"] * 3 + ["slow"] * 3
+    # Nothing of the statement is left running.
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()

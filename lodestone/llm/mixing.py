@@ -11,8 +11,9 @@ whole blocks, then of the block that crosses it whole parts, then of the part th
 source and `BLOCKS` parts a block, so no window holds more rows of a source than that, but for the documents of one part.
 
 Only built-in functions run here. A null source is a source of its own, the empty name; null and empty texts have no words and come
-along with their block at no cost. Rows of equal id share a block and follow a hash of the text; equal rows come along together or
-not at all. An empty table, or one without any words, gives no rows. Columns of the documents stay as they are.
+along with their block at no cost, and all documents of a source without any words are taken once. Rows of equal id share a block and
+follow a hash of the text; equal rows come along together or not at all. A very long text may be the one that a budget does not reach. An
+empty table gives no rows. Columns of the documents stay as they are.
 """
 
 from __future__ import annotations
@@ -133,18 +134,19 @@ def mixing_plan(
 
 
 def _copies(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
-    """`rows` (with the keys) with `copies`; those of sources without words are not in the plan and have none."""
+    """`rows` (with the keys) with `copies`; sources without words are not in the plan, and their rows are taken once."""
     turn = F.struct(_turn(F.col("epochs"), seed).alias("t"), F.col("_block").alias("b"))
     limit = F.struct(F.col("end_turn").alias("t"), F.col("end_block").alias("b"))
     inside = (F.col("_part") < F.col("end_part")) | (
         (F.col("_part") == F.col("end_part")) & F.coalesce(F.struct("_place", "_did", "_rk") <= F.col("end"), F.lit(False))
     )
     more = (turn < limit) | ((turn == limit) & inside)
-    return rows.join(plan, "_source").withColumn("copies", F.col("epochs") + F.coalesce(more, F.lit(False)).cast("int"))
+    copies = F.when(F.col("epochs").isNull(), 1).otherwise(F.col("epochs") + F.coalesce(more, F.lit(False)).cast("int"))
+    return rows.join(plan, "_source", "left").withColumn("copies", copies)
 
 
 def mixing_counts(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None, seed: int = 1) -> DataFrame:
-    """`doc_id`, `source`, `n_tokens`, `copies` (how often the document is in the mixture), one row per document of a source with words."""
+    """`doc_id`, `source`, `n_tokens`, `copies` (how often the document is in the mixture), one row per document."""
     meta, plan = mixing_plan(docs, entropy, repeats, budget, seed)
     return _copies(meta, plan, seed).select(public_id("_did"), F.col("_source").alias("source"), "n_tokens", "copies")
 
@@ -199,5 +201,5 @@ kc AS (SELECT source, turn AS end_turn, block AS end_block, rest - run + size AS
 q AS (
   SELECT doc_id, source, n, epochs, ({turn}, block) AS turn, (end_turn, end_block) AS limit_,
     sum(n) OVER (PARTITION BY source, block ORDER BY part, place, doc_id) AS run, over
-  FROM m JOIN e USING (source) JOIN kc USING (source))
-SELECT doc_id, source, n AS n_tokens, epochs + CASE WHEN turn < limit_ OR (turn = limit_ AND run <= over) THEN 1 ELSE 0 END AS copies FROM q"""
+  FROM m LEFT JOIN e USING (source) LEFT JOIN kc USING (source))
+SELECT doc_id, source, n AS n_tokens, CASE WHEN epochs IS NULL THEN 1 ELSE epochs END + CASE WHEN turn < limit_ OR (turn = limit_ AND run <= over) THEN 1 ELSE 0 END AS copies FROM q"""

@@ -103,5 +103,12 @@ def test_repeated_rows_and_missing_ids(spark):
 
 def test_empty_tables(spark):
     assert mixture(frame(spark, [])).collect() == []
-    assert mixture(frame(spark, [None, ""])).collect() == []
+    assert sorted(r.doc_id for r in mixture(frame(spark, [None, ""])).collect()) == [0, 1]
+
+
+def test_sources_without_words_are_taken_once(spark):
+    docs = frame(spark, ["a b c", "", None, "", "d e"], ["x", "y", "y", "x", None])
+    assert sorted((r.doc_id, r.copies) for r in mixing_counts(docs).collect() if r.source == "y") == [(1, 1), (2, 1)]
+    assert sorted(r.doc_id for r in mixture(docs).where("source = 'y'").collect()) == [1, 2]
+    assert mixing_counts(docs).count() == 5
     assert mixing_counts(frame(spark, [])).collect() == []

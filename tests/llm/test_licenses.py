@@ -41,6 +41,34 @@ def test_votes_find_notices_and_edited_notices(spark):
     assert rows[0][6] == 1.0 and 0.8 <= rows[1][6] < 1.0 and rows[2][6] == 0.0
 
 
+CC = "This work is licensed under a Creative Commons Attribution%s International License."
+GNU = "You may redistribute it under the terms of the GNU %sGeneral Public License as published by the Free Software Foundation."
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        (GNU % "", "gpl"), (GNU % "Lesser ", "lgpl"), (GNU % "Affero ", "agpl"), (GNU % "Library ", "lgpl"),
+        (CC % " 4.0", "cc-by"), (CC % "-ShareAlike 4.0", "cc-by-sa"), (CC % "-NonCommercial 4.0", "cc-by-nc"),
+        (CC % "-NoDerivatives 4.0", "cc-by-nd"), (CC % "-NonCommercial-ShareAlike 4.0", "cc-by-nc-sa"),
+        (CC % "-NonCommercial-NoDerivatives 4.0", "cc-by-nc-nd"),
+        ("This work is licensed under the GNU General Public License, version 2.", "gpl,gpl-2.0"),
+        ("This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-3.0"),
+        # Letters beyond A-Z stay as they are: the Kelvin sign is no k.
+        ((CC % " 4.0").replace("work", "wor\u212a"), "cc-by"),
+        (GNU % "" + " " + GNU % "Affero ", "agpl,gpl"),
+    ],
+)
+def test_neighbouring_licences_are_told_apart(spark, text, labels):
+    assert scanned(spark, [f"{prose(30, 2)} {text} {prose(30, 3)}"])[0][5] == labels
+
+
+def test_only_a_to_z_are_lowered(spark):
+    """A notice with a Kelvin sign for its k scores by the words that are left."""
+    whole, changed = (scanned(spark, [t])[0] for t in (CC % " 4.0", (CC % " 4.0").replace("work", "wor\u212a")))
+    assert whole[6] == 1.0 and changed[6] < 1.0
+
+
 def test_far_diagonals_are_not_merged(spark):
     words = MIT.split()
     spread = " ".join(" ".join(words[i : i + 4]) + " " + prose(20, i) for i in range(0, len(words), 4))

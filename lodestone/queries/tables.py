@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.functions.text import percent_value
-from lodestone.operators.combine import tagged_union
+from lodestone.operators.combine import mixed_value, tagged_union
 from lodestone.operators.profile import column_profile, profile_text, require_rows
+from lodestone.operators.range_join import interval_join
 from lodestone.operators.reconcile import key_differences, load_summary, remaining
 from lodestone.plans.guarded_sql import GuardedSql
 from lodestone.queries.registry import Tables, query
@@ -177,6 +178,43 @@ def tagged_union_parts(t: Tables) -> DataFrame:
     return tagged_union(branches)
 
 
+@query("""
+    SELECT 'customer' AS matched_feature, c_custkey AS key, 'ARRAY<BIGINT>' AS kind, NULL::DOUBLE AS number, NULL AS text,
+        '[' || c_nationkey || ',' || c_custkey || ']' AS json, c_nationkey::BIGINT AS first FROM customer
+    UNION ALL SELECT 'part', p_partkey, 'BIGINT', p_size, NULL, NULL, NULL FROM part
+    UNION ALL SELECT 'price', p_partkey, 'DOUBLE', p_retailprice, NULL, NULL, NULL FROM part
+    UNION ALL SELECT 'supplier', s_suppkey, 'STRING', NULL, s_name, NULL, NULL FROM supplier""")
+def tagged_union_mixed(t: Tables) -> DataFrame:
+    """A column that is a whole number, a fraction, a text or a list, by branch; each value is read back as what it was."""
+    nation, key = F.col("c_nationkey").cast("long"), F.col("c_custkey").cast("long")
+    branches = {
+        "part": t.part.selectExpr("p_partkey AS key", "p_size AS detail"),
+        "price": t.part.selectExpr("p_partkey AS key", "p_retailprice AS detail"),
+        "supplier": t.supplier.selectExpr("s_suppkey AS key", "s_name AS detail"),
+        "customer": t.customer.select(F.col("c_custkey").alias("key"), F.array(nation, key).alias("detail")),
+    }
+    union = tagged_union(branches, variant=True)
+    value = union.select("*", mixed_value("detail").alias("v"))
+    first = F.try_variant_get("detail", "$[0]", "bigint").alias("first")
+    return value.select("matched_feature", "key", "v.kind", "v.number", "v.text", "v.json", first)
+
+
+@query("""
+    WITH i AS (SELECT o_orderkey, CASE WHEN o_orderkey % 997 = 0 THEN 0 ELSE o_totalprice / 1000 END AS low,
+            CASE WHEN o_orderkey % 997 = 0 THEN 1e6 ELSE o_totalprice / 1000 + o_orderkey % 5 / 100 END AS high FROM orders)
+    SELECT o_orderkey, count(*) AS events, sum(event_id)::BIGINT AS ids FROM i JOIN events ON value >= low AND value < high GROUP BY 1""")
+def range_join_orders(t: Tables) -> DataFrame:
+    """Events whose value lies in an order's band of prices: short bands, empty ones, and some that hold everything."""
+    all_of_it = F.col("o_orderkey") % 997 == 0
+    price = F.col("o_totalprice") / 1000
+    bands = t.orders.select(
+        "o_orderkey", F.when(all_of_it, F.lit(0.0)).otherwise(price).alias("low"),
+        F.when(all_of_it, F.lit(1e6)).otherwise(price + F.col("o_orderkey") % 5 / 100).alias("high"),
+    )
+    found = interval_join(t.events.select("event_id", "value"), bands, "value", "low", "high")
+    return found.groupBy("o_orderkey").agg(F.count("*").alias("events"), F.sum("event_id").alias("ids"))
+
+
 @query("""
     SELECT to_json(struct_pack(p_partkey := p_partkey, p_name := p_name, p_brand := p_brand, p_type := p_type, p_size := p_size,
                p_retailprice := p_retailprice)) AS document,

@@ -64,7 +64,7 @@ def test_an_item_that_leaked_everywhere_is_found_everywhere(spark):
 def test_edges(spark):
     item = prose(20, 1)
     docs = frame(spark, [item, item, item], ids=[None, 3, 3])
-    assert tuples(leaks(docs, benchmark(spark, [item, item, None, "", "two words"], ids=[1, 2, 3, None, 5])), "doc_id", "item_id") == sorted(
+    assert tuples(leaks(docs, benchmark(spark, [item, item, None, "", "two others"], ids=[1, 2, 3, None, 5])), "doc_id", "item_id") == sorted(
         [(None, 1), (None, 2), (3, 1), (3, 2), (3, 1), (3, 2)], key=repr
     )
     assert leaks(frame(spark, []), benchmark(spark, [item])).collect() == []
@@ -123,7 +123,44 @@ def test_stretches_miss_no_alignment(data):
         module.HITS = HITS
     assert isinstance(block, Items)
     body = hashes(text.encode())
-    whole = [x for i, w in enumerate(words) if len(w) >= 3 for x in block._best(i, np.unique(w), body, 0, len(body))]
+    whole = [x[1:] for x in block.aligned([(0, i, 0, len(body)) for i in range(3)], body, np.array([0, len(body)]))]
     assert sorted(found) == sorted(whole)
     for i, w in enumerate(words):
         assert any(f[0] == i for f in found) == (brute_score(w.tolist(), body.tolist()) >= least_score(len(w), 0.5))
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    """Items of one or two words stand as they are, and a Han character is a word, so copies between others are found, edited ones too."""
+    han = "今天天气很好我们一起去公园散步然后回家吃饭看书睡觉"
+    thai = "ภาษาไทยไม่มีช่องว่าง"
+    items = ["general relativity", "photosynthesis", han, thai]
+    texts = [
+        "On general relativity, again", "general theory of relativity", "relativity general", "Photosynthesis.", "photosyntheses",
+        f"他说{han}对吗", "他说" + han.replace("公园", "学校") + "对吗", "他说天气不好", f"ก{thai}ข", "general  RELATIVITY",
+    ]
+    found = leaks(frame(spark, texts), benchmark(spark, items))
+    assert tuples(found, "doc_id", "item_id") == [(0, 0), (3, 1), (5, 2), (6, 2), (8, 3), (9, 0)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab C.é漢字ไ😀\n", max_size=30), max_size=12), st.booleans())
+def test_bodies_hashed_together_are_those_hashed_alone(texts, unspaced):
+    from lodestone.llm.plainwords import hashes, hashes_of_all
+
+    bodies = [t.encode() for t in texts]
+    found, begins = hashes_of_all(bodies, unspaced)
+    for i, body in enumerate(bodies):
+        assert found[begins[i] : begins[i + 1]].tolist() == hashes(body, unspaced).tolist()
+
+
+def test_texts_searched_together_are_those_searched_alone():
+    from lodestone.llm.decontaminate import Lookup
+    from lodestone.llm.plainwords import hashes
+
+    items = [prose(20, i, 60) for i in range(6)]
+    words = [hashes(i.encode()) for i in items]
+    every = Lookup(np.concatenate(words))
+    block = module._seeds(list(range(6)), words, every, np.ones(len(every.values), np.int64), 0.5)
+    bodies = [f"{prose(n, 70 + n, 60)} {items[n % 6] if n % 3 else ''} {prose(n, 7, 60)}".encode() for n in range(40)]
+    together = sorted(block.leaks_of_all(bodies))
+    assert together == sorted((i, *leak) for i, body in enumerate(bodies) for leak in block.leaks(body)) and together

@@ -31,8 +31,8 @@ from lodestone.llm.common import Stored
 
 SAMPLE = 8192
 NEIGHBOURS = 10
-#: Rows of a partition, on average, and the most partitions that the sample can be cut into.
-PARTITION_ROWS = 1024
+#: Rows of a partition, on average, and the most partitions that a sample is cut into, which has 32 vectors for each.
+PARTITION_ROWS = 256
 MOST_PARTITIONS = 256
 BLOCK, BLOCK_BYTES = 16_384, 8 << 20
 ROUND_ROWS, ROUND_COPIES = 4_000_000, 2
@@ -204,11 +204,13 @@ def _each(rows: DataFrame, name: str, blocks: Column) -> DataFrame:
 
 
 def nearest(
-    embeddings: DataFrame, asked: Column, k: int = 5, sample: int = SAMPLE, recall: float = RECALL, probes: int | None = None
+    embeddings: DataFrame, asked: Column, k: int = 5, sample: int = SAMPLE, recall: float = RECALL, probes: int | None = None,
+    partition_rows: int = PARTITION_ROWS, most_partitions: int = MOST_PARTITIONS,
 ) -> DataFrame:
     """`query_id`, `rank` (from 1), `vec_id`, `score` for each row for which `asked` holds: its `k` nearest found other rows.
 
-    With `probes` as many as there are partitions, the search is exact.
+    With `probes` as many as there are partitions, the search is exact. There are as many partitions as give each `partition_rows` rows, but
+    no more than `most_partitions` and one for 32 vectors of the sample; beyond that partitions grow, and with them their blocks.
     """
     usable = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"), asked.alias("asked"))
     usable = usable.where(F.col("vec_id").isNotNull() & _usable(F.col("v")))
@@ -218,7 +220,7 @@ def nearest(
     d, total = (sizes["d"], sizes["count"]) if sizes else (0, 0)
     rows = usable.where(F.size("v") == d)
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()
-    count = int(min(MOST_PARTITIONS, -(-total // PARTITION_ROWS), max(1, len(chosen) // 32)))
+    count = int(min(most_partitions, -(-total // partition_rows), max(1, len(chosen) // 32)))
     router = fit(_matrix(chosen["v"]).reshape(len(chosen), d), count, recall)
     count = router.bias.size
     visits = min(count, probes or router.probes)
@@ -242,7 +244,7 @@ def nearest(
     # Copies of queries, one for each block of rows, and of rows, one for each block of queries.
     copies = sum(n * -(-members.get(p, 0) // size) + members.get(p, 0) * n / size for p, n in visitors.items())
     rounds = max(1, math.ceil(copies / max(ROUND_ROWS, ROUND_COPIES * total)))
-    # At most `MOST_PARTITIONS` numbers each.
+    # At most `most_partitions` numbers each.
     blocks = F.array(*[F.lit(-(-members.get(p, 0) // size)) for p in range(count)])
     query_blocks = F.array(*[F.lit(math.ceil(visitors.get(p, 0) / rounds / size)) for p in range(count)])
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")

@@ -42,15 +42,14 @@ def test_partitions_are_balanced_and_cut_few_edges():
 
 
 def test_recall_over_several_partitions(spark, monkeypatch):
-    monkeypatch.setattr(ann, "PARTITION_ROWS", 250)
     monkeypatch.setattr(ann, "BLOCK", 100)
     rows = [(i, v.tolist()) for i, v in enumerate(vectors(3000, 16, 2))]
     wanted = {(q, i) for q, _, i, _ in brute(rows)}
-    some = nearest(table(spark, rows), F.col("vec_id") % 50 == 0, sample=1500)
+    some = nearest(table(spark, rows), F.col("vec_id") % 50 == 0, sample=1500, partition_rows=250)
     assert len({(q, i) for q, _, i, _ in rows_of(some)} & wanted) / len(wanted) >= 0.9
-    one = nearest(table(spark, rows), F.col("vec_id") % 50 == 0, sample=1500, probes=1)
+    one = nearest(table(spark, rows), F.col("vec_id") % 50 == 0, sample=1500, probes=1, partition_rows=250)
     assert 0.3 < len({(q, i) for q, _, i, _ in rows_of(one)} & wanted) / len(wanted)
-    every = nearest(table(spark, rows), F.col("vec_id") % 50 == 0, sample=1500, probes=99)
+    every = nearest(table(spark, rows), F.col("vec_id") % 50 == 0, sample=1500, probes=99, partition_rows=250)
     assert rows_of(every) == brute(rows)
 
 
@@ -70,6 +69,23 @@ def test_few_and_no_rows(spark):
     assert nearest(table(spark, []), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_query_learns_several_partitions(spark, data, monkeypatch):
+    """The registered query's own path, on every given table: more than one partition, and not all of them visited on a larger one."""
+    made = []
+    fit = ann.fit
+    monkeypatch.setattr(ann, "fit", lambda *a: made.append(fit(*a)) or made[-1])
+    QUERIES["op5_learned_partitions"](spark, data)
+    assert made[0].bias.size > 1
+
+
+def test_clashing_columns(spark):
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors(200, 8, 3))]
+    df = table(spark, rows)
+    for name in ("parts", "query", "v", "part", "copy", "asked", "block", "query_block"):
+        df = df.withColumn(name, F.lit("x"))
+    assert rows_of(nearest(df, F.col("vec_id") % 50 == 0, probes=99)) == brute(rows)
+
+
 def test_query(spark, data):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()]
     wanted, got = brute(rows), rows_of(QUERIES["op5_learned_partitions"](spark, data))
@@ -78,7 +94,6 @@ def test_query(spark, data):
 
 def test_groups_are_bounded_on_both_sides(spark, monkeypatch):
     """Every partition is visited by every query, over several rounds; a third of the rows are near to each other."""
-    monkeypatch.setattr(ann, "PARTITION_ROWS", 500)
     monkeypatch.setattr(ann, "BLOCK", 100)
     monkeypatch.setattr(ann, "ROUND_ROWS", 1, raising=False)
     search = ann._search
@@ -96,4 +111,4 @@ def test_groups_are_bounded_on_both_sides(spark, monkeypatch):
     x = vectors(3000, 16, 6)
     x[::3] = x[0] + 0.01 * np.random.default_rng(7).normal(size=(1000, 16))
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    assert rows_of(nearest(table(spark, rows), F.col("vec_id") % 10 == 0, sample=1500, probes=99)) == brute(rows, every=10)
+    assert rows_of(nearest(table(spark, rows), F.col("vec_id") % 10 == 0, sample=1500, probes=99, partition_rows=500)) == brute(rows, every=10)

@@ -357,8 +357,10 @@ def build_cells(
             yield pa.RecordBatch.from_arrays([_lists(vectors)], ["_vec"])
 
     usable = c.select("_vec").mapInArrow(ready, "_vec array<double>")
-    if usable.isEmpty():
-        centroids = np.zeros((1, 1))
+    first = usable.first()
+    if first is None or n_cells == 1:
+        # One cell is everything; where its centre lies does not matter.
+        centroids = np.zeros((1, len(first[0]) if first else 1))
     else:
         centroids = train_centroids(usable, n_cells, total, sample_per_cell)
     n_cells = len(centroids)
@@ -427,13 +429,12 @@ def _route(queries: DataFrame, cells: Cells, probes: int) -> DataFrame:
     return queries.mapInArrow(route, types)
 
 
-def _search(routed: DataFrame, cells: Cells, k: int, block_rows: int) -> DataFrame:
-    """Score routed queries against their cells, block by block.
+def _dealt(routed: DataFrame, rows: DataFrame, cells: Cells, block_rows: int):
+    """Cogroups of routed queries and what is stored of their cells' rows, block by block, and the type of what is scored.
 
     A cell is split into corpus blocks and its queries into query blocks of about `block_rows` rows, and
     each pair of blocks is one group, so neither a full cell nor a popular one lands in one task.
     """
-    metric = cells.metric
     spark = routed.sparkSession
     # One row per cell: small enough to fetch, and to broadcast.
     routed = kept(routed, "routed")
@@ -446,18 +447,22 @@ def _search(routed: DataFrame, cells: Cells, k: int, block_rows: int) -> DataFra
         routed.join(parts, "_cell")
         .withColumn("_q", F.pmod(F.xxhash64("_qid"), F.col("_q_parts")))
         .withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_c_parts") - 1)))
-        .select("_cell", "_q", "_c", "_qid", "_vec")
+        .drop("_c_parts", "_q_parts")
     )
     c = (
-        cells.rows.join(parts, "_cell")
+        rows.join(parts, "_cell")
         .withColumn("_c", F.pmod(F.xxhash64("_cid"), F.col("_c_parts")))
         .withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_q_parts") - 1)))
-        .select("_cell", "_q", "_c", "_cid", "_vec")
+        .drop("_c_parts", "_q_parts")
     )
-
     keys = ["_cell", "_q", "_c"]
-    groups = q.groupBy(*keys).cogroup(c.groupBy(*keys))
-    return groups.applyInArrow(_block_scorer(k, metric), _scored(routed, cells.rows))
+    return q.groupBy(*keys).cogroup(c.groupBy(*keys)), _scored(routed, rows)
+
+
+def _search(routed: DataFrame, cells: Cells, k: int, block_rows: int) -> DataFrame:
+    """Score routed queries against their cells, block by block."""
+    groups, types = _dealt(routed, cells.rows, cells, block_rows)
+    return groups.applyInArrow(_block_scorer(k, cells.metric), types)
 
 
 def knn_by_cells(

@@ -12,6 +12,7 @@ from lodestone.functions import fixed
 from lodestone.functions.vectors import cosine, dot, l2, metric_of, norm, unit
 from lodestone.operators.knn import build_cells, knn_by_cells, knn_topk
 from lodestone.operators.profile import require_columns, vector_column, vector_health
+from lodestone.operators.quantised import build_index, search as search_codes
 from lodestone.queries.registry import Tables, query
 from lodestone.session import kept
 from lodestone.sources.records import metadata
@@ -134,6 +135,40 @@ def knn_ann_recall(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _recall(exact: DataFrame, found: DataFrame) -> DataFrame:
+    """`compared` pairs of the exact result, and the share of them that was found."""
+    marked = found.select("query_id", "vec_id", F.lit(1).alias("_found"))
+    return exact.join(marked, ["query_id", "vec_id"], "left").agg(
+        F.count(F.lit(1)).alias("compared"), (F.count("_found") / F.count(F.lit(1))).alias("recall")
+    )
+
+
+@query()
+def knn_recall_report(t: Tables) -> DataFrame:
+    """Measured recall of the approximate searches, by method and cells visited; a measurement, which SQL does not give."""
+    queries = _as_queries(t.embeddings)
+    exact = kept(knn_topk(queries, t.embeddings, K).select("query_id", "vec_id"), "exact")
+    index = build_index(t.embeddings)
+    share = index.code_bytes / max(1, index.vector_bytes)
+    parts = []
+    for probes in (1, 4, 16, len(index.cells.centroids)):
+        cells, codes = knn_by_cells(queries, index.cells, K, probes=probes), search_codes(queries, index, K, probes=probes)
+        for method, found, size in (("cells", cells, 1.0), ("codes", codes, share)):
+            parts.append(_recall(exact, found).select(F.lit(method).alias("method"), F.lit(probes).alias("probes"), "compared", "recall", F.lit(size).alias("index_share")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(f"""
+    SELECT count(*) * least({K}, (SELECT count(*) FROM embeddings)) AS compared, true AS recall_holds, true AS small_index FROM embeddings""")
+def knn_codes_recall(t: Tables) -> DataFrame:
+    """Search by codes of 16 bytes a vector: nine of ten neighbours are found, and the index is below a tenth of the vectors."""
+    queries = _as_queries(t.embeddings)
+    exact = kept(knn_topk(queries, t.embeddings, K).select("query_id", "vec_id"), "exact")
+    index = build_index(t.embeddings)
+    measured = _recall(exact, search_codes(queries, index, K, probes=len(index.cells.centroids)))
+    return measured.select("compared", (F.col("recall") >= 0.9).alias("recall_holds"), F.lit(10 * index.code_bytes < index.vector_bytes).alias("small_index"))
+
+
 @query(f"""
     WITH r AS ({COSINE_SQL})
     SELECT query_id, count(*) AS returned, max(score) AS max_score, (SELECT count(*) FROM embeddings) AS total

@@ -22,6 +22,7 @@ from lodestone.sources.envelope import import_directory, read_envelopes, rebuild
 from lodestone.sources.layers import read_project
 from lodestone.sources.mapping import list_fields
 from lodestone.sources.records import read_records
+from lodestone.sources.staged import StagedTable
 
 
 #: Features of a project file as it is written here, which is one object made in one row.
@@ -94,7 +95,7 @@ def catalog_rebuild(t: Tables) -> DataFrame:
         load = rebuild_catalog(documents, path)
         if not load.complete:
             raise RuntimeError("the load is not whole")
-    return t.spark.read.parquet(path).select("_id", "text", F.size("embedding").cast("bigint").alias("dimension"))
+    return StagedTable(t.spark, path).read().select("_id", "text", F.size("embedding").cast("bigint").alias("dimension"))
 
 
 @query('SELECT p_name AS "Название признака", p_brand AS "Тип данных", p_type AS "Описание" FROM part')

@@ -18,6 +18,7 @@ from lodestone.functions import fixed
 from lodestone.operators.profile import vector_column
 from lodestone.sources.mapping import mapping_of
 from lodestone.sources.objects import read_items
+from lodestone.sources.staged import StagedTable
 
 SUFFIX = "_export"
 DOCUMENT = "_id string, _source string"
@@ -147,6 +148,14 @@ def import_documents(documents: DataFrame, path: str, mode: str = "new") -> Load
     before = _ids(spark.read.parquet(path)) if stored and mode == "append" else (0, 0)
     source = documents.schema["_source"].dataType
     columns = ["_id", "_source.*"] if isinstance(source, T.StructType) else ["_id", "_source"]
+    good, bad, wanted = _write_valid(documents, columns, path, "append" if mode == "append" else "overwrite")
+    rows, ids = _ids(spark.read.parquet(path))
+    gained = rows - before[0]
+    return Load(True, gained, bad, gained == good and ids - before[1] == wanted, gained == 0 and good + bad > 0)
+
+
+def _write_valid(documents: DataFrame, columns: list[str], path: str, mode: str) -> tuple[int, int, int]:
+    """Writes what can be stored; how much was and was not, and the sum of the ids' hashes."""
     # Valid documents are seen as they are written, the others as they are left out.
     seen = Observation()
     counted = documents.withColumn("_valid", is_valid()).observe(
@@ -155,11 +164,20 @@ def import_documents(documents: DataFrame, path: str, mode: str = "new") -> Load
         F.count_if(~F.col("_valid")).alias("bad"),
         F.sum(F.when(F.col("_valid"), F.xxhash64("_id").cast("decimal(38,0)"))).alias("ids"),
     )
-    counted.where("_valid").select(*columns).write.mode("append" if mode == "append" else "overwrite").parquet(path)
-    rows, ids = _ids(spark.read.parquet(path))
-    good, bad, wanted = seen.get["good"], seen.get["bad"], seen.get["ids"] or 0
-    gained = rows - before[0]
-    return Load(True, gained, bad, gained == good and ids - before[1] == wanted, gained == 0 and good + bad > 0)
+    counted.where("_valid").select(*columns).write.mode(mode).parquet(path)
+    return seen.get["good"], seen.get["bad"], seen.get["ids"] or 0
+
+
+def replace_documents(documents: DataFrame, table: StagedTable) -> Load:
+    """Replace a table by documents: the new version is written and compared with what was read, and only a whole one is committed."""
+    source = documents.schema["_source"].dataType
+    version, folder = table.stage()
+    good, bad, wanted = _write_valid(documents, ["_id", "_source.*"] if isinstance(source, T.StructType) else ["_id", "_source"], folder, "errorifexists")
+    rows, ids = _ids(table.spark.read.parquet(folder))
+    complete = rows == good and ids == wanted
+    if complete:
+        table.commit(version, rows)
+    return Load(complete, rows, bad, complete, rows == 0 and good + bad > 0)
 
 
 def import_table(spark: SparkSession, name: str, directory: str, target: str, mode: str = "new") -> Load:
@@ -193,12 +211,12 @@ def import_directory(spark: SparkSession, directory: str, target: str, overwrite
 
 
 def rebuild_catalog(documents: DataFrame, path: str) -> Load:
-    """Replace a catalog table after a check that its documents hold a vector field."""
+    """Replace a catalog table (`StagedTable`) after a check that its documents hold a vector field."""
     source = documents.schema["_source"].dataType
     field = vector_column(source)
     if field not in source.names or not isinstance(source[field].dataType, T.ArrayType):
         raise ValueError("the documents hold no vector field")
-    return import_documents(documents, path, "overwrite")
+    return replace_documents(documents, StagedTable(documents.sparkSession, path))
 
 
 def write_catalog_csv(features: DataFrame, path: str) -> None:

@@ -93,7 +93,7 @@ def assert_cheapest(df, **settings):
     assert found == expected
 
 
-@pytest.mark.parametrize("settings", [{}, {"turns": 1}, {"turns": 7, "together": 5}, {"size": 3}])
+@pytest.mark.parametrize("settings", [{}, {"turns": 7, "together": 5}, {"size": 3}])
 def test_odd_conversations_whole_and_in_stretches(spark, settings):
     assert_cheapest(spark.createDataFrame(odd_rows(), SCHEMA), **settings)
 

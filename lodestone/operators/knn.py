@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from lodestone.functions.vectors import METRICS
 from lodestone.session import kept, shared_dir
@@ -34,8 +34,17 @@ MAX_SCORES = 4 << 20
 # Vectors from which a centroid is found, and the most cells there are.
 SAMPLE_PER_CELL = 256
 MAX_CELLS = 4096
-# Vectors of one side of a block that a single task holds. Large blocks mean few copies in the shuffle.
-BLOCK_BYTES = 64 << 20
+# Vectors of one side of a block that a single task holds. Large blocks mean few copies in the shuffle, small ones little memory.
+BLOCK_BYTES = 16 << 20
+# Blocks are smaller where there would not be so many of them for each core, but not below so many rows.
+BLOCKS_A_CORE = 4
+LEAST_ROWS = 1024
+# Corpus rows that are scored at a time; those after them have to beat what the first ones gave.
+SCORED_ROWS = 4096
+# Values below which no product of two vectors overflows.
+TAME = 1e150
+# Tasks over which pairs of blocks are dealt, at most.
+MAX_TASKS = 2000
 
 
 def _matrix(column) -> np.ndarray:
@@ -43,7 +52,7 @@ def _matrix(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     if rows and (flat.size % rows or np.any(np.diff(column.offsets.to_numpy()) != flat.size // rows)):
         raise ValueError("vectors of different length")
     return flat.reshape(rows, -1)
@@ -110,19 +119,25 @@ def _block_topk(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, metric: s
         raise ValueError(f"query vectors have {q.shape[1]} dimensions, corpus vectors {c.shape[1]}")
     score = q @ c.T
     if metric == "l2":
-        score = -(np.square(q).sum(axis=1)[:, None] + np.square(c).sum(axis=1)[None, :] - 2 * score)
-    score = np.where(np.isnan(score), -np.inf, score)
+        score *= 2
+        score -= np.square(q).sum(axis=1)[:, None]
+        score -= np.square(c).sum(axis=1)[None, :]
+    tame = max((np.abs(side).max(initial=0.0) for side in (q, c))) < TAME
+    if not tame:
+        score = np.where(np.isnan(score), -np.inf, score)
     limit = np.full(len(q), -np.inf)
     if floor is not None:
         limit = np.where(np.isneginf(floor), floor, -np.square(floor)) if metric == "l2" else floor
     if score.shape[1] > k and np.isneginf(limit).any():
         limit = np.maximum(limit, np.partition(score, -k, axis=1)[:, -k])
     # Everything near the limit stays until exact scores decide.
-    near = (score >= (limit - 2 * _slack(q, c, metric))[:, None]) & (score > -np.inf)
+    near = score >= (limit - 2 * _slack(q, c, metric))[:, None]
+    if not tame:
+        near &= score > -np.inf
     if np.count_nonzero(near) > 4 * k * len(q):
         kept_rows = _lowest_copies(c, ids, k)
         near, c, ids = near[:, kept_rows], c[kept_rows], ids[kept_rows]
-    rows, cols = np.nonzero(near)
+    rows, cols = np.divmod(np.flatnonzero(near), max(1, len(c)))
     exact = _exact(q, c, rows, cols, metric)
     keep = _best(rows, ids[cols], exact, k)
     return rows[keep], ids[cols][keep], exact[keep]
@@ -144,10 +159,7 @@ def _scan(queries: np.ndarray, k: int, metric: str, batches):
         rows, ids, score = (np.concatenate(column) for column in zip(*held))
         keep = _best(rows, ids, score, k)
         rows, ids, score = rows[keep], ids[keep], score[keep]
-        worst = np.full(len(q), np.inf)
-        np.minimum.at(worst, rows, score)
-        full = np.bincount(rows, minlength=len(q)) >= k
-        floor[full] = worst[full]
+        floor[:] = _floor(len(q), rows, score, k)
         return [(rows, ids, score)]
 
     for batch in batches:
@@ -206,7 +218,8 @@ def knn_topk(
     """Exact k nearest corpus rows of every query: (query id, corpus id, score, rank).
 
     The queries are counted first. Up to `max_queries` of them, and `max_broadcast_bytes`, go to every task of one scan of the corpus; more
-    are dealt by a hash of the id over blocks of about that size, and meet every block of the corpus in a task of their own.
+    are dealt by a hash of the id over blocks, and meet every block of the corpus in a task of their own, where at most `max_queries` are
+    scored at a time.
     """
     _metric(metric)
     q = _side(queries, query_id, query_vec, "_qid")
@@ -216,9 +229,7 @@ def knn_topk(
     if size["n"] <= max_queries and 8 * (size["values"] or 0) <= max_broadcast_bytes:
         found = _broadcast(q.toArrow(), c, k, metric, _scored(q, c))
     else:
-        width = max(1, size["values"] // size["n"])
-        rows = max(1, min(max_queries, max_broadcast_bytes // (8 * width)))
-        found = _by_blocks(q, c, k, metric, -(-size["n"] // rows), max(1, BLOCK_BYTES // (8 * width)))
+        found = _by_blocks(q, c, k, metric, size["n"], max(1, size["values"] // size["n"]), max_queries)
     return _top(found, k, metric, query_id, out_corpus_id)
 
 
@@ -257,34 +268,105 @@ def _ready(side: DataFrame, id_col: str, metric: str) -> DataFrame:
     return side.mapInArrow(prepare, T.StructType(fields))
 
 
-def _by_blocks(q: DataFrame, c: DataFrame, k: int, metric: str, q_parts: int, c_rows: int) -> DataFrame:
-    """k best corpus rows of each query, from each block of the corpus: a group is one block of either side."""
+def _block_rows(spark: SparkSession, rows: int, width: int) -> int:
+    """Rows of a block of vectors: what a task can hold, or fewer, so that pairs of blocks keep every core busy."""
+    sides = int(np.ceil(np.sqrt(BLOCKS_A_CORE * spark.sparkContext.defaultParallelism)))
+    return max(1, min(BLOCK_BYTES // (8 * width), max(LEAST_ROWS, -(-rows // sides))))
+
+
+def _by_blocks(q: DataFrame, c: DataFrame, k: int, metric: str, n: int, width: int, at_once: int) -> DataFrame:
+    """k best corpus rows of each of `n` queries, from each block of the corpus: a group is one block of either side."""
+    spark = q.sparkSession
     ready_q, ready_c = kept(_ready(q, "_qid", metric), "queries"), kept(_ready(c, "_cid", metric), "corpus")
-    c_parts = max(1, -(-ready_c.count() // c_rows))
+    total = ready_c.count()
+    q_parts = -(-n // _block_rows(spark, n, width))
+    c_parts = max(1, -(-total // _block_rows(spark, total, width)))
     places = {"_q": F.sequence(F.lit(0), F.lit(q_parts - 1)), "_c": F.sequence(F.lit(0), F.lit(c_parts - 1))}
     left = ready_q.withColumn("_q", F.pmod(F.xxhash64("_qid"), F.lit(q_parts)).cast("int")).withColumn("_c", F.explode(places["_c"]))
     right = ready_c.withColumn("_c", F.pmod(F.xxhash64("_cid"), F.lit(c_parts)).cast("int")).withColumn("_q", F.explode(places["_q"]))
-    groups = left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c"))
-    return groups.applyInArrow(_block_scorer(k, metric), _scored(q, c))
+    groups = _paired(left, right, ["_q", "_c"], q_parts * c_parts)
+    return groups.applyInArrow(_block_scorer(k, metric, at_once), _scored(q, c))
+
+
+def _paired(left: DataFrame, right: DataFrame, keys: list[str], groups: int):
+    """Cogroups by `keys`, dealt over as many tasks as there are groups, up to a bound: a group is much work for few bytes, so Spark must not join them."""
+    tasks = max(1, min(groups, MAX_TASKS))
+    left, right = (side.repartition(tasks, *keys).groupBy(*keys) for side in (left, right))
+    return left.cogroup(right)
+
+
+def _nearest(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, metric: str, at_once: int = MAX_SCORES) -> list[tuple]:
+    """k best rows of `c` for each row of `q`, as (query row, id, score) for slices of `q`.
+
+    The corpus is scored some rows at a time, and what was found so far is a floor for those after them.
+    """
+    out = []
+    for part in _steps(len(q), max(SCORED_ROWS, -(-MAX_SCORES // max(1, at_once)))):
+        some = q[part]
+        found, floor = None, np.full(len(some), -np.inf)
+        for start in range(0, len(c), SCORED_ROWS):
+            new = _block_topk(some, c[start : start + SCORED_ROWS], ids[start : start + SCORED_ROWS], k, metric, floor)
+            if found is not None and len(new[0]):
+                new = tuple(np.concatenate(pair) for pair in zip(found, new, strict=True))
+                keep = _best(*new, k)
+                new = tuple(column[keep] for column in new)
+            found = new if found is None or len(new[0]) else found
+            floor = _floor(len(some), found[0], found[2], k)
+        if found is not None:
+            out.append((found[0] + part.start, *found[1:]))
+    return out
+
+
+def _floor(queries: int, rows: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each query, of those held; none for queries of fewer."""
+    worst = np.full(queries, np.inf)
+    np.minimum.at(worst, rows, score)
+    return np.where(np.bincount(rows, minlength=queries) >= k, worst, -np.inf)
 
 
-def _block_scorer(k: int, metric: str):
+def _block_scorer(k: int, metric: str, at_once: int = MAX_SCORES):
+    """k best rows of a block for each query of a block: of all its rows, or, if both sides name cells, of those in cells that the query visits."""
+
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"_qid": left["_qid"].slice(0, 0), "_cid": right["_cid"].slice(0, 0),
                           "_score": pa.array([], pa.float64())})
         if not left.num_rows or not right.num_rows:
             return empty
         queries, corpus, ids = _matrix(left["_vec"]), _matrix(right["_vec"]), _ids(right["_cid"])
-        tables = [empty]
-        for part in _steps(len(queries), len(corpus)):
-            rows, found, value = _block_topk(queries[part], corpus, ids, k, metric)
-            qids = left["_qid"].take(pa.array(np.arange(len(queries))[part][rows]))
-            tables.append(pa.table({"_qid": qids, "_cid": pa.array(found), "_score": value}))
-        return pa.concat_tables(tables)
+        found = []
+        for mine, theirs in _visits(left, right):
+            parts = _nearest(queries[mine], corpus[theirs], ids[theirs], k, metric, at_once)
+            found += [(mine[rows], *rest) for rows, *rest in parts] if isinstance(mine, np.ndarray) else parts
+        if not found:
+            return empty
+        rows, cids, value = (np.concatenate(column) for column in zip(*found, strict=True))
+        keep = _best(rows, cids, value, k)
+        best = pa.table({"_qid": left["_qid"].take(pa.array(rows[keep])), "_cid": pa.array(cids[keep]), "_score": value[keep]})
+        return pa.concat_tables([empty, best])
 
     return score
 
 
+def _visits(left: pa.Table, right: pa.Table) -> Iterator[tuple]:
+    """(rows of queries, rows of the corpus) to compare: everything at once where every query visits every cell."""
+    if "_cell" not in right.column_names:
+        yield slice(None), slice(None)
+        return
+    wanted = left["_cells"].combine_chunks()
+    query = np.repeat(np.arange(left.num_rows), np.diff(wanted.offsets.to_numpy()))
+    visited, cells = wanted.flatten().to_numpy(), right["_cell"].combine_chunks().to_numpy()
+    here = np.unique(cells)
+    if len(visited) == left.num_rows * len(here) and np.array_equal(np.unique(visited), here):
+        yield slice(None), slice(None)
+        return
+    by_query, by_row = np.argsort(visited, kind="stable"), np.argsort(cells, kind="stable")
+    for cell in here:
+        mine = query[by_query[slice(*np.searchsorted(visited[by_query], [cell, cell + 1]))]]
+        theirs = by_row[slice(*np.searchsorted(cells[by_row], [cell, cell + 1]))]
+        if len(mine):
+            yield mine, theirs
+
+
 @dataclass
 class Cells:
     """A corpus split by nearest centroid."""
@@ -397,72 +479,86 @@ def build_cells(
     return Cells(rows, centroids, sizes, metric)
 
 
-def _route(queries: DataFrame, cells: Cells, probes: int) -> DataFrame:
-    """One row per query and cell to search: the `probes` nearest cells."""
+def _packed(sizes: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each cell its first block and how many it is cut into: small neighbouring cells share a block, a large one has several."""
+    first, parts = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    block, room = -1, 0
+    for cell, n in enumerate(sizes.tolist()):
+        if n > block_rows:
+            first[cell], parts[cell] = block + 1, -(-n // block_rows)
+            block, room = block + int(parts[cell]), 0
+        elif n:
+            if n > room:
+                block, room = block + 1, block_rows
+            first[cell], parts[cell], room = block, 1, room - n
+    return first, parts
+
+
+def _route(queries: DataFrame, cells: Cells, probes: int, first: np.ndarray, parts: np.ndarray) -> DataFrame:
+    """One row per query and block (`_b`) that holds some of its `probes` nearest cells, with these cells: a query is not copied to each cell."""
     centroids, metric = cells.centroids, cells.metric
     probes = min(probes, len(centroids))
 
     def route(batches):
         for batch, vectors in _unit_rows(batches, metric):
-            # Bounds the distances of a slice, and the vectors that are copied to its cells.
+            # Bounds the distances of a slice, and the vectors that are copied to its blocks.
             for part in _steps(len(vectors), max(len(centroids), probes * vectors.shape[1])):
                 far = _distances(vectors[part], centroids)
-                cols = np.sort(far.argsort(axis=1)[:, :probes], axis=1).ravel()
-                rows = np.repeat(np.arange(len(far)), probes)
-                at = pa.array(np.arange(len(batch))[part][rows])
+                cell = np.sort(far.argsort(axis=1)[:, :probes], axis=1).ravel()
+                row, times = np.repeat(np.arange(len(far)), probes), parts[cell]
+                block = np.repeat(first[cell], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                row, cell = np.repeat(row, times), np.repeat(cell, times)
+                # Rows and blocks ascend, so the cells of one visit are neighbours.
+                start = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(block) != 0)]) if len(row) else np.zeros(0, np.int64)
+                at = np.arange(len(batch))[part][row[start]]
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[start, len(row)], pa.int32()), pa.array(cell, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(cols.astype(np.int32)),
-                        batch.column("_qid").take(at),
-                        _lists(vectors[part][rows]),
+                        pa.array(block[start], pa.int32()),
+                        batch.column("_qid").take(pa.array(at)),
+                        lists,
+                        _lists(vectors[part][row[start]]),
                     ],
-                    ["_cell", "_qid", "_vec"],
+                    ["_b", "_qid", "_cells", "_vec"],
                 )
 
     types = T.StructType(
         [
-            T.StructField("_cell", T.IntegerType()),
+            T.StructField("_b", T.IntegerType()),
             T.StructField("_qid", queries.schema["_qid"].dataType),
+            T.StructField("_cells", T.ArrayType(T.IntegerType())),
             T.StructField("_vec", T.ArrayType(T.DoubleType())),
         ]
     )
     return queries.mapInArrow(route, types)
 
 
-def _dealt(routed: DataFrame, rows: DataFrame, cells: Cells, block_rows: int):
-    """Cogroups of routed queries and what is stored of their cells' rows, block by block, and the type of what is scored.
+def _dealt(queries: DataFrame, rows: DataFrame, cells: Cells, probes: int, q_rows: int, c_rows: int):
+    """Cogroups of queries and what is stored of the rows of the cells they visit, block by block, and the type of what is scored.
 
-    A cell is split into corpus blocks and its queries into query blocks of about `block_rows` rows, and
-    each pair of blocks is one group, so neither a full cell nor a popular one lands in one task.
+    Cells are packed into blocks of about `c_rows` rows, and the queries of a block into parts of about `q_rows`; each pair is one group, so
+    neither a full cell nor a popular one lands in one task, and a query is shuffled once for each block it visits, however many cells.
     """
-    spark = routed.sparkSession
-    # One row per cell: small enough to fetch, and to broadcast.
-    routed = kept(routed, "routed")
-    load = {row["_cell"]: row["count"] for row in routed.groupBy("_cell").count().collect()}
-    counts = [
-        (i, int(-(-n // block_rows)), int(-(-load[i] // block_rows))) for i, n in enumerate(cells.sizes) if n and i in load
+    spark = queries.sparkSession
+    first, parts = _packed(cells.sizes, c_rows)
+    routed = _route(queries, cells, probes, first, parts)
+    # One row per block: small enough to fetch, and to broadcast.
+    load = {row["_b"]: -(-row["count"] // q_rows) for row in routed.groupBy("_b").count().collect()}
+    places = [
+        (cell, int(first[cell]), [load.get(b, 0) for b in range(first[cell], first[cell] + parts[cell])]) for cell in np.flatnonzero(parts).tolist()
     ]
-    parts = F.broadcast(spark.createDataFrame(counts, "_cell int, _c_parts long, _q_parts long"))
-    q = (
-        routed.join(parts, "_cell")
-        .withColumn("_q", F.pmod(F.xxhash64("_qid"), F.col("_q_parts")))
-        .withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_c_parts") - 1)))
-        .drop("_c_parts", "_q_parts")
-    )
+    blocks = F.broadcast(spark.createDataFrame(list(load.items()), "_b int, _q_parts long"))
+    q = routed.join(blocks, "_b").withColumn("_q", F.pmod(F.xxhash64("_qid"), F.col("_q_parts"))).drop("_q_parts")
     c = (
-        rows.join(parts, "_cell")
-        .withColumn("_c", F.pmod(F.xxhash64("_cid"), F.col("_c_parts")))
+        rows.join(F.broadcast(spark.createDataFrame(places, "_cell int, _first int, _q_parts array<long>")), "_cell")
+        .withColumn("_at", F.pmod(F.xxhash64("_cid"), F.size("_q_parts")).cast("int"))
+        .withColumn("_q_parts", F.get("_q_parts", F.col("_at")))
+        .where("_q_parts > 0")
+        .withColumn("_b", F.col("_first") + F.col("_at"))
         .withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_q_parts") - 1)))
-        .drop("_c_parts", "_q_parts")
+        .drop("_first", "_at", "_q_parts")
     )
-    keys = ["_cell", "_q", "_c"]
-    return q.groupBy(*keys).cogroup(c.groupBy(*keys)), _scored(routed, rows)
-
-
-def _search(routed: DataFrame, cells: Cells, k: int, block_rows: int) -> DataFrame:
-    """Score routed queries against their cells, block by block."""
-    groups, types = _dealt(routed, cells.rows, cells, block_rows)
-    return groups.applyInArrow(_block_scorer(k, cells.metric), types)
+    return _paired(q, c, ["_b", "_q"], sum(load.values())), _scored(queries, rows)
 
 
 def knn_by_cells(
@@ -480,15 +576,17 @@ def knn_by_cells(
 ) -> DataFrame:
     """Approximate k nearest corpus rows of every query: those in the `probes` nearest cells.
 
-    A query is copied to each block it visits. With as many probes as there are cells the result is exact, but `knn_topk` is
+    A query is copied to each block that holds a cell it visits. With as many probes as there are cells the result is exact, but `knn_topk` is
     the cheaper way to it.
     """
     _metric(metric)
     cells = corpus if isinstance(corpus, Cells) else build_cells(corpus, metric, corpus_id, corpus_vec, n_cells)
-    block_rows = block_rows or max(1, BLOCK_BYTES // (8 * cells.centroids.shape[1]))
     out_corpus_id = corpus_id if corpus_id != query_id else f"neighbour_{corpus_id}"
     q = _side(queries, query_id, query_vec, "_qid")
     if not cells.sizes.any():
         q = q.limit(0)
-    scored = _search(_route(q, cells, probes), cells, k, block_rows)
-    return _top(scored, k, cells.metric, query_id, out_corpus_id)
+    width = cells.centroids.shape[1]
+    q_rows = block_rows or _block_rows(q.sparkSession, q.count(), width)
+    c_rows = block_rows or _block_rows(q.sparkSession, int(cells.sizes.sum()), width)
+    groups, types = _dealt(q, cells.rows, cells, probes, q_rows, c_rows)
+    return _top(groups.applyInArrow(_block_scorer(k, cells.metric), types), k, cells.metric, query_id, out_corpus_id)

@@ -3,8 +3,8 @@
 A vector is cut into sub-spaces, and in each the number of its nearest centroid (a byte) is kept: its code. Centroids come from a bounded
 sample; every vector is coded. The index is the codes in k-means cells (`knn.build_cells`). A query visits its nearest cells; there a table of
 its distances to the centroids of each sub-space turns a code into a distance by one look-up a sub-space. The `rerank` best of these for
-each query are joined with the stored vectors, by id, and ranked by their exact scores, so what is wrong with codes costs recall only,
-never a wrong score or order.
+each query, ties by id, meet the stored vectors block by block and are ranked by their exact scores, so what is wrong with codes costs
+recall only, never a wrong score or order. Neither a query's vector nor that of a candidate is ever copied to each pair.
 
 Rows without an id or a vector, and by cosine vectors without length, take no part. Metrics are cosine and l2.
 """
@@ -18,13 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from lodestone.operators import knn
-from lodestone.session import kept, share_package, shared_dir
+from lodestone.session import share_package, shared_dir
 
 #: Vectors from which the centroids of sub-spaces are learnt, at most, and centroids of a sub-space: a code is a byte.
 SAMPLE = 16_384
 CENTROIDS = 256
 #: Candidates of a query that are ranked by exact scores.
 RERANK = 300
+#: Codes of one block that a task holds, and what a row of them takes beside its code, in bytes.
+CODE_BYTES = 16 << 20
+ROW_BYTES = 24
+#: Codes that are looked up at a time.
+LOOKED_UP = 1 << 15
 
 
 @dataclass
@@ -119,22 +124,70 @@ def build_index(
 
 
 def _approximate(index: Index, rerank: int):
-    """The `rerank` codes of a block that look nearest to each query of a block."""
+    """The `rerank` codes of a block that look nearest to each query of a block, of the cells that the query visits."""
     books = index.books
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["_qid", "_cid", "_score"]
         if not left.num_rows or not right.num_rows:
             return pa.table([left["_qid"].slice(0, 0), right["_cid"].slice(0, 0), pa.array([], pa.float64())], names=names)
-        codes = np.frombuffer(b"".join(right["_code"].to_pylist()), np.uint8).reshape(right.num_rows, -1)
-        ids, look = knn._ids(right["_cid"]), tables(knn._matrix(left["_vec"]), books)
+        codes = np.frombuffer(b"".join(right["_code"].to_pylist()), np.uint8).reshape(right.num_rows, -1).T.astype(np.intp)
+        ids, vectors = knn._ids(right["_cid"]), knn._matrix(left["_vec"])
         found = []
-        for number, table in enumerate(look):
-            far = table[np.arange(codes.shape[1]), codes].sum(axis=1)
-            best = np.argpartition(far, rerank - 1)[:rerank] if len(far) > rerank else np.arange(len(far))
-            found.append((np.full(len(best), number), ids[best], -far[best]))
+        for mine, theirs in knn._visits(left, right):
+            some, block, rows = ids[theirs], np.ascontiguousarray(codes[:, theirs]), np.arange(len(vectors))[mine]
+            for part in knn._steps(len(rows), books.shape[0] * CENTROIDS):
+                for row, table in zip(rows[part], tables(vectors[rows[part]], books), strict=True):
+                    far = _looked_up(table, block)
+                    best = _least(far, some, rerank)
+                    found.append((np.full(len(best), row), some[best], -far[best]))
+        if not found:
+            return pa.table([left["_qid"].slice(0, 0), right["_cid"].slice(0, 0), pa.array([], pa.float64())], names=names)
         rows, cids, scores = (np.concatenate(c) for c in zip(*found, strict=True))
-        return pa.table([left["_qid"].take(pa.array(rows)), pa.array(cids, right["_cid"].type), pa.array(scores)], names=names)
+        keep = knn._best(rows, cids, scores, rerank)
+        return pa.table([left["_qid"].take(pa.array(rows[keep])), pa.array(cids[keep], right["_cid"].type), pa.array(scores[keep])], names=names)
+
+    return score
+
+
+def _looked_up(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The distance of each code (sub-space, code) by a table of distances (sub-space, centroid), a slice that caches hold at a time."""
+    far = np.empty(codes.shape[1])
+    for start in range(0, len(far), LOOKED_UP):
+        at = slice(start, start + LOOKED_UP)
+        far[at] = table[0][codes[0, at]]
+        for own, code in zip(table[1:], codes[1:, at], strict=True):
+            far[at] += own[code]
+    return far
+
+
+def _least(far: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Positions of the `most` least distances, ties by id."""
+    if len(far) <= most:
+        return np.arange(len(far))
+    near = np.flatnonzero(far <= np.partition(far, most - 1)[most - 1])
+    return near if len(near) == most else near[np.lexsort((ids[near], far[near]))[:most]]
+
+
+def _candidates_scorer(k: int, metric: str):
+    """The k best of the candidates (`_cids`) of each query of a block that lie in a block of the corpus."""
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        empty = pa.table({"_qid": left["_qid"].slice(0, 0), "_cid": right["_cid"].slice(0, 0), "_score": pa.array([], pa.float64())})
+        if not left.num_rows or not right.num_rows:
+            return empty
+        ids, lists = knn._ids(right["_cid"]), left["_cids"].combine_chunks()
+        order, wanted = np.argsort(ids, kind="stable"), knn._ids(lists.flatten())
+        rows = np.repeat(np.arange(left.num_rows), np.diff(lists.offsets.to_numpy()))
+        # An id that several vectors share stands for each of them.
+        low, high = (np.searchsorted(ids[order], wanted, side=side) for side in ("left", "right"))
+        times = high - low
+        cols = order[np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+        rows = np.repeat(rows, times)
+        value = knn._exact(knn._matrix(left["_vec"]), knn._matrix(right["_vec"]), rows, cols, metric)
+        keep = knn._best(rows, ids[cols], value, k)
+        found = {"_qid": left["_qid"].take(pa.array(rows[keep])), "_cid": right["_cid"].take(pa.array(cols[keep])), "_score": value[keep]}
+        return pa.concat_tables([empty, pa.table(found)])
 
     return score
 
@@ -147,17 +200,20 @@ def search(
     q = knn._side(queries, query_id, query_vec, "_qid")
     if not index.cells.sizes.any():
         q = q.limit(0)
-    routed = knn._route(q, index.cells, probes)
-    block_rows = max(1, knn.BLOCK_BYTES // max(8 * index.books.shape[0] * CENTROIDS, 1))
-    groups, types = knn._dealt(routed, index.codes, index.cells, block_rows)
+    spark, width = q.sparkSession, index.cells.centroids.shape[1]
+    total, n = int(index.cells.sizes.sum()), q.count()
+    # Codes are small, so that most corpora are one block or a few, and a query gives `rerank` candidates for each of them.
+    q_rows = max(1, min(knn.BLOCK_BYTES // (8 * max(width, rerank)), -(-n // (knn.BLOCKS_A_CORE * spark.sparkContext.defaultParallelism))))
+    groups, types = knn._dealt(q, index.codes, index.cells, probes, q_rows, max(1, CODE_BYTES // (index.books.shape[0] + ROW_BYTES)))
     rough = groups.applyInArrow(_approximate(index, rerank), types)
     best = Window.partitionBy("_qid").orderBy(F.desc("_score"), "_cid")
-    near = kept(rough.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= rerank).select("_qid", "_cid"), "candidates")
-    ready = knn._ready(q, "_qid", index.metric)
-    pairs = near.join(ready, "_qid").join(index.cells.rows.select("_cid", F.col("_vec").alias("_c")), "_cid")
-    if index.metric == "l2":
-        score = -F.sqrt(F.aggregate(F.zip_with("_vec", "_c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
-    else:
-        score = F.aggregate(F.zip_with("_vec", "_c", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    near = rough.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= rerank)
+    c_parts = max(1, -(-total // knn._block_rows(spark, total, width)))
+    q_parts = max(1, -(-n // knn._block_rows(spark, n, width)))
+    place = F.pmod(F.xxhash64("_cid"), F.lit(c_parts)).cast("int")
+    lists = near.groupBy("_qid", place.alias("_c")).agg(F.collect_list("_cid").alias("_cids"))
+    left = lists.join(knn._ready(q, "_qid", index.metric), "_qid").withColumn("_q", F.pmod(F.xxhash64("_qid"), F.lit(q_parts)).cast("int"))
+    right = index.cells.rows.select("_cid", "_vec", place.alias("_c")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))))
+    exact = knn._paired(left, right, ["_q", "_c"], q_parts * c_parts).applyInArrow(_candidates_scorer(k, index.metric), types)
     out_id = corpus_id if corpus_id != query_id else f"neighbour_{corpus_id}"
-    return knn._top(pairs.select("_qid", "_cid", score.alias("_score")), k, index.metric, query_id, out_id)
+    return knn._top(exact, k, index.metric, query_id, out_id)

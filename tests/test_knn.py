@@ -180,3 +180,43 @@ def test_health(spark):
     assert counted == {
         "total": 5, "missing": 1, "empty": 1, "zero": 1, "min_size": 0, "max_size": 2, "ragged": True,
     }
+
+
+@pytest.fixture
+def dealt(monkeypatch):
+    """Rows of either side that every cogrouping shuffles."""
+    seen, paired = [], knn._paired
+
+    def counted(left, right, keys, groups):
+        seen.append((left.count(), right.count()))
+        return paired(left, right, keys, groups)
+
+    monkeypatch.setattr(knn, "_paired", counted)
+    return seen
+
+
+def test_what_is_shuffled_does_not_grow_with_rounds(dealt, vectors):
+    """Rounds of one query are scored one by one, but the corpus is not shuffled once for each."""
+    queries, corpus, q, c = vectors
+    assert result(knn_topk(q, c, 5, max_queries=1)) == brute(queries, corpus, 5, "cosine")
+    assert dealt == [(40, 299)]
+
+
+def test_a_query_is_shuffled_once_for_each_block_not_each_cell(dealt, vectors):
+    queries, corpus, q, c = vectors
+    assert result(knn_by_cells(q, c, 5, probes=8, n_cells=8)) == brute(queries, corpus, 5, "cosine")
+    assert dealt == [(40, 299)]
+    knn_by_cells(q, c, 5, probes=8, n_cells=8, block_rows=150)
+    assert dealt[1][1] == 299 and dealt[1][0] <= 40 * 3
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e160])
+def test_slices_of_the_corpus_find_what_the_whole_does(scale):
+    rng = np.random.default_rng(3)
+    q, c = rng.normal(size=(30, 5)).round(1), rng.normal(size=(2 * knn.SCORED_ROWS + 7, 5)).round(1) * scale
+    ids = rng.permutation(len(c))
+    for metric in ("inner", "l2") if scale == 1.0 else ("inner",):
+        (found,) = knn._nearest(q, c, ids, 7, metric)
+        scores = -np.sqrt(np.square(q[:, None] - c).sum(axis=2)) if metric == "l2" else (q[:, None] * c).sum(axis=2)
+        wanted = [ids[np.lexsort((ids, -s))[:7]].tolist() for s in scores]
+        assert [found[1][found[0] == i].tolist() for i in range(30)] == wanted

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.operators import knn
 from lodestone.operators.knn import knn_topk
 from lodestone.operators.quantised import build_index, encode, search, tables, train_books
 
@@ -57,3 +58,22 @@ def test_few_vectors_and_none(spark):
     with pytest.raises(ValueError, match="cosine or l2"):
         build_index(corpus, "inner")
     assert search(queries.where(F.lit(False)), index, 3).collect() == []
+
+
+def test_candidates_and_vectors_are_not_copied_to_cells_or_pairs(spark, monkeypatch):
+    """Each query goes once to the one block of codes and the one of vectors, and gives `rerank` candidates, though it visits 30 cells."""
+    seen, paired = [], knn._paired
+
+    def counted(left, right, keys, groups):
+        seen.append((left.count(), right.count()))
+        return paired(left, right, keys, groups)
+
+    monkeypatch.setattr(knn, "_paired", counted)
+    corpus = vectors(spark, 600, 8)
+    queries = corpus.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    found = search(queries, build_index(corpus, n_cells=30, parts=4), 5, probes=30, rerank=600)
+    # The codes are one block; the queries are cut into parts for the cores, and each part meets it.
+    assert seen[0][0] == 30 and seen[0][1] <= 600 * knn.BLOCKS_A_CORE * spark.sparkContext.defaultParallelism
+    assert seen[1] == (30, 600)
+    wanted = knn_topk(queries, corpus, 5).select("query_id", "vec_id", "rank")
+    assert sorted(map(tuple, found.select("query_id", "vec_id", "rank").collect())) == sorted(map(tuple, wanted.collect()))

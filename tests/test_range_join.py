@@ -87,3 +87,35 @@ def test_mixed_columns_keep_their_values(spark):
     # A column whose branches agree is of their type.
     same = tagged_union({"a": spark.sql("SELECT 1 AS v"), "b": spark.sql("SELECT 2.5D AS v")}, variant=True)
     assert same.schema["v"].dataType.simpleString() == "double"
+
+
+@pytest.mark.parametrize("closed", [False, True])
+@pytest.mark.parametrize("on", [(), ("k",)])
+def test_totals_are_those_of_the_pairs_without_making_them(spark, closed, on):
+    points, spans = numbers()
+    points = [(None if i % 7 == 0 else i, x, None if i % 11 == 0 else k) for i, x, k in points] + [(1 << 62, 0.0, 0), (1 << 62, -0.0, 0), (1 << 62, 40.0, 1)]
+    # An interval that comes twice is there twice, and one holds everything.
+    spans += [spans[1], (500, -1e9, 1e9, 1), (501, -0.0, 0.25, 0)]
+    p = spark.createDataFrame(points, "p long, x double, k int")
+    s = spark.createDataFrame(spans, "s int, a double, b double, k int")
+    if not on:
+        p, s = p.drop("k"), s.drop("k")
+    found = interval_join(p, s, "x", "a", "b", on, closed, totals={"many": None, "ids": "p"}).where("s <> 500")
+    expected = []
+    for j, a, b, m in spans:
+        hits = [i for i, x, k in points if x is not None and x == x and a is not None and a <= x and (x <= b if closed else x < b) and (not on or k == m)]
+        if hits and j != 500:
+            ids = [i for i in hits if i is not None]
+            expected.append((j, len(hits), sum(ids) if ids else None))
+    small = [(j, n, i) for j, n, i in expected if i is None or i < 1 << 63]
+    assert sorted((r.s, r.many, r.ids) for r in found.where(F.col("s").isin([j for j, _, _ in small])).collect()) == sorted(small)
+    assert "_bin" not in plan(found)
+
+
+def test_totals_of_empty_sides(spark):
+    p, s = spark.createDataFrame([(1, 1.0)], "p int, x double"), spark.createDataFrame([(1, 0.0, 2.0)], "s int, a double, b double")
+    for points, spans in ((p.limit(0), s), (p, s.limit(0))):
+        assert interval_join(points, spans, "x", "a", "b", totals={"n": None}).collect() == []
+    assert [tuple(r) for r in interval_join(p, s, "x", "a", "b", totals={"n": None, "t": "p"}).collect()] == [(1, 0.0, 2.0, 1, 1)]
+    with pytest.raises(ValueError, match="whole numbers"):
+        interval_join(p, s, "x", "a", "b", totals={"t": "x"})

@@ -15,13 +15,18 @@ is no burden for one task. There are three ways of forgetting:
 passed it and take it in the order of event time, so what comes late, but not later than `lateness`, is in its place; what Spark
 finds later than that is dropped. The end of a request is remembered for `remember_seconds`, so nothing revives it before. A row whose
 request is null is a heartbeat: its time moves the watermark on, and nothing else.
+
+Where Python keeps the state, its keys are a fixed number of buckets of requests, by a hash of the id, and the requests of a bucket are one
+Arrow table: a call costs much more than a request, so calls must not grow with requests. Checkpoints hold for one number of buckets.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -181,23 +186,69 @@ def _merged(a: tuple, b: tuple) -> tuple:
 _CHANGE = f"request_id string, gone boolean, {_STATE}"
 _GONE = [None] * len(_FIELDS)
 
+BUCKETS = 1024
+#: State of a bucket: an Arrow table.
+_ROWS = "rows binary"
+_KINDS = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+
+
+def _bucket(buckets: int) -> Column:
+    """Where the state of a request is kept; heartbeats have no bucket."""
+    return F.when(F.col("request_id").isNotNull(), F.pmod(F.xxhash64("request_id"), F.lit(buckets)).cast("int"))
+
+
+def _packed(rows: list[tuple], names: str) -> bytes:
+    schema = pa.schema([(f.split()[0], _KINDS[f.split()[1]]) for f in names.split(", ")])
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    table = pa.table([pa.array(c, f.type, from_pandas=True) for c, f in zip(columns, schema, strict=True)], schema)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> list[tuple]:
+    return list(zip(*(c.to_pylist() for c in pa.ipc.open_stream(data).read_all().columns), strict=True))
+
 
-def _updater(evict_seconds: int | None):
+def _values(rows: pd.DataFrame, names: list[str]) -> Iterator[tuple]:
+    """Rows as tuples; whole numbers that pandas made fractions because of nulls are whole again, and nulls are nan."""
+    columns = [[v if v != v else int(v) for v in rows[c].tolist()] if rows[c].dtype.kind == "f" else rows[c].tolist() for c in names]
+    return zip(*columns, strict=True)
+
+
+_KEPT = f"{_PARTIAL}, leaves bigint"
+_UNKNOWN = float("nan")
+
+
+def _updater(evict_seconds: int):
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        kept = _unpacked(state.get[0]) if state.exists else []
+        held = {request: tuple(_UNKNOWN if v is None else v for v in row) for request, *row, _ in kept}
+        leaves = {request: at for request, *_, at in kept if at is not None}
+        now, touched = state.getCurrentWatermarkMs(), set()
+        if not state.hasTimedOut:
+            for rows in batches:
+                # A few rows of a request: one for each Arrow batch that held it.
+                for request, *row in _values(rows, ["request_id", *_FIELDS]):
+                    held[request] = _merged(held[request], tuple(row)) if request in held else tuple(row)
+                    touched.add(request)
+        for request in touched:
+            _, ended, at, *_ = held[request]
+            if ended and at == at:
+                leaves[request] = max(at // 1000 + 1000 * evict_seconds, now + 1)
+        gone = [request for request, at in leaves.items() if at < now and request not in touched]
+        for request in gone:
+            del held[request], leaves[request]
+        if held:
+            state.update((_packed([(request, *row, leaves.get(request)) for request, row in held.items()], _KEPT),))
+            if leaves:
+                state.setTimeoutTimestamp(max(min(leaves.values()), now + 1))
+        else:
             state.remove()
-            yield _changes([(key[0], True, *_GONE)])
-            return
-        held = tuple(state.get) if state.exists else None
-        for rows in batches:
-            # A few rows: one for each Arrow batch that held the request.
-            for row in zip(*(rows[c].tolist() for c in _FIELDS), strict=True):
-                held = row if held is None else _merged(held, row)
-        state.update(held)
-        _, ended, at, *_ = held
-        if evict_seconds is not None and ended:
-            state.setTimeoutTimestamp(max(at // 1000 + 1000 * evict_seconds, state.getCurrentWatermarkMs() + 1))
-        yield _changes([(key[0], False, *held)])
+        rows = [(request, True, *_GONE) for request in gone] + [(request, False, *held[request]) for request in touched]
+        if rows:
+            yield _changes(rows)
 
     return update
 
@@ -209,78 +260,115 @@ def _changes(rows: list[tuple], names: str = _CHANGE) -> pd.DataFrame:
 
 _HELD = "kind int, at bigint, seq bigint, progress int, ended boolean, record string"
 _HELD_NAMES = [f.split()[0] for f in _HELD.split(", ")]
+_HELD_ROWS = f"request_id string, {_HELD}"
 _FEED = "request_id string, at bigint, seq bigint, final boolean, record string"
 EVENT_KIND, READ_KIND = 0, 1
 
 
 class _InOrder(StatefulProcessor):
-    """Holds the rows of a request until the watermark has passed them, then gives them to `take` in the order of event time."""
+    """Holds the rows of a bucket until the watermark has passed them, then gives those of each request to `take` in the order of event time."""
 
     def __init__(self, remember_seconds: int):
         self.remember = 1000 * remember_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", _HELD)
-        #: When the end of a request is forgotten, in milliseconds; it is set once the request has ended for good.
-        self.closed = handle.getValueState("closed", "until bigint")
+        self.held = handle.getListState("held", _ROWS)
+        #: Requests that have ended for good, and when that is forgotten, in milliseconds.
+        self.closed = handle.getValueState("closed", _ROWS)
+        self.alarm = handle.getValueState("alarm", "at bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        ignored, last = key[0] is None or self.closed.exists(), None
+        first, closed = None, None
         for some in rows:
-            if ignored:
+            if key[0] is None:
                 continue
-            # A batch of rows is added at a time, so a request of very many rows is no burden.
-            self.held.appendList(list(zip(*(some[c].tolist() for c in _HELD_NAMES), strict=True)))
-            last = max(last or 0, int(some["at"].max()))
-        if last is not None:
-            # Behind the last of them, and so behind each of them.
-            self.handle.registerTimer(max(last // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+            closed = _table(self.closed) if closed is None else closed
+            new = [row for row in _values(some, ["request_id", *_HELD_NAMES]) if row[0] not in closed]
+            if new:
+                # A batch of rows is added at a time; what is held already is not read for it.
+                self.held.appendValue((_packed(new, _HELD_ROWS),))
+                first = min((row[2] for row in new if row[2] == row[2] and (first is None or row[2] < first)), default=first)
+        if first is not None:
+            self._wake(first // 1000 + 1, timerValues.getCurrentWatermarkInMs())
         yield from ()
 
+    def _wake(self, at: int, now: int) -> None:
+        """One timer a bucket, the earliest that it needs."""
+        at, before = max(at, now + 1), self.alarm.get()[0] if self.alarm.exists() else None
+        if before is not None and before <= at:
+            return
+        if before is not None:
+            self.handle.deleteTimer(before)
+        self.handle.registerTimer(at)
+        self.alarm.update((at,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs()
-        if self.closed.exists():
-            if now >= self.closed.get()[0]:
-                self.closed.clear()
-            return
-        rows = sorted((tuple(r) for r in self.held.get()), key=lambda r: (r[1], r[0], r[2])) if self.held.exists() else []
-        due = [r for r in rows if r[1] < 1000 * now]
-        rest = rows[len(due) :]
+        self.alarm.clear()
+        closed = {request: until for request, (until,) in _table(self.closed).items() if until > now}
+        rows = [row for part in self.held.get() for row in _unpacked(part[0])] if self.held.exists() else []
+        due = sorted((r for r in rows if r[2] is not None and r[2] < 1000 * now), key=lambda r: (r[0], r[2], r[1], _UNKNOWN if r[3] is None else r[3]))
+        by_request = {request: [r[1:] for r in some] for request, some in itertools.groupby(due, key=lambda r: r[0])}
+        out, wakes = self.take_all(by_request, closed, now)
+        rest = [r for r in rows if r[0] not in closed and (r[2] is None or r[2] >= 1000 * now)]
         if rest:
-            self.held.put(rest)
-        else:
+            self.held.put([(_packed(rest, _HELD_ROWS),)])
+        elif rows:
             self.held.clear()
-        out = self.take(key[0], due, now)
-        if out is not None:
-            yield out
-
-    def take(self, request: str, due: list[tuple], now: int) -> pd.DataFrame | None:
+        _keep(self.closed, [(request, until) for request, until in closed.items()], "request_id string, until bigint")
+        wakes += [r[2] // 1000 + 1 for r in rest if r[2] is not None]
+        wakes += closed.values()
+        if wakes:
+            self._wake(min(wakes), now)
+        if out:
+            yield _changes(out, self.names)
+
+    names: str
+
+    def take_all(self, due: dict[str, list[tuple]], closed: dict[str, int], now: int) -> tuple[list[tuple], list[int]]:
+        """What the due rows of the bucket's requests give, and when the bucket is wanted again; requests that end for good are added to `closed`."""
         raise NotImplementedError
 
-    def close_request(self, at: int, now: int) -> None:
-        """Forgets all of a request but that it ended at `at` (milliseconds)."""
-        until = max(at + self.remember, now + 1)
-        self.closed.update((until,))
-        self.held.clear()
-        self.handle.registerTimer(until)
+    def until(self, at: int, now: int) -> int:
+        """When it is forgotten that a request ended at `at` (milliseconds)."""
+        return max(at + self.remember, now + 1)
 
     def close(self) -> None:
         pass
 
 
+def _table(state) -> dict[str, tuple]:
+    return {request: tuple(row) for request, *row in _unpacked(state.get()[0])} if state.exists() else {}
+
+
+def _keep(state, rows: list[tuple], names: str) -> None:
+    if rows:
+        state.update((_packed(rows, names),))
+    elif state.exists():
+        state.clear()
+
+
 class _Feed(_InOrder):
-    def take(self, request, due, now):
-        end = next((i for i, row in enumerate(due) if row[4]), None)
-        given = due if end is None else due[: end + 1]
-        if end is not None:
-            self.close_request(due[end][1] // 1000, now)
-        rows = [(request, at, seq, i == end, record) for i, (_, at, seq, _, _, record) in enumerate(given)]
-        return _changes(rows, _FEED) if rows else None
+    names = _FEED
+
+    def take_all(self, due, closed, now):
+        out = []
+        for request, rows in due.items():
+            if request in closed:
+                continue
+            end = next((i for i, row in enumerate(rows) if row[4]), None)
+            if end is not None:
+                closed[request] = self.until(rows[end][1] // 1000, now)
+                rows = rows[: end + 1]
+            out += [(request, at, seq, i == end, record) for i, (_, at, seq, _, _, record) in enumerate(rows)]
+        return out, []
 
 
 class _UntilRead(_InOrder):
-    """The state of a request, until `seconds` after the first read that finds it ended."""
+    """The states of requests, each until `seconds` after the first read that finds it ended."""
+
+    names = _CHANGE
 
     def __init__(self, seconds: int, remember_seconds: int):
         super().__init__(remember_seconds)
@@ -288,46 +376,50 @@ class _UntilRead(_InOrder):
 
     def init(self, handle):
         super().init(handle)
-        self.shown = handle.getValueState("shown", _STATE)
-        self.leaves = handle.getValueState("leaves", "at bigint")
-
-    def take(self, request, due, now):
-        shown = tuple(self.shown.get()) if self.shown.exists() else None
-        leaves = self.leaves.get()[0] if self.leaves.exists() else None
-        changed = False
-        for kind, at, seq, progress, ended, record in due:
-            if leaves is not None and at > 1000 * leaves:
-                break
-            if kind == EVENT_KIND:
-                row = (record, ended, at, seq, at, progress, 1)
-                shown, changed = (row if shown is None else _merged(shown, row)), True
-            elif shown is not None and shown[1] and leaves is None:
-                leaves = at // 1000 + self.seconds
-                self.leaves.update((leaves,))
-                self.handle.registerTimer(max(leaves, now + 1))
-        if leaves is not None and now > leaves:
-            self.shown.clear()
-            self.leaves.clear()
-            self.close_request(leaves, now)
-            return _changes([(request, True, *_GONE)])
-        if not changed:
-            return None
-        self.shown.update(shown)
-        return _changes([(request, False, *shown)])
+        self.shown = handle.getValueState("shown", _ROWS)
+
+    def take_all(self, due, closed, now):
+        shown = _table(self.shown)
+        out, left = [], [request for request, (*_, leaves) in shown.items() if leaves is not None and request not in due]
+        for request in itertools.chain(due, left):
+            if request in closed:
+                continue
+            *state, leaves = shown.get(request, (None,))
+            state = tuple(_UNKNOWN if v is None else v for v in state) or None
+            changed = False
+            for kind, at, seq, progress, ended, record in due.get(request, ()):
+                if leaves is not None and at > 1000 * leaves:
+                    break
+                if kind == EVENT_KIND:
+                    row = (record, ended, at, _UNKNOWN if seq is None else seq, at, progress, 1)
+                    state, changed = (row if state is None else _merged(state, row)), True
+                elif state is not None and state[1] and leaves is None:
+                    leaves = at // 1000 + self.seconds
+            if leaves is not None and now > leaves:
+                shown.pop(request, None)
+                closed[request] = self.until(leaves, now)
+                out.append((request, True, *_GONE))
+                continue
+            if state is not None:
+                shown[request] = (*state, leaves)
+            if changed:
+                out.append((request, False, *state))
+        _keep(self.shown, [(request, *row) for request, row in shown.items()], _KEPT)
+        return out, [row[-1] + 1 for row in shown.values() if row[-1] is not None]
 
 
 class ProgressStream:
     """Keeps the state of requests from a stream of events below `folder`, and optionally their feed.
 
-    `evict_seconds=None` keeps ended requests for ever. Events may come `lateness` late.
+    `evict_seconds=None` keeps ended requests for ever. Events may come `lateness` late. `buckets` is for how many requests there are at once.
     """
 
     def __init__(
         self, spark: SparkSession, folder: str, evict_seconds: int | None = fixed.EVICT_SECONDS, lateness: str = "10 seconds",
-        remember_seconds: int = 86_400,
+        remember_seconds: int = 86_400, buckets: int = BUCKETS,
     ):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self.evict_seconds, self.lateness, self.remember_seconds = evict_seconds, lateness, remember_seconds
+        self.evict_seconds, self.lateness, self.remember_seconds, self.buckets = evict_seconds, lateness, remember_seconds, buckets
         self.states, self.events = BatchTable(spark, f"{self.folder}/state"), BatchTable(spark, f"{self.folder}/feed")
 
     def start(self, events: DataFrame, **trigger) -> StreamingQuery:
@@ -349,8 +441,8 @@ class ProgressStream:
             F.lit(1).cast("bigint").alias("events"),
         ).mapInPandas(_partial, _PARTIAL)
         rows = rows.withColumn("_ts", F.timestamp_micros("last_at")).withWatermark("_ts", self.lateness)
-        states = rows.groupBy("request_id").applyInPandasWithState(
-            _updater(self.evict_seconds), _CHANGE, _STATE, "update", GroupStateTimeout.EventTimeTimeout
+        states = rows.withColumn("bucket", _bucket(self.buckets)).groupBy("bucket").applyInPandasWithState(
+            _updater(self.evict_seconds), _CHANGE, _ROWS, "update", GroupStateTimeout.EventTimeTimeout
         )
         return self._write(states, "update", self.states.write, "states", trigger)
 
@@ -363,14 +455,14 @@ class ProgressStream:
         both = self._in_time(_plain(events).unionByName(polls))
         processor = _UntilRead(self.evict_seconds, self.remember_seconds)
         with keyed_state(self.spark):
-            states = both.groupBy("request_id").transformWithStateInPandas(processor, _CHANGE, "Update", "EventTime")
+            states = both.withColumn("bucket", _bucket(self.buckets)).groupBy("bucket").transformWithStateInPandas(processor, _CHANGE, "Update", "EventTime")
             return self._write(states, "update", self.states.write, "reads", trigger)
 
     def start_feed(self, events: DataFrame, **trigger) -> StreamingQuery:
         """The query that appends each request's events, in order, to the feed's table."""
         rows = self._in_time(_plain(events))
         with keyed_state(self.spark):
-            fed = rows.groupBy("request_id").transformWithStateInPandas(_Feed(self.remember_seconds), _FEED, "Append", "EventTime")
+            fed = rows.withColumn("bucket", _bucket(self.buckets)).groupBy("bucket").transformWithStateInPandas(_Feed(self.remember_seconds), _FEED, "Append", "EventTime")
             return self._write(fed, "append", self.events.write, "feed", trigger)
 
     def _in_time(self, rows: DataFrame) -> DataFrame:

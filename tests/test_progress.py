@@ -144,3 +144,41 @@ def test_meter_stream(spark, files):
     meter_stream(source, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     closed = usage_by_period(rows).where("period_end <= timestamp'2024-01-01 09:49:00'")
     assert plain(spark.read.parquet(f"{folder}/out")) == plain(closed)
+
+
+@pytest.mark.parametrize("kind", ["evicted", "feed", "read"])
+def test_calls_and_states_do_not_grow_with_requests(spark, kind):
+    """300 requests, a third of them ended, are seven buckets of state, and give what each gives alone."""
+    rows = [(f"r{i % 300}", i, i, 1, i % 100, "completed" if i % 900 < 100 and i >= 300 else None) for i in range(900)]
+    folder = shared_dir(spark, "events")
+    stream = P.ProgressStream(spark, shared_dir(spark, "progress"), buckets=7)
+
+    def after(name, rows):
+        add(spark, folder, name, rows)
+        if kind == "evicted":
+            query = stream.start(source(spark, folder))
+        elif kind == "feed":
+            query = stream.start_feed(source(spark, folder))
+        else:
+            query = stream.start_read(source(spark, folder), source(spark, folder).where("seq % 2 = 0").select("request_id", "ts"))
+        query.awaitTermination()
+        return query
+
+    after("p0", rows[:450])
+    query = after("p1", rows[450:])
+    last = after("p2", [(None if kind != "evicted" else "beat", 10_000, 901, 1, 0, None)])
+    for q in (query, last):
+        # A state and a timer, or the three of a processor, for each bucket.
+        assert all(p["stateOperators"][0]["numRowsTotal"] <= 6 * 7 for p in q.recentProgress)
+    events = events_of(spark, rows)
+    if kind == "feed":
+        assert plain(stream.feed().select(*P.COLUMNS, "final")) == plain(P.event_feed(events).select(*P.COLUMNS, "final"))
+        return
+    ended = {}
+    for request, at, _, _, _, status in rows:
+        if status and request not in ended:
+            ended[request] = at
+    if kind == "read":
+        ended = {r for r, end in ended.items() if any(q == r and s >= end and s % 2 == 0 for q, s, *_ in rows)}
+    left = P.latest_progress(events).where(~F.col("request_id").isin(list(ended)))
+    assert plain(stream.state().where("request_id <> 'beat'")) == plain(left)

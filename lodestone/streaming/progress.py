@@ -281,8 +281,8 @@ class _InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         first, closed = None, None
         for some in rows:
-            if key[0] is None:
-                continue
+            # Heartbeats are not held.
+            some = some[some["request_id"].notna()]
             closed = _table(self.closed) if closed is None else closed
             new = [row for row in _values(some, ["request_id", *_HELD_NAMES]) if row[0] not in closed]
             if new:

@@ -34,6 +34,39 @@ def test_quantile_parts_the_labels():
     assert best_quantile(raw, label) == 0.3
 
 
+def test_every_label_and_every_pair_is_learnt(spark):
+    """21,000 rows and 251,880 pairs: the weights are those of the loss over all pairs, the cut that of all scores."""
+    rng = np.random.default_rng(5)
+    ids = np.array([i for i in range(30_000) if not held_out(i)][:21_000])
+    label = np.ones(len(ids), int)
+    label[rng.choice(len(ids), 12, replace=False)] = 0
+    x = rng.normal(size=(len(ids), quality.FEATURES)) + 0.4 * label[:, None] * rng.normal(size=quality.FEATURES)
+    rows = spark.createDataFrame(list(zip(ids.tolist(), x.tolist())), "doc_id long, x array<double>").repartition(5)
+    model = quality.train(rows, labels(spark, [(i, q, 0) for i, q in zip(ids.tolist(), label.tolist())]))
+    z = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6)
+    good, bad = z[label == 1], z[label == 0]
+    assert np.abs(model.weights - fit_pairs(np.repeat(good, len(bad), axis=0), np.tile(bad, (len(good), 1)))).max() < 1e-9
+    raw = np.sort(model.raw(x))
+    at = round(best_quantile(model.raw(x), label) * len(raw))
+    assert abs(model.cut - (raw[at - 1] + raw[at]) / 2) < 1e-9
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cut_over_ranges_of_scores(spark, seed):
+    """Against `best_quantile`, with ties, several best cuts, and the best one at either end of a range or of all."""
+    rng = np.random.default_rng(seed)
+    raw, label = rng.integers(0, 9, 60).astype(float), rng.integers(0, 2, 60)
+    if seed == 2:
+        raw, label = np.arange(8.0), np.array([1, 1, 0, 0, 1, 1, 0, 0])
+    x = np.zeros((len(raw), quality.FEATURES))
+    x[:, 0] = raw
+    rows = spark.createDataFrame(list(zip(range(len(raw)), x.tolist(), label.tolist())), "doc_id long, x array<double>, label int")
+    model = quality.QualityModel(np.zeros(quality.FEATURES), np.ones(quality.FEATURES), np.eye(quality.FEATURES)[0], 0.0, 1.0)
+    ordered, at = np.sort(raw), round(best_quantile(raw, label) * len(raw))
+    at = min(len(raw) - 1, max(1, at))
+    assert quality.best_cut(rows, model) == (ordered[at - 1] + ordered[at]) / 2
+
+
 @pytest.mark.parametrize("name, label, recall, precision", [("op9_quality", "quality", 0.97, 0.97), ("op7_toxicity", "toxic", 0.8, 0.9)])
 def test_held_out_accuracy(spark, name, label, recall, precision):
     known = {r.doc_id: r[label] for r in spark.read.parquet(f"{BIG}/labels.parquet").collect()}

@@ -149,3 +149,51 @@ def test_as_many_toxic_words_as_there_are(spark):
     texts = [" ".join([prose(12, i, 300), *(f"vile{(8 * n + j) % 600}" for j in range(8) if n < 600)]) for n, i in enumerate(ids)]
     model = toxicity.train(frame(spark, texts, ids=ids), labels(spark, [(i, 1, int(n < 600)) for n, i in enumerate(ids)]))
     assert np.isin([toxicity.terms(f"vile{w}".encode())[0] for w in range(600)], model.slots).all()
+
+
+def test_every_toxic_label_is_learnt(spark):
+    """Of 20,400 labelled texts only the 400 of the largest hashes of their ids are toxic."""
+    from pyspark.sql import functions as F
+
+    ids = [i for i in range(28_000) if not held_out(i)][:20_400]
+    order = spark.createDataFrame([(i,) for i in ids], "doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    toxic = {r.doc_id for r in order[20_000:]}
+    texts = [f"some words here{' vile' if i in toxic else ''}" for i in ids]
+    model = toxicity.train(frame(spark, texts, ids=ids), labels(spark, [(i, 1, int(i in toxic)) for i in ids]))
+    assert model.score(b"some words here vile") > 0.9
+    assert model.score(b"some words here") < 0.1
+
+
+def test_parts_learn_together(spark, monkeypatch):
+    """Toxic is who has both words or neither, learnt in four parts whose states are averaged."""
+    monkeypatch.setattr(toxicity, "PART_ROWS", 1000)
+    both = np.random.default_rng(6).integers(0, 2, (4000, 2))
+    label = (both[:, 0] == both[:, 1]).astype(int)
+    rows = [(i, np.flatnonzero(b).tolist(), y) for i, (b, y) in enumerate(zip(both, label.tolist(), strict=True))]
+    bias, w, v = toxicity.fit_parts(spark.createDataFrame(rows, "doc_id long, x array<long>, label int"), 4000, int(label.sum()), 2)
+    assert bias > 1 and bias + w[0] < -1 and bias + w[1] < -1 and bias + w.sum() + v[0] @ v[1] > 1
+
+
+@pytest.mark.parametrize("block, copies", [(4096, 8), (7, 1)])
+def test_pairs_against_all_pairs(spark, monkeypatch, block, copies):
+    """Blocks that cannot be sure are left out, and rounds and block sizes change nothing."""
+    monkeypatch.setattr(toxicity, "PAIR_BLOCK", block)
+    monkeypatch.setattr(toxicity, "PAIR_COPIES", copies)
+    rng = np.random.default_rng(8)
+    texts = [set(rng.zipf(1.3, 40)[:30].clip(max=60).tolist()) for _ in range(1500)]
+    label = [int(({1, 2} <= t) != ({3, 9} <= t) if rng.random() < 0.9 else rng.random() < 0.3) for t in texts]
+    bodies = [" ".join(f"w{x}" for x in sorted(t)).encode() for t in texts]
+    found = toxicity.paired(spark.createDataFrame(list(zip(bodies, label, strict=True)), "body binary, label int").repartition(3), 1500, sum(label), 10, 8.0)
+    held = {x: np.array([x in t for t in texts]) for x in range(1, 61)}
+    held = {x: h for x, h in held.items() if h.sum() >= 10}
+    y, base = np.array(label), np.log(sum(label) / (1500 - sum(label)))
+    share = {x: (y[h].sum() + y.mean()) / (h.sum() + 1) for x, h in held.items()}
+    odds = {x: np.log(s / (1 - s)) for x, s in share.items()}
+    right = set()
+    for a in held:
+        for b in held:
+            n = (held[a] & held[b]).sum()
+            if a < b and n and toxicity.unexpected(n, y[held[a] & held[b]].sum(), odds[a], odds[b], base) >= 8.0:
+                right |= {a, b}
+    assert right and len(right) < len(held)
+    assert found.tolist() == sorted(toxicity.words(f"w{x}".encode())[0] for x in right)

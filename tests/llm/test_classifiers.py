@@ -197,3 +197,52 @@ def test_pairs_against_all_pairs(spark, monkeypatch, block, copies):
                 right |= {a, b}
     assert right and len(right) < len(held)
     assert found.tolist() == sorted(toxicity.words(f"w{x}".encode())[0] for x in right)
+
+
+def test_words_go_only_to_blocks_where_a_pair_may_be_sure(spark, monkeypatch):
+    """600 words of twelve documents each can be sure with no other, and are not dealt."""
+    def counted(*args, deal=toxicity._dealer):
+        def emit(batches):
+            for batch in deal(*args)(batches):
+                dealt.add(sum(len(v.as_py()) for c in ("a", "b") for v in batch.column(c)))
+                yield batch
+
+        return emit
+
+    dealt = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(toxicity, "_dealer", counted)
+    rng = np.random.default_rng(4)
+    has = rng.integers(0, 2, (1200, 2)).astype(bool)
+    rare = [rng.permutation(1200)[:12] for _ in range(600)]
+    texts = [[w for w, there in zip(("one", "two"), h, strict=True) if there] for h in has]
+    for w, docs in enumerate(rare):
+        for d in docs:
+            texts[d].append(f"rare{w}")
+    label = (has[:, 0] == has[:, 1]).astype(int).tolist()
+    rows = spark.createDataFrame([(" ".join(t).encode(), y) for t, y in zip(texts, label, strict=True)], "body binary, label int").repartition(2)
+    found = toxicity.paired(rows, 1200, sum(label))
+    assert found.tolist() == sorted(toxicity.words(w)[0] for w in (b"one", b"two"))
+    assert 0 < dealt.value < 3000
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(5)
+    for values in (np.zeros(0, np.uint16), np.array([65535, 0, 7], np.uint16), rng.integers(0, 65536, 5000).astype(np.uint16)):
+        assert toxicity._unpacked(toxicity._packed(values)).tolist() == values.tolist()
+
+
+def test_rows_are_dealt_to_parts_once(spark, monkeypatch):
+    """Four parts learn in eight rounds, and the rows are read for the first of them only."""
+    monkeypatch.setattr(toxicity, "PART_ROWS", 1000)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for part in batches:
+            read.add(len(part))
+            yield part
+
+    label = np.random.default_rng(7).integers(0, 2, 4000).tolist()
+    schema = "doc_id long, x array<long>, label int"
+    rows = spark.createDataFrame([(i, [0, y], y) for i, y in enumerate(label)], schema).mapInPandas(counted, schema)
+    toxicity.fit_parts(rows, 4000, sum(label), 2)
+    assert read.value == 4000

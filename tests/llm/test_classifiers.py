@@ -246,3 +246,57 @@ def test_rows_are_dealt_to_parts_once(spark, monkeypatch):
     rows = spark.createDataFrame([(i, [0, y], y) for i, y in enumerate(label)], schema).mapInPandas(counted, schema)
     toxicity.fit_parts(rows, 4000, sum(label), 2)
     assert read.value == 4000
+
+
+def test_texts_are_not_shuffled_to_their_labels(spark):
+    """Joined by lists of ids that are sent, whatever Spark would broadcast by itself; beyond the limit as ever."""
+    docs = spark.createDataFrame([(i % 300, f"t{i}".encode()) for i in range(400)] + [(None, b"none")], "doc_id long, body binary")
+    given = labels(spark, [(i, 1, int(i % 7 == 0)) for i in range(0, 350, 2)] + [(i, 0, 0) for i in range(0, 300, 28)] + [(None, 1, 1), (3, 1, None), (5, 1, 2)])
+    wanted = sorted(tuple(r) for r in quality.training_rows(docs, given, "toxic").select("doc_id", "body", "label").collect())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = toxicity.labelled(docs, given)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(tuple(r) for r in found.select("doc_id", "body", "label").collect()) == wanted and {r[2] for r in wanted} == {0, 1}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_many_labels_are_joined_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LABELS_SENT", 3)
+    docs = spark.createDataFrame([(i, b"") for i in range(40)], "doc_id long, body binary")
+    found = toxicity.labelled(docs, labels(spark, [(i, 1, i % 2) for i in range(40)])).select("doc_id", "label").collect()
+    assert sorted(map(tuple, found)) == [(i, i % 2) for i in range(40) if not held_out(i)]
+
+
+@pytest.mark.parametrize("size", [40, 4])
+def test_words_are_copied_by_bundles_and_not_by_sides(monkeypatch, size):
+    """2000 words that may all be sure with each other go to as many bundles if sides are ten times as many."""
+    monkeypatch.setattr(toxicity, "PAIR_BLOCK", size)
+    n = np.random.default_rng(9).zipf(1.5, 2000).clip(10, 5000)
+    blocks = toxicity._Blocks.of(n, np.zeros(2000), np.zeros(2000, np.int64), np.ones((1, 1), bool))
+    sides = len(blocks.starts) - 1
+    assert sides >= 2000 // size and len(blocks.bundles) - 1 <= max(toxicity.PAIR_SIDES * 2 + toxicity.BUNDLES, sides // toxicity.BUNDLE_SIDES + toxicity.PAIR_SIDES * 2)
+    assert blocks.bundles[0] == 0 and blocks.bundles[-1] == sides and (np.diff(blocks.bundles) > 0).all()
+    assert blocks.copies.sum() <= (len(blocks.bundles) - 1) * n.sum()
+
+
+def test_pairs_of_bundles_of_several_sides(spark, monkeypatch):
+    """The same words whether each side is dealt alone or several together."""
+    monkeypatch.setattr(toxicity, "PAIR_BLOCK", 3)
+    rng = np.random.default_rng(12)
+    texts = [set(rng.zipf(1.3, 40)[:30].clip(max=60).tolist()) for _ in range(1000)]
+    label = [int(({1, 2} <= t) != ({30, 9} <= t)) for t in texts]
+    rows = spark.createDataFrame([(" ".join(f"w{x}" for x in sorted(t)).encode(), y) for t, y in zip(texts, label, strict=True)], "body binary, label int").repartition(2)
+    found = []
+    for sides in (1, 16):
+        monkeypatch.setattr(toxicity, "BUNDLE_SIDES", sides)
+        found.append(toxicity.paired(rows, 1000, sum(label), 10, 8.0).tolist())
+    assert found[0] == found[1] and found[0]
+
+
+def test_joined_bytes_come_back():
+    for parts in ([], [b""], [b"a", b"", b"bcd"]):
+        assert toxicity._parted(toxicity._joined(parts)) == parts

@@ -300,3 +300,13 @@ def test_pairs_of_bundles_of_several_sides(spark, monkeypatch):
 def test_joined_bytes_come_back():
     for parts in ([], [b""], [b"a", b"", b"bcd"]):
         assert toxicity._parted(toxicity._joined(parts)) == parts
+
+
+def test_terms_of_many_texts_are_those_of_each(monkeypatch):
+    rng = np.random.default_rng(13)
+    bodies = [b"", b" ", *(" ".join(f"Word{x}" for x in rng.integers(0, 400, rng.integers(1, 40))).encode() for _ in range(200)), b"word7 " * 200_000, b"", b"Word9"]
+    slots = np.unique(np.concatenate([toxicity.terms(b) for b in bodies]))[::3]
+    for beginnings, of in ((True, toxicity.terms), (False, toxicity.words)):
+        found = toxicity.matches(bodies, slots, beginnings)
+        assert [slots[x].tolist() for x in found] == [np.intersect1d(of(b), slots).tolist() for b in bodies]
+    assert toxicity.matches([], slots, True) == [] and [len(x) for x in toxicity.matches([b"a", b"b"], slots[:0], True)] == [0, 0]

@@ -34,15 +34,18 @@ MAX_SCORES = 4 << 20
 # Vectors from which a centroid is found, and the most cells there are.
 SAMPLE_PER_CELL = 256
 MAX_CELLS = 4096
-# Vectors of one side of a block that a single task holds. Large blocks mean few copies in the shuffle, small ones little memory.
-BLOCK_BYTES = 16 << 20
+# Vectors of one side of a block that a single task holds, as doubles. Large blocks mean few copies in the shuffle, small ones little memory.
+BLOCK_BYTES = 64 << 20
 # Blocks are smaller where there would not be so many of them for each core, but not below so many rows.
 BLOCKS_A_CORE = 4
 LEAST_ROWS = 1024
 # Corpus rows that are scored at a time; those after them have to beat what the first ones gave.
 SCORED_ROWS = 4096
-# Values below which no product of two vectors overflows.
+# Values below which no product of two vectors overflows, and those for products in single precision.
 TAME = 1e150
+SINGLE_TAME = 1e15
+# Times that single precision may leave too much of a block.
+MISSES = 8
 # Tasks over which pairs of blocks are dealt, at most.
 MAX_TASKS = 2000
 
@@ -143,6 +146,140 @@ def _block_topk(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, metric: s
     return rows[keep], ids[cols][keep], exact[keep]
 
 
+class _Held:
+    """The k best of each query so far, and some more that are not yet compared: (query row, id, score), higher scores better, ties by id.
+
+    `floor` is the k-th best score of each query when they were compared last; rows below it need not come.
+    """
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.width, self.waiting = k, 3 * k + 32, 0
+        self.score = np.full((queries, self.width), -np.inf)
+        self.id = np.zeros((queries, self.width), np.int64)
+        self.fill = np.zeros(queries, np.int64)
+        self.floor = np.full(queries, -np.inf)
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """Query rows ascend. Those with more rows than there is room for are taken in turns."""
+        if not len(rows):
+            return
+        score, nth = np.where(np.isnan(score), -np.inf, score), _nth(rows)
+        turn = nth // (self.width - self.k)
+        last = int(turn.max())
+        for now in range(last + 1):
+            some = slice(None) if not last else np.flatnonzero(turn == now)
+            self._put(rows[some], ids[some], score[some], nth[some] - now * (self.width - self.k))
+        if self.waiting >= self.k * len(self.fill):
+            self.cut()
+
+    def _put(self, rows: np.ndarray, ids: np.ndarray, score: np.ndarray, nth: np.ndarray) -> None:
+        many = np.bincount(rows, minlength=len(self.fill))
+        if (self.fill + many).max() > self.width:
+            self.cut()
+        at = self.fill[rows] + nth
+        self.score[rows, at], self.id[rows, at] = score, ids
+        self.fill += many
+        self.waiting += len(rows)
+
+    def cut(self) -> None:
+        """Leaves the k best of each query."""
+        self.waiting = 0
+        if self.fill.max(initial=0) > self.k:
+            limit = np.partition(self.score, -self.k, axis=1)[:, -self.k]
+            keep = (self.score >= limit[:, None]) & (np.arange(self.width) < self.fill[:, None])
+            many = keep.sum(axis=1)
+            tied = np.flatnonzero(many > self.k)
+            if len(tied):
+                row, at = np.nonzero(keep[tied])
+                best = _best(row, self.id[tied[row], at], self.score[tied[row], at], self.k)
+                keep[tied] = False
+                keep[tied[row[best]], at[best]] = True
+                many[tied] = self.k
+            row, at = np.nonzero(keep)
+            score, ids, to = self.score[row, at], self.id[row, at], _nth(row)
+            self.score.fill(-np.inf)
+            self.score[row, to], self.id[row, to], self.fill = score, ids, many
+        self.floor = self.score[:, : self.k].min(axis=1)
+
+    def kept(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best of each query, in no order but of queries."""
+        self.cut()
+        row, at = np.nonzero(np.arange(self.width) < self.fill[:, None])
+        return row, self.id[row, at], self.score[row, at]
+
+
+def _nth(rows: np.ndarray) -> np.ndarray:
+    """How many equal ones stand before each of ascending numbers."""
+    many = np.bincount(rows)
+    return np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)
+
+
+def _ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, order): numbers that rank like the ids, and the position of each of these numbers."""
+    order = np.argsort(ids, kind="stable")
+    places = np.empty(len(ids), np.int64)
+    places[order] = np.arange(len(ids))
+    return places, order
+
+
+class _Single:
+    """Matrix products in single precision, to leave out what cannot be among the best; what stays needs exact scores.
+
+    `squared` is for distances: scores are minus the square of the distance, otherwise they are the product.
+    """
+
+    def __init__(self, queries: np.ndarray, largest: float, squared: bool):
+        squares = np.square(queries).sum(axis=1)
+        size = np.sqrt(squares)
+        self.squared = squared
+        self.queries = _augmented(2 * queries, np.ones(len(queries))) if squared else _augmented(queries, np.zeros(len(queries)))
+        self.shift = squares if squared else np.zeros(len(queries))
+        scale = np.square(size + largest) if squared else size * largest
+        # The least number of single precision adds to what is lost below it.
+        self.slack = 16 * (queries.shape[1] + 5) * (np.finfo(np.float32).eps * scale + 1e-37 * (1 + size + largest))
+        self.room = np.empty(0, np.float32)
+
+    @staticmethod
+    def fits(*sides: np.ndarray) -> bool:
+        """Whether squares and products of all values are numbers in single precision; not, if some value is none."""
+        return all(bool(side.max(initial=0.0) < SINGLE_TAME and side.min(initial=0.0) > -SINGLE_TAME) for side in sides)
+
+    def corpus(self, vectors: np.ndarray) -> np.ndarray:
+        return _augmented(vectors, -np.square(vectors).sum(axis=1) if self.squared else np.zeros(len(vectors)))
+
+    def near(self, rows: slice | np.ndarray, corpus: np.ndarray, floor: np.ndarray, best: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(query row, corpus row) of all whose exact score may reach the floor, and may be among the `best` of this corpus if that is given."""
+        q = self.queries[rows]
+        size = len(q) * len(corpus)
+        if len(self.room) < size:
+            self.room = np.empty(size, np.float32)
+        score = np.matmul(q, corpus.T, out=self.room[:size].reshape(len(q), len(corpus)))
+        bar = floor + self.shift[rows]
+        if 0 < best < len(corpus):
+            bar = np.maximum(bar, _low_bar(score, best))
+        hit = score >= (bar - 2 * self.slack[rows]).astype(np.float32)[:, None]
+        if size % 8:
+            flat = np.flatnonzero(hit)
+        else:
+            # Few are near: they are looked for eight at a time.
+            eight = np.flatnonzero(hit.reshape(-1).view(np.uint64))
+            flat = (eight[:, None] * 8 + np.arange(8))[hit.reshape(-1, 8)[eight]]
+        return np.divmod(flat, max(1, len(corpus)))
+
+
+def _low_bar(score: np.ndarray, best: int) -> np.ndarray:
+    """What the `best`-th score of each row is at least: that many of the largest ones of groups of columns are, and groups are few to sort."""
+    group = max(1, score.shape[1] // (8 * best))
+    columns = score.shape[1] // group
+    most = score[:, : columns * group].reshape(len(score), group, columns).max(axis=1) if group > 1 else score
+    return np.partition(most, -best, axis=1)[:, -best]
+
+
+def _augmented(vectors: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """One column more, even of zeros: rows of a power of two of bytes share places in caches, which makes products a fifth slower."""
+    return np.concatenate([vectors, last[:, None]], axis=1).astype(np.float32)
+
+
 def _steps(rows: int, other: int) -> Iterator[slice]:
     step = max(1, MAX_SCORES // max(1, other))
     for start in range(0, rows, step):
@@ -258,14 +395,13 @@ def _broadcast(table: pa.Table, corpus: DataFrame, k: int, metric: str, types: T
 
 
 def _ready(side: DataFrame, id_col: str, metric: str) -> DataFrame:
-    """Vectors ready for scores, as doubles, without those that can never score."""
+    """Vectors as they came, without those that can never score. Floats are half as many bytes as what they become for scores."""
 
     def prepare(batches):
-        for batch, vectors in _unit_rows(batches, metric):
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), _lists(vectors)], [id_col, "_vec"])
+        for batch, _ in _unit_rows(batches, metric):
+            yield batch.select([id_col, "_vec"])
 
-    fields = [T.StructField(id_col, side.schema[id_col].dataType), T.StructField("_vec", T.ArrayType(T.DoubleType()))]
-    return side.mapInArrow(prepare, T.StructType(fields))
+    return side.mapInArrow(prepare, T.StructType([T.StructField(name, side.schema[name].dataType) for name in (id_col, "_vec")]))
 
 
 def _block_rows(spark: SparkSession, rows: int, width: int) -> int:
@@ -298,22 +434,34 @@ def _paired(left: DataFrame, right: DataFrame, keys: list[str], groups: int):
 def _nearest(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, metric: str, at_once: int = MAX_SCORES) -> list[tuple]:
     """k best rows of `c` for each row of `q`, as (query row, id, score) for slices of `q`.
 
-    The corpus is scored some rows at a time, and what was found so far is a floor for those after them.
+    The corpus is scored some rows at a time, and what was found so far is a floor for those after them: a product in single precision shows
+    which may reach it, and only these get exact scores.
     """
+    if q.shape[1] != c.shape[1] and len(q) and len(c):
+        raise ValueError(f"query vectors have {q.shape[1]} dimensions, corpus vectors {c.shape[1]}")
+    places, order = _ranked(ids)
+    single, misses = None, 0
+    if len(c) and _Single.fits(q, c):
+        single = _Single(q, float(np.sqrt(np.square(c).sum(axis=1).max())), metric == "l2")
+        rough = single.corpus(c)
     out = []
     for part in _steps(len(q), max(SCORED_ROWS, -(-MAX_SCORES // max(1, at_once)))):
-        some = q[part]
-        found, floor = None, np.full(len(some), -np.inf)
+        some, held = q[part], _Held(len(q[part]), k)
         for start in range(0, len(c), SCORED_ROWS):
-            new = _block_topk(some, c[start : start + SCORED_ROWS], ids[start : start + SCORED_ROWS], k, metric, floor)
-            if found is not None and len(new[0]):
-                new = tuple(np.concatenate(pair) for pair in zip(found, new, strict=True))
-                keep = _best(*new, k)
-                new = tuple(column[keep] for column in new)
-            found = new if found is None or len(new[0]) else found
-            floor = _floor(len(some), found[0], found[2], k)
-        if found is not None:
-            out.append((found[0] + part.start, *found[1:]))
+            at = slice(start, start + SCORED_ROWS)
+            if single is not None:
+                unknown = k if np.isneginf(held.floor).any() else 0
+                rows, cols = single.near(part, rough[at], -np.square(held.floor) if metric == "l2" else held.floor, unknown)
+                if len(rows) <= 4 * k * len(some):
+                    held.add(rows, places[at][cols], _exact(some, c[at], rows, cols, metric))
+                    continue
+                # Too many are near for single precision, or they are copies; where that is common it is not tried again.
+                misses += 1
+                single = single if misses < MISSES else None
+            held.add(*_block_topk(some, c[at], places[at], k, metric, held.floor))
+        rows, found, score = held.kept()
+        keep = _best(rows, found, score, k)
+        out.append((rows[keep] + part.start, ids[order[found[keep]]], score[keep]))
     return out
 
 
@@ -332,7 +480,8 @@ def _block_scorer(k: int, metric: str, at_once: int = MAX_SCORES):
                           "_score": pa.array([], pa.float64())})
         if not left.num_rows or not right.num_rows:
             return empty
-        queries, corpus, ids = _matrix(left["_vec"]), _matrix(right["_vec"]), _ids(right["_cid"])
+        queries, corpus = (_prepared(_matrix(side["_vec"]), metric) for side in (left, right))
+        ids = _ids(right["_cid"])
         found = []
         for mine, theirs in _visits(left, right):
             parts = _nearest(queries[mine], corpus[theirs], ids[theirs], k, metric, at_once)
@@ -348,11 +497,14 @@ def _block_scorer(k: int, metric: str, at_once: int = MAX_SCORES):
 
 
 def _visits(left: pa.Table, right: pa.Table) -> Iterator[tuple]:
-    """(rows of queries, rows of the corpus) to compare: everything at once where every query visits every cell."""
+    """(rows of queries, rows of the corpus) to compare: everything at once where every query visits every cell, which no list of cells says too."""
     if "_cell" not in right.column_names:
         yield slice(None), slice(None)
         return
     wanted = left["_cells"].combine_chunks()
+    if wanted.null_count == len(wanted):
+        yield slice(None), slice(None)
+        return
     query = np.repeat(np.arange(left.num_rows), np.diff(wanted.offsets.to_numpy()))
     visited, cells = wanted.flatten().to_numpy(), right["_cell"].combine_chunks().to_numpy()
     here = np.unique(cells)
@@ -371,7 +523,7 @@ def _visits(left: pa.Table, right: pa.Table) -> Iterator[tuple]:
 class Cells:
     """A corpus split by nearest centroid."""
 
-    rows: DataFrame  # _cell, _cid, _vec
+    rows: DataFrame  # _cell, _cid, _vec as it came
     centroids: np.ndarray
     sizes: np.ndarray
     metric: str
@@ -456,8 +608,8 @@ def build_cells(
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(cell.astype(np.int32)),
-                        batch.column("_cid").take(pa.array(np.arange(len(batch))[part])),
-                        _lists(vectors[part]),
+                        batch.column("_cid").slice(part.start, len(cell)),
+                        batch.column("_vec").slice(part.start, len(cell)),
                     ],
                     ["_cell", "_cid", "_vec"],
                 )
@@ -466,7 +618,7 @@ def build_cells(
         [
             T.StructField("_cell", T.IntegerType()),
             T.StructField("_cid", c.schema["_cid"].dataType),
-            T.StructField("_vec", T.ArrayType(T.DoubleType())),
+            T.StructField("_vec", c.schema["_vec"].dataType),
         ]
     )
     path = path or shared_dir(corpus.sparkSession, "cells")
@@ -503,21 +655,27 @@ def _route(queries: DataFrame, cells: Cells, probes: int, first: np.ndarray, par
         for batch, vectors in _unit_rows(batches, metric):
             # Bounds the distances of a slice, and the vectors that are copied to its blocks.
             for part in _steps(len(vectors), max(len(centroids), probes * vectors.shape[1])):
-                far = _distances(vectors[part], centroids)
-                cell = np.sort(far.argsort(axis=1)[:, :probes], axis=1).ravel()
-                row, times = np.repeat(np.arange(len(far)), probes), parts[cell]
+                some = vectors[part]
+                if probes == len(centroids):
+                    cell = np.tile(np.arange(probes), len(some))
+                else:
+                    cell = np.sort(_distances(some, centroids).argsort(axis=1)[:, :probes], axis=1).ravel()
+                row, times = np.repeat(np.arange(len(some)), probes), parts[cell]
                 block = np.repeat(first[cell], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 row, cell = np.repeat(row, times), np.repeat(cell, times)
                 # Rows and blocks ascend, so the cells of one visit are neighbours.
                 start = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(block) != 0)]) if len(row) else np.zeros(0, np.int64)
                 at = np.arange(len(batch))[part][row[start]]
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[start, len(row)], pa.int32()), pa.array(cell, pa.int32()))
+                if probes == len(centroids):
+                    lists = pa.nulls(len(start), pa.list_(pa.int32()))  # every cell
+                else:
+                    lists = pa.ListArray.from_arrays(pa.array(np.r_[start, len(row)], pa.int32()), pa.array(cell, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(block[start], pa.int32()),
                         batch.column("_qid").take(pa.array(at)),
                         lists,
-                        _lists(vectors[part][row[start]]),
+                        batch.column("_vec").take(pa.array(at)),
                     ],
                     ["_b", "_qid", "_cells", "_vec"],
                 )
@@ -527,7 +685,7 @@ def _route(queries: DataFrame, cells: Cells, probes: int, first: np.ndarray, par
             T.StructField("_b", T.IntegerType()),
             T.StructField("_qid", queries.schema["_qid"].dataType),
             T.StructField("_cells", T.ArrayType(T.IntegerType())),
-            T.StructField("_vec", T.ArrayType(T.DoubleType())),
+            T.StructField("_vec", queries.schema["_vec"].dataType),
         ]
     )
     return queries.mapInArrow(route, types)

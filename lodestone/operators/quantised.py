@@ -2,9 +2,10 @@
 
 A vector is cut into sub-spaces, and in each the number of its nearest centroid (a byte) is kept: its code. Centroids come from a bounded
 sample; every vector is coded. The index is the codes in k-means cells (`knn.build_cells`). A query visits its nearest cells; there a table of
-its distances to the centroids of each sub-space turns a code into a distance by one look-up a sub-space. The `rerank` best of these for
+its distances to the centroids of each sub-space turns a code into a distance by one look-up a sub-space. A matrix product with what the codes
+stand for, in single precision, shows first which of them may be among the best; only these are looked up. The `rerank` best of these for
 each query, ties by id, meet the stored vectors block by block and are ranked by their exact scores, so what is wrong with codes costs
-recall only, never a wrong score or order. Neither a query's vector nor that of a candidate is ever copied to each pair.
+recall only, never a wrong score or order. Candidates are lists, one for each query and block of vectors, never a row for each pair.
 
 Rows without an id or a vector, and by cosine vectors without length, take no part. Metrics are cosine and l2.
 """
@@ -26,8 +27,10 @@ CENTROIDS = 256
 #: Candidates of a query that are ranked by exact scores.
 RERANK = 300
 #: Codes of one block that a task holds, and what a row of them takes beside its code, in bytes.
-CODE_BYTES = 16 << 20
+CODE_BYTES = 64 << 20
 ROW_BYTES = 24
+#: Candidates of one block of queries that a task holds, in bytes.
+CANDIDATE_BYTES = 32 << 20
 #: Codes that are looked up at a time.
 LOOKED_UP = 1 << 15
 
@@ -105,7 +108,7 @@ def build_index(
     total = int(cells.sizes.sum())
     chosen = cells.rows.select("_vec").where(F.pmod(F.xxhash64("_cid"), F.lit(max(1, total // sample))) == 0).limit(sample).toArrow()
     if chosen.num_rows:
-        vectors = knn._matrix(chosen.column("_vec"))
+        vectors = knn._prepared(knn._matrix(chosen.column("_vec")), metric)
         books = train_books(vectors, parts)
     else:
         vectors, books = np.zeros((0, parts)), np.full((parts, CENTROIDS, 1), np.inf)
@@ -114,7 +117,7 @@ def build_index(
     def code(batches):
         for batch in batches:
             if batch.num_rows:
-                raw = [row.tobytes() for row in encode(knn._matrix(batch.column("_vec")), shared.value)]
+                raw = [row.tobytes() for row in encode(knn._prepared(knn._matrix(batch.column("_vec")), metric), shared.value)]
                 yield pa.RecordBatch.from_arrays([batch.column("_cell"), batch.column("_cid"), pa.array(raw, pa.binary())], ["_cell", "_cid", "_code"])
 
     kinds = [T.StructField("_cell", T.IntegerType()), T.StructField("_cid", cells.rows.schema["_cid"].dataType), T.StructField("_code", T.BinaryType())]
@@ -123,33 +126,112 @@ def build_index(
     return Index(spark.read.parquet(path), cells, books, metric, total * parts, total * 4 * vectors.shape[1])
 
 
-def _approximate(index: Index, rerank: int):
-    """The `rerank` codes of a block that look nearest to each query of a block, of the cells that the query visits."""
-    books = index.books
+def _approximate(index: Index, rerank: int, several: bool = False):
+    """The `rerank` codes of a block that look nearest to each query of a block, of the cells that the query visits: lists by place (`_c`).
+
+    With `several` blocks of codes, for each query id; otherwise for each row of queries.
+    """
+    books, metric = index.books, index.metric
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["_qid", "_cid", "_score"]
         if not left.num_rows or not right.num_rows:
-            return pa.table([left["_qid"].slice(0, 0), right["_cid"].slice(0, 0), pa.array([], pa.float64())], names=names)
-        codes = np.frombuffer(b"".join(right["_code"].to_pylist()), np.uint8).reshape(right.num_rows, -1).T.astype(np.intp)
-        ids, vectors = knn._ids(right["_cid"]), knn._matrix(left["_vec"])
+            return _lists_of(left, right, *(np.zeros(0, int) for _ in range(3)))
+        codes, vectors = _codes(right["_code"]), knn._prepared(knn._matrix(left["_vec"]), metric)
+        places, order = knn._ranked(knn._ids(right["_cid"]))
+        visits = list(knn._visits(left, right))
+        decoded = _Decoded(books) if knn._Single.fits(vectors, books[np.isfinite(books)]) else None
         found = []
-        for mine, theirs in knn._visits(left, right):
-            some, block, rows = ids[theirs], np.ascontiguousarray(codes[:, theirs]), np.arange(len(vectors))[mine]
-            for part in knn._steps(len(rows), books.shape[0] * CENTROIDS):
-                for row, table in zip(rows[part], tables(vectors[rows[part]], books), strict=True):
-                    far = _looked_up(table, block)
-                    best = _least(far, some, rerank)
-                    found.append((np.full(len(best), row), some[best], -far[best]))
-        if not found:
-            return pa.table([left["_qid"].slice(0, 0), right["_cid"].slice(0, 0), pa.array([], pa.float64())], names=names)
-        rows, cids, scores = (np.concatenate(c) for c in zip(*found, strict=True))
-        keep = knn._best(rows, cids, scores, rerank)
-        return pa.table([left["_qid"].take(pa.array(rows[keep])), pa.array(cids[keep], right["_cid"].type), pa.array(scores[keep])], names=names)
+        for part in knn._steps(len(vectors), books.shape[0] * CENTROIDS // 2):
+            some = vectors[part]
+            look, held = tables(some, books), knn._Held(len(some), rerank)
+            single = decoded and knn._Single(np.pad(some, ((0, 0), (0, decoded.width - some.shape[1]))), decoded.largest, True)
+            for mine, theirs in visits:
+                rows = np.arange(len(some)) if isinstance(mine, slice) else _within(mine, part)
+                cells = np.arange(len(codes)) if isinstance(theirs, slice) else theirs
+                for start in range(0, len(cells) if len(rows) else 0, knn.SCORED_ROWS):
+                    cols = cells[start : start + knn.SCORED_ROWS]
+                    _look_up(look, rows, codes[cols], places[cols], held, single, decoded)
+            rows, place, far = held.kept()
+            found.append((rows + part.start, place, far))
+        rows, place, far = (np.concatenate(column) for column in zip(*found, strict=True))
+        return _lists_of(left, right, *_by_id(left, rows, place, far, rerank, order, several))
 
     return score
 
 
+class _Decoded:
+    """What codes stand for, ready for products in single precision."""
+
+    def __init__(self, books: np.ndarray):
+        self.books = books.astype(np.float32)
+        squares = np.where(np.isfinite(books), np.square(books), 0.0).sum(axis=2)
+        self.largest = float(np.sqrt(squares.max(axis=1).sum()))
+        self.width = books.shape[0] * books.shape[2]
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        out = np.empty((len(codes), len(self.books), self.books.shape[2]), np.float32)
+        for part, book in enumerate(self.books):
+            out[:, part] = book[codes[:, part]]
+        return out.reshape(len(codes), -1)
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Codes of one length as rows of bytes."""
+    column = column.combine_chunks()
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(column), -1)
+
+
+def _within(rows: np.ndarray, part: slice) -> np.ndarray:
+    """Those of ascending row numbers that lie in a part, counted from its start."""
+    return rows[slice(*np.searchsorted(rows, [part.start, part.stop]))] - part.start
+
+
+def _look_up(look: np.ndarray, rows: np.ndarray, codes: np.ndarray, places: np.ndarray, held, single, decoded) -> None:
+    """Holds the codes that may be among the best of some queries, by what they are looked up as."""
+    if single is not None:
+        floor = held.floor[rows]
+        near, cols = single.near(rows, single.corpus(decoded.of(codes)), floor, held.k if np.isneginf(floor).any() else 0)
+        if len(near) <= 4 * held.k * len(rows):
+            held.add(rows[near], places[cols], -_looked_up_pairs(look, rows[near], codes, cols))
+            return
+    block = np.ascontiguousarray(codes.T.astype(np.intp))
+    for row in rows:
+        far = _looked_up(look[row], block)
+        best = _least(far, places, held.k)
+        held.add(np.full(len(best), row), places[best], -far[best])
+
+
+def _by_id(left: pa.Table, rows: np.ndarray, place: np.ndarray, score: np.ndarray, rerank: int, order: np.ndarray, once: bool):
+    """(row, position, score) of candidates; rows of one query id share the best of all of theirs."""
+    names, which = np.unique(knn._ids(left["_qid"]), return_inverse=True)
+    if len(names) < len(which):
+        keep = knn._best(which[rows], place, score, rerank)
+        group, place, score = which[rows][keep], place[keep], score[keep]
+        by_row = np.argsort(which, kind="stable")
+        # Each row of an id gets the list of the id, or one of them does.
+        first, last = (np.searchsorted(which[by_row], group, side=side) for side in ("left", "right"))
+        times = np.minimum(last - first, 1) if once else last - first
+        rows = by_row[np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+        place, score = np.repeat(place, times), np.repeat(score, times)
+    return rows, order[place], score
+
+
+def _lists_of(left: pa.Table, right: pa.Table, rows: np.ndarray, cols: np.ndarray, score: np.ndarray) -> pa.Table:
+    """Candidates as lists: one row for each query and place, with the vector of the query."""
+    where = right["_c"].to_numpy()[cols]
+    by = np.lexsort((where, rows))
+    rows, cols, where, score = rows[by], cols[by], where[by], score[by]
+    start = np.flatnonzero(np.r_[True, (np.diff(rows) != 0) | (np.diff(where) != 0)]) if len(rows) else np.zeros(0, int)
+    offsets, at = pa.array(np.r_[start, len(rows)], pa.int32()), pa.array(rows[start])
+    ids = right["_cid"].take(pa.array(cols)).combine_chunks()
+    ids = ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks)
+    return pa.table({
+        "_qid": left["_qid"].take(at), "_c": pa.array(where[start], pa.int32()), "_cids": pa.ListArray.from_arrays(offsets, ids),
+        "_scores": pa.ListArray.from_arrays(offsets, pa.array(score, pa.float64())), "_vec": left["_vec"].take(at),
+    })
+
+
 def _looked_up(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """The distance of each code (sub-space, code) by a table of distances (sub-space, centroid), a slice that caches hold at a time."""
     far = np.empty(codes.shape[1])
@@ -161,6 +243,16 @@ def _looked_up(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return far
 
 
+def _looked_up_pairs(look: np.ndarray, rows: np.ndarray, codes: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """The distance of single pairs of a query's table and a code, added up in the order of the sub-spaces, as `_looked_up` does."""
+    far, values = np.empty(len(rows)), look.reshape(-1)
+    starts = np.arange(codes.shape[1])[:, None] * CENTROIDS
+    for start in range(0, len(rows), LOOKED_UP):
+        at = slice(start, start + LOOKED_UP)
+        far[at] = values.take(starts + codes[cols[at]].T + rows[at] * (codes.shape[1] * CENTROIDS)).sum(axis=0)
+    return far
+
+
 def _least(far: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
     """Positions of the `most` least distances, ties by id."""
     if len(far) <= most:
@@ -184,7 +276,7 @@ def _candidates_scorer(k: int, metric: str):
         times = high - low
         cols = order[np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
         rows = np.repeat(rows, times)
-        value = knn._exact(knn._matrix(left["_vec"]), knn._matrix(right["_vec"]), rows, cols, metric)
+        value = knn._exact(*(knn._prepared(knn._matrix(side["_vec"]), metric) for side in (left, right)), rows, cols, metric)
         keep = knn._best(rows, ids[cols], value, k)
         found = {"_qid": left["_qid"].take(pa.array(rows[keep])), "_cid": right["_cid"].take(pa.array(cols[keep])), "_score": value[keep]}
         return pa.concat_tables([empty, pa.table(found)])
@@ -192,6 +284,14 @@ def _candidates_scorer(k: int, metric: str):
     return score
 
 
+def _merged(lists: DataFrame, queries: DataFrame, rerank: int) -> DataFrame:
+    """The best `rerank` candidates of each query over several blocks of codes."""
+    flat = lists.select("_qid", "_c", F.explode(F.arrays_zip("_cids", "_scores")).alias("_one")).select("_qid", "_c", "_one._cids", "_one._scores")
+    best = Window.partitionBy("_qid").orderBy(F.desc("_scores"), "_cids")
+    near = flat.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= rerank)
+    return near.groupBy("_qid", "_c").agg(F.collect_list("_cids").alias("_cids"), F.collect_list("_scores").alias("_scores")).join(queries, "_qid")
+
+
 def search(
     queries: DataFrame, index: Index, k: int, probes: int = 8, rerank: int = RERANK, query_id: str = "query_id", query_vec: str = "embedding",
     corpus_id: str = "vec_id",
@@ -202,18 +302,21 @@ def search(
         q = q.limit(0)
     spark, width = q.sparkSession, index.cells.centroids.shape[1]
     total, n = int(index.cells.sizes.sum()), q.count()
-    # Codes are small, so that most corpora are one block or a few, and a query gives `rerank` candidates for each of them.
-    q_rows = max(1, min(knn.BLOCK_BYTES // (8 * max(width, rerank)), -(-n // (knn.BLOCKS_A_CORE * spark.sparkContext.defaultParallelism))))
-    groups, types = knn._dealt(q, index.codes, index.cells, probes, q_rows, max(1, CODE_BYTES // (index.books.shape[0] + ROW_BYTES)))
-    rough = groups.applyInArrow(_approximate(index, rerank), types)
-    best = Window.partitionBy("_qid").orderBy(F.desc("_score"), "_cid")
-    near = rough.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= rerank)
     c_parts = max(1, -(-total // knn._block_rows(spark, total, width)))
     q_parts = max(1, -(-n // knn._block_rows(spark, n, width)))
-    place = F.pmod(F.xxhash64("_cid"), F.lit(c_parts)).cast("int")
-    lists = near.groupBy("_qid", place.alias("_c")).agg(F.collect_list("_cid").alias("_cids"))
-    left = lists.join(knn._ready(q, "_qid", index.metric), "_qid").withColumn("_q", F.pmod(F.xxhash64("_qid"), F.lit(q_parts)).cast("int"))
-    right = index.cells.rows.select("_cid", "_vec", place.alias("_c")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))))
+    place = F.pmod(F.xxhash64("_cid"), F.lit(c_parts)).cast("int").alias("_c")
+    # Codes are small, so that most corpora are one block or a few, and a query gives `rerank` candidates for each of them.
+    q_rows = max(1, min(CANDIDATE_BYTES // (8 * max(width, rerank)), -(-n // (knn.BLOCKS_A_CORE * spark.sparkContext.defaultParallelism))))
+    c_rows = max(1, CODE_BYTES // (index.books.shape[0] + ROW_BYTES))
+    groups, types = knn._dealt(q, index.codes.select("*", place), index.cells, probes, q_rows, c_rows)
+    kinds = {"_qid": types["_qid"].dataType, "_c": T.IntegerType(), "_cids": T.ArrayType(types["_cid"].dataType), "_scores": T.ArrayType(T.DoubleType()),
+             "_vec": q.schema["_vec"].dataType}
+    several = int(sum(knn._packed(index.cells.sizes, c_rows)).max(initial=0)) > 1
+    lists = groups.applyInArrow(_approximate(index, rerank, several), T.StructType([T.StructField(*kind) for kind in kinds.items()]))
+    if several:
+        lists = _merged(lists, knn._ready(q, "_qid", index.metric), rerank)
+    left = lists.drop("_scores").withColumn("_q", F.pmod(F.xxhash64("_qid"), F.lit(q_parts)).cast("int"))
+    right = index.cells.rows.select("_cid", "_vec", place).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))))
     exact = knn._paired(left, right, ["_q", "_c"], q_parts * c_parts).applyInArrow(_candidates_scorer(k, index.metric), types)
     out_id = corpus_id if corpus_id != query_id else f"neighbour_{corpus_id}"
     return knn._top(exact, k, index.metric, query_id, out_id)

@@ -220,3 +220,36 @@ def test_slices_of_the_corpus_find_what_the_whole_does(scale):
         scores = -np.sqrt(np.square(q[:, None] - c).sum(axis=2)) if metric == "l2" else (q[:, None] * c).sum(axis=2)
         wanted = [ids[np.lexsort((ids, -s))[:7]].tolist() for s in scores]
         assert [found[1][found[0] == i].tolist() for i in range(30)] == wanted
+
+
+@pytest.mark.parametrize("metric", V.METRICS)
+@pytest.mark.parametrize("case", ["plain", "copies", "tiny", "far off", "of any length"])
+def test_single_precision_leaves_out_nothing(case, metric):
+    """Blocks of more rows than are scored at a time, against exact scores of all pairs; ids repeat."""
+    rng = np.random.default_rng(6)
+    q, c = rng.normal(size=(60, 7)), rng.normal(size=(knn.SCORED_ROWS + 900, 7))
+    if case == "copies":
+        c[::3], c[1::5], q[:20] = c[0], c[1], c[:20]
+    elif case == "tiny":
+        q, c = q * 1e-12, c * 1e-30
+    elif case == "far off":
+        q, c = q + 1e4, c + 1e4
+    elif case == "of any length":
+        q, c = q * 10.0 ** rng.integers(-30, 14, size=(60, 1)), c * 10.0 ** rng.integers(-30, 12, size=(len(c), 1))
+    q, c = knn._prepared(q, metric), knn._prepared(c, metric)
+    ids = rng.integers(0, 2000, size=len(c))
+    rows, found, score = (np.concatenate(column) for column in zip(*knn._nearest(q, c, ids, 7, metric), strict=True))
+    for i in range(len(q)):
+        exact = -np.sqrt(np.square(q[i] - c).sum(axis=1)) if metric == "l2" else (q[i] * c).sum(axis=1)
+        best = np.lexsort((ids, -exact))[:7]
+        assert found[rows == i].tolist() == ids[best].tolist() and score[rows == i].tolist() == exact[best].tolist()
+
+
+def test_floats_are_shuffled_as_they_are(spark, monkeypatch, vectors):
+    """Vectors of floats are not made doubles before they are copied to the blocks."""
+    seen, paired = [], knn._paired
+    monkeypatch.setattr(knn, "_paired", lambda left, right, *rest: (seen.extend((left, right)), paired(left, right, *rest))[1])
+    q, c = (df.withColumn("embedding", F.col("embedding").cast("array<float>")) for df in vectors[2:])
+    whole = result(knn_topk(q, c, 5))
+    assert result(knn_topk(q, c, 5, max_queries=1)) == result(knn_by_cells(q, c, 5, probes=8, n_cells=8)) == whole
+    assert [side.schema["_vec"].dataType.elementType.typeName() for side in seen] == ["float"] * 4

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import knn
+from lodestone.operators import knn, quantised
 from lodestone.operators.knn import knn_topk
 from lodestone.operators.quantised import build_index, encode, search, tables, train_books
 
@@ -77,3 +77,41 @@ def test_candidates_and_vectors_are_not_copied_to_cells_or_pairs(spark, monkeypa
     assert seen[1] == (30, 600)
     wanted = knn_topk(queries, corpus, 5).select("query_id", "vec_id", "rank")
     assert sorted(map(tuple, found.select("query_id", "vec_id", "rank").collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def by_codes(books, queries, corpus, rerank):
+    """The `rerank` candidates of each query id, all codes looked up; several rows of an id share them."""
+    unit = lambda x: x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    codes = encode(unit(corpus[1]), books).T.astype(np.intp)
+    found = {}
+    for qid, look in zip(queries[0], tables(unit(queries[1]), books), strict=True):
+        far = quantised._looked_up(look, codes)
+        best = np.lexsort((corpus[0], far))[:rerank]
+        found.setdefault(qid, []).extend(zip(far[best], corpus[0][best], strict=True))
+    return {qid: [int(cid) for _, cid in sorted(some)[:rerank]] for qid, some in found.items()}
+
+
+@pytest.mark.parametrize("code_bytes", [64 << 20, 40 * 2500])
+@pytest.mark.parametrize("copies", [0, 3000])
+def test_candidates_are_those_that_look_nearest(spark, monkeypatch, code_bytes, copies):
+    """More codes than are scored at a time, ids and queries that repeat, and a vector that is half of the corpus; one block of codes and several."""
+    monkeypatch.setattr(quantised, "CODE_BYTES", code_bytes)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 12)).astype(np.float32)
+    x[rng.permutation(6000)[:copies]] = x[0]
+    ids = np.r_[np.arange(5990), np.arange(10)]
+    qids = np.r_[np.arange(38), 7, 8]
+    corpus = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(int(i), x[j].tolist()) for j, i in enumerate(qids)], "query_id long, embedding array<float>")
+    index = build_index(corpus, parts=4, n_cells=9)
+    paired = knn._paired
+    # What is paired last are the lists; a view, as what stands in the module goes to the tasks.
+    monkeypatch.setattr(knn, "_paired", lambda left, *rest: (left.createOrReplaceTempView("paired_last"), paired(left, *rest))[1])
+    search(queries, index, 5, probes=9, rerank=40)
+    rows, lists = spark.table("paired_last").collect(), {}
+    for qid, _, cids in sorted({(r["_qid"], r["_c"], tuple(sorted(r["_cids"]))) for r in rows}):
+        lists.setdefault(qid, []).extend(cids)
+    wanted = by_codes(index.books, (qids, x[:40].astype(float)), (ids, x.astype(float)), 40)
+    assert {q: sorted(c) for q, c in lists.items()} == {q: sorted(c) for q, c in wanted.items()}
+    # Each row of an id has the list.
+    assert sorted(r["_qid"] for r in rows) == sorted(np.repeat(qids, [len({r["_c"] for r in rows if r["_qid"] == q}) for q in qids]).tolist())

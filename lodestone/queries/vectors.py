@@ -14,7 +14,7 @@ from lodestone.operators.knn import build_cells, knn_by_cells, knn_topk
 from lodestone.operators.profile import require_columns, vector_column, vector_health
 from lodestone.operators.quantised import build_index, search as search_codes
 from lodestone.queries.registry import Tables, query
-from lodestone.session import kept
+from lodestone.session import kept, shuffles_cleaned
 from lodestone.sources.records import metadata
 
 K = fixed.TOP_K
@@ -145,16 +145,20 @@ def _recall(exact: DataFrame, found: DataFrame) -> DataFrame:
 
 @query()
 def knn_recall_report(t: Tables) -> DataFrame:
-    """Measured recall of the approximate searches, by method and cells visited; a measurement, which SQL does not give."""
+    """Measured recall of the approximate searches, by method and cells visited; a measurement, which SQL does not give.
+
+    One search runs at a time, and its shuffle files go when it has ended, so the disk holds those of one search.
+    """
     queries = _as_queries(t.embeddings)
-    exact = kept(knn_topk(queries, t.embeddings, K).select("query_id", "vec_id"), "exact")
-    index = build_index(t.embeddings)
-    share = index.code_bytes / max(1, index.vector_bytes)
     parts = []
-    for probes in (1, 4, 16, len(index.cells.centroids)):
-        cells, codes = knn_by_cells(queries, index.cells, K, probes=probes), search_codes(queries, index, K, probes=probes)
-        for method, found, size in (("cells", cells, 1.0), ("codes", codes, share)):
-            parts.append(_recall(exact, found).select(F.lit(method).alias("method"), F.lit(probes).alias("probes"), "compared", "recall", F.lit(size).alias("index_share")))
+    with shuffles_cleaned(t.embeddings.sparkSession):
+        exact = kept(knn_topk(queries, t.embeddings, K).select("query_id", "vec_id"), "exact")
+        index = build_index(t.embeddings)
+        share = index.code_bytes / max(1, index.vector_bytes)
+        for probes in (1, 4, 16, len(index.cells.centroids)):
+            for method, search, corpus, size in (("cells", knn_by_cells, index.cells, 1.0), ("codes", search_codes, index, share)):
+                recall = _recall(exact, search(queries, corpus, K, probes=probes))
+                parts.append(kept(recall.select(F.lit(method).alias("method"), F.lit(probes).alias("probes"), "compared", "recall", F.lit(size).alias("index_share")), "recall"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -163,8 +167,9 @@ def knn_recall_report(t: Tables) -> DataFrame:
 def knn_codes_recall(t: Tables) -> DataFrame:
     """Search by codes of 16 bytes a vector: nine of ten neighbours are found, and the index is below a tenth of the vectors."""
     queries = _as_queries(t.embeddings)
-    exact = kept(knn_topk(queries, t.embeddings, K).select("query_id", "vec_id"), "exact")
-    index = build_index(t.embeddings)
+    with shuffles_cleaned(t.embeddings.sparkSession):
+        exact = kept(knn_topk(queries, t.embeddings, K).select("query_id", "vec_id"), "exact")
+        index = build_index(t.embeddings)
     measured = _recall(exact, search_codes(queries, index, K, probes=len(index.cells.centroids)))
     return measured.select("compared", (F.col("recall") >= 0.9).alias("recall_holds"), F.lit(10 * index.code_bytes < index.vector_bytes).alias("small_index"))
 

@@ -253,3 +253,17 @@ def test_floats_are_shuffled_as_they_are(spark, monkeypatch, vectors):
     whole = result(knn_topk(q, c, 5))
     assert result(knn_topk(q, c, 5, max_queries=1)) == result(knn_by_cells(q, c, 5, probes=8, n_cells=8)) == whole
     assert [side.schema["_vec"].dataType.elementType.typeName() for side in seen] == ["float"] * 4
+
+
+def test_report_measures_one_search_at_a_time(spark, tmp_path):
+    """Shuffle files of the searches are gone when the report is there; k-means leaves some of its own."""
+    from lodestone.queries import QUERIES
+
+    rows = [(i, [float(v) for v in row], 0) for i, row in enumerate(np.random.default_rng(2).normal(size=(40, 4)))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    known = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    before = known.size()
+    report = QUERIES["knn_recall_report"](spark, str(tmp_path))
+    assert known.size() <= before + 8
+    assert "Exchange" not in report._jdf.queryExecution().executedPlan().toString()
+    assert [r.recall for r in report.collect() if r.probes >= 3] == [1.0] * 6

@@ -35,7 +35,7 @@ MAX_SCORES = 4 << 20
 SAMPLE_PER_CELL = 256
 MAX_CELLS = 4096
 # Vectors of one side of a block that a single task holds, as doubles. Large blocks mean few copies in the shuffle, small ones little memory.
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 32 << 20
 # Blocks are smaller where there would not be so many of them for each core, but not below so many rows.
 BLOCKS_A_CORE = 4
 LEAST_ROWS = 1024
@@ -229,10 +229,11 @@ class _Single:
     """
 
     def __init__(self, queries: np.ndarray, largest: float, squared: bool):
-        squares = np.square(queries).sum(axis=1)
+        squares = _squares(queries)
         size = np.sqrt(squares)
         self.squared = squared
-        self.queries = _augmented(2 * queries, np.ones(len(queries))) if squared else _augmented(queries, np.zeros(len(queries)))
+        self.queries = _augmented(queries, np.full(len(queries), 0.5 if squared else 0.0))
+        self.queries *= 2 if squared else 1
         self.shift = squares if squared else np.zeros(len(queries))
         scale = np.square(size + largest) if squared else size * largest
         # The least number of single precision adds to what is lost below it.
@@ -245,7 +246,7 @@ class _Single:
         return all(bool(side.max(initial=0.0) < SINGLE_TAME and side.min(initial=0.0) > -SINGLE_TAME) for side in sides)
 
     def corpus(self, vectors: np.ndarray) -> np.ndarray:
-        return _augmented(vectors, -np.square(vectors).sum(axis=1) if self.squared else np.zeros(len(vectors)))
+        return _augmented(vectors, -_squares(vectors) if self.squared else np.zeros(len(vectors)))
 
     def near(self, rows: slice | np.ndarray, corpus: np.ndarray, floor: np.ndarray, best: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(query row, corpus row) of all whose exact score may reach the floor, and may be among the `best` of this corpus if that is given."""
@@ -277,7 +278,13 @@ def _low_bar(score: np.ndarray, best: int) -> np.ndarray:
 
 def _augmented(vectors: np.ndarray, last: np.ndarray) -> np.ndarray:
     """One column more, even of zeros: rows of a power of two of bytes share places in caches, which makes products a fifth slower."""
-    return np.concatenate([vectors, last[:, None]], axis=1).astype(np.float32)
+    out = np.empty((len(vectors), vectors.shape[1] + 1), np.float32)
+    out[:, :-1], out[:, -1] = vectors, last
+    return out
+
+
+def _squares(vectors: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", vectors, vectors)
 
 
 def _steps(rows: int, other: int) -> Iterator[slice]:
@@ -442,7 +449,7 @@ def _nearest(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int, metric: str,
     places, order = _ranked(ids)
     single, misses = None, 0
     if len(c) and _Single.fits(q, c):
-        single = _Single(q, float(np.sqrt(np.square(c).sum(axis=1).max())), metric == "l2")
+        single = _Single(q, float(np.sqrt(_squares(c).max())), metric == "l2")
         rough = single.corpus(c)
     out = []
     for part in _steps(len(q), max(SCORED_ROWS, -(-MAX_SCORES // max(1, at_once)))):

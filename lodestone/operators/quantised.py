@@ -31,6 +31,8 @@ CODE_BYTES = 64 << 20
 ROW_BYTES = 24
 #: Candidates of one block of queries that a task holds, in bytes.
 CANDIDATE_BYTES = 32 << 20
+#: Queries whose tables, or whose candidates' scores, a task holds at a time.
+AT_ONCE = 1024
 #: Codes that are looked up at a time.
 LOOKED_UP = 1 << 15
 
@@ -135,26 +137,35 @@ def _approximate(index: Index, rerank: int, several: bool = False):
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return _lists_of(left, right, *(np.zeros(0, int) for _ in range(3)))
+            return _lists_of(left, right, np.zeros(0, int), np.zeros(0, int))
         codes, vectors = _codes(right["_code"]), knn._prepared(knn._matrix(left["_vec"]), metric)
         places, order = knn._ranked(knn._ids(right["_cid"]))
         visits = list(knn._visits(left, right))
         decoded = _Decoded(books) if knn._Single.fits(vectors, books[np.isfinite(books)]) else None
-        found = []
-        for part in knn._steps(len(vectors), books.shape[0] * CENTROIDS // 2):
+        # Each row of queries has a list of its own, unless several share an id.
+        which = np.unique(knn._ids(left["_qid"]), return_inverse=True)[1].ravel()
+        alone = len(which) == which.max() + 1
+        found, lists = [], []
+        for start in range(0, len(vectors), AT_ONCE):
+            part = slice(start, start + AT_ONCE)
             some = vectors[part]
             look, held = tables(some, books), knn._Held(len(some), rerank)
             single = decoded and knn._Single(np.pad(some, ((0, 0), (0, decoded.width - some.shape[1]))), decoded.largest, True)
             for mine, theirs in visits:
                 rows = np.arange(len(some)) if isinstance(mine, slice) else _within(mine, part)
                 cells = np.arange(len(codes)) if isinstance(theirs, slice) else theirs
-                for start in range(0, len(cells) if len(rows) else 0, knn.SCORED_ROWS):
-                    cols = cells[start : start + knn.SCORED_ROWS]
+                for first in range(0, len(cells) if len(rows) else 0, knn.SCORED_ROWS):
+                    cols = cells[first : first + knn.SCORED_ROWS]
                     _look_up(look, rows, codes[cols], places[cols], held, single, decoded)
             rows, place, far = held.kept()
-            found.append((rows + part.start, place, far))
-        rows, place, far = (np.concatenate(column) for column in zip(*found, strict=True))
-        return _lists_of(left, right, *_by_id(left, rows, place, far, rerank, order, several))
+            if alone:
+                lists.append(_lists_of(left, right, rows + start, order[place], far if several else None))
+            else:
+                found.append((rows + start, place, far))
+        if not alone:
+            rows, place, far = (np.concatenate(column) for column in zip(*found, strict=True))
+            lists.append(_lists_of(left, right, *_by_id(which, rows, place, far, rerank, order, several)))
+        return pa.concat_tables(lists)
 
     return score
 
@@ -202,33 +213,30 @@ def _look_up(look: np.ndarray, rows: np.ndarray, codes: np.ndarray, places: np.n
         held.add(np.full(len(best), row), places[best], -far[best])
 
 
-def _by_id(left: pa.Table, rows: np.ndarray, place: np.ndarray, score: np.ndarray, rerank: int, order: np.ndarray, once: bool):
-    """(row, position, score) of candidates; rows of one query id share the best of all of theirs."""
-    names, which = np.unique(knn._ids(left["_qid"]), return_inverse=True)
-    if len(names) < len(which):
-        keep = knn._best(which[rows], place, score, rerank)
-        group, place, score = which[rows][keep], place[keep], score[keep]
-        by_row = np.argsort(which, kind="stable")
-        # Each row of an id gets the list of the id, or one of them does.
-        first, last = (np.searchsorted(which[by_row], group, side=side) for side in ("left", "right"))
-        times = np.minimum(last - first, 1) if once else last - first
-        rows = by_row[np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-        place, score = np.repeat(place, times), np.repeat(score, times)
-    return rows, order[place], score
+def _by_id(which: np.ndarray, rows: np.ndarray, place: np.ndarray, score: np.ndarray, rerank: int, order: np.ndarray, once: bool):
+    """(row, position, score) of candidates; rows of one query id (`which`) share the best of all of theirs."""
+    keep = knn._best(which[rows], place, score, rerank)
+    group, place, score = which[rows][keep], place[keep], score[keep]
+    by_row = np.argsort(which, kind="stable")
+    # Each row of an id gets the list of the id, or one of them does.
+    first, last = (np.searchsorted(which[by_row], group, side=side) for side in ("left", "right"))
+    times = np.minimum(last - first, 1) if once else last - first
+    rows = by_row[np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+    return rows, order[np.repeat(place, times)], np.repeat(score, times)
 
 
-def _lists_of(left: pa.Table, right: pa.Table, rows: np.ndarray, cols: np.ndarray, score: np.ndarray) -> pa.Table:
-    """Candidates as lists: one row for each query and place, with the vector of the query."""
+def _lists_of(left: pa.Table, right: pa.Table, rows: np.ndarray, cols: np.ndarray, score: np.ndarray | None = None) -> pa.Table:
+    """Candidates as lists: one row for each query and place, with the vector of the query, and with scores if they are given."""
     where = right["_c"].to_numpy()[cols]
     by = np.lexsort((where, rows))
-    rows, cols, where, score = rows[by], cols[by], where[by], score[by]
+    rows, cols, where = rows[by], cols[by], where[by]
     start = np.flatnonzero(np.r_[True, (np.diff(rows) != 0) | (np.diff(where) != 0)]) if len(rows) else np.zeros(0, int)
     offsets, at = pa.array(np.r_[start, len(rows)], pa.int32()), pa.array(rows[start])
     ids = right["_cid"].take(pa.array(cols)).combine_chunks()
     ids = ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks)
     return pa.table({
         "_qid": left["_qid"].take(at), "_c": pa.array(where[start], pa.int32()), "_cids": pa.ListArray.from_arrays(offsets, ids),
-        "_scores": pa.ListArray.from_arrays(offsets, pa.array(score, pa.float64())), "_vec": left["_vec"].take(at),
+        "_scores": pa.nulls(len(at), pa.list_(pa.float64())) if score is None else pa.ListArray.from_arrays(offsets, pa.array(score[by], pa.float64())), "_vec": left["_vec"].take(at),
     })
 
 
@@ -269,17 +277,22 @@ def _candidates_scorer(k: int, metric: str):
         if not left.num_rows or not right.num_rows:
             return empty
         ids, lists = knn._ids(right["_cid"]), left["_cids"].combine_chunks()
-        order, wanted = np.argsort(ids, kind="stable"), knn._ids(lists.flatten())
-        rows = np.repeat(np.arange(left.num_rows), np.diff(lists.offsets.to_numpy()))
-        # An id that several vectors share stands for each of them.
-        low, high = (np.searchsorted(ids[order], wanted, side=side) for side in ("left", "right"))
-        times = high - low
-        cols = order[np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-        rows = np.repeat(rows, times)
-        value = knn._exact(*(knn._prepared(knn._matrix(side["_vec"]), metric) for side in (left, right)), rows, cols, metric)
-        keep = knn._best(rows, ids[cols], value, k)
-        found = {"_qid": left["_qid"].take(pa.array(rows[keep])), "_cid": right["_cid"].take(pa.array(cols[keep])), "_score": value[keep]}
-        return pa.concat_tables([empty, pa.table(found)])
+        queries, corpus = (knn._prepared(knn._matrix(side["_vec"]), metric) for side in (left, right))
+        order = np.argsort(ids, kind="stable")
+        sorted_ids, found = ids[order], [empty]
+        for start in range(0, left.num_rows, AT_ONCE):
+            some = lists.slice(start, AT_ONCE)
+            wanted = knn._ids(some.flatten())
+            rows = np.repeat(np.arange(len(some)) + start, np.diff(some.offsets.to_numpy()))
+            # An id that several vectors share stands for each of them.
+            low, high = (np.searchsorted(sorted_ids, wanted, side=side) for side in ("left", "right"))
+            times = high - low
+            cols = order[np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+            rows = np.repeat(rows, times)
+            value = knn._exact(queries, corpus, rows, cols, metric)
+            keep = knn._best(rows, ids[cols], value, k)
+            found.append(pa.table({"_qid": left["_qid"].take(pa.array(rows[keep])), "_cid": right["_cid"].take(pa.array(cols[keep])), "_score": value[keep]}))
+        return pa.concat_tables(found)
 
     return score
 

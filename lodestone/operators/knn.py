@@ -432,8 +432,10 @@ def _by_blocks(q: DataFrame, c: DataFrame, k: int, metric: str, n: int, width: i
 
 
 def _paired(left: DataFrame, right: DataFrame, keys: list[str], groups: int):
-    """Cogroups by `keys`, dealt over as many tasks as there are groups, up to a bound: a group is much work for few bytes, so Spark must not join them."""
-    tasks = max(1, min(groups, MAX_TASKS))
+    """Cogroups by `keys`, dealt over four times as many tasks as there are groups, up to a bound: a group is much work for few bytes, so Spark must
+    not join them, and in fewer tasks their hashes would put several into one.
+    """
+    tasks = max(1, min(4 * groups, MAX_TASKS))
     left, right = (side.repartition(tasks, *keys).groupBy(*keys) for side in (left, right))
     return left.cogroup(right)
 
